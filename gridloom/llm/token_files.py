@@ -67,6 +67,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+class Kept(dict):
+    """Kept ids of chunks; extra holds those of the present batch besides."""
+
+    extra: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.extra[chunk]
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library; each chunk between white space is encoded once while there is room for it."""
 
@@ -77,7 +86,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids: dict[str, bytes] = {}
+        self.ids = Kept()
         self.kept = kept
         self.mark_id, self.mark = max((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
         self.last = np.zeros(self.library.get_vocab_size(), bool)
@@ -86,13 +95,11 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.chunks(t) if t else [] for t in texts]
         own = self.new({w for words in split for w in words} - self.ids.keys())
-        ids, end = self.ids, END_ID.to_bytes(4, "little")
-        if own:
-            room = self.kept - len(ids)
-            ids.update(islice(((w, x) for w, x in own.items() if len(w) < 48), max(0, room)))
-            get = lambda w: ids[w] if w in ids else own[w]
-        else:
-            get = ids.__getitem__
+        end = END_ID.to_bytes(4, "little")
+        room = max(0, self.kept - len(self.ids))
+        self.ids.update(islice(((w, x) for w, x in own.items() if len(w) < 48), room))
+        self.ids.extra = own
+        get = self.ids.__getitem__
         return [b"".join(map(get, words)) + end for words in split]
 
     @staticmethod
