@@ -26,11 +26,14 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 
 class Rule(NamedTuple):
+    """Tried on texts that hold keyword and also."""
+
     keyword: str
     pattern: str
     label: str
     priority: int
     weight: float
+    also: str = ""
 
 
 #: Families: label, keyword, names (patterns in lower case, words parted by one blank).
@@ -59,12 +62,12 @@ FAMILIES = (
     ("pddl", "database", ("public domain dedication and license",)),
     ("ogl", "government", ("open government licen[cs]e",)),
     ("cc0", "cc0", ("cc0", "cc0 1\\.0 universal")),
-    ("cc-by-nc-nd", "nd", ("cc by-nc-nd", "creative commons attribution-noncommercial-noderiv(?:ative)?s")),
-    ("cc-by-nc-sa", "sa", ("cc by-nc-sa", "creative commons attribution-noncommercial-sharealike")),
-    ("cc-by-nc", "nc", ("cc by-nc", "creative commons attribution-noncommercial")),
-    ("cc-by-nd", "nd", ("cc by-nd", "creative commons attribution-noderiv(?:ative)?s")),
-    ("cc-by-sa", "sa", ("cc by-sa", "creative commons attribution-sharealike")),
-    ("cc-by", "by", ("cc by", "creative commons attribution")),
+    ("cc-by-nc-nd", "c", ("cc by-nc-nd", "creative commons attribution-noncommercial-noderiv(?:ative)?s")),
+    ("cc-by-nc-sa", "c", ("cc by-nc-sa", "creative commons attribution-noncommercial-sharealike")),
+    ("cc-by-nc", "c", ("cc by-nc", "creative commons attribution-noncommercial")),
+    ("cc-by-nd", "c", ("cc by-nd", "creative commons attribution-noderiv(?:ative)?s")),
+    ("cc-by-sa", "c", ("cc by-sa", "creative commons attribution-sharealike")),
+    ("cc-by", "c", ("cc by", "creative commons attribution")),
 )
 #: Forms a name stands in: pattern around {name}, priority, weight.
 FORMS = (
@@ -103,7 +106,12 @@ def rules() -> list[Rule]:
     """The ordered table, built from families and forms: each name in each form, an identifier tag for each family, then the sentences."""
     table = [Rule("spdx", f"spdx-license-identifier: ?{label}[a-z0-9.+-]*", label, 0, 1.0) for label, _, _ in FAMILIES]
     for form, priority, weight in FORMS:
-        table += [Rule(key, form.format(name=name), label, priority, weight) for label, key, names in FAMILIES for name in names]
+        cue = next((c for c in ("licensed", " under ", "[0-9]") if c in form), "")
+        for label, key, names in FAMILIES:
+            for name in names:
+                first = name.split()[0] if key == "c" else key
+                also = cue.strip() if cue and "[" not in cue else "license" if "license" in name else ""
+                table.append(Rule(first.split("-")[0], form.format(name=name), label, priority, weight, also))
     table += [Rule(*s) for s in SENTENCES]
     spaced = [r._replace(pattern=f"(?<![a-z0-9])(?:{r.pattern.replace(' ', '[\\s-]+')})(?![a-z0-9])") for r in table]
     return sorted(spaced, key=lambda r: r.priority)
@@ -113,28 +121,24 @@ def _rule_array(table: list[Rule]) -> Column:
     """All rules as one literal array of structs, folded at planning."""
     import json
 
-    return F.from_json(F.lit(json.dumps([r._asdict() for r in table])), "array<struct<keyword:string,pattern:string,label:string,priority:int,weight:double>>")
+    return F.from_json(F.lit(json.dumps([r._asdict() for r in table])), "array<struct<keyword:string,pattern:string,label:string,priority:int,weight:double,also:string>>")
 
 
 def _places(text: Column, r: Column) -> Column:
     """Intervals of one rule in text: the parts between matches and the matches, laid end to end."""
 
-    def lay(parts: Column) -> Column:
-        return let(
-            F.regexp_extract_all(text, r["pattern"], F.lit(0)),
-            lambda hits: F.aggregate(
-                hits,
-                F.struct(F.lit(0).alias("k"), F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out")),
-                lambda a, x: F.struct(
-                    (a["k"] + 1).alias("k"),
-                    (a["at"] + F.length(parts[a["k"]]) + F.length(x)).alias("at"),
-                    F.concat(a["out"], F.array(F.struct((a["at"] + F.length(parts[a["k"]])).alias("s"), (a["at"] + F.length(parts[a["k"]]) + F.length(x)).alias("e")))).alias("out"),
-                ),
-                lambda a: a["out"],
-            ),
-        )
-
-    spots = let(F.split(text, r["pattern"], -1), lay)
+    empty = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+
+    def lay(hits: Column) -> Column:
+        def step(a: Column, x: Column, parts: Column) -> Column:
+            at = a["at"] + F.length(parts[a["k"]])
+            return F.struct((a["k"] + 1).alias("k"), (at + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("s"), (at + F.length(x)).alias("e")))).alias("out"))
+
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("at"), empty.alias("out"))
+        whole = let(F.split(text, r["pattern"], -1), lambda parts: F.aggregate(hits, start, lambda a, x: step(a, x, parts), lambda a: a["out"]))
+        return F.when(F.size(hits) > 0, whole).otherwise(empty)
+
+    spots = let(F.regexp_extract_all(text, r["pattern"], F.lit(0)), lay)
     return F.transform(spots, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("neg_e"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))
 
 
@@ -168,7 +172,7 @@ def detections(text: Column, low: Column, table: list[Rule] | None = None) -> Co
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def scan(plain: Column) -> Column:
-        tried = F.filter(all_rules, lambda r: F.contains(plain, r["keyword"]))
+        tried = F.filter(all_rules, lambda r: F.contains(plain, r["keyword"]) & F.contains(plain, r["also"]))
         return _kept(F.flatten(F.transform(tried, lambda r: _places(plain, r))))
 
     return F.when(_any(low, CUES), let(F.translate(text, upper, lower), scan))

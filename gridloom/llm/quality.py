@@ -36,18 +36,17 @@ class Params:
     broadcast_ids: int = 5_000_000
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words as hashes (h)."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = F.array_remove(F.split("text", GAP, -1), "")
-    return own.withColumn("h", F.transform(words, lambda w: F.xxhash64(w)))
+def _shifted(a: Column, b: Column, by: int) -> Column:
+    """Hashes of a[i] and b[i + by], for each i that has both."""
+    return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(b) - by, F.lit(0))), F.slice(b, F.lit(by + 1), F.greatest(F.size(b) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
 
-def _grams(buckets: int) -> Column:
-    """Bucket numbers of the single words and of the neighbouring pairs of h."""
-    pairs = F.when(F.size("h") > 1, F.zip_with(F.col("h"), F.expr("slice(h, 2, size(h))"), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))))
-    singles = F.transform("h", lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-    return F.concat(singles, F.coalesce(pairs, F.expr("cast(array() as array<int>)")))
+def _hashed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, hashes of the words (h) and of neighbouring pairs (p), and what is asked for besides: text, word_chars."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("words", F.array_remove(F.split("text", GAP, -1), ""))
+    own = own.select("doc_id", "text", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"))
+    return own.select("doc_id", "h", _shifted(F.col("h"), F.col("h"), 1).alias("p"), *more)
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -59,8 +58,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> list
     ids = target_ids(labels)
     if ids.count() <= p.broadcast_ids:  # else Spark joins by shuffle
         ids = F.broadcast(ids)
-    grams = _hashed(docs).join(ids, "doc_id", "left").select("target", F.explode(_grams(p.buckets)).alias("b")).filter("b is not null")
-    rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()  # at most p.buckets rows
+    grams = _hashed(docs).join(ids, "doc_id", "left").select("target", F.explode(F.concat("h", "p")).alias("g"))
+    by_bucket = grams.groupBy(F.pmod("g", F.lit(p.buckets)).cast("int").alias("b"))
+    rows = by_bucket.agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()  # at most p.buckets rows
     raw, target = [0] * p.buckets, [0] * p.buckets
     for r in rows:
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
@@ -72,14 +72,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> list
     return [base + math.log((t + p.smoothing) / (r + p.smoothing)) for t, r in zip(target, raw, strict=True)]
 
 
-def repeated_words(h: Column) -> Column:
-    """How many words stand in a window of WINDOW words that occurs twice or more in h (hashes of the words).
+def repeated_words(h: Column, p: Column) -> Column:
+    """How many words stand in a window of WINDOW words that occurs twice or more; h and p as _hashed() gives them.
 
-    Windows are hashed; only where two are equal they are sorted with their places, neighbours with equal hashes give the
-    repeated places, and the sorted places give the covered words: n log n steps for any text.
+    Windows are hashed by doubling: pairs, fours, fives. Only where two windows are equal they are sorted with their places;
+    neighbours with equal hashes give the repeated places, and the sorted places the covered words: n log n steps for any text.
     """
-    n = F.size(h) - WINDOW + 1
-    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[h[i + k] for k in range(WINDOW)]))
+    hashes = _shifted(_shifted(p, p, 2), h, 4)
 
     def covered(own: Column) -> Column:
         pairs = F.sort_array(F.transform(own, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -95,22 +94,25 @@ def repeated_words(h: Column) -> Column:
         steps = let(places, lambda q: F.transform(q, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(q, k + 1) - x, F.lit(WINDOW)))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    return F.when(n >= 2, let(hashes, lambda own: F.when(F.size(F.array_distinct(own)) < F.size(own), covered(own)).otherwise(0))).otherwise(0)
+    return F.when(F.size(h) > WINDOW, let(hashes, lambda own: F.when(F.size(F.array_distinct(own)) < F.size(own), covered(own)).otherwise(0))).otherwise(0)
 
 
 def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score for each row of docs."""
     ratios = F.split(F.lit(",".join(repr(x) for x in log_ratios(docs, labels, p))), ",").cast("array<double>")  # folded to one literal
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
-    counted = _hashed(docs).select(
+    add = lambda a, x: a + F.get(ratios, F.pmod(x, F.lit(p.buckets)).cast("int"))
+    some = F.contains("text", F.lit(SYMBOLS[1]))
+    for c in SYMBOLS[2:-1]:
+        some = some | F.contains("text", F.lit(c))
+    counted = _hashed(docs, "text", "word_chars").select(
         "doc_id",
-        "h",
-        F.length(F.regexp_replace("text", GAP, "")).cast("bigint").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        F.when(F.instr("text", "\n") > 0, let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("bigint").alias("n_dup_lines"),
+        "word_chars",
+        F.when(some, F.regexp_count("text", F.lit(SYMBOLS))).otherwise(0).cast("bigint").alias("n_symbols"),
+        F.when(F.contains("text", F.lit("\n")), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("bigint").alias("n_dup_lines"),
         F.size("h").cast("bigint").alias("n_words"),
-        repeated_words(F.col("h")).cast("bigint").alias("n_repeat_words"),
-        F.aggregate(_grams(p.buckets), F.lit(0.0), lambda a, b: a + F.coalesce(F.get(ratios, b), F.lit(0.0))).alias("total"),
+        repeated_words(F.col("h"), F.col("p")).cast("bigint").alias("n_repeat_words"),
+        (F.aggregate("h", F.lit(0.0), add) + F.aggregate("p", F.lit(0.0), add)).alias("total"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     mean = F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words") - 1)).otherwise(0.0)
