@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, html_extract, licenses, quality, token_files
+from gridloom.llm import bpe, html_extract, licenses, pii, quality, token_files, toxicity
 from gridloom.llm.common import table
 
 
@@ -38,12 +38,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_corpus(spark, folder, files)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op5_token_files, op7_bpe)
+    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op5_token_files, op6_pii, op7_bpe, op8_toxicity)
 }
 ORACLES: dict[str, str] = {}
