@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, html_extract, licenses, pii, quality, token_files, toxicity
+from gridloom.llm import bpe, decontaminate, html_extract, licenses, near_dedup, pii, quality, substring_dedup, token_files, toxicity
 from gridloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = token_files.write_corpus(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return token_files.read_corpus(spark, folder, files)
@@ -50,8 +54,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op5_token_files, op6_pii, op7_bpe, op8_toxicity)
+    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_near_dedup, op5_token_files, op6_pii, op7_bpe, op8_toxicity, op9_decontamination, op10_substring_dedup)
 }
 ORACLES: dict[str, str] = {}
