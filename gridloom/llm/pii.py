@@ -110,14 +110,19 @@ def _spans(text: Column, k: Kind) -> Column:
     return F.when(F.contains(text, F.lit(k.gate)), spans).otherwise(none) if k.gate else spans
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text, spans: all candidates of a text by kind, then start. A text without digits and @ has none."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    any_digit = F.contains("text", F.lit("@")) | F.contains("text", F.lit("="))
+def all_spans(text: Column) -> Column:
+    """All candidates of a text by kind, then start. A text without digits, @ and = has none."""
+    some = F.contains(text, F.lit("@")) | F.contains(text, F.lit("="))
     for d in "0123456789":
-        any_digit = any_digit | F.contains("text", F.lit(d))
+        some = some | F.contains(text, F.lit(d))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    return own.select("doc_id", "text", F.when(any_digit, F.concat(*[_spans(F.col("text"), k) for k in KINDS])).otherwise(none).alias("spans"))
+    return F.when(some, F.concat(*[_spans(text, k) for k in KINDS])).otherwise(none)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, text, spans of each row."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.select("doc_id", "text", all_spans(F.col("text")).alias("spans"))
 
 
 class Model(NamedTuple):
@@ -216,3 +221,14 @@ def masked(text: Column, spans: Column) -> Column:
     start = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<string>)").alias("out"))
     whole = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["end"] + 1)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """The rows of docs with placeholders for the spans in text, and n_chars (if there) to match; null texts stay null."""
+    model = fit(candidates(docs))
+    kept = F.filter("_spans", lambda x: _accepted(x, model))
+    own = docs.select("*", F.col("text").cast("string").alias("_text")).withColumn("_spans", all_spans(F.coalesce("_text", F.lit("")))).withColumn("_kept", kept)
+    own = own.withColumn("text", masked(F.col("_text"), F.col("_kept")))
+    if "n_chars" in docs.columns:
+        own = own.withColumn("n_chars", F.when(F.size("_kept") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return own.select(*docs.columns)
