@@ -15,13 +15,15 @@ there is no label. Labels, lang, source and doc_id are no inputs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc32_of
+from gridloom.llm.common import bounded_batches, crc32_of
 
 #: Insults of the hand-written lexicon, and words of the second person.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "dumb", "fool", "ugly", "hate", "dumm", "trottel", "abschaum", "débile", "imbécile", "ordure", "estúpido", "imbécil", "basura")
@@ -234,5 +236,28 @@ def _scored(docs: DataFrame, m: Model, p: Params, *keep: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs, unchanged, that are not predicted toxic."""
-    return _scored(docs, train(docs, labels, p), p, *docs.columns).filter("predicted = 0").select(*docs.columns)
+    """The rows of docs, unchanged, that are not predicted toxic.
+
+    The filter stands behind an Arrow step: as an expression Catalyst would push it below the features and repeat those at
+    each node of each tree.
+    """
+    m = train(docs, labels, p)
+    cut = margin_at(m, p.threshold)
+    bounded_batches(docs.sparkSession)
+    own = features(docs.select(F.struct(*docs.columns).alias("_row"), "text"), m.lexicon, "_row")
+    schema = own.select("_row").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES], axis=1) if len(b) else np.zeros((0, len(FEATURES)))
+            yield b.filter(pa.array(predict(x, m.base, m.trees) < cut, pa.bool_())).select(["_row"])
+
+    return own.mapInArrow(run, schema).select("_row.*")
+
+
+def margin_at(m: Model, score_: float) -> float:
+    """The least margin whose score reaches score_."""
+    for (x0, y0), (x1, y1) in zip(m.knots[:-1], m.knots[1:], strict=True):
+        if y1 >= score_:
+            return x0 if y0 >= score_ else x0 + (score_ - y0) * (x1 - x0) / (y1 - y0)
+    return float("inf")
