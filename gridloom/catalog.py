@@ -1,4 +1,243 @@
-"""Named queries over the driver's tables, and the SQL that checks them."""
+"""Named queries over the driver's tables, and the DuckDB SQL that checks them.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+documents stand for texts, events for the attempt log, lineitem for calls with token counts, conversations for histories.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.text import Template, categories, duration, html_escape, scale, strip
+from gridloom.operators import attempts, grid, privacy, themes, validate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+ITEMS = (("dep_01", "How low?", 0.0, 100.0, ""), ("mood_01", "Which mood?", None, None, "Negative | Neutral | Positive"), ("anx_01", "How anxious?", 0.0, 3.0, "0 = Not at all | 1 = Several days | 3 = Nearly every day"), ("support_01", "Support?", None, None, "Yes | No"))
+_ITEMS_SQL = "(values " + ", ".join(f"('{i}', '{p}', {'null' if a is None else a}::double, {'null' if b is None else b}::double, '{s}')" for i, p, a, b, s in ITEMS) + ") items(item_id, item_prompt, min_value, max_value, scoring_values)"
+_LOG_SQL = """(select event_id as seq, 'job-' || user_id as job_id, case event_type when 'purchase' then 'completed' when 'view' then 'completed' when 'error' then 'failed' else 'validation_failed' end as status,
+ 'm' || (user_id % 3) as model, cast(floor(value) as bigint) as tokens, value, sha256(user_id || '-' || (event_id % 50)) as request_hash from events)"""
+_TEXTS_SQL = "(select doc_id as transcript_id, text from documents where lang = 'en')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _items(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ITEMS), "item_id string, item_prompt string, min_value double, max_value double, scoring_values string")
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("purchase", "view"), "completed").when(F.col("event_type") == "error", "failed").otherwise("validation_failed")
+    user = F.col("user_id")
+    return _t(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("job-"), user).alias("job_id"), kind.alias("status"), F.concat(F.lit("m"), user % 3).alias("model"),
+        F.floor("value").alias("tokens"), "value", F.sha2(F.concat(user, F.lit("-"), F.col("event_id") % 50), 256).alias("request_hash"),
+    )
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("transcript_id"), "text")
+
+
+@query("select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as text, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as n from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def sc1_strip_and_blank_filter(spark, d):
+    return _t(spark, d, "documents").select("doc_id", strip(F.col("text")).alias("text")).filter("text <> ''").withColumn("n", F.length("text").cast("bigint"))
+
+
+@query(f"select transcript_id, item_id, 'transcript-' || transcript_id || '__item-' || item_id as job_id, sha256('Item: ' || item_prompt || chr(10) || 'Transcript:' || chr(10) || text) as prompt_sha from {_TEXTS_SQL} t cross join {_ITEMS_SQL}")
+def jo1_request_grid(spark, d):
+    t = Template("Item: {item}\nTranscript:\n{transcript}", ["item", "transcript"])
+    return grid.grid(_texts(spark, d), _items(spark), t, "m0").select("transcript_id", "item_id", "job_id", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+@query(f"select item_id, try_cast(trim(split_part(part, '=', 1)) as double) as value, trim(split_part(part, '=', 2)) as label from (select item_id, unnest(string_split(scoring_values, '|')) as part from {_ITEMS_SQL} where contains(scoring_values, '='))")
+def pr3_scale_parse(spark, d):
+    return _items(spark).filter(F.contains("scoring_values", F.lit("="))).select("item_id", F.explode(scale(F.col("scoring_values"))).alias("x")).select("item_id", "x.value", "x.label")
+
+
+@query(f"select item_id, case when contains(scoring_values, '=') or trim(scoring_values) = '' then 0 else len(string_split(scoring_values, '|')) end::bigint as n from {_ITEMS_SQL}")
+def pr4_categories(spark, d):
+    return _items(spark).select("item_id", F.size(categories(F.col("scoring_values"))).cast("bigint").alias("n"))
+
+
+@query(f"select job_id, max(seq) as seq, arg_max(status, seq) as status, arg_max(value, seq) as value, min(seq) as ord from {_LOG_SQL} group by job_id")
+def ag1_latest_attempt(spark, d):
+    return attempts.latest(_log(spark, d)).select("job_id", "seq", "status", "value", "ord")
+
+
+@query(f"select job_id, count(*) as attempts from {_LOG_SQL} group by job_id")
+def ag2_attempt_counts(spark, d):
+    return attempts.attempt_counts(_log(spark, d))
+
+
+_JOBS_SQL = "(select 'job-' || c_custkey as job_id, sha256(c_custkey || '-7') as request_hash from customer)"
+
+
+def _jobs(spark, d):
+    return _t(spark, d, "customer").select(F.concat(F.lit("job-"), "c_custkey").alias("job_id"), F.sha2(F.concat("c_custkey", F.lit("-7")), 256).alias("request_hash"))
+
+
+@query(f"with log as {_LOG_SQL}, l as (select job_id, arg_max(status, seq) as status, count(*) as n from log group by job_id) select j.job_id, coalesce(n, 0) + 1 as attempt from {_JOBS_SQL} j left join l using (job_id) where status is distinct from 'completed'")
+def fi1_pending_jobs(spark, d):
+    return attempts.pending(_jobs(spark, d), _log(spark, d)).select("job_id", F.col("attempt").cast("bigint").alias("attempt"))
+
+
+@query(f"with log as {_LOG_SQL}, l as (select job_id, arg_max(request_hash, seq) as old from log group by job_id) select j.job_id from {_JOBS_SQL} j join l using (job_id) where request_hash <> old")
+def fi2_changed_requests(spark, d):
+    return attempts.changed_requests(_jobs(spark, d), _log(spark, d))
+
+
+@query(f"select count(*) as total, count_if(status = 'completed') as completed, count_if(status = 'failed') as failed, count_if(status = 'validation_failed') as validation_failed, count_if(status = 'completed')::double / nullif(count_if(status in ('completed', 'validation_failed')), 0)::double as parse_rate, sum(coalesce(tokens, 0))::bigint as tokens, string_agg(distinct model, ',' order by model) as models from {_LOG_SQL}")
+def ag5_run_summary(spark, d):
+    return attempts.summary(_log(spark, d))
+
+
+_COST = "(greatest(l_quantity - coalesce(nullif(l_tax * 100, 0), 0), 0) * 0.75 + coalesce(nullif(l_tax * 100, 0), 0) * 0.075 + l_linenumber * 4.5) / 1e6"
+
+
+def _calls(spark, d):
+    return _t(spark, d, "lineitem").withColumn("cost", attempts.token_cost(F.col("l_quantity"), F.expr("nullif(l_tax * 100, 0)"), F.col("l_linenumber"), 0.75, 0.075, 4.5))
+
+
+@query(f"select l_orderkey, l_linenumber, round({_COST}, 10) as cost from lineitem")
+def fn14_token_cost(spark, d):
+    return _calls(spark, d).select("l_orderkey", "l_linenumber", F.round("cost", 10).alias("cost"))
+
+
+@query(f"select l_orderkey, l_linenumber, round(sum({_COST}) over w, 12) as cost_so_far, round(avg({_COST}) over w, 12) as mean_cost from (select * from lineitem qualify count(*) over (partition by l_orderkey, l_linenumber) = 1) window w as (partition by l_orderkey order by l_linenumber rows between unbounded preceding and current row)")
+def wi4_running_cost(spark, d):
+    own = _calls(spark, d)
+    alone = own.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first("cost").alias("cost")).filter("n = 1")
+    return attempts.running_cost(alone, "l_orderkey", "l_linenumber", "cost").select("l_orderkey", "l_linenumber", F.round("cost_so_far", 12).alias("cost_so_far"), F.round("mean_cost", 12).alias("mean_cost"))
+
+
+@query("select conv_id, turn, count(*) over w as sent, sha256(string_agg(role || ':' || text, chr(10)) over w) as history_sha from conversations window w as (partition by conv_id order by turn rows between unbounded preceding and current row)")
+def wi5_conversation_replay(spark, d):
+    own = themes.histories(_t(spark, d, "conversations"))
+    text = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\n")
+    return own.select("conv_id", "turn", F.size("history").cast("bigint").alias("sent"), F.sha2(text, 256).alias("history_sha"))
+
+
+_MEMBERS = "(select source as theme_id, lang as source_id, 1 + doc_id % 5 as importance from documents)"
+_SCORES = f"(select theme_id, count(distinct source_id) as source_count, count(*) as candidate_count, avg(importance) as mean_importance, 0.7 * 100 * count(distinct source_id) / 4 + 0.3 * avg(importance) / 5 * 100 as salience from {_MEMBERS} group by theme_id)"
+
+
+def _scores(spark, d):
+    return themes.scored(_t(spark, d, "documents").select(F.col("source").alias("theme_id"), F.col("lang").alias("source_id"), (1 + F.col("doc_id") % 5).alias("importance")), 4)
+
+
+@query(f"select theme_id, source_count, candidate_count, round(mean_importance, 6) as mean_importance, round(salience, 6) as salience, row_number() over (order by salience desc, theme_id)::int as rank from {_SCORES}")
+def ag6_theme_scores(spark, d):
+    return _scores(spark, d).select("theme_id", "source_count", "candidate_count", F.round("mean_importance", 6).alias("mean_importance"), F.round("salience", 6).alias("salience"), "rank")
+
+
+@query(f"select theme_id, round(salience, 6) as salience from {_SCORES} order by salience desc, theme_id limit 3")
+def so2_top_themes(spark, d):
+    return themes.top(_scores(spark, d)).select("theme_id", F.round("salience", 6).alias("salience"))
+
+
+@query("select c_custkey as id, 'missing' as problem from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'extra' from orders where o_custkey not in (select c_custkey from customer)")
+def jo13_coverage(spark, d):
+    return validate.coverage(_t(spark, d, "customer").select(F.col("c_custkey").alias("id")), _t(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query("select d.doc_id, substr(l.text, 1, 20) as quote, length(substr(l.text, 1, 20)) > 0 and contains(d.text, substr(l.text, 1, 20)) as verified from documents d join documents l on l.doc_id = d.doc_id + 1")
+def jo11_quote_check(spark, d):
+    docs = _t(spark, d, "documents")
+    return validate.quotes(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 20).alias("quote")), docs.select("doc_id", "text"), "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+
+
+@query("select event_id, case when event_type = 'error' then 'not_parsed' when event_type = 'signup' then 'not_scored' when event_type = 'click' then 'parse_failed' when not (value between 0 and 100) then 'parse_failed' else 'parsed' end as parse_status, case when event_type in ('error', 'signup') then '' when event_type = 'click' then 'rating must be one of: Yes, No' when not (value between 0 and 100) then 'rating out of range' else '' end as parse_error from events")
+def va3_rating_rules(spark, d):
+    kind = F.col("event_type")
+    out = validate.rating_outcome(
+        F.when(kind == "error", "failed").otherwise("completed"), F.when(~kind.isin("signup", "click"), F.col("value")), F.when(kind == "click", "Maybe"), F.lit(0.0), F.lit(100.0),
+        F.expr("cast(array() as array<double>)"), F.array(F.lit("Yes"), F.lit("No")),
+    )
+    return _t(spark, d, "events").select("event_id", out.alias("x")).select("event_id", "x.parse_status", "x.parse_error")
+
+
+_SPANS = "(select source as scope, 'private_email' as label, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+')) as original, doc_id as seq from documents)"
+
+
+def _spans(spark, d):
+    hits = F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), F.lit(0))).alias("start", "original")
+    return _t(spark, d, "documents").select(F.col("source").alias("scope"), F.lit("private_email").alias("label"), F.col("doc_id").alias("seq"), hits)
+
+
+@query(f"select scope, label, lower(original) as norm, '[PRIVATE_EMAIL_' || row_number() over (partition by scope, label order by min(seq), lower(original)) || ']' as placeholder from {_SPANS} group by scope, label, lower(original)")
+def wi3_placeholders(spark, d):
+    # one e-mail address a text at most is assumed by the SQL's tie-break; start breaks ties here
+    return privacy.placeholders(_spans(spark, d))
+
+
+@query(f"select scope, 'private_email=' || count(*) as counts, count(*) as identifiers from {_SPANS} group by scope")
+def ag8_label_counts(spark, d):
+    return privacy.label_counts(_spans(spark, d))
+
+
+@query("select page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) as escaped_sha from pages")
+def fn9_html_escape(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.sha2(html_escape(F.col("html")), 256).alias("escaped_sha"))
+
+
+@query("select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad(((s % 3600) // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') else (s // 60) || ':' || lpad((s % 60)::varchar, 2, '0') end as took from (select event_id, (event_id * 37) % 20000 as s from events)")
+def fn18_duration(spark, d):
+    return _t(spark, d, "events").select("event_id", duration(F.col("event_id") * 37 % 20000).alias("took"))
+
+
+@query("select event_id, json_extract(props, '$.k')::bigint as k from events")
+def fn21_json_fields(spark, d):
+    return _t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("select doc_id, sha256(text) as sha from documents")
+def fn24_text_hashes(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query("select source, count(distinct lang) as langs, string_agg(distinct lang, ',' order by lang) as names from documents group by source")
+def jo9_distinct_sorted(spark, d):
+    return _t(spark, d, "documents").groupBy("source").agg(F.countDistinct("lang").alias("langs"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("names"))
+
+
+@query("select doc_id, coalesce('toxic=' || toxic, 'No label.') as note from documents left join labels using (doc_id)")
+def jo10_left_with_default(spark, d):
+    return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.concat(F.lit("toxic="), "toxic"), F.lit("No label.")).alias("note"))
+
+
+@query("select text, count(*) as n from documents group by text having count(*) > 1")
+def se2_duplicates(spark, d):
+    return grid.duplicate_ids(_t(spark, d, "documents"), "text")
+
+
+@query(f"select (select count(*) from documents) as found, (select count(*) from documents where trim(text) <> '') as usable, 4::bigint as items, (select count(*) from documents where trim(text) <> '') * 4 as possible_jobs from (select 1)")
+def ag10_study_inventory(spark, d):
+    docs = _t(spark, d, "documents").agg(F.count("*").alias("found"), F.count_if(F.trim("text") != "").alias("usable"))
+    return docs.withColumn("items", F.lit(_items(spark).count()).cast("bigint")).withColumn("possible_jobs", F.col("usable") * F.col("items"))
+
+
+@query(f"with g as (select item_id, length(text) % 120 as rating, min_value, max_value from {_TEXTS_SQL} t cross join {_ITEMS_SQL} where min_value is not null) select item_id, count(*) as n, count_if(rating between min_value and max_value) as parsed, avg(case when rating between min_value and max_value then rating end)::double as mean_rating from g group by item_id")
+def ex8_rating_batch(spark, d):
+    """The flagship: grid, offline responder, rules, summary for each item."""
+    own = _texts(spark, d).crossJoin(F.broadcast(_items(spark).filter("min_value is not null"))).withColumn("rating", (F.length("text") % 120).cast("double"))
+    none = F.expr("cast(array() as array<string>)")
+    out = validate.rating_outcome(F.lit("completed"), F.col("rating"), F.lit(None).cast("string"), F.col("min_value"), F.col("max_value"), F.expr("cast(array() as array<double>)"), none)
+    own = own.withColumn("x", out)
+    parsed = F.col("x.parse_status") == "parsed"
+    return own.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(parsed).alias("parsed"), F.avg(F.when(parsed, F.col("rating"))).alias("mean_rating"))

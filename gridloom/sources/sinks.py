@@ -1,0 +1,32 @@
+"""Sinks: attempt log, job plan, results, summary."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def append_attempts(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Write a plan that must never change: the same rows are no-op, other rows an error."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        df.write.parquet(path)
+        return
+    old = spark.read.parquet(path)
+    if old.exceptAll(df).limit(1).count() or df.exceptAll(old).limit(1).count():
+        raise ValueError(f"{path} holds another plan")
+
+
+def job_lines(jobs: DataFrame) -> DataFrame:
+    """One JSON line a job, keys in order, nulls kept."""
+    return jobs.select(F.to_json(F.struct(*sorted(jobs.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report file: one part, quotes doubled, nulls empty."""
+    df.coalesce(1).write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
