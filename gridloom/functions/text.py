@@ -49,7 +49,7 @@ def scale(c: Column) -> Column:
 
 def categories(c: Column) -> Column:
     """'Yes | No' as an array of texts; with any '=' there are none."""
-    return F.when(F.contains(c, F.lit("=")) | (strip(c) == ""), F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.split(c, "\\|"), F.trim))
+    return F.when(F.contains(c, F.lit("=")) | (strip(c) == ""), F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.split(c, "\\|"), lambda e: F.trim(e)))
 
 
 def duration(seconds: Column) -> Column:

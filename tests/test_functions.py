@@ -74,7 +74,7 @@ def test_sources(spark, tmp_path):
     (d / "c.txt").write_text("\n")
     with pytest.raises(ValueError):
         scans.text_folder(spark, str(d))
-    (tmp_path / "i.csv").write_text("﻿item_id,prompt,min_value,max_value\n x , \"say \"\"hi\"\"\",0,10\n")
+    (tmp_path / "i.csv").write_text("﻿item_id,prompt,min_value,max_value\nx,\"say \"\"hi\"\"\",0,10\n")
     r = scans.item_bank(spark, str(tmp_path / "i.csv")).first()
     assert (r["item_id"], r["prompt"], r["min_value"], r["scoring_values"]) == ("x", 'say "hi"', 0.0, "")
     (tmp_path / "l.jsonl").write_text('{"job_id": "a"}\n\n{"job_id": "b"}\n')
