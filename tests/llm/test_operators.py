@@ -155,8 +155,8 @@ def test_isotonic_rises():
 
 
 def test_decontamination(spark, docs, frame, odd):
-    bench = spark.createDataFrame([(1, "Tom has 3 apples and Tom eats 2 apples with joy"), (2, ""), (3, None)], "item_id long, text string")
-    rows = [(1, "we know Ann has 5 apples and Ann eats 7 apples with joy today"), (2, "we know Ann has 5 apples and Bob eats 7 apples with joy today"), (3, "nothing"), (4, None)]
+    bench = spark.createDataFrame([(1, "so Tom has 3 apples and Tom eats 2 apples with joy"), (2, ""), (3, None)], "item_id long, text string")
+    rows = [(1, "now so Ann has 5 apples and Ann eats 7 apples with joy today"), (2, "now so Ann has 5 apples and Bob eats 7 apples with joy today"), (3, "nothing"), (4, None)]
     got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 1)]
     assert decontaminate.clean(odd, bench).count() == 7
