@@ -8,10 +8,10 @@ Jaccard similarity, and a shingle that occurs w times costs log w processes, of
 are made.
 
 Signatures are cut into bands; texts that share a band's hash are candidates. Within a bucket not all pairs are made: in
-each round a few leaders meet the members of other components, links join components, and only buckets that still hold
-several components go on, with twice as many leaders, until each pair in a bucket is compared or already connected. So
-no link is lost that a bucket shows, and a bucket of n copies takes about n comparisons. Candidates are verified exactly,
-on the multisets.
+each round a few leaders, of small components first, meet the members of other components, links join components, and only
+buckets where several components haven't led go on, with four times as many leaders, until each pair in a bucket is compared
+or already connected. So no link is lost that a bucket shows, and a bucket of n copies takes about n comparisons. Candidates
+are ruled out by sizes and sketches where those are far off, and verified exactly on the multisets.
 
 Defined cases: a text of 1 to 4 words is one shingle; texts without words (null, empty, white space) link with their exact
 copies alone, null counting as empty; null doc_ids take part and get the class of their text, which is null where all ids
@@ -42,6 +42,9 @@ class Params:
     rows: int = 8
 
 
+#: Standard deviations under the similarity from which sketches rule a pair out: one in a billion links.
+SPARE = 6
+
 _WORDS: dict[str, WordHashes] = {}
 
 
@@ -58,8 +61,12 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def elements(text: str | None, size: int) -> np.ndarray:
-    """The multiset as a sorted set: one id for each shingle and copy number."""
-    s = np.sort(shingles(text, size))
+    return _set(shingles(text, size))
+
+
+def _set(s: np.ndarray) -> np.ndarray:
+    """A multiset of shingles as a sorted set: one id for each shingle and copy number."""
+    s = np.sort(s)
     if not len(s):
         return s
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -75,34 +82,43 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signature(s: np.ndarray, places: int) -> np.ndarray:
-    """Earliest points of the Poisson processes of a non-empty multiset of shingles, as 64-bit patterns."""
+    """Earliest points of the Poisson processes of a non-empty multiset of shingles, as bit patterns.
+
+    Points are made in blocks; a process ends when its time is past the last place's point, as nothing it gives can count.
+    """
     keys, counts = np.unique(s, return_counts=True)
-    steps = 1 + np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64)  # intervals [0,1), [1,2), [2,4), ... below the count
+    steps = 1 + np.ceil(np.log2(counts)).astype(np.int64)  # intervals [0,1), [1,2), [2,4), ... below the count
     own = np.repeat(np.arange(len(keys)), steps)
     k = np.arange(len(own)) - np.repeat(np.cumsum(steps) - steps, steps)
     low = np.where(k == 0, 0.0, 2.0 ** (k - 1))
     rate = np.where(k == 0, 1.0, low)
     weight = counts[own].astype(float)
-    unit = 2.0**-53
     with np.errstate(over="ignore"):
         seed = mixed(keys[own] + (k.astype(np.uint64) + np.uint64(1)) * FACTOR)
-        horizon = places / weight[k == 0].sum() * (np.log(places) + 4)
-        while True:
-            best = np.full(places, np.inf)
-            t, live, j = np.zeros(len(own)), np.arange(len(own)), np.uint64(0)
-            while len(live):
-                j += np.uint64(1)
-                u = mixed(seed[live] ^ (j * np.uint64(0xD6E8FEB86659FD93)))
-                t = t - np.log(((u >> np.uint64(11)).astype(float) + 0.5) * unit) / rate[live]
-                at = t <= horizon
-                live, t, u = live[at], t[at], u[at]
-                v = mixed(u + np.uint64(0xA5A5A5A5A5A5A5A5))
-                level = low[live] + rate[live] * ((v >> np.uint64(11)).astype(float) * unit)
-                ok = level < weight[live]
-                np.minimum.at(best, (mixed(v)[ok] % np.uint64(places)).astype(np.int64), t[ok])
-            if np.isfinite(best).all():
-                return best.view(np.uint64)
-            horizon *= 2
+        best, t, live, made = np.full(places, np.inf), np.zeros(len(own)), np.arange(len(own)), 0
+        end = places / len(s) * (np.log(places) + 0.5)  # about when the last place is met
+        while len(live):
+            left = max(0.0, end - t[live].min())
+            block = 1 + int(min(left * rate[live].max(), max(left, 4096 / len(live))))
+            j = np.arange(made + 1, made + block + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            u = mixed(seed[live, None] ^ j)
+            # 44 bits give the gap, 20 the place; the level has a hash of its own
+            at = np.log(((u >> np.uint64(20)).astype(float) + 0.5) * 2.0**-44) / -rate[live, None]
+            at[:, 0] += t[live]
+            at = np.cumsum(at, axis=1)
+            t[live] = at[:, -1]
+            ok = at <= best.max()
+            high = np.flatnonzero(low[live])
+            if len(high):
+                r = rate[live[high], None]
+                level = low[live[high], None] + r * ((mixed(u[high]) >> np.uint64(11)).astype(float) * 2.0**-53)
+                ok[high] &= level < weight[live[high], None]
+            np.minimum.at(best, ((u[ok] & np.uint64(0xFFFFF)) % np.uint64(places)).astype(np.int64), at[ok])
+            last = best.max()
+            end = last if np.isfinite(last) else max(end, t.min()) * 1.25
+            made, live = made + block, live[t[live] < last]
+    # the last bits are dropped: they may hang on how a sum was blocked
+    return best.astype(np.float32).view(np.uint32).astype(np.uint64)
 
 
 def band_hashes(text: str | None, p: Params) -> list[int] | None:
@@ -134,28 +150,57 @@ def _nodes(docs: DataFrame, p: Params) -> DataFrame:
     return own.mapInArrow(run, "node binary, doc_id bigint, bands array<bigint>")
 
 
+def _sketch(s: np.ndarray, p: Params) -> bytes:
+    """The low byte of each place of the signature."""
+    return mixed(signature(s, p.bands * p.rows)).astype(np.uint8).tobytes()
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, str]:
-    """node, set of the given nodes. Only the texts of candidates are dealt out, each once; all rounds read the written table."""
+    """node, n, sketch, set of the given nodes. Only the texts of candidates are dealt out, each once; all rounds read the written table."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(_node(), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([elements(t, p.shingle).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["node", "set"])
+            own = [shingles(t, p.shingle) for t in b.column("text").to_pylist()]
+            columns = [pa.array([len(s) for s in own], pa.int64()), pa.array([_sketch(s, p) for s in own], pa.binary()), pa.array([_set(s).tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *columns], ["node", "n", "sketch", "set"])
+
+    return written(texts.mapInArrow(sets, "node binary, n bigint, sketch binary, set binary"), "sets")
+
 
-    return written(texts.mapInArrow(sets, "node binary, set binary"), "sets")
+def _of_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs with the columns of a (left_...) and of b (right_...)."""
+    for side, name in (("a", "left"), ("b", "right")):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{name}_{c}") for c in columns]), side)
+    return pairs
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) of nodes whose multisets reach the similarity."""
+    """The pairs (a, b) of nodes whose multisets reach the similarity.
+
+    Pairs whose sizes rule it out, or whose sketches agree in so few places that it lies SPARE standard deviations away, need no
+    exact check; so sets travel for pairs near the similarity alone.
+    """
+    places = p.bands * p.rows
+    least = places * (p.similarity - SPARE * (p.similarity * (1 - p.similarity) / places) ** 0.5)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, places) for c in ("left_sketch", "right_sketch"))
+            yield b.filter(pa.array((x == y).sum(axis=1) >= least, pa.bool_())).select(["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = b.column("x").to_pylist(), b.column("y").to_pylist()
+            left, right = b.column("left_set").to_pylist(), b.column("right_set").to_pylist()
             keep = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= p.similarity for x, y in zip(left, right, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary"), "links")[0]
+    sized = _of_both(pairs, sets, "n", "sketch").filter(F.least("left_n", "right_n") >= p.similarity * F.greatest("left_n", "right_n"))
+    near, path = written(sized.select("a", "b", "left_sketch", "right_sketch").mapInArrow(alike, "a binary, b binary"), "near")
+    links = written(_of_both(near, sets, "set").select("a", "b", "left_set", "right_set").mapInArrow(compare, "a binary, b binary"), "links")[0]
+    discard(pairs.sparkSession, path)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,12 +237,16 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             here = here.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         else:
             here = here.withColumn("label", F.col("node"))
-        # buckets that still hold several components and someone who hasn't led
-        state = here.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if(~F.col("done")).alias("left")).filter("x < y and left > 0")
-        here, here_path = written(here.join(state.select("bucket"), "bucket"), "buckets")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        lead = here.filter("not done").withColumn("k", rank).filter(F.col("k") <= leaders).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        pairs = here.join(lead, "bucket").filter("la <> label and not (done)").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        # a bucket is done when those who haven't led are one component: they are linked, and have met all others
+        parts = here.filter("not done").groupBy("bucket", "label").agg(F.count("*").alias("size"))
+        state = parts.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+        here, here_path = written(here.join(state, "bucket"), "buckets")
+        parts = here.filter("not done").groupBy("bucket", "label").agg(F.count("*").alias("size"))
+        # members of small components lead first, so a large one need never lead
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "node"))
+        lead = here.filter("not done").join(parts, ["bucket", "label"]).withColumn("k", rank).filter(F.col("k") <= leaders)
+        lead, lead_path = written(lead.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), "leaders")
+        pairs = here.filter("not done").join(lead, "bucket").filter("la <> label").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         pairs, pairs_path = written(pairs, "pairs")
         if pairs.limit(1).count():
             found = _verified(pairs, sets, p)
@@ -205,9 +254,9 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             labels = components(links)
         led = lead.select("bucket", F.col("a").alias("node"), F.lit(True).alias("led"))
         members, fresh = written(here.drop("label").join(led, ["bucket", "node"], "left").select("bucket", "node", (F.col("done") | F.coalesce("led", F.lit(False))).alias("done")), "members")
-        discard(spark, here_path, members_path, pairs_path)
+        discard(spark, here_path, members_path, pairs_path, lead_path)
         members_path = fresh
-        leaders *= 2
+        leaders *= 4
     texts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     if labels is None:
         named = texts.select("node", F.col("first").alias("class_id"))
