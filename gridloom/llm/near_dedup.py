@@ -10,7 +10,8 @@ are made.
 Signatures are cut into bands; texts that share a band's hash are candidates. Within a bucket not all pairs are made: in
 each round a few leaders, of small components first, meet the members of other components, links join components, and only
 buckets where several components haven't led go on, with four times as many leaders, until each pair in a bucket is compared
-or already connected. So no link is lost that a bucket shows, and a bucket of n copies takes about n comparisons. Candidates
+or already connected. So a link
+that a bucket shows is lost by a misleading sketch alone (see SPARE), and a bucket of n copies takes about n comparisons. Candidates
 are ruled out by sizes and sketches where those are far off, and verified exactly on the multisets.
 
 Defined cases: a text of 1 to 4 words is one shingle; texts without words (null, empty, white space) link with their exact
