@@ -21,9 +21,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +36,26 @@ MAGIC, VERSION = 0x4B4F544C, 1
 END_ID = 1
 #: Ids in one file, about; a file is decoded as a whole.
 FILE_IDS = 4_000_000
+FILES = pa.schema({"file": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64()})
 #: The white space of the tokenizer's \s; Python's split() has four control characters besides.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
+#: ASCII marks; without the apostrophe, which may belong to the letters after it.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where lower case is the tokenizer's own."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def stays_letters(chunk: str) -> bool:
+    """Whether a chunk of letters is of letters alone when it is normalised, too."""
+    return normalize("NFC", chunk).lower().isalpha()
 
 
 def _control_table() -> np.ndarray:
@@ -67,112 +86,140 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-class Kept(dict):
-    """Kept ids of chunks; extra holds those of the present batch besides."""
-
-    extra: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.extra[chunk]
-
-
 class WordEncoder:
     """Ids of whole texts by the tokenizers library; each chunk between white space is encoded once while there is room for it."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.ids = Kept()
+        self.kind = kind_of(self.library.get_vocab_size())
+        self.ids: dict[str, bytes] = {"": b""}
         self.kept = kept
         self.mark_id, self.mark = max((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
         self.last = np.zeros(self.library.get_vocab_size(), bool)
         self.last[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.chunks(t) if t else [] for t in texts]
-        own = self.new({w for words in split for w in words} - self.ids.keys())
-        end = END_ID.to_bytes(4, "little")
-        room = max(0, self.kept - len(self.ids))
-        self.ids.update(islice(((w, x) for w, x in own.items() if len(w) < 48), room))
-        self.ids.extra = own
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+    def encode(self, texts: list[str | None]) -> pa.BinaryArray:
+        """Packed ids with the end id, for each text. Arrow numbers the chunks of all texts, so Python sees each distinct one once."""
+        split = self.chunks([t or "" for t in texts])
+        coded = split.values.dictionary_encode()
+        found = self.of(coded.dictionary.to_pylist())
+        found.append(END_ID.to_bytes(self.kind.itemsize, "little"))
+        ends = split.offsets.to_numpy()[1:]
+        at = np.insert(coded.indices.to_numpy(), ends, len(found) - 1)
+        size = np.fromiter(map(len, found), np.int32, len(found)) // self.kind.itemsize
+        each = size[at]
+        stop = np.cumsum(each, dtype=np.int32)
+        shift = (np.cumsum(size, dtype=np.int32) - size)[at] - (stop - each)
+        ids = np.frombuffer(b"".join(found), self.kind).take(np.arange(stop[-1], dtype=np.int32) + np.repeat(shift, each))
+        offsets = np.concatenate(([0], self.kind.itemsize * stop[ends + np.arange(len(ends))])).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
+    def chunks(texts: list[str]) -> pa.ListArray:
         """The parts between white space; lower case already where that is the same as the tokenizer's own."""
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        return [x for x in SPACE.split(text) if x] if ODD.search(text) else text.split()
-
-    def new(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't kept. A comma or full stop after a letter is always a token of its own, so the part before it is looked up alone."""
-        cut = {w: (w[:-1], w[-1]) for w in chunks if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()}
-        ask = ((chunks - cut.keys()) | {x for two in cut.values() for x in two}) - self.ids.keys()
-        own = self.library_ids(sorted(ask))
-        for w, (a, b) in cut.items():
-            own[w] = (self.ids.get(a) or own[a]) + (self.ids.get(b) or own[b])
-        return own
-
-    def library_ids(self, chunks: list[str]) -> dict[str, bytes]:
-        """One call for many chunks. A chunk of letters is one word, whose last token alone is marked as a word's end; between the others stands the end-of-text token; chunks that hold a special token go alone."""
-        own: dict[str, bytes] = {}
-        words, rest = [], []
-        for w in chunks:
-            if "<|" in w:
-                own[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(map(ODD.search, texts)):
+            return pa.array([SPACE.split(t) for t in texts], pa.list_(pa.string()))
+        return pc.utf8_split_whitespace(pa.array([t.lower() if latin(t) else t for t in texts], pa.string()))
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks. Marks after letters are words of their own, so letters and marks are looked up apart."""
+        known = self.ids
+        out = list(map(known.get, chunks))
+        new = [i for i, x in enumerate(out) if x is None]
+        words, rest, cut = set(), set(), []
+        for i in new:
+            w = chunks[i]
+            letters = w.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or stays_letters(letters)):
+                words.add(letters)
+                if len(letters) < len(w):
+                    marks = w[len(letters) :]
+                    rest.add(marks)
+                    cut.append((w, letters, marks))
             else:
-                (words if w.isalpha() else rest).append(w)
-        for group, mark in ((words, " "), (rest, self.mark)):
+                rest.add(w)
+        own = self.library_ids(sorted(words.difference(known)), sorted(rest.difference(known)))
+        for w, letters, marks in cut:
+            own[w] = (known.get(letters) or own[letters]) + (known.get(marks) or own[marks])
+        for i in new:
+            out[i] = own[chunks[i]]
+        if len(known) < self.kept:
+            known.update(islice(((w, x) for w, x in own.items() if len(w) < 48), self.kept - len(known)))
+        return out
+
+    def library_ids(self, words: list[str], rest: list[str]) -> dict[str, bytes]:
+        """Two calls for many chunks. A chunk of letters is one word, whose last token alone is marked as a word's end; between the others stands the end-of-text token; chunks that may hold a special token go alone."""
+        own = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in rest if "<|" in w}
+        for group, mark in ((words, " "), ([w for w in rest if "<|" not in w], self.mark)):
             if group:
-                ids = np.array(self.library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, "<u4")
-                raw = ids.tobytes()
+                ids = np.array(self.library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, self.kind)
+                raw, width = ids.tobytes(), self.kind.itemsize
                 if group is words:
                     ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
                     starts = [0, *ends[:-1]]
                 else:
                     ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
                     starts = [0, *(e + 1 for e in ends[:-1])]
-                own.update((w, raw[4 * a : 4 * e]) for w, a, e in zip(group, starts, ends, strict=True))
+                own.update((w, raw[width * a : width * e]) for w, a, e in zip(group, starts, ends, strict=True))
         return own
 
 
 _LOADED: dict[str, WordEncoder] = {}
 
 
+def kind_of(size: int) -> np.dtype:
+    """The type of packed ids: two bytes where the vocabulary allows it."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def joined(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold `most` bytes: more texts share the work on their distinct chunks."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (packed, with the end id)."""
+    """doc_id and ids (packed, with the end id) of each row; and from each task one row of counted alone: how often it met each id."""
     bounded_batches(docs.sparkSession)
+    size = vocabulary_size(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
             _LOADED[path] = WordEncoder(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_LOADED[path].encode(b.column("text").to_pylist()), pa.binary())], ["doc_id", "ids"])
+        total = np.zeros(size, "<i8")
+        for b in joined(batches):
+            ids = _LOADED[path].encode(b.column("text").to_pylist())
+            total += np.bincount(np.frombuffer(ids.buffers()[2], kind_of(size)), minlength=size)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "counted"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "ids", "counted"])
 
-    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids binary")
+    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).mapInArrow(run, "doc_id bigint, ids binary, counted binary")
 
 
 def counts(ids: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in the corpus: one row of `size` sums for each task, added up on the driver's side of a tree of bounded rows."""
+    """How often each id occurs in the corpus: the rows of counts are added up in each task, then by id; one number an id travels to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u4"), minlength=size)
+            for x in b.column("counted").to_pylist():
+                total += np.frombuffer(x, "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.filter("counted is not null").select("counted").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -207,7 +254,7 @@ def read_file(raw: bytes, ids_of_ranks: np.ndarray) -> tuple[list[int | None], n
 
 
 def write_corpus(docs: DataFrame, path: str, folder: str | None = None) -> tuple[str, DataFrame]:
-    """Encode, rank and write a corpus; gives the folder and one row (file, first, n_docs, n_ids) for each file, first counting the ids before it.
+    """Encode, rank and write a corpus; gives the folder and one row (file, n_docs, n_ids, first) for each file, first counting the ids before it.
 
     Encoding runs once and is kept in the shared folder; the second pass deals the ids out by ranges of doc_id and writes a
     few files a task. Only sums travel to the driver: a count for each id of the vocabulary, three numbers a file.
@@ -218,6 +265,7 @@ def write_corpus(docs: DataFrame, path: str, folder: str | None = None) -> tuple
     fs.create_dir(name, recursive=True)
     ids, kept = written(encoded(docs, path), "ids")
     size = vocabulary_size(path)
+    kind = kind_of(size)
     order = np.argsort(-counts(ids, size), kind="stable").astype("<u4")
     with fs.open_output_stream(f"{name}/rank.u4") as f:
         f.write(order.tobytes())
@@ -237,7 +285,7 @@ def write_corpus(docs: DataFrame, path: str, folder: str | None = None) -> tuple
             nonlocal doc_ids, parts, held, k
             if doc_ids:
                 where = f"part-{part:06d}-{k:04d}.ids"
-                write_file(f"{folder}/{where}", doc_ids, [len(x) // 4 for x in parts], rank[np.frombuffer(b"".join(parts), "<u4")])
+                write_file(f"{folder}/{where}", doc_ids, [len(x) // kind.itemsize for x in parts], rank[np.frombuffer(b"".join(parts), kind)])
                 out.append((where, len(doc_ids), held))
                 doc_ids, parts, held, k = [], [], 0, k + 1
 
@@ -245,21 +293,19 @@ def write_corpus(docs: DataFrame, path: str, folder: str | None = None) -> tuple
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 doc_ids.append(d)
                 parts.append(x)
-                held += len(x) // 4
+                held += len(x) // kind.itemsize
                 if held >= FILE_IDS:
                     close()
         close()
-        yield pa.RecordBatch.from_pylist([{"file": f, "n_docs": d, "n_ids": n} for f, d, n in out], pa.schema({"file": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64()}))
+        yield pa.RecordBatch.from_pylist([{"file": f, "n_docs": d, "n_ids": n} for f, d, n in out], FILES)
 
     bounded_batches(spark)
-    dealt = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    files = sorted(tuple(r) for r in dealt.mapInArrow(run, "file string, n_docs bigint, n_ids bigint").collect())
+    own = ids.filter("ids is not null").select("doc_id", "ids")
+    dealt = own.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    files = pa.Table.from_pylist([r.asDict() for r in dealt.mapInArrow(run, "file string, n_docs bigint, n_ids bigint").collect()], FILES).sort_by("file")
     discard(spark, kept)
-    first, rows = 0, []
-    for f, d, n in files:
-        rows.append((f, first, d, n))
-        first += n
-    return folder, spark.createDataFrame(rows, "file string, first bigint, n_docs bigint, n_ids bigint")
+    n = files["n_ids"].to_numpy()
+    return folder, spark.createDataFrame(files.append_column("first", pa.array(np.cumsum(n) - n, pa.int64())))
 
 
 def vocabulary_size(path: str) -> int:
