@@ -39,7 +39,7 @@ FILE_IDS = 4_000_000
 FILES = pa.schema({"file": pa.string(), "n_docs": pa.int64(), "n_ids": pa.int64()})
 #: The white space of the tokenizer's \s; Python's split() has four control characters besides.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-ODD = re.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 #: ASCII marks; without the apostrophe, which may belong to the letters after it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -89,13 +89,17 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Ids of whole texts by the tokenizers library; each chunk between white space is encoded once while there is room for it."""
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # the same model for words of letters between single blanks, which need no regex to be told apart
+        self.plain = Tokenizer(self.library.model)
+        self.plain.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = kind_of(self.library.get_vocab_size())
         self.ids: dict[str, bytes] = {"": b""}
         self.kept = kept
@@ -122,7 +126,7 @@ class WordEncoder:
     @staticmethod
     def chunks(texts: list[str]) -> pa.ListArray:
         """The parts between white space; lower case already where that is the same as the tokenizer's own."""
-        if any(map(ODD.search, texts)):
+        if any(c in t for t in texts for c in ODD):
             return pa.array([SPACE.split(t) for t in texts], pa.list_(pa.string()))
         return pc.utf8_split_whitespace(pa.array([t.lower() if latin(t) else t for t in texts], pa.string()))
 
@@ -143,7 +147,7 @@ class WordEncoder:
                     cut.append((w, letters, marks))
             else:
                 rest.add(w)
-        own = self.library_ids(sorted(words.difference(known)), sorted(rest.difference(known)))
+        own = self.library_ids(list(words.difference(known)), list(rest.difference(known)))
         for w, letters, marks in cut:
             own[w] = (known.get(letters) or own[letters]) + (known.get(marks) or own[marks])
         for i in new:
@@ -155,9 +159,9 @@ class WordEncoder:
     def library_ids(self, words: list[str], rest: list[str]) -> dict[str, bytes]:
         """Two calls for many chunks. A chunk of letters is one word, whose last token alone is marked as a word's end; between the others stands the end-of-text token; chunks that may hold a special token go alone."""
         own = {w: np.array(self.library.encode(w, add_special_tokens=False).ids, self.kind).tobytes() for w in rest if "<|" in w}
-        for group, mark in ((words, " "), ([w for w in rest if "<|" not in w], self.mark)):
+        for group, mark, library in ((words, " ", self.plain), ([w for w in rest if "<|" not in w], self.mark, self.library)):
             if group:
-                ids = np.array(self.library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, self.kind)
+                ids = np.array(library.encode_batch_fast([mark.join(group)], add_special_tokens=False)[0].ids, self.kind)
                 raw, width = ids.tobytes(), self.kind.itemsize
                 if group is words:
                     ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
@@ -177,7 +181,7 @@ def kind_of(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-def joined(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """Batches put together until they hold `most` bytes: more texts share the work on their distinct chunks."""
     held: list[pa.RecordBatch] = []
     for b in batches:
