@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: with texts of some 100 KB a batch stays far below the memory of a Python worker.
 ARROW_ROWS = 512
+#: Bytes in one Arrow batch: pairs of long texts' shingle sets take some 300 KB a row.
+ARROW_BYTES = 16 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -22,9 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by rows; texts are long, so the default of 10,000 rows is too many."""
+    """Arrow batches are cut by rows and bytes; texts are long, so the default of 10,000 rows without a bound of bytes is too much."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
