@@ -116,6 +116,17 @@ def test_token_files(spark, docs, frame, odd):
     assert (token_files.unpack(*token_files.pack(r), len(r)) == r).all()
 
 
+def test_word_encoder_odd_chunks():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_files.WordEncoder(path, kept=5)
+    texts = [None, "", "\u0130stanbul Q\u0958. x", "a<|endoftext|>b c<|startoftext|>", "don't we're 'll x'", "abc*** d.,%%% e.'s f'.s abc", "x\x1cy z", "\xa0A\x85B\u3000c  "]
+    for batch in (texts, texts, texts[::-1]):
+        got = [np.frombuffer(x, own.kind).tolist() for x in own.encode(batch).to_pylist()]
+        assert got == [[*library.encode(t or "", add_special_tokens=False).ids, token_files.END_ID] for t in batch]
+
+
 def test_personal_data(spark, odd):
     text = "mail a@b.example.com.x_y@c.d 300.1.2.3 10.0.0.1 card 4111 1111 1111 1111 call +1 (555) 010-9999 😀 z@q.org"
     r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
