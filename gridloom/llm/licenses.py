@@ -1,7 +1,7 @@
 """License and rights statements by ordered signature rules, in DataFrame operations only.
 
-Each rule has a keyword, a pattern, a label, a priority and a weight. A text that shows no licensing cue meets no rule; else
-only the rules whose keyword it holds are tried. Of the detections in one text, an interval inside another one falls, equal
+Each rule has a keyword, a pattern, a label, a priority and a weight. Only the rules whose keyword a text holds are tried, and
+every match of a pattern contains its keyword. Of the detections in one text, an interval inside another one falls, equal
 intervals leave the rule of higher priority (lower number), and what stays gives labels and score. All is one projection:
 no shuffle, nothing leaves the row.
 
@@ -11,6 +11,8 @@ Positions are exact on texts of any length; the cost grows with the text and its
 
 from __future__ import annotations
 
+import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,7 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 
 class Rule(NamedTuple):
-    """Tried on texts that hold keyword and also."""
+    """Tried on texts that hold keyword and also: every match of the pattern must contain both, so neither may hold a blank."""
 
     keyword: str
     pattern: str
@@ -36,7 +38,7 @@ class Rule(NamedTuple):
     also: str = ""
 
 
-#: Families: label, keyword, names (patterns in lower case, words parted by one blank).
+#: Families: label, keyword of the names that contain it as a word, names (patterns in lower case, words parted by one blank).
 FAMILIES = (
     ("apache", "apache", ("apache license", "apache software license", "asl 2\\.0")),
     ("mit", "mit", ("mit license", "expat license", "x11 license")),
@@ -47,7 +49,7 @@ FAMILIES = (
     ("gfdl", "documentation", ("gnu free documentation license", "free documentation license")),
     ("mpl", "mozilla", ("mozilla public license", "mpl [12]\\.[01]")),
     ("epl", "eclipse", ("eclipse public license", "epl [12]\\.0")),
-    ("cddl", "development and distribution", ("common development and distribution license",)),
+    ("cddl", "distribution", ("common development and distribution license",)),
     ("isc", "isc", ("isc license",)),
     ("zlib", "zlib", ("zlib license", "zlib/libpng license")),
     ("artistic", "artistic", ("artistic license", "perl artistic license")),
@@ -62,12 +64,12 @@ FAMILIES = (
     ("pddl", "database", ("public domain dedication and license",)),
     ("ogl", "government", ("open government licen[cs]e",)),
     ("cc0", "cc0", ("cc0", "cc0 1\\.0 universal")),
-    ("cc-by-nc-nd", "c", ("cc by-nc-nd", "creative commons attribution-noncommercial-noderiv(?:ative)?s")),
-    ("cc-by-nc-sa", "c", ("cc by-nc-sa", "creative commons attribution-noncommercial-sharealike")),
-    ("cc-by-nc", "c", ("cc by-nc", "creative commons attribution-noncommercial")),
-    ("cc-by-nd", "c", ("cc by-nd", "creative commons attribution-noderiv(?:ative)?s")),
-    ("cc-by-sa", "c", ("cc by-sa", "creative commons attribution-sharealike")),
-    ("cc-by", "c", ("cc by", "creative commons attribution")),
+    ("cc-by-nc-nd", "cc", ("cc by-nc-nd", "creative commons attribution-noncommercial-noderiv(?:ative)?s")),
+    ("cc-by-nc-sa", "cc", ("cc by-nc-sa", "creative commons attribution-noncommercial-sharealike")),
+    ("cc-by-nc", "cc", ("cc by-nc", "creative commons attribution-noncommercial")),
+    ("cc-by-nd", "cc", ("cc by-nd", "creative commons attribution-noderiv(?:ative)?s")),
+    ("cc-by-sa", "cc", ("cc by-sa", "creative commons attribution-sharealike")),
+    ("cc-by", "cc", ("cc by", "creative commons attribution")),
 )
 #: Forms a name stands in: pattern around {name}, priority, weight.
 FORMS = (
@@ -77,31 +79,36 @@ FORMS = (
     ("{name},? (?:version |v)?[0-9](?:\\.[0-9])*", 3, 0.8),
     ("{name}", 5, 0.6),
 )
-#: Sentences of the licenses themselves and of rights statements: keyword, pattern, label, priority, weight.
+#: Sentences of the licenses themselves and of rights statements: keyword, pattern, label, priority, weight, also.
 SENTENCES = (
-    ("permission is", "permission is hereby granted, free of charge, to any person obtaining a copy", "mit", 0, 1.0),
-    ("permission to", "permission to use, copy, modify, and(?:/or)? distribute this software", "isc", 0, 1.0),
+    ("permission", "permission is hereby granted, free of charge, to any person obtaining a copy", "mit", 0, 1.0),
+    ("permission", "permission to use, copy, modify, and(?:/or)? distribute this software", "isc", 0, 1.0),
     ("redistribution", "redistribution and use in source and binary forms", "bsd", 0, 1.0),
     ("warranty", "without warranty of any kind", "no-warranty", 4, 0.7),
     ("warranties", "without warranties or conditions of any kind", "no-warranty", 4, 0.7),
-    ("as is", "provided \"?as is\"?", "no-warranty", 4, 0.6),
-    ("public domain", "(?:released into|placed in|dedicated to) the public domain", "public-domain", 1, 0.9),
-    ("public domain", "public domain", "public-domain", 5, 0.5),
-    ("rights reserved", "all rights reserved", "reserved", 2, 0.9),
-    ("rights reserved", "some rights reserved", "some-reserved", 2, 0.8),
+    ("provided", "provided \"?as is\"?", "no-warranty", 4, 0.6),
+    ("domain", "(?:released into|placed in|dedicated to) the public domain", "public-domain", 1, 0.9, "public"),
+    ("domain", "public domain", "public-domain", 5, 0.5, "public"),
+    ("reserved", "all rights reserved", "reserved", 2, 0.9),
+    ("reserved", "some rights reserved", "some-reserved", 2, 0.8),
     ("copyright", "copyright (?:\\(c\\)|©)? ?[12][0-9]{3}(?:[-–][12][0-9]{3})?", "copyright", 3, 0.7),
     ("copyright", "copyright", "copyright", 6, 0.4),
     ("©", "© ?[12][0-9]{3}", "copyright", 3, 0.6),
     ("proprietary", "proprietary and confidential", "proprietary", 1, 0.9),
-    ("may not", "you may not use this (?:file|work) except in compliance with the license", "license-notice", 2, 0.8),
-    ("copy of the license", "you may obtain a copy of the license at", "license-notice", 2, 0.8),
-    ("see the license", "see the license for the specific language", "license-notice", 2, 0.7),
+    ("compliance", "you may not use this (?:file|work) except in compliance with the license", "license-notice", 2, 0.8, "license"),
+    ("obtain", "you may obtain a copy of the license at", "license-notice", 2, 0.8, "license"),
+    ("specific", "see the license for the specific language", "license-notice", 2, 0.7, "license"),
 )
-#: A text without any of these, in lower case, meets no rule; one without the second group has no base phrase.
-CUES = ("licen", "copyright", "©", "reserved", "public domain", "spdx", "warrant", "permission", "redistribut", "creative", "cc by", "cc-by", "cc0", "gpl", "proprietary", "wtfpl")
+#: A text without any of these, in lower case, has no base phrase.
 BASE_CUES = ("cc", "license", "reserved")
 
 
+def keyword(name: str, key: str) -> str:
+    """A word that every match of the name contains: the family's where the name has it, else its longest one."""
+    fixed = re.findall("[a-z0-9]+", re.sub(r"\(\?:[^)]*\)\??|\[[^]]*\]|\\.", " ", name))
+    return key if key in fixed else max((w for w in fixed if w != "license"), key=len)
+
+
 def rules() -> list[Rule]:
     """The ordered table, built from families and forms: each name in each form, an identifier tag for each family, then the sentences."""
     table = [Rule("spdx", f"spdx-license-identifier: ?{label}[a-z0-9.+-]*", label, 0, 1.0) for label, _, _ in FAMILIES]
@@ -109,19 +116,25 @@ def rules() -> list[Rule]:
         cue = next((c for c in ("licensed", " under ", "[0-9]") if c in form), "")
         for label, key, names in FAMILIES:
             for name in names:
-                first = name.split()[0] if key == "c" else key
                 also = cue.strip() if cue and "[" not in cue else "license" if "license" in name else ""
-                table.append(Rule(first.split("-")[0], form.format(name=name), label, priority, weight, also))
+                table.append(Rule(keyword(name, key), form.format(name=name), label, priority, weight, also))
     table += [Rule(*s) for s in SENTENCES]
     spaced = [r._replace(pattern=f"(?<![a-z0-9])(?:{r.pattern.replace(' ', '[\\s-]+')})(?![a-z0-9])") for r in table]
     return sorted(spaced, key=lambda r: r.priority)
 
 
-def _rule_array(table: list[Rule]) -> Column:
-    """All rules as one literal array of structs, folded at planning."""
-    import json
+def cues(table: list[Rule]) -> tuple[str, ...]:
+    """A text without any of these, in lower case, meets no rule: one of the two words that each rule needs."""
+    return tuple(sorted({r.also if "licen" in r.also else r.keyword for r in table}))
 
-    return F.from_json(F.lit(json.dumps([r._asdict() for r in table])), "array<struct<keyword:string,pattern:string,label:string,priority:int,weight:double,also:string>>")
+
+def _rule_array(table: list[Rule]) -> Column:
+    """All rules by their keywords as one literal array of structs, folded at planning."""
+    groups: dict[str, list[dict]] = {}
+    for r in table:
+        groups.setdefault(r.keyword, []).append(r._asdict())
+    rule = "struct<pattern:string,label:string,priority:int,weight:double,also:string>"
+    return F.from_json(F.lit(json.dumps([{"keyword": k, "rules": g} for k, g in groups.items()])), f"array<struct<keyword:string,rules:array<{rule}>>>")
 
 
 def _places(text: Column, r: Column) -> Column:
@@ -168,14 +181,16 @@ def _any(text: Column, parts: tuple[str, ...]) -> Column:
 
 def detections(text: Column, low: Column, table: list[Rule] | None = None) -> Column:
     """Detections that stand, as an array of (label, weight, s, e): code points, end exclusive. null where the text has no cue. low: text in lower case."""
-    all_rules = _rule_array(table or rules())
+    table = table or rules()
+    groups = _rule_array(table)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
     def scan(plain: Column) -> Column:
-        tried = F.filter(all_rules, lambda r: F.contains(plain, r["keyword"]) & F.contains(plain, r["also"]))
+        near = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(plain, g["keyword"])), lambda g: g["rules"]))
+        tried = F.filter(near, lambda r: F.contains(plain, r["also"]))
         return _kept(F.flatten(F.transform(tried, lambda r: _places(plain, r))))
 
-    return F.when(_any(low, CUES), let(F.translate(text, upper, lower), scan))
+    return F.when(_any(low, cues(table)), let(F.translate(text, upper, lower), scan))
 
 
 def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:

@@ -67,6 +67,21 @@ def test_licenses(spark, odd):
     assert len(licenses.rules()) > 200
 
 
+def test_license_keywords_are_in_every_match(spark):
+    plain = lambda p: re.sub(r"\\(.)", r"\1", re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"\(\?:([^)|]*)[^)]*\)\??", r"\1", p)))
+    short = lambda p: plain(re.sub(r"\(\?:[^)]*\)\?", "", p))
+    want = [(label, f(name)) for label, _, names in licenses.FAMILIES for name in names for f in (plain, short)]
+    texts = [f"x {head}{name.upper()} y" for _, name in want for head in ("released under the ", "licensed under ", "covered by ", "")]
+    texts += ["in the\npublic  domain", "all rights\nreserved", "provided as-is", "permission\nis hereby granted, free of charge, to any person obtaining a copy", "under CC\nBY"]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(want):
+        assert all(label in got[4 * i + k]["labels"].split(",") and got[4 * i + k]["score"] >= 0.6 for k in range(4)), texts[4 * i]
+    assert [got[4 * len(want) + k]["labels"] for k in range(5)] == ["public-domain", "reserved", "no-warranty", "mit", "cc-by"]
+    for r in licenses.rules():
+        assert not re.search(r"\s", r.keyword + r.also)
+        assert all(r.keyword in m.group() and r.also in m.group() for t in texts for m in re.finditer(r.pattern, t.lower()))
+
+
 def test_near_duplicates(spark, docs, frame, odd):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame).collect()}
     sets = [near_dedup.elements(t, 5) for _, t in docs]
