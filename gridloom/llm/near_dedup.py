@@ -224,7 +224,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), node for each row of docs."""
+    """doc_id, class_id (least doc_id of the class), node, label for each row of docs. label alone tells classes apart: ids may be null or equal."""
     spark = docs.sparkSession
     rows, rows_path = written(_nodes(docs, p), "nodes")
     members = rows.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
@@ -260,19 +260,19 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
         leaders *= 4
     texts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
     if labels is None:
-        named = texts.select("node", F.col("first").alias("class_id"))
+        named = texts.select("node", F.col("first").alias("class_id"), F.col("node").alias("label"))
     else:
         texts = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         ids = texts.groupBy("label").agg(F.min("first").alias("class_id"))
-        named = texts.join(ids, "label").select("node", "class_id")
+        named = texts.join(ids, "label").select("node", "class_id", "label")
     discard(spark, members_path, sets_path)
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "node")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "node", "label")
 
 
 def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs, unchanged, of one document for each class: the one that gives the class its id."""
     found = classes(docs, p)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id").agg(F.min("node").alias("node"))
     kept = kept.select("node", F.col("class_id").alias("kept_id"))
     names = docs.columns
     own = docs.select(_node().alias("_node"), F.struct(*names).alias("_row"))

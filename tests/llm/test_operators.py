@@ -102,6 +102,19 @@ def test_near_duplicates(spark, docs, frame, odd):
     assert near_dedup.one_of_each(odd).columns == odd.columns
 
 
+def test_one_of_each_keeps_one_row_a_class(spark, docs, frame):
+    words = [f"{k} {i}" for k in "abcdef" for i in range(40)]
+    text = lambda k: " ".join(words[40 * k : 40 * k + 40])
+    near = text(5) + " end"
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (9, text(5)), (8, near), (None, near), (None, ""), (None, None), (None, "one"), (7, text(3))]
+    kept = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, text(0)), (0, text(1)), (0, text(2)), (7, text(3)), (7, text(4)), (8, near), (0, ""), (0, "one")])
+    got = collections.Counter(r["doc_id"] for r in near_dedup.one_of_each(frame).collect())
+    assert got == collections.Counter({r["class_id"] for r in near_dedup.classes(frame).collect()})
+    blind = frame.selectExpr("cast(null as bigint) as doc_id", "text")
+    assert near_dedup.one_of_each(blind).count() == sum(got.values())
+
+
 def test_signature_estimates_weighted_jaccard():
     rnd = np.random.default_rng(1)
     a = rnd.integers(0, 400, 3000).astype(np.uint64)
