@@ -2,9 +2,10 @@
 
 Words become a template: numbers, units of measure and names (capitalised inside a sentence) turn into typed placeholders, all
 else into lower case without outer punctuation. A benchmark item's windows of five template words are looked up by hash in
-each document; an item whose windows are found to the share of `similarity` is a candidate. Then its slots are checked on the
-alignment that most windows agree on: each value of the item must stand for one value of the document and the other way
-round. So an item with other numbers or names is found, and a chance mix of placeholders is not.
+each document; an item whose windows are found to the share of `similarity` is a candidate. Then its slots are checked on one
+alignment after the other, while the windows of those not refuted reach the similarity: each value of the item must stand for
+one value of the document and the other way round. So an item with other numbers or names is found, also behind a text of the
+same template that contradicts it, and a chance mix of placeholders is not.
 
 The items are the stated query set: they are sent in blocks of at most BLOCK_CHARS characters, each block against all
 documents, row by row and without shuffle.
@@ -143,23 +144,42 @@ class Block:
         return out
 
     def _slots(self, k: int, h: np.ndarray, at: np.ndarray, words: list[bytes], t: np.ndarray) -> int | None:
-        """How many slots agree on the best alignment; None if a value has two counterparts."""
+        """How many slots agree on the first alignment without contradiction; None if there is none.
+
+        Alignments go by the windows that agree on them, most first. One with a contradiction is no copy of the item, so its windows
+        fall, and the search goes on while the windows left reach the similarity.
+        """
         mine = self.templates[k]
-        where = np.flatnonzero(mine <= NAME)
-        if not len(where):
+        if not (mine <= NAME).any():
             return 0
         own = windows(mine.astype(np.uint64), min(WINDOW, len(mine)))
         order = np.argsort(own, kind="stable")
         i = np.searchsorted(own[order], h)
         i[i == len(own)] = 0
         hit = own[order][i] == h
-        shift = at[hit] - order[i[hit]]
-        values, n = np.unique(shift, return_counts=True)
-        base = int(values[n.argmax()])
+        values, which, n = np.unique(at[hit] - order[i[hit]], return_inverse=True, return_counts=True)
+        found = i[hit]
+        left = np.bincount(found, minlength=len(own))
+        distinct = int((left > 0).sum())
+        ends, parts = np.cumsum(n), np.argsort(which, kind="stable")
+        for v in np.argsort(-n, kind="stable").tolist():
+            if distinct < SIMILARITY * self.distinct[k]:
+                return None
+            slots = self._agreed(k, int(values[v]), words, t)
+            if slots is not None:
+                return slots
+            for w in found[parts[ends[v] - n[v] : ends[v]]].tolist():
+                left[w] -= 1
+                distinct -= left[w] == 0
+        return None
+
+    def _agreed(self, k: int, base: int, words: list[bytes], t: np.ndarray) -> int | None:
+        """How many slots agree on one alignment; None if a value has two counterparts."""
+        mine = self.templates[k]
         there: dict[str, str] = {}
         back: dict[str, str] = {}
         agreed = 0
-        for p in where.tolist():
+        for p in np.flatnonzero(mine <= NAME).tolist():
             q = base + p
             if 0 <= q < len(t) and t[q] == mine[p]:
                 a, b = (f"{mine[p]}:" + core(w.decode("utf-8", "replace")).lower() for w in (self.words[k][p], words[q]))

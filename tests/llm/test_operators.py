@@ -206,6 +206,19 @@ def test_decontamination(spark, docs, frame, odd):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, real).collect()} >= want
 
 
+def test_decontamination_tries_each_alignment(spark):
+    item, sibling = "Add 3 and 3 to get the total now", "Add 4 and 5 to get the total now"
+    long = "so we take 3 of the red and 3 of the blue ones home with us today"
+    other = long.replace("3", "4", 1)
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    gap = long.replace("ones home", "ones quite happily home")
+    rows = [(1, f"{sibling} . {item}"), (2, f"{sibling} . {sibling} ."), (3, f"{sibling} . " * 50 + item), (4, f"{other} . {long}"), (5, f"{other} . {other}"), (6, gap), (7, f"{other} x {other}"), (8, f"{item} . {sibling}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(1, 1), (3, 1), (4, 2), (8, 1)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 5, 6, 7]
+
+
 def test_substring_dedup(docs, frame, odd):
     first = {}
     for d, t in docs:
