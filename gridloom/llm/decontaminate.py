@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words become a template: numbers, units of measure and names (capitalised inside a sentence) turn into typed placeholders, all
-else into lower case without outer punctuation. A benchmark item's windows of five template words are looked up by hash in
+else into lower case without outer punctuation. A capitalised word at the start of a sentence or text may be a name or not: its
+windows are made in both readings, so what stands before an item doesn't matter. A benchmark item's windows of five template words are looked up by hash in
 each document; an item whose windows are found to the share of `similarity` is a candidate. Then its slots are checked on one
 alignment after the other, while the windows of those not refuted reach the similarity: each value of the item must stand for
 one value of the document and the other way round. So an item with other numbers or names is found, also behind a text of the
@@ -72,13 +73,46 @@ class Words(dict):
         return v
 
 
-def template(words: list[bytes], table: Words) -> np.ndarray:
-    """Template ids of a text's words."""
+def template(words: list[bytes], table: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Template ids of a text's words, and which may be names as well: the capitalised ones at a sentence's or the text's start."""
     v = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
     if not len(v):
-        return v
+        return v, np.zeros(0, bool)
     starts = np.concatenate(([True], (v[:-1] & 1).astype(bool)))
-    return np.where((v & 2).astype(bool) & ~starts, NAME, v >> 2)
+    name = (v & 2).astype(bool)
+    return np.where(name & ~starts, NAME, v >> 2), name & starts
+
+
+#: For each set of words in a window, as bits, its parts but the empty one: all in one array, where they start and how many.
+_PARTS = [[m for m in range(1, 1 << WINDOW) if m & ~code == 0] for code in range(1 << WINDOW)]
+_PART, _COUNT = np.array([m for parts in _PARTS for m in parts], np.int64), np.array([len(parts) for parts in _PARTS])
+_START = np.cumsum(_COUNT) - _COUNT
+
+
+def readings(t: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, plain) of the windows in all readings of the words that may be names; windows with an unknown word are left out."""
+    n = len(t) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def all_of(x: np.ndarray) -> np.ndarray:
+        run = np.cumsum(np.concatenate(([0], x)))
+        return run[size:] - run[:n] == size
+
+    known = t > 0
+    at = np.flatnonzero(all_of(known))
+    h = windows(t.astype(np.uint64), size)[at] if len(at) else np.zeros(0, np.uint64)
+    more = np.flatnonzero(all_of(known | either) & ~all_of(~either)) if either.any() else at[:0]
+    if not len(more):
+        return h, at, np.ones(len(at), bool)
+    bits = np.arange(size)
+    code = either[more[:, None] + bits] @ (1 << bits)
+    more = np.repeat(more, _COUNT[code])
+    part = _PART[_ranges(_START[code], _START[code] + _COUNT[code])]
+    ids = np.where(part[:, None] >> bits & 1, NAME, t[more[:, None] + bits])
+    ok = (ids > 0).all(axis=1)
+    also = windows(ids[ok].ravel().astype(np.uint64), size)[::size]
+    return np.concatenate([h, also]), np.concatenate([at, more[ok]]), np.arange(len(at) + len(also)) < len(at)
 
 
 class Block:
@@ -93,79 +127,102 @@ class Block:
                 c = core(w.decode("utf-8", "replace")).lower() or w.decode("utf-8", "replace")
                 vocabulary.setdefault(c, len(vocabulary) + 4)
         self.table = Words(vocabulary)
-        self.templates = [template(ws, self.table) for ws in self.words]
+        own = [template(ws, self.table) for ws in self.words]
+        self.templates, self.either = [t for t, _ in own], [e for _, e in own]
         self.sizes = sorted({min(WINDOW, len(t)) for t in self.templates if len(t)})
-        hashes, owner, offset = [], [], []
+        hashes, kinds, owner, plain = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        self.distinct = np.zeros((len(own), 2), np.int64)
         for k, t in enumerate(self.templates):
-            h = windows(t.astype(np.uint64), min(WINDOW, len(t))) if len(t) else np.zeros(0, np.uint64)
-            hashes.append(h)
-            owner.append(np.full(len(h), k))
-            offset.append(np.arange(len(h)))
-        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+            if len(t):
+                h, at, first = readings(t, self.either[k], min(WINDOW, len(t)))
+                names, alone = self._kinds(k)
+                self.distinct[k] = names.max() + 1, alone.max() + 1
+                hashes.append(h)
+                kinds.append(names[at] << 32 | alone[at])
+                owner.append(np.full(len(h), k))
+                plain.append(first)
+        h = np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.offset = h[order], np.concatenate([np.zeros(0, np.int64), *owner])[order], np.concatenate([np.zeros(0, np.int64), *offset])[order]
-        self.distinct = np.array([len(np.unique(x)) for x in hashes], np.int64)
+        self.hash, self.owner, self.kind, self.plain = h[order], np.concatenate(owner)[order], np.concatenate(kinds)[order], np.concatenate(plain)[order]
+
+    def _kinds(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each window of an item, equal for equal windows: with all words that may be names as names, and as plain words."""
+        t, e = self.templates[k], self.either[k]
+        size = min(WINDOW, len(t))
+        return tuple(np.unique(windows(x.astype(np.uint64), size), return_inverse=True)[1] for x in (np.where(e, NAME, t), t))
 
     def leaks(self, text: str | None) -> list[tuple[int, int, float, int]]:
         """(item's place, windows found, share, slots) of the items that a text holds."""
         words = (text or "").encode("utf-8", "replace").split()
-        t = template(words, self.table)
+        t, either = template(words, self.table)
         if not len(t) or not len(self.hash):
             return []
-        known = t > 0
-        found_h, found_at = [], []
+        found = []
         for size in self.sizes:
-            n = len(t) - size + 1
-            if n <= 0:
-                continue
-            run = np.cumsum(np.concatenate(([0], known)))
-            at = np.flatnonzero(run[size:] - run[:n] == size)
-            if not len(at):
-                continue
-            h = windows(t.astype(np.uint64), size)[at]
-            i = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-            hit = self.hash[i] == h
-            found_h.append(h[hit])
-            found_at.append(at[hit])
-        if not found_h:
+            h, at, plain = readings(t, either, size)
+            if len(h):
+                i = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+                hit = self.hash[i] == h
+                found.append((h[hit], at[hit], plain[hit]))
+        if not found:
             return []
-        h, at = np.concatenate(found_h), np.concatenate(found_at)
-        own = np.unique(h)
-        lo, hi = np.searchsorted(self.hash, own), np.searchsorted(self.hash, own, side="right")
-        rows = _ranges(lo, hi)
-        pair = np.unique(np.stack([self.owner[rows], np.repeat(np.arange(len(own)), hi - lo)]), axis=1)
-        items, n = np.unique(pair[0], return_counts=True)
+        h, at, plain = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(h):
+            return []
+        counts = [self._counts(h, 32, np.ones(len(self.hash), bool)), self._counts(h[plain], 0, self.plain)]
         out = []
-        for k, m in zip(items.tolist(), n.tolist(), strict=True):
-            if m >= SIMILARITY * self.distinct[k]:
-                slots = self._slots(k, h, at, words, t)
-                if slots is not None:
-                    out.append((k, m, m / int(self.distinct[k]), slots))
+        for k in sorted({k for own in counts for k in own}):
+            for names, own in zip((True, False), counts, strict=True):
+                m, all_of = own.get(k, 0), int(self.distinct[k][0 if names else 1])
+                if m >= SIMILARITY * all_of:
+                    slots = self._slots(k, names, h if names else h[plain], at if names else at[plain], words, t, either)
+                    if slots is not None:
+                        out.append((k, m, m / all_of, slots))
+                        break
         return out
 
-    def _slots(self, k: int, h: np.ndarray, at: np.ndarray, words: list[bytes], t: np.ndarray) -> int | None:
+    def _counts(self, h: np.ndarray, shift: int, among: np.ndarray) -> dict[int, int]:
+        """How many distinct windows of each item are among the hashes h of a document."""
+        own = np.unique(h)
+        rows = _ranges(np.searchsorted(self.hash, own), np.searchsorted(self.hash, own, side="right"))
+        rows = rows[among[rows]]
+        pair = np.unique(self.owner[rows] << 32 | self.kind[rows] >> shift & 0xFFFFFFFF)
+        items, n = np.unique(pair >> 32, return_counts=True)
+        return dict(zip(items.tolist(), n.tolist(), strict=True))
+
+    def _slots(self, k: int, names: bool, h: np.ndarray, at: np.ndarray, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
         """How many slots agree on the first alignment without contradiction; None if there is none.
 
         Alignments go by the windows that agree on them, most first. One with a contradiction is no copy of the item, so its windows
-        fall, and the search goes on while the windows left reach the similarity.
+        fall, and the search goes on while the windows left reach the similarity. names: words that may be names are read as names
+        too; else as plain words, unless the item has them as names elsewhere.
         """
-        mine = self.templates[k]
-        if not (mine <= NAME).any():
+        mine, may = self.templates[k], self.either[k]
+        said = [core(w.decode("utf-8", "replace")).lower() for w in self.words[k]]
+        if not names:
+            sure = {w for w, x in zip(said, mine.tolist(), strict=True) if x == NAME}
+            may = may & np.array([w in sure for w in said])
+        own, place, plain = readings(mine, self.either[k], min(WINDOW, len(mine)))
+        if not names:
+            own, place = own[plain], place[plain]
+        where = np.flatnonzero((mine <= NAME) | may)
+        if not len(where):
             return 0
-        own = windows(mine.astype(np.uint64), min(WINDOW, len(mine)))
-        order = np.argsort(own, kind="stable")
-        i = np.searchsorted(own[order], h)
+        order = np.lexsort((place, own))
+        own, place = own[order], place[order]
+        i = np.searchsorted(own, h)
         i[i == len(own)] = 0
-        hit = own[order][i] == h
-        values, which, n = np.unique(at[hit] - order[i[hit]], return_inverse=True, return_counts=True)
-        found = i[hit]
-        left = np.bincount(found, minlength=len(own))
+        hit = own[i] == h
+        found = self._kinds(k)[0 if names else 1][place[i[hit]]]
+        values, which, n = np.unique(at[hit] - place[i[hit]], return_inverse=True, return_counts=True)
+        all_of = self.distinct[k][0 if names else 1]
+        left = np.bincount(found, minlength=all_of)
         distinct = int((left > 0).sum())
         ends, parts = np.cumsum(n), np.argsort(which, kind="stable")
         for v in np.argsort(-n, kind="stable").tolist():
-            if distinct < SIMILARITY * self.distinct[k]:
+            if distinct < SIMILARITY * all_of:
                 return None
-            slots = self._agreed(k, int(values[v]), words, t)
+            slots = self._agreed(said, where, mine, may, int(values[v]), words, t, either)
             if slots is not None:
                 return slots
             for w in found[parts[ends[v] - n[v] : ends[v]]].tolist():
@@ -173,16 +230,16 @@ class Block:
                 distinct -= left[w] == 0
         return None
 
-    def _agreed(self, k: int, base: int, words: list[bytes], t: np.ndarray) -> int | None:
+    def _agreed(self, said: list[str], where: np.ndarray, mine: np.ndarray, may: np.ndarray, base: int, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
         """How many slots agree on one alignment; None if a value has two counterparts."""
-        mine = self.templates[k]
         there: dict[str, str] = {}
         back: dict[str, str] = {}
         agreed = 0
-        for p in np.flatnonzero(mine <= NAME).tolist():
+        for p in where.tolist():
             q = base + p
-            if 0 <= q < len(t) and t[q] == mine[p]:
-                a, b = (f"{mine[p]}:" + core(w.decode("utf-8", "replace")).lower() for w in (self.words[k][p], words[q]))
+            kind = NAME if may[p] else mine[p]
+            if 0 <= q < len(t) and (t[q] == kind or kind == NAME and either[q]):
+                a, b = f"{kind}:{said[p]}", f"{kind}:{core(words[q].decode('utf-8', 'replace')).lower()}"
                 if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
                     return None
                 agreed += 1

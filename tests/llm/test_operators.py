@@ -219,6 +219,19 @@ def test_decontamination_tries_each_alignment(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 5, 6, 7]
 
 
+def test_decontamination_names_by_position(spark):
+    items = [(1, "Tom has 3 apples and Tom eats 2 apples with joy"), (2, "Compute the sum of all"), (3, "Name every planet"), (4, "Tom eats 3 pears. Tom has 2 left now."), (5, "The big old oak tree fell. The men were all sad about it then and they left soon.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "we know Ann has 5 apples and Ann eats 7 apples with joy today"), (2, "we know Ann has 5 apples and Bob eats 7 apples with joy today"),
+        (3, "text (see\nCompute the sum of all here"), (4, "a list\nName every planet"), (5, "we compute the sum of all here"), (6, "So. Compute the sum of all"), (7, "well Name every Planet"),
+        (8, "See: Ann eats 5 pears. Ann has 4 left now. End"), (9, "See: Ann eats 5 pears. Bob has 4 left now. End"), (10, "Ann has 5 apples and Bob eats 7 apples with joy"),
+        (11, "note The big old oak tree fell. The men were all sad about it then and they left soon. x"), (12, "a big old oak tree fell. The men were all sad about it then and they left soon."), (13, "A big old oak tree fell. The men were all sad about it then and they left soon."), (14, "Oh. Ann has 5 apples and Ann eats 7 apples with joy"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (3, 2), (4, 3), (5, 2), (6, 2), (8, 4), (11, 5), (12, 5), (13, 5), (14, 1)}
+
+
 def test_substring_dedup(docs, frame, odd):
     first = {}
     for d, t in docs:
