@@ -110,10 +110,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
 
 
 def learned_lexicon(rows: DataFrame, p: Params) -> list[str]:
-    """Word starts of 4 to 6 letters with enough toxic texts and hardly any other; texts with one beginning (copies) count once."""
+    """Word starts of 4 to 6 letters with enough toxic texts and hardly any other; exact copies of a text count once."""
     words = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0))), lambda w: F.array(F.substring(w, 1, 4), F.substring(w, 1, 5), F.substring(w, 1, 6)))))
-    seen = rows.filter("text is not null").select("toxic", F.xxhash64(F.substring("text", 1, 60)).alias("lead"), F.explode(words).alias("start"))
-    per = seen.filter(F.length("start") >= 4).groupBy("start", "lead").agg(F.max("toxic").alias("toxic"))
+    seen = rows.filter("text is not null").select("toxic", F.xxhash64("text").alias("copy"), F.explode(words).alias("start"))
+    per = seen.filter(F.length("start") >= 4).groupBy("start", "copy").agg(F.max("toxic").alias("toxic"))
     counted = per.groupBy("start").agg(F.sum("toxic").alias("yes"), F.count("*").alias("n"))
     good = counted.filter((F.col("yes") >= p.support) & (F.col("yes") >= p.purity * F.col("n"))).orderBy(F.desc("yes"), "start").limit(8 * p.lexicon).collect()
     out: list[str] = []

@@ -187,6 +187,14 @@ def test_toxicity(spark, frame, odd, labels):
     assert toxicity.score(odd, labels).count() == 7 and toxicity.clean(odd, labels).columns == odd.columns
 
 
+def test_lexicon_counts_texts_with_one_header(spark):
+    p = toxicity.Params()
+    header = "This message was sent through the common portal of all the users of the service. "
+    rows = [(f"{header}zorgful words {i}", 1) for i in range(p.support)] + [(f"{header}bralgish words {i}", int(i == 0)) for i in range(4 * p.support)] + [(f"{header}krintous", 1)] * p.support
+    got = toxicity.learned_lexicon(spark.createDataFrame(rows, "text string, toxic int"), p)
+    assert any("zorgful".startswith(x) for x in got) and not any(w.startswith(x) for x in got for w in ("bralgish", "krintous", "message"))
+
+
 def test_isotonic_rises():
     m = np.array([0.0, 1, 2, 3, 4])
     k = toxicity.isotonic(m, np.array([0.0, 1, 0, 1, 1]))
