@@ -111,9 +111,9 @@ def _spans(text: Column, k: Kind) -> Column:
 
 
 def all_spans(text: Column) -> Column:
-    """All candidates of a text by kind, then start. A text without digits, @ and = has none."""
+    """All candidates of a text by kind, then start. A text without digits, @, = and : has none."""
     some = F.contains(text, F.lit("@")) | F.contains(text, F.lit("="))
-    for d in "0123456789":
+    for d in ":0123456789":
         some = some | F.contains(text, F.lit(d))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     return F.when(some, F.concat(*[_spans(text, k) for k in KINDS])).otherwise(none)

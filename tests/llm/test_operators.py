@@ -166,6 +166,12 @@ def test_personal_data(spark, odd):
     assert [m["text"] for m in masked] == ["to [EMAIL] now", None]
 
 
+def test_secrets_need_no_digit(spark):
+    rows = [(1, "password: correcthorsebattery"), (2, "Api-Key:abcdefgh"), (3, "token=abcdefgh"), (4, "my password is long"), (5, "note: nothing here")]
+    got = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["secret"], 2: ["secret"], 3: ["secret"], 4: [], 5: []}
+
+
 def test_bpe(spark, docs, odd):
     path = tokenizer_path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
