@@ -1,4 +1,4 @@
-"""A resumable run: pending jobs through a responder, validated, priced and appended to the log."""
+"""A resumable run: pending jobs through a responder, appended to the log. Answers are neither validated nor priced: completed means that the call returned."""
 
 from __future__ import annotations
 
