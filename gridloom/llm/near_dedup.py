@@ -7,12 +7,13 @@ on one of the signature's places, which keeps its earliest point. Two places agr
 Jaccard similarity, and a shingle that occurs w times costs log w processes, of which only points before a horizon
 are made.
 
-Signatures are cut into bands; texts that share a band's hash are candidates. Within a bucket not all pairs are made: in
-each round a few leaders, of small components first, meet the members of other components, links join components, and only
-buckets where several components haven't led go on, with four times as many leaders, until each pair in a bucket is compared
-or already connected. So a link
-that a bucket shows is lost by a misleading sketch alone (see SPARE), and a bucket of n copies takes about n comparisons. Candidates
-are ruled out by sizes and sketches where those are far off, and verified exactly on the multisets.
+Signatures are cut into bands; texts that share a band's hash are candidates. Within a bucket not all pairs are made. First
+the member that shares most buckets meets all others, which links most of a group of near copies to its centre. What a bucket
+still holds of several components, copies too far from the centre as a rule, is bucketed anew by the rarest elements of its
+multisets: two sets that reach the similarity must share one of them, with room for their overlap behind it. In these buckets
+leaders meet the members of other components, more in each round, until each pair is compared, has no room or is connected.
+So a link that a band shows is lost by a misleading sketch alone (see SPARE), and a group of n copies takes about n
+comparisons. Candidates are ruled out by sizes and sketches where those are far off, and verified exactly on the multisets.
 
 Defined cases: a text of 1 to 4 words is one shingle; texts without words (null, empty, white space) link with their exact
 copies alone, null counting as empty; null doc_ids take part and get the class of their text, which is null where all ids
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +46,8 @@ class Params:
 
 #: Standard deviations under the similarity from which sketches rule a pair out: one in a billion links.
 SPARE = 6
+#: Cells in which elements are counted to order them by rarity.
+COUNTS = 1 << 20
 
 _WORDS: dict[str, WordHashes] = {}
 
@@ -156,10 +159,17 @@ def _sketch(s: np.ndarray, p: Params) -> bytes:
     return mixed(signature(s, p.bands * p.rows)).astype(np.uint8).tobytes()
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, str]:
-    """node, n, sketch, set of the given nodes. Only the texts of candidates are dealt out, each once; all rounds read the written table."""
+def _sets(members: DataFrame, rows: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, str]:
+    """node, n, sketch, set of the given nodes; all rounds read the written table.
+
+    One row gives a node its text: the one with the least doc_id. So texts are dealt out by node and doc_id, and the copies of
+    one text go to different tasks.
+    """
     bounded_batches(docs.sparkSession)
-    texts = docs.select(_node(), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    first = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first"))
+    first = first.withColumnRenamed("node", "of")
+    texts = docs.select(_node(), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(first, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["node", "doc_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +177,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, p: Params) -> tuple[DataFrame, str]
             columns = [pa.array([len(s) for s in own], pa.int64()), pa.array([_sketch(s, p) for s in own], pa.binary()), pa.array([_set(s).tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("node"), *columns], ["node", "n", "sketch", "set"])
 
-    return written(texts.mapInArrow(sets, "node binary, n bigint, sketch binary, set binary"), "sets")
+    return written(texts.select("node", "text").mapInArrow(sets, "node binary, n bigint, sketch binary, set binary"), "sets")
 
 
 def _of_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -177,7 +187,7 @@ def _of_both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, str]:
     """The pairs (a, b) of nodes whose multisets reach the similarity.
 
     Pairs whose sizes rule it out, or whose sketches agree in so few places that it lies SPARE standard deviations away, need no
@@ -199,12 +209,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 
     sized = _of_both(pairs, sets, "n", "sketch").filter(F.least("left_n", "right_n") >= p.similarity * F.greatest("left_n", "right_n"))
     near, path = written(sized.select("a", "b", "left_sketch", "right_sketch").mapInArrow(alike, "a binary, b binary"), "near")
-    links = written(_of_both(near, sets, "set").select("a", "b", "left_set", "right_set").mapInArrow(compare, "a binary, b binary"), "links")[0]
+    links = written(_of_both(near, sets, "set").select("a", "b", "left_set", "right_set").mapInArrow(compare, "a binary, b binary"), "links")
     discard(pairs.sparkSession, path)
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> tuple[DataFrame, str]:
     """node, label of each node that has a link: the least node of its component, by neighbours' labels and pointer jumping."""
     spark = links.sparkSession
     edges, path = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -220,61 +230,193 @@ def components(links: DataFrame) -> DataFrame:
         labels, old = new.select("node", "label"), fresh
         if not moved:
             discard(spark, path)
-            return labels
+            return labels, old
+
+
+class _Links:
+    """The links found so far, and the components that they make: node, label."""
+
+    def __init__(self, sets: DataFrame, p: Params):
+        self.sets, self.p = sets, p
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+        self.paths: list[str] = []
+        self.old: str | None = None
+
+    def meet(self, pairs: DataFrame) -> None:
+        """Verify the pairs; what links joins components."""
+        spark = self.sets.sparkSession
+        pairs, path = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if pairs.limit(1).count():
+            found, own = _verified(pairs, self.sets, self.p)
+            self.paths.append(own)
+            self.links = found if self.links is None else self.links.union(found)
+            before = self.old
+            self.labels, self.old = components(self.links)
+            if before:
+                discard(spark, before)
+        discard(spark, path)
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """members with the label of their component: a node without links is its own."""
+        if self.labels is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The buckets in which members (bucket, label) of several components are left."""
+    return members.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("open")).filter("open").select("bucket")
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, p: Params) -> tuple[DataFrame, str]:
+    """bucket, node, room, n: the first elements of each node's set in one global order, the rarest first.
+
+    Two sets that reach the similarity share an element of these, and of the first one that they share, room (how many elements
+    of the set stand from there on) is at least their overlap on both sides. The order goes by how often elements occur in these
+    nodes, counted in COUNTS cells: any order is right, a rough one of rarity is enough to keep the buckets small.
+    """
+    spark = sets.sparkSession
+    bounded_batches(spark)
+    own, path = written(sets.join(nodes, "node", "left_semi").select("node", "set"), "hot")
+    cells = np.uint64(COUNTS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            every = np.frombuffer(b"".join(b.column("set").to_pylist()), np.uint64)
+            total += np.bincount((every % cells).astype(np.int64), minlength=COUNTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    seen = own.select("set").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.zeros(COUNTS, np.int32)
+    got = seen.filter("n > 1").toArrow()  # at most COUNTS rows of two numbers
+    table[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
+    sent = spark.sparkContext.broadcast(table)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for b in batches:
+            for node, x in zip(b.column("node").to_pylist(), b.column("set").to_pylist(), strict=True):
+                s = np.frombuffer(x, np.uint64)
+                c = often[(s % cells).astype(np.int64)]
+                most = int(len(s) - p.similarity * len(s) + 1e-9) + 1
+                first = np.lexsort((s, c))[:most]
+                place = np.flatnonzero(c[first] > 0)  # what occurs once can't be shared
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s[first[place]].view(np.int64), pa.int64()), pa.array([node] * len(place), pa.binary()), pa.array(len(s) - place, pa.int64()), pa.array([len(s)] * len(place), pa.int64())],
+                    ["bucket", "node", "room", "n"],
+                )
+
+    out, hot = written(own.mapInArrow(cut, "bucket bigint, node binary, room bigint, n bigint"), "prefixes")
+    discard(spark, path)
+    sent.unpersist()
+    return out, hot
+
+
+def _alive(members: DataFrame, s: float) -> DataFrame:
+    """Members that have room for a partner in their bucket: the smaller of two needs room for 2s / (1 + s) of itself, the larger for what the smallest such one asks."""
+    strong = F.col("room") * (1 + s) >= 2 * s * F.col("n") - 1e-6
+    least = members.filter(strong).groupBy("bucket").agg(F.min("n").alias("least"))
+    return members.join(least, "bucket").filter(strong | (F.col("room") * (1 + s) >= s * (F.col("n") + F.col("least")) - 1e-6)).drop("least")
+
+
+def _first_round(members: DataFrame, found: _Links) -> tuple[DataFrame, str]:
+    """In each bucket (bucket, node, size) the member that shares most buckets meets all others; gives the nodes of the buckets that stay open.
+
+    The centre of a group of near copies shares more buckets than they do with each other, so this links most of the group.
+    """
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    lead = members.join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("a"))
+    lead, path = written(lead, "leaders")
+    found.meet(members.join(lead, "bucket").filter("a <> node").select("a", F.col("node").alias("b")))
+    left = found.labelled(members.join(lead, "bucket").filter("a <> node").select("bucket", "node"))
+    left, rest = written(left, "left")
+    out = written(left.join(_open(left), "bucket").select("node").distinct(), "open")
+    discard(members.sparkSession, path, rest)
+    return out
+
+
+def _rounds(members: DataFrame, found: _Links, s: float) -> None:
+    """Members (bucket, node, room, n) meet until each pair of a bucket with room for both is compared or connected.
+
+    In each round some leaders, of small components first, meet the members of other components; eight times as many in the
+    next round, in the buckets that are still open.
+    """
+    spark, path, leaders = members.sparkSession, None, 4
+    members = members.withColumn("done", F.lit(False))
+    while True:
+        here = found.labelled(members.select("bucket", "node", "room", "n", "done"))
+        here, fresh = written(here.join(_open(here.filter("not done")), "bucket"), "buckets")
+        if path:
+            discard(spark, path)
+        path = fresh
+        if not here.limit(1).count():
+            break
+        parts = here.filter("not done").groupBy("bucket", "label").agg(F.count("*").alias("size"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("room"), "node"))
+        lead = here.filter("not done").join(parts, ["bucket", "label"]).withColumn("k", rank).filter(F.col("k") <= leaders)
+        lead, led = written(lead.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("room").alias("ra"), F.col("n").alias("na")), "leaders")
+        both = here.filter("not done").alias("h").join(
+            lead.alias("l"),
+            (F.col("h.bucket") == F.col("l.bucket")) & (F.col("label") != F.col("la")) & (F.least("room", "ra") * (1 + s) >= s * (F.col("n") + F.col("na")) - 1e-6),
+        )
+        found.meet(both.select("a", F.col("node").alias("b")))
+        gone = lead.select("bucket", F.col("a").alias("node"), F.lit(True).alias("led"))
+        members, more = written(here.drop("label").join(gone, ["bucket", "node"], "left").select("bucket", "node", "room", "n", (F.col("done") | F.coalesce("led", F.lit(False))).alias("done")), "members")
+        discard(spark, path, led)
+        path = more
+        leaders *= 8
+    discard(spark, path)
 
 
 def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), node, label for each row of docs. label alone tells classes apart: ids may be null or equal."""
+    """doc_id, class_id (least doc_id of the class), n_links, node, label for each row of docs.
+
+    n_links counts the links that were verified for the row's text: each text of a class has one at least, unless the class is
+    one text. label alone tells classes apart: ids may be null or equal. The result is a table in the shared folder, the only
+    one of this run that stays there.
+    """
     spark = docs.sparkSession
     rows, rows_path = written(_nodes(docs, p), "nodes")
     members = rows.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members, members_path = written(members.join(shared, "bucket").withColumn("done", F.lit(False)), "members")
-    sets, sets_path = _sets(members.select("node").distinct(), docs, p)
-    labels, links, leaders = None, None, 1
-    while members.limit(1).count():
-        here = members
-        if labels is not None:
-            here = here.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            here = here.withColumn("label", F.col("node"))
-        # a bucket is done when those who haven't led are one component: they are linked, and have met all others
-        parts = here.filter("not done").groupBy("bucket", "label").agg(F.count("*").alias("size"))
-        state = parts.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-        here, here_path = written(here.join(state, "bucket"), "buckets")
-        parts = here.filter("not done").groupBy("bucket", "label").agg(F.count("*").alias("size"))
-        # members of small components lead first, so a large one need never lead
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "node"))
-        lead = here.filter("not done").join(parts, ["bucket", "label"]).withColumn("k", rank).filter(F.col("k") <= leaders)
-        lead, lead_path = written(lead.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), "leaders")
-        pairs = here.filter("not done").join(lead, "bucket").filter("la <> label").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs, pairs_path = written(pairs, "pairs")
-        if pairs.limit(1).count():
-            found = _verified(pairs, sets, p)
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        led = lead.select("bucket", F.col("a").alias("node"), F.lit(True).alias("led"))
-        members, fresh = written(here.drop("label").join(led, ["bucket", "node"], "left").select("bucket", "node", (F.col("done") | F.coalesce("led", F.lit(False))).alias("done")), "members")
-        discard(spark, here_path, members_path, pairs_path, lead_path)
-        members_path = fresh
-        leaders *= 4
-    texts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    if labels is None:
-        named = texts.select("node", F.col("first").alias("class_id"), F.col("node").alias("label"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members, members_path = written(members.join(shared, "bucket"), "members")
+    sets, sets_path = _sets(members, rows, docs, p)
+    found = _Links(sets, p)
+    work = [members_path, sets_path]
+    if members.limit(1).count():
+        left, left_path = _first_round(members, found)
+        work.append(left_path)
+        if left.limit(1).count():
+            hot, hot_path = _prefixes(left, sets, p)
+            work.append(hot_path)
+            _rounds(_alive(hot, p.similarity), found, p.similarity)
+    texts = found.labelled(rows.groupBy("node").agg(F.min("doc_id").alias("first")))
+    ids = texts.groupBy("label").agg(F.min("first").alias("class_id"))
+    named = texts.join(ids, "label").select("node", "class_id", "label")
+    if found.links is not None:
+        ends = found.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        named = named.join(ends, "node", "left")
     else:
-        texts = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        ids = texts.groupBy("label").agg(F.min("first").alias("class_id"))
-        named = texts.join(ids, "label").select("node", "class_id", "label")
-    discard(spark, members_path, sets_path)
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "node", "label")
+        named = named.withColumn("n_links", F.lit(None).cast("bigint"))
+    named = named.select("node", "class_id", "label", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out, _ = written(rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "n_links", "node", "label"), "classes")
+    discard(spark, rows_path, *work, *found.paths, *filter(None, [found.old]))
+    return out
 
 
 def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs, unchanged, of one document for each class: the one that gives the class its id."""
     found = classes(docs, p)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id").agg(F.min("node").alias("node"))
-    kept = kept.select("node", F.col("class_id").alias("kept_id"))
-    names = docs.columns
-    own = docs.select(_node().alias("_node"), F.struct(*names).alias("_row"))
-    own = own.join(kept, own["_node"] == kept["node"]).filter(F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("kept_id")))
-    return own.dropDuplicates(["_node"]).select("_row.*")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label", "class_id").agg(F.min("node").alias("kept"))
+    kept = kept.select("kept", F.col("class_id").alias("kept_id"))
+    # dealt out by text and id: the copies of one text go to different tasks
+    own = docs.select(F.struct(_node(), F.col("doc_id").cast("bigint").alias("id")).alias("key"), F.struct(*_columns(docs)).alias("row"))
+    own = own.select("key.node", "key.id", "row").join(kept, (F.col("node") == F.col("kept")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    return own.dropDuplicates(["node", "id"]).select("row.*")
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [docs[f"`{c}`"] for c in docs.columns]

@@ -102,6 +102,50 @@ def test_near_duplicates(spark, docs, frame, odd):
     assert near_dedup.one_of_each(odd).columns == odd.columns
 
 
+def _edited(rnd, words, k):
+    out = list(words)
+    for i in rnd.choice(len(words), k, replace=False):
+        out[i] = f"w{rnd.integers(10**9)}"
+    return " ".join(out)
+
+
+def _linked_components(texts):
+    """Brute force: the least index of each text's component, and the linked pairs with their similarity."""
+    sets = [set(collections.Counter(zip(*[t.split()[i:] for i in range(5)])).items()) for t in texts]  # no shingle occurs twice here
+    label, links = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                links.append((j, i, same / (len(sets[i]) + len(sets[j]) - same)))
+    for a, b, _ in links:
+        label = [label[a] if x == label[b] else x for x in label] if label[a] < label[b] else [label[b] if x == label[a] else x for x in label]
+    return label, links
+
+
+def test_near_duplicate_recall(spark):
+    """600 planted pairs between 0.8 and 0.9, and a group of near copies at all distances from its centre, without the centre."""
+    rnd = np.random.default_rng(7)
+    texts = []
+    while len(texts) < 1200:
+        words = [f"v{rnd.integers(10**9)}" for _ in range(rnd.integers(60, 300))]
+        pair = [" ".join(words), _edited(rnd, words, max(1, round(len(words) * rnd.uniform(0.012, 0.021))))]
+        same = len(a := set(zip(*[pair[0].split()[i:] for i in range(5)]))) and len(a & (b := set(zip(*[pair[1].split()[i:] for i in range(5)])))) / len(a | b)
+        if 0.8 <= same < 0.9:
+            texts += pair
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(got[i] == got[i + 1] for i in range(0, 1200, 2))
+    assert found >= 0.95 * 600 and all(got[i] == i for i in range(0, 1200, 2))
+    base = [f"u{i}" for i in range(150)]
+    group = [_edited(rnd, base, k) for k in rnd.choice([1, 1, 1, 2, 2, 2, 3, 4, 5, 6, 8, 12], 260)]
+    label, links = _linked_components(group)
+    rows = near_dedup.classes(spark.createDataFrame(list(enumerate(group)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["class_id"] for r in rows}
+    assert sum(got[a] == got[b] for a, b, _ in links) >= 0.99 * len(links)
+    assert all(got[i] == got[j] for i in range(260) for j in range(260) if label[i] == label[j] and i < j) and len(set(got.values())) == len(set(label))
+    assert all((r["n_links"] > 0) == (label.count(label[r["doc_id"]]) > 1) for r in rows)
+
+
 def test_one_of_each_keeps_one_row_a_class(spark, docs, frame):
     words = [f"{k} {i}" for k in "abcdef" for i in range(40)]
     text = lambda k: " ".join(words[40 * k : 40 * k + 40])
