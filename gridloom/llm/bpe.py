@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding; merges are picked by a segment tree over the ranks of adjacent pairs.
 
 The tree's leaves hold rank and position of each pair of neighbours; its root is the leftmost pair of lowest rank. A merge
-changes three leaves, each in logarithmic time, and merging ends when the root holds no mergeable pair. So a run of n bytes
-takes n log n steps, however long it is. Nodes have 32 children, as Python takes the least of a short list in one call;
-most words are a single node.
+changes three leaves, each by a point update along the path to the root, and merging ends when the root holds no mergeable
+pair. So a run of n bytes takes n log n steps, however long it is. Every run goes through the tree, short ones too.
 
 Defined cases: null is the empty text (no ids); equal rows each give a row; a special token's string in a text is that
-token; texts are never cut. The ids of frequent chunks are kept in a table of bounded size.
+token; texts are never cut. The ids of frequent chunks are kept in a table of bounded size. A worker holds one Arrow batch (16 MB
+of texts or one text, see common) with its ids, and some 120 bytes for each byte of the longest run without a blank.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from gridloom.llm.common import bounded_batches
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Over any pair's key: a leaf without a mergeable pair.
 NONE = 1 << 62
-#: Bits of a key that hold the position; children of a node of the tree.
-PLACE, FAN = 32, 32
+#: Bits of a key that hold the position, and their mask.
+PLACE, MASK = 32, (1 << 32) - 1
 
 
 def byte_letters() -> list[str]:
@@ -41,64 +41,60 @@ def byte_letters() -> list[str]:
 
 
 def merge_all(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
-    """Merge adjacent ids by the lowest rank, leftmost first, until no pair has a rank. made: the new id of each rank."""
-    if len(ids) <= FAN + 1:
-        return _merge_node(ids[:], ranks, made)
+    """Merge adjacent ids by the lowest rank, leftmost first, until no pair has a rank. made: the new id of each rank.
+
+    tree[1] is the root, tree[k] the least of tree[2k] and tree[2k + 1], and the leaves from tree[size] on hold the pairs.
+    """
     n, get = len(ids), ranks.get
+    if n < 2:
+        return ids
+    leaves = [NONE if (r := get(p)) is None else r << PLACE | i for i, p in enumerate(zip(ids, ids[1:]))]
+    size = 1 << (n - 2).bit_length()
+    tree = [NONE] * size + leaves + [NONE] * (size - n + 1)
+    for k in range(size - 1, 0, -1):
+        a, b = tree[2 * k], tree[2 * k + 1]
+        tree[k] = a if a < b else b
+    root = tree[1]
+    if root == NONE:
+        return ids
     ids = ids[:]
-    levels = [[r << PLACE | i if (r := get((ids[i], ids[i + 1]), NONE)) < NONE else NONE for i in range(n - 1)]]
-    while len(levels[-1]) > 1:
-        low = levels[-1]
-        levels.append([min(low[k : k + FAN]) for k in range(0, len(low), FAN)])
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, v: int) -> None:
-        """Leaf i becomes v; the nodes above it follow as far as they change."""
-        levels[0][i] = v
-        for low, high in zip(levels, levels[1:]):
-            i //= FAN
-            v = min(low[i * FAN : (i + 1) * FAN])
-            if high[i] == v:
-                return
-            high[i] = v
-
-    def pair(i: int, left: int, right: int) -> int:
-        r = get((left, right), NONE)
-        return r << PLACE | i if r < NONE else NONE
-
-    while (root := levels[-1][0]) != NONE:
-        i = root & ((1 << PLACE) - 1)
+    while root != NONE:
+        i = root & MASK
         j = after[i]
-        ids[i] = made[root >> PLACE]
-        k = after[i] = after[j]
-        ids[j] = -1
-        if j < n - 1:
-            put(j, NONE)
-        if k < n:
-            before[k] = i
-            put(i, pair(i, ids[i], ids[k]))
+        left, new = before[i], made[root >> PLACE]
+        ids[i], ids[j] = new, -1
+        right = after[i] = after[j]
+        # the pair at j is gone, the pairs at i and to its left have a new member
+        changed = []
+        if right < n:
+            before[right] = i
+            changed.append((j, NONE))
+            r = get((new, ids[right]))
         else:
-            put(i, NONE)
-        if before[i] >= 0:
-            put(before[i], pair(before[i], ids[before[i]], ids[i]))
+            r = None
+            if j < n - 1:
+                changed.append((j, NONE))
+        changed.append((i, NONE if r is None else r << PLACE | i))
+        if left >= 0:
+            r = get((ids[left], new))
+            changed.append((left, NONE if r is None else r << PLACE | left))
+        for k, v in changed:
+            k += size
+            if tree[k] != v:
+                tree[k] = v
+                while k > 1:
+                    w = tree[k ^ 1]
+                    if w < v:
+                        v = w
+                    k >>= 1
+                    if tree[k] == v:
+                        break
+                    tree[k] = v
+        root = tree[1]
     return [x for x in ids if x >= 0]
 
 
-def _merge_node(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
-    """A run whose pairs fit in one node: the root is the least of its leaves, and index() finds the leftmost."""
-    get = ranks.get
-    keys = [get(p, NONE) for p in zip(ids, ids[1:])]
-    while keys and (low := min(keys)) != NONE:
-        i = keys.index(low)
-        ids[i : i + 2] = (made[low],)
-        del keys[i]
-        if i < len(keys):
-            keys[i] = get((ids[i], ids[i + 1]), NONE)
-        if i:
-            keys[i - 1] = get((ids[i - 1], ids[i]), NONE)
-    return ids
-
-
 def pack(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
