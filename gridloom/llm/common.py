@@ -31,10 +31,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="gridloom-"))
 
 
@@ -63,6 +66,56 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Powers of two: the shifts of running().
+_SHIFTS = [1 << k for k in range(31)]
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, or running maxima, of an array; step joins two values.
+
+    By doubling: each of log n passes joins the value `shift` places before, so an array is made log n times and never
+    grown element by element.
+    """
+    shifts = F.filter(F.array(*map(F.lit, _SHIFTS)), lambda d: d < F.size(values))
+    return F.aggregate(shifts, values, lambda a, d: F.transform(a, lambda x, i: F.when(i >= d, step(x, F.get(a, i - d))).otherwise(x)))
+
+
+def places(text: Column, pattern: str | Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """The matches of a pattern with their places, as an array of body(match, start, what stands before it).
+
+    The matches and the parts between them, laid end to end, give the places; starts count code points. An empty array if there
+    is none. The time is that of two scans and n log n steps for n matches.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+
+    def lay(hits: Column) -> Column:
+        own = lambda parts: let(
+            running(F.transform(hits, lambda x, i: F.length(F.get(parts, i)) + F.length(x)), lambda a, b: a + b),
+            lambda ends: F.transform(hits, lambda x, i: body(x, F.get(ends, i) - F.length(x), F.get(parts, i))),
+        )
+        return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), own))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lay)
+
+
+#: Code points in one block of cut().
+_BLOCK = 256
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of _BLOCK code points, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """What stands from start to end (code points, from 0) in a text given in blocks: substring() would walk from the text's start each time."""
+    first, last = F.floor(start / _BLOCK).cast("int"), F.floor(end / _BLOCK).cast("int")
+    own = lambda i, a, n: F.substr(F.coalesce(F.get(blocks, i), F.lit("")), a, n)
+    head, tail = start - first * _BLOCK, end - last * _BLOCK
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(end <= start, "").when(first == last, own(first, head + 1, end - start)).otherwise(F.concat(own(first, head + 1, F.lit(_BLOCK)), middle, own(last, F.lit(1), tail)))
+
+
 def crc32_of(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
 
