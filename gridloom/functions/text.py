@@ -11,9 +11,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What Python's strip() takes off: Unicode white space and four control characters.
+_BLANK = "[\\s\\x1c-\\x1f]"
+
+
 def strip(c: Column) -> Column:
-    """White space off both ends, Unicode included; F.trim takes spaces only."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    """White space off both ends, as Python strips it; F.trim takes spaces only."""
+    return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+
+
+def rstrip(c: Column) -> Column:
+    return F.regexp_replace(c, f"(?U){_BLANK}+$", "")
+
+
+@F.pandas_udf(T.StringType())
+def normalized(x: pd.Series) -> pd.Series:
+    """Case folded, white space runs as one space: the key under which equal identifiers share a placeholder."""
+    return x.map(lambda v: None if v is None else " ".join(v.casefold().split()))
+
+
+def after(c: Column, marker: str) -> Column:
+    """What stands behind the first occurrence of marker; null without one."""
+    at = F.instr(c, marker)
+    return F.when(at > 0, F.substr(c, at + len(marker)))
+
+
+def utc_now() -> Column:
+    """The time of the query as ISO text in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def padded(prefix: Column, separator: str, position: Column) -> Column:
+    """prefix, separator and a 1-based number of two digits at least, from a 0-based position."""
+    return F.concat(prefix, F.lit(separator), F.format_string("%02d", position + 1))
 
 
 def html_escape(c: Column) -> Column:
@@ -59,9 +89,70 @@ def duration(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s % 60)).otherwise(F.format_string("%d:%02d", m, s % 60))
 
 
+#: Code points in one block of cut().
+_BLOCK = 256
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of _BLOCK code points, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """What stands from start to end (code points, from 0) in a text given in blocks: substring() would walk from the text's start each time."""
+    first, last = F.floor(start / _BLOCK).cast("int"), F.floor(end / _BLOCK).cast("int")
+    own = lambda i, a, n: F.substr(F.coalesce(F.get(blocks, i), F.lit("")), a, n)
+    head, tail = start - first * _BLOCK, end - last * _BLOCK
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    whole = F.concat(own(first, head + 1, F.lit(_BLOCK)), middle, own(last, F.lit(1), tail))
+    return F.when(end <= start, "").when(first == last, own(first, head + 1, end - start)).otherwise(whole)
+
+
+def splice(text: Column, matches: Column) -> Column:
+    """The text with the replacement of each match (start, end, replacement) in its place; matches are sorted and don't overlap."""
+    piece = lambda b: F.transform(matches, lambda m, i: F.concat(cut(b, F.when(i == 0, 0).otherwise(F.get(matches, i - 1)["end"]), m["start"]), m["replacement"]))
+    whole = F.transform(F.array(blocks_of(text)), lambda b: F.concat(F.array_join(piece(b), ""), cut(b, F.element_at(matches, -1)["end"], F.length(text))))
+    return F.when(F.size(matches) > 0, whole[0]).otherwise(text)
+
+
+def dollars(c: Column) -> Column:
+    """Four decimals under a cent, else two."""
+    four, two = (F.format_string(f"$%.{n}f", py_round(n)(c.cast("double"))) for n in (4, 2))
+    return F.when(c < 0.01, four).otherwise(two)
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json(x: pd.Series) -> pd.Series:
+    """JSON text with sorted keys, no blanks and raw Unicode, numbers as Python writes them; NaN is an error."""
+    import json
+
+    return x.map(lambda v: None if v is None else json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+
+def json_kind(value: Column) -> Column:
+    """text, number, flag, null, list or object for a variant; null where there is no value."""
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind == "VOID", "null")
+        .when(kind == "STRING", "text")
+        .when(kind == "BOOLEAN", "flag")
+        .when(kind.startswith("ARRAY"), "list")
+        .when(kind.startswith("OBJECT"), "object")
+        .when(kind.isNotNull(), "number")
+    )
+
+
 class Template:
     """A prompt template compiled to one concat: values are put in once and never expanded again."""
 
+    @classmethod
+    def from_file(cls, path: str, fields: Iterable[str]) -> Template:
+        try:
+            with open(path, encoding="utf-8") as f:
+                return cls(f.read(), fields)
+        except OSError as e:
+            raise ValueError(f"could not read prompt template: {path}") from e
+
     def __init__(self, text: str, fields: Iterable[str]):
         self.fields = tuple(fields)
         if len(set(self.fields)) != len(self.fields):

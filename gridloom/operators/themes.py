@@ -1,4 +1,4 @@
-"""Theme scores, ranks and selection; conversation histories."""
+"""Candidate themes, theme scores, ranks and selection; conversation histories."""
 
 from __future__ import annotations
 
@@ -6,12 +6,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.text import padded, py_round
+from gridloom.operators.validate import coverage
 
-def scored(members: DataFrame, sources: int) -> DataFrame:
-    """theme_id, source_count, candidate_count, mean_importance, salience, rank for members (theme_id, source_id, importance)."""
+#: Themes that a report ranks; more of them are ranked by a range partitioning instead of one task.
+FEW_THEMES = 100_000
+
+
+def candidates(extractions: DataFrame, diaries: DataFrame) -> DataFrame:
+    """candidate_id, diary_id, date, label, description, quote, importance from extractions (diary_id, themes) and diaries (diary_id, date, text); a quote that its diary doesn't hold is an error."""
+    own = extractions.select("diary_id", F.posexplode("themes").alias("at", "x")).select(padded(F.col("diary_id"), "-c", F.col("at")).alias("candidate_id"), "diary_id", "x.*")
+    own = own.join(diaries.select("diary_id", "date", "text"), "diary_id")
+    bad = own.filter(~F.contains("text", F.col("quote"))).orderBy("candidate_id").limit(1).collect()
+    if bad:
+        raise ValueError(f"extracted quote not found in {bad[0]['diary_id']}: {bad[0]['quote']!r}")
+    return own.select("candidate_id", "diary_id", "date", "label", "description", "quote", "importance")
+
+
+def canonical(synthesis: DataFrame) -> DataFrame:
+    """theme_id, title, description, candidate_ids from one row of themes, numbered by position."""
+    return synthesis.select(F.posexplode("themes").alias("at", "x")).select(padded(F.lit("theme"), "_", F.col("at")).alias("theme_id"), "x.title", "x.description", "x.candidate_ids")
+
+
+def members(themes: DataFrame, found: DataFrame) -> DataFrame:
+    """theme_id, candidate_id, source_id, importance: each theme with the candidates it lists; an unknown id is an error."""
+    listed = themes.select("theme_id", F.explode("candidate_ids").alias("candidate_id"))
+    unknown = [r[0] for r in coverage(listed, found, "candidate_id").filter("problem = 'missing'").orderBy("candidate_id").limit(20).select("candidate_id").collect()]
+    if unknown:
+        raise KeyError(", ".join(map(str, unknown)))
+    return listed.join(found.select("candidate_id", F.col("diary_id").alias("source_id"), "importance"), "candidate_id")
+
+
+def sources_of(themes: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
+    """theme_id and its distinct sources, as rows of sources (diary_id, ...): explode, join, distinct, semi-join."""
+    pairs = members(themes, found).select("theme_id", F.col("source_id").alias("diary_id")).distinct()
+    return pairs.join(sources, "diary_id")
+
+
+def raw_scores(members: DataFrame, sources: int) -> DataFrame:
+    """theme_id, source_count, candidate_count, mean_importance, salience, unrounded, for members (theme_id, source_id, importance)."""
     own = members.groupBy("theme_id").agg(F.countDistinct("source_id").alias("source_count"), F.count("*").alias("candidate_count"), F.avg("importance").alias("mean_importance"))
-    own = own.withColumn("salience", 0.7 * 100 * F.col("source_count") / F.lit(sources) + 0.3 * F.col("mean_importance") / 5 * 100)
-    return own.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("salience"), "theme_id")))  # themes are few
+    cover = F.lit(100) * F.col("source_count") / F.lit(sources)
+    return own.withColumn("salience", 0.7 * cover + 0.3 * (F.col("mean_importance") / 5 * 100))
+
+
+def scored(members: DataFrame, sources: int) -> DataFrame:
+    """raw_scores() rounded, salience to one decimal and the mean to two after scoring, with rank by salience, then theme_id."""
+    own = raw_scores(members, sources).withColumns({"salience": py_round(1)("salience"), "mean_importance": py_round(2)("mean_importance")})
+    return ranked(own)
+
+
+def ranked(scores: DataFrame) -> DataFrame:
+    """rank 1, 2, 3 ... by salience, highest first, then theme_id.
+
+    Scores are one row a theme. Up to FEW_THEMES are ranked in one task; more are cut into ranges of salience, ranked in
+    those, and raised by the number of themes in the ranges before.
+    """
+    order = [F.desc("salience"), F.col("theme_id")]
+    few = scores.limit(FEW_THEMES + 1).count() <= FEW_THEMES
+    if few:
+        return scores.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    own = scores.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    sizes = {r["_part"]: r["count"] for r in own.groupBy("_part").count().collect()}  # a number for each partition
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    shift = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part"))
+    return own.withColumn("rank", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + shift).cast("int")).drop("_part")
 
 
 def top(scores: DataFrame, n: int = 3) -> DataFrame:
@@ -19,6 +80,17 @@ def top(scores: DataFrame, n: int = 3) -> DataFrame:
 
 
 def histories(turns: DataFrame) -> DataFrame:
-    """What each turn sends: all turns up to it, in order."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.withColumn("history", F.collect_list(F.struct("role", "text")).over(w))
+    """What each turn sends: all turns up to it, in order. A conversation's turns are collected once and sliced for each turn."""
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("whole"))
+    each = whole.select("conv_id", "whole", F.posexplode("whole").alias("at", "x"))
+    return each.select("conv_id", "x.turn", "x.role", "x.text", F.transform(F.slice("whole", F.lit(1), F.col("at") + 1), lambda y: F.struct(y["role"].alias("role"), y["text"].alias("text"))).alias("history"))
+
+
+def numbered(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """The elements of a list column with their 1-based position."""
+    return df.select(*keep, F.posexplode(column).alias("at", "element")).select(*keep, (F.col("at") + 1).alias("number"), "element")
+
+
+def report_totals(scores: DataFrame, audits: DataFrame) -> DataFrame:
+    """One row: themes, mentions, audits."""
+    return scores.agg(F.count("*").alias("themes"), F.coalesce(F.sum("candidate_count"), F.lit(0)).alias("mentions")).crossJoin(audits.agg(F.count("*").alias("audits")))

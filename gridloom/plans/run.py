@@ -1,35 +1,160 @@
-"""A resumable run: pending jobs through a responder, appended to the log. Answers are neither validated nor priced: completed means that the call returned."""
+"""A resumable run: jobs through a responder, each answer checked, priced and appended to the log."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from gridloom.operators.attempts import changed_requests, pending
-from gridloom.sources.sinks import append_attempts
+from gridloom.errors import ResponseError
+from gridloom.functions.contract import Contract
+from gridloom.functions.text import utc_now
+from gridloom.operators import attempts
+from gridloom.operators.attempts import Pricing
+from gridloom.operators.grid import job_errors, saved_request
+from gridloom.operators.validate import validated
+from gridloom.sources.scans import exists
+from gridloom.sources.sinks import append_lines
 
-RECORD = "job_id string, request_hash string, attempt int, status string, output_text string, error string"
+USAGE = "struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint,total_tokens:bigint>"
+ERROR = "struct<type:string,message:string,request_id:string,phase:string>"
+REQUEST = "struct<model:string,instructions:string,input:string,max_output_tokens:int,output_format:string>"
+METADATA = "struct<transcript_id:string,transcript_file:string,item_id:string,min_value:double,max_value:double,scoring_values:string,allowed_values:array<string>>"
+#: What a call gives; what a record of the log holds.
+ANSWER = f"status string, duration_seconds double, model string, output_text string, response_id string, usage {USAGE}, response string, error {ERROR}"
+RECORD = (
+    f"seq bigint, job_id string, request_hash string, attempt int, status string, recorded_at string, duration_seconds double, metadata {METADATA}, request {REQUEST}, model string, "
+    f"output_text string, response_id string, usage {USAGE}, response string, error {ERROR}, contract_id string, validation_status string, parsed_output string, estimated_cost_usd double"
+)
+#: Request -> response. A response is a text, or a dict of status, output_text, model, id, usage, incomplete_reason and response.
+Responder = Callable[[dict[str, Any]], Any]
 
 
-def run_jobs(jobs: DataFrame, log: DataFrame, log_path: str, responder: Callable[[str], str], workers: int = 1) -> DataFrame:
-    """Call the responder for each pending job, in Arrow batches, and append one record a call; errors become failed records."""
-    if changed_requests(jobs, log).limit(1).count():
-        raise ValueError("a job's request differs from the one in the log")
-    todo = pending(jobs, log).select("job_id", "request_hash", "prompt", F.col("attempt").cast("int").alias("attempt"))
+def answer(request: dict[str, Any], responder: Responder) -> dict[str, Any]:
+    """One call as the fields of ANSWER; whatever goes wrong becomes a failed answer."""
+    began = time.perf_counter()
+    out: dict[str, Any] = {"status": "completed", "model": request["model"], "output_text": None, "response_id": None, "usage": None, "response": None, "error": None}
+    try:
+        said = responder(request)
+        said = {"output_text": said} if isinstance(said, str) else dict(said)
+        if said.get("status", "completed") != "completed":
+            raise ResponseError(said.get("status"), said.get("incomplete_reason"), said.get("id"), said.get("response"))
+        out |= {"output_text": said["output_text"], "model": said.get("model") or request["model"], "response_id": said.get("id"), "usage": usage_of(said.get("usage")), "response": said.get("response")}
+    except Exception as e:  # a call never stops the run
+        error = {"type": type(e).__name__, "message": str(e), "request_id": getattr(e, "request_id", None), "phase": None}
+        out |= {"status": "failed", "error": error, "response_id": getattr(e, "response_id", None), "response": getattr(e, "response", None)}
+    return out | {"duration_seconds": round(time.perf_counter() - began, 6)}
+
+
+def usage_of(raw: dict[str, Any] | None) -> dict[str, Any] | None:
+    """The five token counts of a response's nested usage; None where it has none."""
+    if not raw:
+        return None
+    deep = lambda a, b: (raw.get(a) or {}).get(b)
+    return {
+        "input_tokens": raw.get("input_tokens"),
+        "cached_input_tokens": raw.get("cached_input_tokens", deep("input_tokens_details", "cached_tokens")),
+        "output_tokens": raw.get("output_tokens"),
+        "reasoning_tokens": raw.get("reasoning_tokens", deep("output_tokens_details", "reasoning_tokens")),
+        "total_tokens": raw.get("total_tokens"),
+    }
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a run so far; none where there is no log yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], RECORD)
+    return spark.read.schema(RECORD).json(path, mode="FAILFAST")
+
+
+def check_run(jobs: DataFrame, log: DataFrame, pricing: Pricing | None, contract: Contract | None) -> None:
+    """Everything that must stop a run before its first call."""
+    wrong = job_errors(jobs).orderBy("job_id").limit(1).collect()
+    if wrong:
+        raise ValueError(f"job {wrong[0]['job_id']!r}: {wrong[0]['error']}")
+    if pricing:
+        other = [r[0] for r in attempts.foreign_models(jobs, pricing.model).orderBy("model").limit(20).collect()]
+        if other:
+            raise ValueError(f"pricing is for {pricing.model!r}, but jobs use {other!r}")
+    changed = attempts.changed_requests(jobs, log).orderBy("job_id").limit(1).collect()
+    if changed:
+        raise ValueError(f"job {changed[0][0]!r} changed since this run was created; use a new output path or a new job_id")
+    if contract:
+        loose = attempts.unvalidated(jobs, log, contract.contract_id).orderBy("job_id").limit(1).collect()
+        if loose:
+            raise ValueError(f"job {loose[0][0]!r} was completed without validation by contract {contract.contract_id!r}; use a new output path")
+
+
+def run_jobs(
+    jobs: DataFrame, log_path: str, responder: Responder, *, pricing: Pricing | None = None, contract: Contract | None = None, workers: int = 1, batch: int = 1000
+) -> DataFrame:
+    """Run the jobs that the log hasn't completed; gives each job's current record, in job order when sorted by ordinal.
+
+    jobs: ordinal, job_id, prompt, instructions, model, max_output_tokens, output_format, metadata, request_hash. Pending jobs
+    are fixed first, with seq and attempt, then called in batches of `batch` on `workers` tasks. Each batch is checked against
+    the contract, priced and appended before the next begins, so what a lost driver or a failed batch repeats is one batch;
+    calls of a lost task are made again, which a responder that keeps its answers by request makes harmless.
+    """
+    if isinstance(workers, bool) or not isinstance(workers, int) or workers < 1:
+        raise ValueError("workers must be a positive integer")
+    spark = jobs.sparkSession
+    if not jobs.limit(1).count():
+        raise ValueError("jobs must contain at least one job")
+    log = read_log(spark, log_path)
+    check_run(jobs, log, pricing, contract)
+    start = log.agg(F.max("seq")).first()[0] or 0
+    todo_path = f"{log_path}.pending-{start}"
+    todo = attempts.pending(jobs, log).withColumn("attempt", F.col("attempt").cast("int"))
+    # numbered by ranges of the ordinal: position = rows in the ranges before + row in the range
+    todo = todo.repartitionByRange("ordinal").withColumn("_part", F.spark_partition_id())
+    todo.write.mode("overwrite").parquet(todo_path)
+    todo = spark.read.parquet(todo_path)
+    sizes = {r["_part"]: r["count"] for r in todo.groupBy("_part").count().collect()}  # a number for each partition
+    total = sum(sizes.values())
+    if total:
+        before, at = [], 0
+        for part in sorted(sizes):
+            before += [F.lit(part), F.lit(at)]
+            at += sizes[part]
+        number = F.row_number().over(Window.partitionBy("_part").orderBy("ordinal")) + F.element_at(F.create_map(*before), F.col("_part"))
+        todo = todo.withColumn("number", number).drop("_part")
+        for low in range(0, total, batch):
+            part = todo.filter((F.col("number") > low) & (F.col("number") <= low + batch))
+            records = called(part.repartition(workers, "number"), responder).withColumn("seq", F.col("number") + start)
+            records = validated(records, contract) if contract else records.withColumns({c: F.lit(None).cast("string") for c in ("contract_id", "validation_status", "parsed_output")})
+            append_lines(attempts.priced(records.withColumn("estimated_cost_usd", F.lit(None).cast("double")), pricing).select(*_names(RECORD)), log_path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(todo_path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    now = attempts.current(jobs, read_log(spark, log_path))
+    # older records may lack a cost
+    return attempts.priced(now, pricing) if pricing else now
+
+
+def called(jobs: DataFrame, responder: Responder) -> DataFrame:
+    """The records of one attempt at each job (number, attempt and the columns of run_jobs). Nothing is shuffled behind the calls."""
+    fields, rest = ["model", "instructions", "prompt", "max_output_tokens", "output_format"], ["job_id", "request_hash", "attempt", "_meta"]
+    names = ["number", *rest, *[f"sent_{k}" for k in fields], *_names(ANSWER)]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for j, h, p, a in b[["job_id", "request_hash", "prompt", "attempt"]].itertuples(index=False):
-                try:
-                    rows.append((j, h, a, "completed", responder(p), None))
-                except Exception as e:  # a call never stops the run
-                    rows.append((j, h, a, "failed", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["job_id", "request_hash", "attempt", "status", "output_text", "error"])
-
-    new = todo.repartition(workers, "job_id").mapInPandas(call, RECORD)
-    append_attempts(new, log_path)
-    return jobs.sparkSession.read.schema(RECORD).parquet(log_path)
+            for row in b.to_dict("records"):
+                request = {k: None if row[k] is None or row[k] != row[k] else row[k] for k in fields}
+                rows.append({**row, **{f"sent_{k}": v for k, v in request.items()}, **answer(request, responder)})
+            yield pd.DataFrame(rows, columns=names)
+
+    sent = "sent_model string, sent_instructions string, sent_prompt string, sent_max_output_tokens int, sent_output_format string"
+    own = jobs.withColumn("_meta", F.to_json("metadata", {"ignoreNullFields": "false"})).select("number", *rest, *fields)
+    made = own.mapInPandas(call, f"number bigint, job_id string, request_hash string, attempt int, _meta string, {sent}, {ANSWER}")
+    request = saved_request("sent_")
+    return made.withColumns({"request": request, "recorded_at": utc_now(), "metadata": F.from_json("_meta", METADATA)}).drop("_meta")
+
+
+def _names(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).names

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.text import Template, categories, duration, py_g, py_round, scale, strip
 from gridloom.operators import attempts, privacy, themes, validate
-from gridloom.plans.run import run_jobs
 from gridloom.sources import scans, sinks
 
 
@@ -49,22 +48,6 @@ def test_quotes(spark):
     assert {(r["k"], r["quote"]): r["verified"] for r in validate.quotes(q, s, "k").collect()} == {(1, ""): False, (1, "b c"): True, (2, "x"): False, (9, "x"): False}
 
 
-def test_resumable_run(spark, tmp_path):
-    jobs = spark.createDataFrame([("a", "h1", "p1"), ("b", "h2", "boom")], "job_id string, request_hash string, prompt string")
-    log = spark.createDataFrame([], "seq long, job_id string, status string, request_hash string")
-
-    def responder(p):
-        if p == "boom":
-            raise RuntimeError("no")
-        return p.upper()
-
-    done = run_jobs(jobs, log, str(tmp_path / "log"), responder)
-    assert {(r["job_id"], r["status"]) for r in done.collect()} == {("a", "completed"), ("b", "failed")}
-    assert [r["job_id"] for r in attempts.pending(jobs, done.withColumn("seq", F.lit(1))).collect()] == ["b"]
-    with pytest.raises(ValueError):
-        run_jobs(jobs.withColumn("request_hash", F.lit("other")), done.withColumn("seq", F.lit(1)), str(tmp_path / "log"), responder)
-
-
 def test_sources(spark, tmp_path):
     d = tmp_path / "t"
     d.mkdir()
