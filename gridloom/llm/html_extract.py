@@ -1,10 +1,15 @@
 """Main text of web pages by two passes of block rules.
 
-Pass 1 looks at each block alone: link density, length and stop-word density make it good, bad, near-good or short.
-Pass 2 looks at the neighbours: short and near-good blocks take the label of the nearest decided blocks.
+Pass 1 looks at each block alone: link density, length and stop-word density make it good, bad, near-good or short. Elements
+and class names are hints: one that names a menu, an advert or the like makes a block bad, a vaguer one on a paragraph leaves
+it undecided. Pass 2 looks at the neighbours: short and near-good blocks take the label of the nearest decided blocks of their
+region. A region is an outermost article or main element, or all that stands outside of them; the page's story is the region
+with most text that pass 1 doesn't find bad, and others stay if they hold a third of that. So a teaser in an article element
+beside a story without one isn't taken for it.
 
 Defined cases: null or empty html gives "" and 0; equal rows each give their own row; unclosed tags, comments and
-scripts end with the page; other columns of the input are ignored. Text is never cut.
+scripts end with the page; other columns of the input are ignored; a page without any good block keeps the undecided ones.
+Text is never cut. A worker holds one Arrow batch (16 MB of pages or one page) and some ten times a page in blocks.
 """
 
 from __future__ import annotations
@@ -35,13 +40,12 @@ BLOCKS = frozenset(
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BOILER = frozenset("nav footer aside form menu head button select dialog header noscript template svg math object canvas video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what isn't the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|side-?bar|widget|nav|navigation|navbar|menu|breadcrumbs?|footer|header|masthead|"
-    r"comments?|commentlist|replies|respond|disqus|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|signup|login|social|share|sharing|"
-    r"related|recommend\w*|pagination|pager|tags|copyright|legal|disclaimer|hidden|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
-)
+#: Words in class, id or role that mark what isn't the article, on any element; and those that may do so on a paragraph, but needn't.
+_SURE = "ads?|advert\\w*|promo\\w*|sponsor\\w*|side-?bar|nav|navigation|navbar|menu|breadcrumbs?|footer|masthead|comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|pagination|pager|copyright|complementary|contentinfo"
+_VAGUE = "banner|widget|header|notices?|login|social|share|sharing|related|recommend\\w*|tags|legal|disclaimer|hidden|search"
+SURE, VAGUE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (_SURE, _VAGUE))
+#: Elements of running text: a vague mark on them doesn't decide.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote span a b i em strong small figcaption td th dd dt q cite u".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=[/a-zA-Z])[^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[^\W\d_]+")
@@ -54,16 +58,19 @@ class Rules:
     max_link_density: float = 0.4
     short: int = 60
     long: int = 160
-    low: float = 0.08
-    high: float = 0.16
+    low: float = 0.05
+    high: float = 0.12
 
 
 @dataclass
 class Block:
+    """linked: characters in links; boiler, doubt: a sure or a vague mark stands over it; region: 0 outside of article and main elements."""
+
     text: str
     linked: int
     boiler: bool
-    article: bool
+    doubt: bool
+    region: int
     heading: bool
 
 
@@ -71,30 +78,33 @@ def blocks(page: str) -> list[Block]:
     """Split a page into blocks of text with what the rules need to know."""
     found: list[Block] = []
     parts: list[str] = []
-    state = {"linked": 0}
-    stack: list[tuple[str, bool]] = []
-    boiler = article = anchors = heading = 0
+    links: list[str] = []
+    stack: list[tuple[str, bool, bool]] = []
+    boiler = doubt = article = anchors = heading = regions = 0
     has_heading = False
 
     def flush() -> None:
         nonlocal has_heading
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, state["linked"], boiler > 0, article > 0, has_heading))
+            linked = min(len(text), len(" ".join(entities.unescape("".join(links)).split())))
+            found.append(Block(text, linked, boiler > 0, doubt > 0, regions if article else 0, has_heading))
         parts.clear()
-        state["linked"], has_heading = 0, heading > 0
+        links.clear()
+        has_heading = heading > 0
 
     def text(piece: str) -> None:
         if piece:
             parts.append(piece)
             if anchors:
-                state["linked"] += len(piece.strip())
+                links.append(piece)
 
     def drop(k: int) -> None:
         """Close the open elements from the k-th on."""
-        nonlocal boiler, article, anchors, heading
-        for name, marked in stack[k:]:
+        nonlocal boiler, doubt, article, anchors, heading
+        for name, marked, vague in stack[k:]:
             boiler -= marked
+            doubt -= vague
             article -= name in ("article", "main")
             anchors -= name == "a"
             heading -= name in HEADINGS
@@ -132,11 +142,17 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] in BLOCKS:
                         break
             values = [entities.unescape(a or b or c) for a, b, c in ATTR.findall(m[3])]
+            region = name in ("article", "main")
             # a header inside the article carries its title
-            marked = (name in BOILER and not (name == "header" and article)) or name not in ("html", "body", "article", "main") and any(map(MARKED.search, values))
-            stack.append((name, marked))
+            marked = name in BOILER and not (name == "header" and article) or name not in ("html", "body") and any(map(SURE.search, values))
+            hinted = name not in ("html", "body") and not region and any(map(VAGUE.search, values))
+            vague = hinted and name in RUNNING
+            marked = marked or hinted and not vague
+            stack.append((name, marked, vague))
             boiler += marked
-            article += name in ("article", "main")
+            doubt += vague
+            regions += region and not article
+            article += region
             anchors += name == "a"
             heading += name in HEADINGS
             has_heading = heading > 0
@@ -152,50 +168,72 @@ def first_pass(b: Block, rules: Rules) -> str:
     n = len(b.text)
     if b.boiler or b.linked > rules.max_link_density * n:
         return "bad"
-    if n < rules.short or b.heading:
+    if n < rules.short or b.heading or b.doubt:
         return "short"
     words = WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= rules.high:
         return "good" if n >= rules.long else "near"
-    if density >= rules.low or b.article:
+    if density >= rules.low or b.region:
         return "near"
     return "bad"
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Undecided blocks take the nearest decided label on both sides; where the sides differ, the article's element decides."""
-    decided = [x if x in ("good", "bad") else "" for x in labels]
-    left: list[str] = []
-    for x in decided:
-        left.append(x or (left[-1] if left else ""))
-    right: list[str] = []
-    for x in reversed(decided):
-        right.append(x or (right[-1] if right else ""))
-    right.reverse()
-    out = []
-    for b, own, before, after, label in zip(found, decided, left, right, labels, strict=True):
-        if own:
-            out.append(own == "good")
-        elif b.article:
-            out.append(True)
-        elif before == after or not before or not after:
-            out.append((before or after) == "good" or (not before and not after and label == "near"))
+    """Undecided blocks take the label of the nearest decided block of their region; of two as near the good one, and a heading goes with what follows it."""
+    out = [x == "good" for x in labels]
+    sides: list[list[tuple[int, str]]] = []  # of each block the nearest decided one before and after it
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last: dict[int, tuple[int, str]] = {}
+        side = [(-1, "")] * len(found)
+        for i in order:
+            side[i] = last.get(found[i].region, (-1, ""))
+            if labels[i] in ("good", "bad"):
+                last[found[i].region] = (i, labels[i])
+        sides.append(side)
+    lost = "good" not in labels
+    for i, (b, label) in enumerate(zip(found, labels, strict=True)):
+        if label in ("good", "bad"):
+            continue
+        (p, before), (q, after) = sides[0][i], sides[1][i]
+        if lost:
+            out[i] = True
+        elif not before and not after:
+            out[i] = b.region > 0 or label == "near"
+        elif not before or not after or before == after:
+            out[i] = (before or after) == "good"
+        elif label == "near" or b.heading and after == "good":
+            out[i] = True
         else:
-            out.append(label == "near" or b.heading and after == "good")
+            out[i] = (before if i - p < q - i else after if q - i < i - p else "good") == "good"
     return out
 
 
+def story(found: list[Block], labels: list[str]) -> set[int]:
+    """The regions that hold the page's story: the one with most text that isn't bad, and those with a third of it."""
+    size: dict[int, int] = {}
+    for b, label in zip(found, labels, strict=True):
+        # outside of an article short blocks don't count: menus and notices are short
+        if label in ("good", "near") or label == "short" and b.region:
+            size[b.region] = size.get(b.region, 0) + len(b.text)
+    if not size:
+        return {b.region for b in found}
+    most = max(size.values())
+    if any(n == most for r, n in size.items() if r):
+        size.pop(0, None)  # what stands outside the article isn't the article
+    return {r for r, n in size.items() if 3 * n >= most}
+
+
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """The article of one page: good blocks in page order, joined by one space."""
     if not page:
         return ""
     found = blocks(page)
-    if any(b.article and not b.boiler for b in found):  # what stands outside the article's element isn't the article
-        for b in found:
-            b.boiler |= not b.article
     labels = [first_pass(b, rules) for b in found]
-    return " ".join(b.text for b, keep in zip(found, second_pass(found, labels), strict=True) if keep)
+    here = story(found, labels)
+    own = [(b, x) for b, x in zip(found, labels, strict=True) if b.region in here]
+    own_blocks, own_labels = [b for b, _ in own], [x for _, x in own]
+    return " ".join(b.text for b, keep in zip(own_blocks, second_pass(own_blocks, own_labels), strict=True) if keep)
 
 
 def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
