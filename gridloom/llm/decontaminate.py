@@ -3,10 +3,10 @@
 Words become a template: numbers, units of measure and names (capitalised inside a sentence) turn into typed placeholders, all
 else into lower case without outer punctuation. A capitalised word at the start of a sentence or text may be a name or not: its
 windows are made in both readings, so what stands before an item doesn't matter. A benchmark item's windows of five template words are looked up by hash in
-each document; an item whose windows are found to the share of `similarity` is a candidate. Then its slots are checked on one
-alignment after the other, while the windows of those not refuted reach the similarity: each value of the item must stand for
-one value of the document and the other way round. So an item with other numbers or names is found, also behind a text of the
-same template that contradicts it, and a chance mix of placeholders is not.
+each document; an item whose windows are found to the share of `similarity` is a candidate. Then its alignments are checked one
+after the other: the windows found at one must reach the similarity, in the item's order, and each value of the item must stand
+for one value of the document and the other way round. So an item with other numbers or names is found, also behind a text of the
+same template that contradicts it, and a chance mix of placeholders, or of the item's parts, is not.
 
 The items are the stated query set: they are sent in blocks of at most BLOCK_CHARS characters, each block against all
 documents, row by row and without shuffle.
@@ -29,6 +29,8 @@ from gridloom.llm.common import bounded_batches, windows
 
 WINDOW = 5
 SIMILARITY = 0.8
+#: Words put in or left out that one alignment bears, as a share of the item's length.
+SLACK = 0.1
 BLOCK_CHARS = 8_000_000
 #: Units of measure.
 UNITS = frozenset(
@@ -193,50 +195,55 @@ class Block:
     def _slots(self, k: int, names: bool, h: np.ndarray, at: np.ndarray, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
         """How many slots agree on the first alignment without contradiction; None if there is none.
 
-        Alignments go by the windows that agree on them, most first. One with a contradiction is no copy of the item, so its windows
-        fall, and the search goes on while the windows left reach the similarity. names: words that may be names are read as names
-        too; else as plain words, unless the item has them as names elsewhere.
+        An alignment is a shift between item and document; the windows found at it, or at shifts that differ by at most SLACK of
+        the item's length, must reach the similarity alone, so an item whose parts stand in another order is none. names: words
+        that may be names are read as names too; else as plain words, unless the item has them as names elsewhere.
         """
         mine, may = self.templates[k], self.either[k]
         said = [core(w.decode("utf-8", "replace")).lower() for w in self.words[k]]
         if not names:
             sure = {w for w, x in zip(said, mine.tolist(), strict=True) if x == NAME}
             may = may & np.array([w in sure for w in said])
-        own, place, plain = readings(mine, self.either[k], min(WINDOW, len(mine)))
+        size = min(WINDOW, len(mine))
+        own, place, plain = readings(mine, self.either[k], size)
         if not names:
             own, place = own[plain], place[plain]
-        where = np.flatnonzero((mine <= NAME) | may)
-        if not len(where):
-            return 0
         order = np.lexsort((place, own))
         own, place = own[order], place[order]
-        i = np.searchsorted(own, h)
-        i[i == len(own)] = 0
-        hit = own[i] == h
-        found = self._kinds(k)[0 if names else 1][place[i[hit]]]
-        values, which, n = np.unique(at[hit] - place[i[hit]], return_inverse=True, return_counts=True)
-        all_of = self.distinct[k][0 if names else 1]
-        left = np.bincount(found, minlength=all_of)
-        distinct = int((left > 0).sum())
-        ends, parts = np.cumsum(n), np.argsort(which, kind="stable")
-        for v in np.argsort(-n, kind="stable").tolist():
-            if distinct < SIMILARITY * all_of:
-                return None
-            slots = self._agreed(said, where, mine, may, int(values[v]), words, t, either)
+        # each hit with every place of the item that has its window
+        lo, hi = np.searchsorted(own, h), np.searchsorted(own, h, side="right")
+        rows = _ranges(lo, hi)
+        there, here = np.repeat(at, hi - lo), place[rows]
+        shift = there - here
+        order = np.argsort(shift, kind="stable")
+        shift, there, here = shift[order], there[order], here[order]
+        found = self._kinds(k)[0 if names else 1][here]
+        least = SIMILARITY * self.distinct[k][0 if names else 1]
+        slack = int(SLACK * len(mine))
+        values, n = np.unique(shift, return_counts=True)
+        where = np.flatnonzero((mine <= NAME) | may)
+        for v in values[np.argsort(-n, kind="stable")].tolist():
+            a, b = np.searchsorted(shift, v - slack), np.searchsorted(shift, v + slack, side="right")
+            if b - a < least or len(np.unique(found[a:b])) < least:
+                continue
+            if not len(where):
+                return 0
+            slots = self._agreed(said, where, mine, may, v, shift[a:b], here[a:b], size, words, t, either)
             if slots is not None:
                 return slots
-            for w in found[parts[ends[v] - n[v] : ends[v]]].tolist():
-                left[w] -= 1
-                distinct -= left[w] == 0
         return None
 
-    def _agreed(self, said: list[str], where: np.ndarray, mine: np.ndarray, may: np.ndarray, base: int, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
-        """How many slots agree on one alignment; None if a value has two counterparts."""
+    def _agreed(self, said: list[str], where: np.ndarray, mine: np.ndarray, may: np.ndarray, base: int, shift: np.ndarray, here: np.ndarray, size: int, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
+        """How many slots agree on one alignment; None if a value has two counterparts. A slot is looked up at the shift of a window that covers it, else at the base."""
+        of = {}
+        for d, p in sorted(zip(shift.tolist(), here.tolist(), strict=True), key=lambda x: -abs(x[0] - base)):
+            for o in range(size):
+                of[p + o] = d
         there: dict[str, str] = {}
         back: dict[str, str] = {}
         agreed = 0
         for p in where.tolist():
-            q = base + p
+            q = of.get(p, base) + p
             kind = NAME if may[p] else mine[p]
             if 0 <= q < len(t) and (t[q] == kind or kind == NAME and either[q]):
                 a, b = f"{kind}:{said[p]}", f"{kind}:{core(words[q].decode('utf-8', 'replace')).lower()}"
@@ -295,17 +302,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, unchanged, that hold no item."""
+    """The rows of docs, unchanged, that hold no item. A row travels as one struct, so its columns may have any name."""
     bounded_batches(docs.sparkSession)
-    names = docs.columns
-    own = docs.withColumn("_text", F.col("text").cast("string"))
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
     for items in _blocks(benchmark):
         load = _loader(items)
 
         def run(batches: Iterator[pa.RecordBatch], load=load) -> Iterator[pa.RecordBatch]:
             block = load()
             for b in batches:
-                yield b.filter(pa.array([not block.leaks(t) for t in b.column("_text").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not block.leaks(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         own = own.mapInArrow(run, own.schema)
-    return own.select(*names)
+    return own.select("row.*")

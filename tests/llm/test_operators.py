@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html
 import re
 
 import duckdb
@@ -58,6 +59,47 @@ def test_html():
     assert html_extract.main_text("<script>var x='<p>no'</script><p>" + "this is the text of the page and it is long enough to be good " * 4) .startswith("this is")
 
 
+def _article(page):
+    """Brute force: what stands in a page's one article element."""
+    inner = re.search(r"<article[^>]*>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"<script.*?</script>|<style.*?</style>|<!--.*?-->", "", inner, flags=re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|br|h1)\b[^>]*>", " ", inner))).split())
+
+
+def test_html_against_labelled_pages(spark):
+    pages = duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet' order by page_id").fetchall()
+    bare = lambda t: t.replace("<article>", "<div>").replace("</article>", "</div>")
+    teaser = lambda t: bare(t).replace("<footer>", "<article><h2><a href=x>Other story</a></h2><p>What it is of and how that was.</p></article><footer>")
+    for change, least in ((lambda t: t, 1.0), (lambda t: t.replace('<div class="ad">', "<div>"), 0.995), (bare, 0.93), (teaser, 0.9)):
+        recall, precision = [], []
+        for (page,) in pages:
+            got, want = (collections.Counter(x.split()) for x in (html_extract.main_text(change(page)), _article(page)))
+            both = sum((got & want).values())
+            recall.append(both / sum(want.values()))
+            precision.append(both / max(1, sum(got.values())))
+        assert np.mean(recall) >= least and np.mean(precision) >= least, (least, np.mean(recall), np.mean(precision))
+
+
+def test_html_neighbours():
+    good = "This is what we have to say of it and that was all that there is in the story of the day. " * 3
+    near = "And this was the rest of it, that we have to say, as it is"
+    p = lambda *x: "".join(f"<p>{y}</p>" for y in x)
+    text = html_extract.main_text
+    assert text(f"<body><ul><li><a href=a>Go there</a></ul><div>{p(good, 'Short one.', good)}</div></body>") == " ".join([good.strip(), "Short one.", good.strip()])
+    assert text(f"<body>{p(good)}<div>{p('<a href=b>More of it here</a>', 'Stray.', '<a href=b>And more of it</a>')}</div></body>") == good.strip()
+    assert text(f"<article>{p(good)}<p class='search'>{near}</p><p class='tags'>Few words</p></article>") == f"{good.strip()} {near} Few words"
+    assert text(f"<article>{p(good)}<div class='social'>{p('Share it')}</div><form>{p(good)}</form></article><div class='comments'>{p(good)}</div>") == good.strip()
+    assert text(f"<div class=content>{p(good, good, near)}</div><article><h2>Teaser</h2>{p('Read it.')}</article>") == f"{good.strip()} {good.strip()} {near}"
+    assert text("<p>Only this.</p>") == "Only this." and text("<a href=x>Only a link</a>") == ""
+
+
+def test_html_rows(spark, odd):
+    rows = [(1, "u", None, 1), (2, None, "", 2), (None, "u", "<p>a</p>", 3), (2, "u", "<p>b &amp; c</p><!-- x", 4), (2, "u", "<p>b &amp; c</p><!-- x", 4)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert sorted([(r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in got], key=str) == sorted([(1, "u", "", 0), (2, None, "", 0), (0, "u", "a", 1), (2, "u", "b & c", 5), (2, "u", "b & c", 5)], key=str)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_licenses(spark, odd):
     rows = [(1, "Licensed under CC-BY 4.0. All rights reserved. cc\nby"), (2, "The GNU General Public License, version 3"), (3, "permit by law")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -277,6 +319,17 @@ def test_decontamination_tries_each_alignment(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 5, 6, 7]
 
 
+def test_decontamination_keeps_order_and_slots(spark):
+    a, b = "the old mill by the river was sold to the town", "because no one would ever pay more for such land"
+    bench = spark.createDataFrame([(1, f"{a} {b}"), (2, "take 3 mm of rope and 5 mm of wire to the man on the hill")], "item_id long, text string")
+    rows = [
+        (1, f"x {a} {b} y"), (2, f"x {b} {a} y"), (3, f"{a} and so {b}"), (4, "take 4 mm of rope and 9 mm of wire to the man on the hill"), (5, "take 4 mm of rope and 4 mm of wire to the man on the hill"),
+        (6, f"{b}. {a}. {b}"), (7, "to the man on the hill take 3 mm of rope and 5 mm of wire"),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (4, 2), (6, 1)}
+
+
 def test_decontamination_names_by_position(spark):
     items = [(1, "Tom has 3 apples and Tom eats 2 apples with joy"), (2, "Compute the sum of all"), (3, "Name every planet"), (4, "Tom eats 3 pears. Tom has 2 left now."), (5, "The big old oak tree fell. The men were all sad about it then and they left soon.")]
     bench = spark.createDataFrame(items, "item_id long, text string")
