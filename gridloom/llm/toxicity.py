@@ -2,7 +2,7 @@
 
 Features, all from the text: densities of a hand-written and of a learned lexicon, hits near a second person, shares of
 capitals, punctuation and obfuscated words, exclamation marks, word length, and the logarithm of the length. The learned
-lexicon holds word starts that are almost only seen in texts labelled toxic.
+lexicon holds word starts whose occurrences stand almost only in texts labelled toxic.
 
 Training uses labelled rows whose crc32(doc_id as text) mod 4 is 0, 1 or 3, at most `sample` of them by the order of a
 hash (a documented bound): lexicon and trees from the remainders 0 and 1, calibration from 3. Everything else runs over all
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, crc32_of
+from gridloom.llm.common import bounded_batches, crc32_of, discard, written
 
 #: Insults of the hand-written lexicon, and words of the second person.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting", "dumb", "fool", "ugly", "hate", "dumm", "trottel", "abschaum", "débile", "imbécile", "ordure", "estúpido", "imbécil", "basura")
@@ -37,7 +37,7 @@ class Params:
     sample: int = 30_000
     lexicon: int = 80
     support: int = 6
-    purity: float = 0.97
+    purity: float = 0.8
     trees: int = 60
     depth: int = 3
     rate: float = 0.2
@@ -80,13 +80,13 @@ def features(docs: DataFrame, lexicon: list[str], *keep: str) -> DataFrame:
         *keep,
         (F.col("hits") / F.col("words")).alias("seed"),
         (F.col("more") / F.col("words")).alias("learned"),
-        F.least(F.col("hits") + F.col("more"), F.lit(20.0)).alias("any_hit"),
+        (F.col("hits") + F.col("more")).alias("any_hit"),
         (F.when(F.col("hits") + F.col("more") > 0, count(close)).otherwise(0.0) / F.col("words")).alias("near"),
         F.when(F.col("own") == F.col("low"), 0.0).otherwise(1 - share("\\p{Lu}+")).alias("capitals"),
         (1 - share("[^\\p{L}\\p{N}\\s]+")).alias("punctuation"),
         ((F.col("n") - F.length(F.replace("own", F.lit("!"), F.lit("")))) / letters).alias("exclamation"),
         (F.when(_has_odd("own"), count("\\p{L}[@$!*0-9]+\\p{L}")).otherwise(0.0) / F.col("words")).alias("obfuscated"),
-        F.least(F.col("n") / F.col("words"), F.lit(60.0)).alias("mean_word"),
+        (F.col("n") / F.col("words")).alias("mean_word"),
         F.log1p("n").alias("log_length"),
     )
 
@@ -110,12 +110,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
 
 
 def learned_lexicon(rows: DataFrame, p: Params) -> list[str]:
-    """Word starts of 4 to 6 letters with enough toxic texts and hardly any other; exact copies of a text count once."""
-    words = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0))), lambda w: F.array(F.substring(w, 1, 4), F.substring(w, 1, 5), F.substring(w, 1, 6)))))
-    seen = rows.filter("text is not null").select("toxic", F.xxhash64("text").alias("copy"), F.explode(words).alias("start"))
-    per = seen.filter(F.length("start") >= 4).groupBy("start", "copy").agg(F.max("toxic").alias("toxic"))
-    counted = per.groupBy("start").agg(F.sum("toxic").alias("yes"), F.count("*").alias("n"))
-    good = counted.filter((F.col("yes") >= p.support) & (F.col("yes") >= p.purity * F.col("n"))).orderBy(F.desc("yes"), "start").limit(8 * p.lexicon).collect()
+    """Word starts of 4 to 8 letters that enough toxic texts hold and that hardly stand in any other, by occurrences; exact copies of a text count once."""
+    texts = rows.filter("text is not null").groupBy(F.xxhash64("text").alias("copy")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    starts = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda n: F.substr(w, F.lit(1), n))))
+    per = texts.select("copy", "toxic", F.explode(starts).alias("start")).groupBy("start", "copy").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    counted = per.groupBy("start").agg(F.sum("toxic").alias("yes"), F.sum(F.col("n") * F.col("toxic")).alias("in_toxic"), F.sum("n").alias("n"))
+    good = counted.filter((F.col("yes") >= p.support) & (F.col("in_toxic") >= p.purity * F.col("n"))).orderBy(F.desc("yes"), "start").limit(8 * p.lexicon).collect()
     out: list[str] = []
     for r in sorted(good, key=lambda r: (len(r["start"]), -r["yes"], r["start"])):
         if not any(r["start"].startswith(x) for x in out):
@@ -175,6 +175,10 @@ def predict(x: np.ndarray, base: float, trees: list[tuple]) -> np.ndarray:
     return out
 
 
+#: Pools of the calibration: with more, neighbours of nearly the same share are put together.
+MAX_POOLS = 64
+
+
 def isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
     """Pool adjacent violators; knots (mean margin, share) to draw lines between, rising strictly in the margin."""
     order = np.argsort(margin, kind="stable")
@@ -184,6 +188,9 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             v2, n2, m2 = pools.pop()
             pools[-1] = [pools[-1][0] + v2, pools[-1][1] + n2, pools[-1][2] + m2]
+    while len(pools) > MAX_POOLS:
+        k = min(range(len(pools) - 1), key=lambda k: pools[k + 1][0] / pools[k + 1][1] - pools[k][0] / pools[k][1])
+        pools[k : k + 2] = [[a + b for a, b in zip(pools[k], pools[k + 1], strict=True)]]
     knots = [(m / n, (v + 0.02) / (n + 0.2)) for v, n, m in pools]  # a little towards the middle
     out = [(-20.0, min(0.001, knots[0][1])), *knots, (20.0, max(0.999, knots[-1][1]))]
     kept = [out[0]]
@@ -194,9 +201,10 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    rows = training_rows(docs, labels, p)
+    rows, path = written(training_rows(docs, labels, p), "sample")  # at most p.sample rows: documents are scanned once for them
     words = learned_lexicon(rows.filter("fold < 2"), p)
     got = features(rows, words, "toxic", "fold").toPandas()  # at most p.sample rows of numbers
+    discard(docs.sparkSession, path)
     x, y, fold = got[list(FEATURES)].to_numpy(float), got["toxic"].to_numpy(float), got["fold"].to_numpy()
     own = fold < 2
     if not len(y) or not 0 < y[own].sum() < own.sum():
@@ -244,7 +252,7 @@ def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
     m = train(docs, labels, p)
     cut = margin_at(m, p.threshold)
     bounded_batches(docs.sparkSession)
-    own = features(docs.select(F.struct(*docs.columns).alias("_row"), "text"), m.lexicon, "_row")
+    own = features(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), "text"), m.lexicon, "_row")
     schema = own.select("_row").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -279,6 +279,13 @@ def test_toxicity(spark, frame, odd, labels):
     assert toxicity.score(odd, labels).count() == 7 and toxicity.clean(odd, labels).columns == odd.columns
 
 
+def test_toxicity_on_held_out_rows(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    own = toxicity.score(docs, known).join(known.filter("toxic is not null").select("doc_id", "toxic"), "doc_id").filter("held_out")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in own.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
 def test_lexicon_counts_texts_with_one_header(spark):
     p = toxicity.Params()
     header = "This message was sent through the common portal of all the users of the service. "
@@ -358,15 +365,18 @@ def test_substring_dedup(docs, frame, odd):
                 keep[i : i + 50] = [False] * 50
         kept = [x for x, k in zip(w, keep) if k]
         assert (got[d]["n_words"], got[d]["n_removed"], got[d]["kept_sha256"]) == (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
-    assert substring_dedup.digests(odd).count() == 7
-
-
-def test_pipeline(spark):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
-        assert after.columns == docs.columns, name
-        assert 0 < after.count() <= docs.count()
-        docs = spark.createDataFrame(after.toPandas(), docs.schema)
-    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    longest, size = dict.fromkeys(got, 0), 50
+    while True:
+        holders = collections.defaultdict(set)
+        for d, t in docs:
+            w = t.encode().split()
+            for i in range(len(w) - size + 1):
+                holders[tuple(w[i : i + size])].add(d)
+        again = set().union(*[x for x in holders.values() if len(x) > 1])
+        if not again:
+            break
+        longest |= dict.fromkeys(again, size)
+        size *= 2
+    assert {d: r["longest_repeat"] for d, r in got.items()} == longest
+    rows = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.digests(odd).collect()}
+    assert rows == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (None, 2, 0), (5, 5000, 0)} and substring_dedup.digests(odd.limit(0)).count() == 0
