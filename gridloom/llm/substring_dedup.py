@@ -3,14 +3,17 @@
 Level 1 takes windows of half the length (25 words). Of each run of 26 neighbouring half windows only the one of least hash is
 kept: any 50 words contain such a run, so equal 50-word windows keep the same one. Half windows that occur in one document
 alone fall. Level 2 takes the windows of twice that length whose kept half window survived; the least doc_id of each
-decides which words go. Doubling ends there: longer repeats are unions of 50-word windows, so none is missed.
+decides which words go. From there two survivors that stand end to end make a window of twice the length, level after level,
+until no window survives; the last length at which a document has one is its longest_repeat.
 
 Exact copies of a text with a smaller doc_id need no windows: all their windows start there, too. Every shuffle carries hashes
-and numbers; texts move by doc_id where candidates meet them and where the result is made.
+and numbers; texts move by doc_id where candidates meet them and where the result is made. Surviving hashes are a table of
+their own, so a hash that a third of all documents hold is split by the adaptive skew join.
 
 Defined cases: null and empty texts have no words; texts under 50 words lose nothing; a document doesn't repeat itself;
 equal doc_ids aren't smaller than each other; null doc_ids neither remove nor lose words; equal rows each give a row.
-Windows are held equal by 64-bit hashes of their words.
+Words go where two windows have the same two 64-bit hashes, made apart; single words are told apart by 64 bits. A worker holds
+one Arrow batch (16 MB of texts or one text) and some 300 bytes a word of its longest text.
 """
 
 from __future__ import annotations
@@ -75,7 +78,7 @@ def first_level(docs: DataFrame, length: int) -> DataFrame:
 
 
 def second_level(candidates: DataFrame, length: int) -> DataFrame:
-    """doc_id, key, at, hash of the whole windows whose kept half window is among the surviving places."""
+    """doc_id, key, at, hash, check of the whole windows whose kept half window is among the surviving places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,36 +88,72 @@ def second_level(candidates: DataFrame, length: int) -> DataFrame:
                     continue
                 _, pick = _halves(h, length)
                 at = np.flatnonzero(np.isin(pick, np.array(places, np.int64)))
-                whole = windows(h, length)[at]
+                whole, check = (windows(x, length)[at].view(np.int64) for x in (h, ~h))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d] * len(at), pa.int64()), pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32), pa.int32()), pa.array(whole.view(np.int64), pa.int64())],
-                    ["doc_id", "key", "at", "hash"],
+                    [pa.array([d] * len(at), pa.int64()), pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32), pa.int32()), pa.array(whole, pa.int64()), pa.array(check, pa.int64())],
+                    ["doc_id", "key", "at", "hash", "check"],
                 )
 
-    return candidates.mapInArrow(run, "doc_id bigint, key binary, at int, hash bigint")
+    return candidates.mapInArrow(run, "doc_id bigint, key binary, at int, hash bigint, check bigint")
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """hash, check, least of the windows that occur in several documents."""
+    return found.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("hash", "check", "least")
+
+
+def longest_repeats(found: DataFrame, length: int) -> DataFrame:
+    """doc_id, key, longest: doubles the repeated windows (doc_id, key, at, hash, check) of a length until none survives."""
+    spark = found.sparkSession
+    levels: list[tuple[DataFrame, str]] = []
+    found, path = written(found.select("doc_id", "key", "at", "hash", "check").distinct(), "level")
+    while found.limit(1).count():
+        levels.append(written(found.select("doc_id", "key").distinct().withColumn("longest", F.lit(length).cast("bigint")), "longest"))
+        second = found.select("doc_id", "key", (F.col("at") - length).alias("at"), F.col("hash").alias("h"), F.col("check").alias("c"))
+        both = found.join(second, ["doc_id", "key", "at"]).select("doc_id", "key", "at", F.xxhash64("hash", "h").alias("hash"), F.xxhash64("c", "check").alias("check"))
+        double, double_path = written(both, "double")
+        shared, shared_path = written(_shared(double), "shared")
+        found, fresh = written(double.join(shared, ["hash", "check"]).select("doc_id", "key", "at", "hash", "check"), "level")
+        discard(spark, path, double_path, shared_path)
+        path = fresh
+        length *= 2
+    if not levels:
+        discard(spark, path)
+        return found.select("doc_id", "key", F.lit(0).cast("bigint").alias("longest")).limit(0)
+    every = levels[0][0]
+    for level, _ in levels[1:]:
+        every = every.union(level)
+    out, _ = written(every.groupBy("doc_id", "key").agg(F.max("longest").alias("longest")), "repeats")
+    discard(spark, path, *[p for _, p in levels])
+    return out
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, key, starts (windows to remove), copy (all windows go) of the documents that lose words."""
+    """doc_id, key, starts (windows to remove), copy (all windows go), longest of the documents that have repeated windows. A table in the shared folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
     own = _keyed(docs).filter("doc_id is not null")
     first, first_path = written(first_level(own, length), "first")
     least = first.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
     marked = first.join(least, "key", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
-    marked, marked_path = written(marked.drop("least"), "marked")
+    marked, marked_path = written(marked.withColumn("twin", F.col("least").isNotNull()).drop("least"), "marked")
     discard(spark, first_path)
-    copies = marked.filter(F.col("copy") & (F.col("n_words") >= length)).select("doc_id", "key").distinct()
+    twins = marked.filter(F.col("twin") & (F.col("n_words") >= length)).select("doc_id", "key", "n_words", "copy").distinct()
     halves = marked.filter("not copy").select("doc_id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("doc_id", "key", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
-    shared = halves.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hash")
+    shared, shared_path = written(halves.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("hash"), "shared")
     alive = halves.join(shared, "hash").groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     candidates = own.join(alive, ["doc_id", "key"])
     whole, whole_path = written(second_level(candidates.select("doc_id", "key", "text", "places"), length), "windows")
-    owners = whole.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("hash", "least")
-    gone = whole.join(owners, "hash").filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
-    both = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "key", F.expr("cast(array() as array<int>)").alias("starts"), F.lit(True).alias("copy")))
+    owners, owners_path = written(_shared(whole), "owners")
+    kept, kept_path = written(whole.join(owners, ["hash", "check"]), "repeated")
+    discard(spark, shared_path, whole_path, owners_path)
+    gone = kept.filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
+    whole_length = (length * F.pow(F.lit(2), F.floor(F.log2(F.col("n_words") / length)))).cast("bigint")  # a text with copies repeats whole
+    twins = twins.select("doc_id", "key", "copy", whole_length.alias("own"))
+    both = longest_repeats(kept, length).join(gone, ["doc_id", "key"], "left").join(twins, ["doc_id", "key"], "full")
+    both = both.select("doc_id", "key", "starts", F.coalesce("copy", F.lit(False)).alias("copy"), F.greatest("longest", "own").alias("longest"))
     out, _ = written(both, "gone")
-    discard(spark, marked_path, whole_path)
+    discard(spark, kept_path, marked_path)
     return out
 
 
@@ -138,12 +177,12 @@ def kept_words(text: str, starts: list[int] | None, copy: bool | None, length: i
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) for each row of docs."""
+    """doc_id, n_words, n_removed, longest_repeat, kept (the words that stay, joined by one space) for each row of docs."""
     return _result(docs, length, lambda kept: kept.decode("utf-8", "replace"), "kept string", pa.string())
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for each row of docs."""
+    """doc_id, n_words, n_removed, longest_repeat, kept_sha256 for each row of docs."""
     return _result(docs, length, lambda kept: hashlib.sha256(kept).hexdigest(), "kept_sha256 string", pa.string())
 
 
@@ -154,8 +193,9 @@ def _result(docs: DataFrame, length: int, last, column: str, kind: pa.DataType)
         for b in batches:
             rows = [kept_words(t, s, c, length) for t, s, c in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "copy")), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(k) for n, k in rows], pa.int64()), pa.array([last(b" ".join(k)) for _, k in rows], kind)],
-                ["doc_id", "n_words", "n_removed", column.split()[0]],
+                [b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([n - len(k) for n, k in rows], pa.int64()), b.column("longest"), pa.array([last(b" ".join(k)) for _, k in rows], kind)],
+                ["doc_id", "n_words", "n_removed", "longest_repeat", column.split()[0]],
             )
 
-    return joined.select("doc_id", "text", "starts", "copy").mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, {column}")
+    joined = joined.select("doc_id", "text", "starts", "copy", F.coalesce("longest", F.lit(0)).cast("bigint").alias("longest"))
+    return joined.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, longest_repeat bigint, {column}")
