@@ -2,7 +2,9 @@
 
 Toxic documents go, one document of each near-duplicate class stays, documents that hold a benchmark item go, personal data
 turns into placeholders, and the rest is encoded and decoded by byte-level BPE. Every stage but the last returns the columns of
-documents; rows with nulls, empty texts or equal ids pass through the stages by the rules of their operators.
+documents, whatever their names; rows with nulls, empty texts or equal ids pass through the stages by the rules of their
+operators: empty texts are not toxic, hold no item, stay once (they are copies of each other) and have no ids. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe, decontaminate, near_dedup, pii, toxicity
-from gridloom.llm.common import table, written
+from gridloom.llm.common import discard, table, written
 from gridloom.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -46,15 +48,18 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", encode),
 ]
 
-#: No stage but the last is plain SQL: trees, signatures and classifier are learned or hashed. tests/llm holds the check by brute force.
+#: No stage is plain SQL: trees, signatures, classifier and merges are learned or hashed. tests/llm/test_pipeline.py holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = written(docs, f"stage-{k}")
+            docs, path = written(docs, f"stage-{k}")
+            if before:
+                discard(spark, before)  # nothing reads the stage before any more
+            before = path
     return docs
