@@ -6,7 +6,7 @@ lexicon holds word starts whose occurrences stand almost only in texts labelled
 
 Training uses labelled rows whose crc32(doc_id as text) mod 4 is 0, 1 or 3, at most `sample` of them by the order of a
 hash (a documented bound): lexicon and trees from the remainders 0 and 1, calibration from 3. Everything else runs over all
-rows: features and trees are one projection without shuffle.
+rows without shuffle: features are a projection, trees and calibration an Arrow step behind it.
 
 Defined cases: null and empty texts have zero features and get the score of those; equal rows each give a row; null doc_ids
 are held in (remainder taken as none); without both classes among the labels the score is the share of toxic ones, 0 if
@@ -175,10 +175,6 @@ def predict(x: np.ndarray, base: float, trees: list[tuple]) -> np.ndarray:
     return out
 
 
-#: Pools of the calibration: with more, neighbours of nearly the same share are put together.
-MAX_POOLS = 64
-
-
 def isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
     """Pool adjacent violators; knots (mean margin, share) to draw lines between, rising strictly in the margin."""
     order = np.argsort(margin, kind="stable")
@@ -188,9 +184,6 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             v2, n2, m2 = pools.pop()
             pools[-1] = [pools[-1][0] + v2, pools[-1][1] + n2, pools[-1][2] + m2]
-    while len(pools) > MAX_POOLS:
-        k = min(range(len(pools) - 1), key=lambda k: pools[k + 1][0] / pools[k + 1][1] - pools[k][0] / pools[k][1])
-        pools[k : k + 2] = [[a + b for a, b in zip(pools[k], pools[k + 1], strict=True)]]
     knots = [(m / n, (v + 0.02) / (n + 0.2)) for v, n, m in pools]  # a little towards the middle
     out = [(-20.0, min(0.001, knots[0][1])), *knots, (20.0, max(0.999, knots[-1][1]))]
     kept = [out[0]]
@@ -215,57 +208,33 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return Model(words, base, trees, isotonic(predict(x[rest], base, trees), y[rest]))
 
 
-def _tree(tree) -> Column:
-    if isinstance(tree, float):
-        return F.lit(tree)
-    k, cut, left, right = tree
-    return F.when(F.col(FEATURES[k]) <= cut, _tree(left)).otherwise(_tree(right))
-
-
-def _margin(m: Model) -> Column:
-    out = F.lit(m.base)
-    for t in m.trees:
-        out = out + _tree(t)
-    return out
-
-
-def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
-    return _scored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), train(docs, labels, p), p, "doc_id").select("doc_id", held_out().alias("held_out"), "score", "predicted")
-
+def _scored(docs: DataFrame, m: Model, *keep: str) -> DataFrame:
+    """The columns to keep, and score.
 
-def _scored(docs: DataFrame, m: Model, p: Params, *keep: str) -> DataFrame:
-    own = features(docs, m.lexicon, *keep).withColumn("margin", F.least(F.greatest(_margin(m), F.lit(-19.9)), F.lit(19.9)))
-    line = F.lit(m.knots[-1][1])
-    for (x0, y0), (x1, y1) in zip(reversed(m.knots[:-1]), reversed(m.knots[1:]), strict=True):
-        line = F.when(F.col("margin") < x1, y0 + (F.col("margin") - x0) * ((y1 - y0) / (x1 - x0))).otherwise(line)
-    own = own.withColumn("score", line)
-    return own.withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
-
-
-def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs, unchanged, that are not predicted toxic.
-
-    The filter stands behind an Arrow step: as an expression Catalyst would push it below the features and repeat those at
-    each node of each tree.
+    Trees and calibration run in an Arrow step over the features. As expressions a filter on the score would be pushed below
+    the features and repeat those at each node of each tree.
     """
-    m = train(docs, labels, p)
-    cut = margin_at(m, p.threshold)
     bounded_batches(docs.sparkSession)
-    own = features(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), "text"), m.lexicon, "_row")
-    schema = own.select("_row").schema
+    own = features(docs, m.lexicon, *keep)
+    schema = own.select(*keep).withColumn("score", F.lit(0.0)).schema
+    at, share = zip(*m.knots, strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES], axis=1) if len(b) else np.zeros((0, len(FEATURES)))
-            yield b.filter(pa.array(predict(x, m.base, m.trees) < cut, pa.bool_())).select(["_row"])
+            score = np.interp(np.clip(predict(x, m.base, m.trees), -19.9, 19.9), at, share)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(score, pa.float64())], [*keep, "score"])
 
-    return own.mapInArrow(run, schema).select("_row.*")
+    return own.mapInArrow(run, schema)
 
 
-def margin_at(m: Model, score_: float) -> float:
-    """The least margin whose score reaches score_."""
-    for (x0, y0), (x1, y1) in zip(m.knots[:-1], m.knots[1:], strict=True):
-        if y1 >= score_:
-            return x0 if y0 >= score_ else x0 + (score_ - y0) * (x1 - x0) / (y1 - y0)
-    return float("inf")
+def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
+    own = _scored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), train(docs, labels, p), "doc_id")
+    return own.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of docs, unchanged, that are not predicted toxic. A row travels as one struct, so its columns may have any name."""
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
+    return _scored(own, train(docs, labels, p), "row").filter(F.col("score") < p.threshold).select("row.*")
