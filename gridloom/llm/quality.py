@@ -9,6 +9,7 @@ array of that fixed size; scoring is a projection without shuffle.
 
 Defined cases: null and empty texts have no words, score 0 and fail the base rules; without any target document all ratios
 are 0; equal rows each give a row; several labels of a document count as target if one is good; null doc_ids have no label.
+A text's words and hashes are arrays in one row: some 150 bytes a word of the longest text.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Params:
-    """threshold: least mean log ratio of a kept document; broadcast_ids: most target ids that are sent to all executors."""
+    """threshold: least mean log ratio of a kept document; broadcast_ids: most target ids that are sent to all executors (some 20 MB)."""
 
     buckets: int = 10_000
     smoothing: float = 1.0
     threshold: float = -0.05
-    broadcast_ids: int = 5_000_000
+    broadcast_ids: int = 500_000
 
 
 def _shifted(a: Column, b: Column, by: int) -> Column:
@@ -41,12 +42,15 @@ def _shifted(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(b) - by, F.lit(0))), F.slice(b, F.lit(by + 1), F.greatest(F.size(b) - by, F.lit(0))), lambda x, y: F.xxhash64(x, y))
 
 
-def _hashed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, hashes of the words (h) and of neighbouring pairs (p), and what is asked for besides: text, word_chars."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _hashed(own: DataFrame, *more: str) -> DataFrame:
+    """Hashes of the words (h) and of neighbouring pairs (p) of own (doc_id, text, ...), and what is asked for besides: its columns, word_chars."""
     own = own.withColumn("words", F.array_remove(F.split("text", GAP, -1), ""))
-    own = own.select("doc_id", "text", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"))
-    return own.select("doc_id", "h", _shifted(F.col("h"), F.col("h"), 1).alias("p"), *more)
+    own = own.withColumns({"h": F.transform("words", lambda w: F.xxhash64(w)), "word_chars": F.length(F.array_join("words", "")).cast("bigint")})
+    return own.select("h", _shifted(F.col("h"), F.col("h"), 1).alias("p"), *more)
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
@@ -56,9 +60,9 @@ def target_ids(labels: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> list[float]:
     """log(target probability / raw probability) of each bucket, over all documents."""
     ids = target_ids(labels)
-    if ids.count() <= p.broadcast_ids:  # else Spark joins by shuffle
+    if ids.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids:  # else texts are shuffled once, by doc_id
         ids = F.broadcast(ids)
-    grams = _hashed(docs).join(ids, "doc_id", "left").select("target", F.explode(F.concat("h", "p")).alias("g"))
+    grams = _hashed(_own(docs).join(ids, "doc_id", "left"), "target").select("target", F.explode(F.concat("h", "p")).alias("g"))
     by_bucket = grams.groupBy(F.pmod("g", F.lit(p.buckets)).cast("int").alias("b"))
     rows = by_bucket.agg(F.count("*").alias("raw"), F.count("target").alias("target")).collect()  # at most p.buckets rows
     raw, target = [0] * p.buckets, [0] * p.buckets
@@ -105,7 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
     some = F.contains("text", F.lit(SYMBOLS[1]))
     for c in SYMBOLS[2:-1]:
         some = some | F.contains("text", F.lit(c))
-    counted = _hashed(docs, "text", "word_chars").select(
+    counted = _hashed(_own(docs), "doc_id", "text", "word_chars").select(
         "doc_id",
         "word_chars",
         F.when(some, F.regexp_count("text", F.lit(SYMBOLS))).otherwise(0).cast("bigint").alias("n_symbols"),
