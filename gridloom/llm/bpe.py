@@ -105,6 +105,9 @@ class ByteBPE:
     def __init__(self, path: str, kept: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("ignore_merges") or model.get("byte_fallback"):
+            raise ValueError(f"{path} is no plain byte-level BPE")
         vocab: dict[str, int] = spec["model"]["vocab"]
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}

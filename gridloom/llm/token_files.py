@@ -7,14 +7,17 @@ numpy look-ups: a table of 256 rows gives the four lengths of each control byte.
 
 File layout, little-endian: magic, version, number of documents, number of ids (u8 x 4), then doc_id (i8) and count (u4) of
 each document, a byte for each document that tells if its doc_id is null, the control bytes and the data bytes. The rank
-table is a file of its own, rank.u4.
+table is a file of its own, rank.u4. Files are written and read by pyarrow's file systems: the shared folder must be one that
+these reach (a mounted one, or hdfs with libhdfs).
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come first; rows with equal doc_ids stand side by
-side, ordered by their ids' bytes; an empty table gives no data file.
+side, ordered by their ids' bytes; an empty table gives no data file. A worker holds one Arrow batch (16 MB of texts or one
+text), the ids of `kept` chunks, and when files are made the ids of one file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -86,16 +89,32 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
+#: The normalizer and pre-tokenizer under which chunks between white space can be encoded apart.
+APART = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+
+
+def encodes_apart(library) -> bool:
+    """Whether a tokenizer normalises and splits texts as APART says; under any other one whole texts go to the library."""
+    spec = json.loads(library.to_str())
+    parts = (spec.get("normalizer") or {}).get("normalizers") or []
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return [x["type"] for x in parts] == APART[0] and parts[1]["pattern"] == {"Regex": "\\s+"} and splits[0].get("pattern") == {"Regex": APART[1]} and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library; each chunk between white space is encoded once while there is room for it."""
 
-    def __init__(self, path: str, kept: int = 800_000):
+    def __init__(self, path: str, kept: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.apart = encodes_apart(self.library)
         # the same model for words of letters between single blanks, which need no regex to be told apart
         self.plain = Tokenizer(self.library.model)
         self.plain.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
@@ -103,12 +122,14 @@ class WordEncoder:
         self.kind = kind_of(self.library.get_vocab_size())
         self.ids: dict[str, bytes] = {"": b""}
         self.kept = kept
-        self.mark_id, self.mark = max((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
+        self.mark_id, self.mark = max(((i, t.content) for i, t in self.library.get_added_tokens_decoder().items()), default=(0, ""))
         self.last = np.zeros(self.library.get_vocab_size(), bool)
         self.last[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str | None]) -> pa.BinaryArray:
         """Packed ids with the end id, for each text. Arrow numbers the chunks of all texts, so Python sees each distinct one once."""
+        if not self.apart:
+            return pa.array([np.array([*self.library.encode(t or "", add_special_tokens=False).ids, END_ID], self.kind).tobytes() for t in texts], pa.binary())
         split = self.chunks([t or "" for t in texts])
         coded = split.values.dictionary_encode()
         found = self.of(coded.dictionary.to_pylist())
