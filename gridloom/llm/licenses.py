@@ -96,6 +96,66 @@ SENTENCES = (
     ("copyright", "copyright", "copyright", 6, 0.4),
     ("©", "© ?[12][0-9]{3}", "copyright", 3, 0.6),
     ("proprietary", "proprietary and confidential", "proprietary", 1, 0.9),
+    ("confidential", "confidential and proprietary", "proprietary", 1, 0.9),
+    ("unauthorized", "unauthorized (?:copying|use|reproduction|distribution)", "proprietary", 2, 0.8),
+    ("prohibited", "(?:copying|reproduction|redistribution|distribution) (?:is|are) (?:strictly )?prohibited", "proprietary", 2, 0.8),
+    ("consent", "without (?:the )?(?:prior )?(?:written )?consent of", "permission-needed", 3, 0.7, "without"),
+    ("permission", "without (?:the )?(?:prior )?(?:express )?(?:written )?permission", "permission-needed", 3, 0.7, "without"),
+    ("permission", "used (?:by|with) permission", "permission-given", 3, 0.7, "used"),
+    ("commercial", "for (?:non-commercial|noncommercial) (?:use|purposes) only", "non-commercial", 2, 0.8),
+    ("commercial", "not for commercial (?:use|purposes)", "non-commercial", 2, 0.8),
+    ("commercial", "(?:non-commercial|noncommercial) use only", "non-commercial", 2, 0.8),
+    ("personal", "for personal use only", "personal-use", 2, 0.8),
+    ("research", "for research (?:use|purposes) only", "research-only", 2, 0.8),
+    ("evaluation", "for evaluation (?:use|purposes) only", "evaluation-only", 2, 0.8),
+    ("educational", "for educational (?:use|purposes) only", "educational-only", 2, 0.8),
+    ("resale", "not for resale", "no-resale", 3, 0.6),
+    ("redistribute", "you may (?:not )?(?:copy|use|modify)(?: and|,? or)? redistribute", "redistribution", 3, 0.6),
+    ("redistribute", "permission to (?:copy|use) and redistribute", "redistribution", 3, 0.7, "permission"),
+    ("attribution", "(?:with|requires?) (?:proper )?attribution", "attribution", 4, 0.5),
+    ("credit", "as long as (?:proper )?credit is given", "attribution", 4, 0.5),
+    ("liable", "in no event shall (?:the )?[a-z ]{3,60} be (?:held )?liable", "no-liability", 4, 0.7, "event"),
+    ("liability", "limitation of liability", "no-liability", 5, 0.5),
+    ("merchantability", "implied warranties of merchantability", "no-warranty", 4, 0.7, "warranties"),
+    ("merchantability", "warranty of merchantability", "no-warranty", 4, 0.7),
+    ("endorse", "may not be used to endorse or promote products", "bsd", 1, 0.9, "promote"),
+    ("sublicense", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies", "mit", 0, 1.0),
+    ("notice", "the above copyright notice and this permission notice shall be included", "mit", 0, 0.9, "copyright"),
+    ("notice", "retain the above copyright notice", "bsd", 1, 0.9, "copyright"),
+    ("foundation", "published by the free software foundation", "gpl", 1, 0.9),
+    ("later", "either version [0-9](?:\\.[0-9])? of the license, or \\(?at your option\\)? any later version", "gpl", 0, 0.95, "license"),
+    ("useful", "distributed in the hope that it will be useful", "gpl", 2, 0.8, "hope"),
+    ("misrepresented", "the origin of this software must not be misrepresented", "zlib", 0, 1.0, "origin"),
+    ("fee", "for any purpose with or without fee", "isc", 1, 0.9, "purpose"),
+    ("boost", "distributed under the boost software license", "boost", 0, 1.0),
+    ("unencumbered", "this is free and unencumbered software", "unlicense", 0, 1.0, "software"),
+    ("patent", "grants? (?:to )?you a [a-z, -]{0,60}patent license", "patent-grant", 2, 0.8, "license"),
+    ("contributor", "subject to the terms and conditions of this license, each contributor", "apache", 0, 1.0, "license"),
+    ("trademark", "(?:is|are) (?:a )?(?:registered )?trademarks? of", "trademark", 4, 0.5),
+    ("open-source", "open-source license", "open-source", 5, 0.5),
+    ("domain", "domaine public", "public-domain", 5, 0.5, "public"),
+    ("gemeinfrei", "gemeinfrei(?:es|e|en)?", "public-domain", 4, 0.6),
+    ("dominio", "dominio público", "public-domain", 5, 0.5),
+    ("rechte", "alle rechte vorbehalten", "reserved", 2, 0.9, "vorbehalten"),
+    ("droits", "tous droits réservés", "reserved", 2, 0.9, "tous"),
+    ("derechos", "todos los derechos reservados", "reserved", 2, 0.9, "reservados"),
+    ("lizenziert", "lizenziert unter (?:der |einer )?", "license-notice", 3, 0.6),
+    ("lizenz", "unter (?:der|einer) [a-z0-9 .-]{2,40}lizenz", "license-notice", 3, 0.7, "unter"),
+    ("licence", "sous (?:la )?licence", "license-notice", 3, 0.6, "sous"),
+    ("licencia", "bajo (?:la )?licencia", "license-notice", 3, 0.6, "bajo"),
+    ("kommerziell", "nur (?:für|zur) (?:den )?(?:nicht-?kommerziellen) (?:gebrauch|nutzung)", "non-commercial", 2, 0.8, "nur"),
+    ("gebrauch", "nur für den privaten gebrauch", "personal-use", 2, 0.8, "privaten"),
+    ("commerciale", "(?:pas d'|aucune )utilisation commerciale", "non-commercial", 2, 0.8, "utilisation"),
+    ("comercial", "(?:sin|no para) (?:uso|fines) comercial(?:es)?", "non-commercial", 2, 0.8),
+    ("genehmigung", "ohne (?:vorherige )?(?:schriftliche )?genehmigung", "permission-needed", 3, 0.7, "ohne"),
+    ("autorisation", "sans (?:l')?autorisation", "permission-needed", 3, 0.7, "sans"),
+    ("autorización", "sin (?:la )?(?:previa )?autorización", "permission-needed", 3, 0.7, "sin"),
+    ("gewähr", "ohne (?:jede |jegliche )?gewähr", "no-warranty", 4, 0.6, "ohne"),
+    ("garantie", "sans (?:aucune )?garantie", "no-warranty", 4, 0.6, "sans"),
+    ("garantía", "sin (?:ninguna )?garantía", "no-warranty", 4, 0.6, "sin"),
+    ("namensnennung", "namensnennung", "cc-by", 3, 0.7),
+    ("paternité", "paternité", "cc-by", 3, 0.6),
+    ("reconocimiento", "(?:creative commons )?reconocimiento [0-9]\\.[0-9]", "cc-by", 3, 0.7),
     ("compliance", "you may not use this (?:file|work) except in compliance with the license", "license-notice", 2, 0.8, "license"),
     ("obtain", "you may obtain a copy of the license at", "license-notice", 2, 0.8, "license"),
     ("specific", "see the license for the specific language", "license-notice", 2, 0.7, "license"),
