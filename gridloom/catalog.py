@@ -430,13 +430,13 @@ def wi4_running_cost(spark, d):
 
 _PROGRESS = """with e as (select user_id as run, event_id as seq, event_id::double / 8 as elapsed, case when event_type <> 'error' then floor(value) / 1024 end as cost from events),
  w as (select *, row_number() over x as n, greatest(60 - row_number() over x, 0) as remaining, count(cost) over x as known, sum(cost) over x as total from e window x as (partition by run order by seq rows between unbounded preceding and current row))
- select run, seq, remaining::int as remaining, round(case when remaining > 0 then elapsed / n * remaining else 0 end, 6) as eta, case when known > 0 then total end as cost_so_far, round(case when known > 0 then total + total / known * remaining end, 6) as projected_cost from w"""
+ select run, seq, remaining::int as remaining, case when remaining > 0 then elapsed / n * remaining else 0 end as eta, case when known > 0 then total end as cost_so_far, case when known > 0 then total + total / known * remaining end as projected_cost from w"""
 
 
 @query(_PROGRESS)
 def ag12_progress(spark, d):
     own = _t(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_id") / 8).alias("elapsed"), F.when(F.col("event_type") != "error", F.floor("value") / 1024).alias("cost"))
-    return attempts.progress(own, F.lit(60)).select("run", "seq", "remaining", F.round("eta", 6).alias("eta"), "cost_so_far", F.round("projected_cost", 6).alias("projected_cost"))
+    return attempts.progress(own, F.lit(60)).select("run", "seq", "remaining", "eta", "cost_so_far", "projected_cost")
 
 
 _RATED_SQL = f"(select *, case when status <> 'completed' then 'not_parsed' when k % 10 = 0 then 'not_scored' when value between 0 and 50 then 'parsed' else 'parse_failed' end as parse_status from {_LOG_SQL})"
@@ -555,6 +555,12 @@ def va6_sent_transcript(spark, d):
     return _t(spark, d, "documents").select("doc_id", validate.sent_transcript(prompt).alias("sent"))
 
 
+@query("select source, list_sort(list(distinct lang)) = ['de', 'en', 'es', 'fr'] as every from documents where lang is not null group by source")
+def se4_same_members(spark, d):
+    own = _t(spark, d, "documents").filter("lang is not null").groupBy("source").agg(F.collect_set("lang").alias("langs"))
+    return own.select("source", validate.same_members(F.col("langs"), F.array(*map(F.lit, ("de", "en", "es", "fr")))).alias("every"))
+
+
 @query("select event_id, value from events where not value between 0 and 50")
 def va10_out_of_range(spark, d):
     return validate.out_of_range(_t(spark, d, "events").select("event_id", "value"), "value", 0, 50)

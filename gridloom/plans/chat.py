@@ -59,10 +59,10 @@ class StatelessConversation:
         return {"text": response.get("output_text"), "id": response.get("id"), "usage": usage_of(response.get("usage"))}
 
 
-def tool_loop(service: Service, prompt: str, tools: dict[str, Callable[..., str]], specs: list[dict[str, Any]], model: str) -> str:
-    """The answer to a prompt, after at most MAX_ROUNDS rounds of function calls; a call of an unknown tool is an error."""
+def tool_loop(service: Service, prompt: str, tools: dict[str, Callable[..., str]], specs: list[dict[str, Any]], model: str, rounds: int = MAX_ROUNDS) -> str:
+    """The answer to a prompt, after at most `rounds` rounds of function calls; a call of an unknown tool is an error."""
     items: list[dict[str, Any]] = [{"role": "user", "content": prompt}]
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds):
         response = service({"model": model, "input": items, "tools": specs})
         items += response.get("output", [])
         calls = [x for x in response.get("output", []) if x.get("type") == "function_call"]
@@ -72,7 +72,16 @@ def tool_loop(service: Service, prompt: str, tools: dict[str, Callable[..., str]
             if call["name"] not in tools:
                 raise ValueError(f"Unknown tool: {call['name']}")
             items.append({"type": "function_call_output", "call_id": call["call_id"], "output": tools[call["name"]](**json.loads(call.get("arguments") or "{}"))})
-    raise RuntimeError("Tool loop exceeded eight rounds")
+    raise RuntimeError(f"Tool loop exceeded {rounds} rounds")
+
+
+def study_agent(spark: SparkSession, service: Service, folder: str, prompt: str, model: str) -> str:
+    """The answer to a question about a study folder, which the model may list and read (bounded) for up to twelve turns."""
+    listing = lambda: json.dumps([r.asDict() for r in scans.study_files(spark, folder).collect()])  # noqa: E731  a study is some files
+    tools = {"list_study_files": listing, "read_study_file": lambda path: scans.read_study_file(path, folder)}
+    text = {"path": {"type": "string"}}
+    specs = [{"type": "function", "name": n, "parameters": {"type": "object", "properties": p, "required": list(p), "additionalProperties": False}} for n, p in (("list_study_files", {}), ("read_study_file", text))]
+    return tool_loop(service, prompt, tools, [*specs, CODE_INTERPRETER], model, rounds=12)
 
 
 def inventory(transcripts: DataFrame, items: DataFrame) -> DataFrame:

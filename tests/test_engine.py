@@ -383,7 +383,7 @@ def test_chat(spark):
     assert chat.tool_loop(lambda r: next(said), "go", {"f": lambda x: str(x * 2)}, [], "m") == "done"
     with pytest.raises(ValueError, match="Unknown tool"):
         chat.tool_loop(lambda r: {"output": [{"type": "function_call", "name": "g", "call_id": "1"}]}, "go", {}, [], "m")
-    with pytest.raises(RuntimeError, match="eight"):
+    with pytest.raises(RuntimeError, match="exceeded 8 rounds"):
         chat.tool_loop(lambda r: {"output": [{"type": "function_call", "name": "f", "call_id": "1"}]}, "go", {"f": lambda: ""}, [], "m")
 
 
@@ -434,3 +434,36 @@ def test_summaries_of_unknown_jobs(spark):
     assert column(attempts.with_summaries(jobs, spark.createDataFrame([("a", 2)], "job_id string, n int")), "n", "job_id") == {"a": 2, "b": None}
     with pytest.raises(ValueError, match="unknown job_id values: z"):
         attempts.with_summaries(jobs, spark.createDataFrame([("z", 2)], "job_id string, n int"))
+
+
+def test_study_agent(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("seven")
+    turns = iter([("list_study_files", {}), ("read_study_file", {"path": "a.txt"})])
+
+    def service(request):
+        call = next(turns, None)
+        if call:
+            return {"output": [{"type": "function_call", "name": call[0], "call_id": call[0], "arguments": json.dumps(call[1])}]}
+        return {"output": [], "output_text": " / ".join(x["output"] for x in request["input"] if x.get("type") == "function_call_output")}
+
+    assert chat.study_agent(spark, service, str(tmp_path), "What is in it?", "m") == '[{"path": "a.txt", "characters": 5}] / seven'
+
+
+def test_masked_file_and_time(spark, tmp_path):
+    from datetime import datetime
+
+    from gridloom.functions.text import utc_now
+
+    (tmp_path / "a.txt").write_text("Bob is here")
+    raw, result = privacy.mask_file(spark, str(tmp_path / "a.txt"), privacy.Deidentifier(load=lambda: everyone))
+    assert raw == b"[PRIVATE_PERSON_1] is here" and len(result["matches"]) == 1
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    with pytest.raises(ValueError, match="UTF-8"):
+        privacy.mask_file(spark, str(tmp_path / "b.txt"))
+    said = datetime.fromisoformat(one(spark, utc_now()))
+    assert said.utcoffset().total_seconds() == 0 and abs(said.timestamp() - datetime.now().timestamp()) < 600
+
+
+def test_pattern_detector():
+    found = privacy.pattern_detector('see https://x.org/a?b=1 or a@b.org, +1 (555) 010-9999, token = "abcdef12345", 4111111111111111 on 2020-01-31')
+    assert [label for label, _, _ in found] == ["private_url", "private_email", "private_phone", "secret", "account_number", "private_date"]
