@@ -59,7 +59,7 @@ KINDS = (
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "+", True, "^\\+(1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])", "(?i)tel|phone|call|fax|mobil|anruf|appel|llam", 0.9),
     Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}(?![A-Za-z0-9])", _DIGITS, False, "^(AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MD|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)", "(?i)iban|account|bank|konto|compte|cuenta"),
     Kind("secret", "(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\\x20]?[=:][\\x20]?\"?[A-Za-z0-9+/_.-]{8,}\"?", "=:", False, "[0-9a-f]{16,}", "(?i)login|user|auth|config|export|set", 0.8),
-    Kind("local_phone", "(?<![0-9A-Za-z+().-])\\([0-9]{3}\\)[\\x20]?[0-9]{3}[.-][0-9]{4}(?![0-9])", "(", False, "^\\([2-9]", "(?i)tel|phone|call|fax|mobil", 0.7),
+    Kind("local_phone", "(?<![0-9A-Za-z+().-])(?<!\\+[0-9]{1,3}\\x20)\\([0-9]{3}\\)[\\x20]?[0-9]{3}[.-][0-9]{4}(?![0-9])", "(", False, "^\\([2-9]", "(?i)tel|phone|call|fax|mobil", 0.7),
     Kind("name", f"(?<![\\p{{L}}\\p{{N}}]){_NAME}(?:\\x20{_NAME}){{1,2}}{_NO_LETTER}", "", False, f"^(?:{GIVEN})\\x20", "(?i)(?:(?<!\\p{L})(?:mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|mme|señora?|sra?|doña?)\\.?|names?(?: is|:)?|named|heißt|appelle|llamo|regards,?|signed(?: by)?|contact:?)\\s*$", 0.02),
     Kind("address", f"(?<![\\p{{L}}\\p{{N}}])(?:[0-9]{{1,5}},?\\x20{_NAME}(?:\\x20{_NAME}){{0,2}}|{_NAME}(?:\\x20{_NAME})?\\x20[0-9]{{1,4}}[a-z]?|(?i:rue|avenue|calle|avenida|plaza)\\x20(?:del?\\x20(?:la\\x20)?|du\\x20|des\\x20)?{_NAME},?\\x20[0-9]{{1,4}}){_NO_LETTER}", _DIGITS, False, "(?i)(?:street|st|road|rd|avenue|ave|lane|drive|boulevard|blvd|straße|strasse|weg|platz|gasse|allee)(?!\\p{L})|^(?:rue|calle|avenida|plaza)\\x20", "(?i)(?:address|adresse|lives?(?: at)?|located at|anschrift|wohnt|habite|dirección|domicilio|vive en|ship to)[^.\\n]{0,12}$", 0.05),
     Kind("birth_date", "(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])", _DIGITS, False, "(?<![0-9])(?:19[2-9][0-9]|20[01][0-9])(?![0-9])", "(?i)(?:born|birth|dob|geboren|geburtsdatum|geb\\.|née?|naissance|nacid[oa]|nacimiento)[^.\\n]{0,12}$", 0.05),

@@ -284,6 +284,7 @@ def test_personal_data(spark, odd):
     mails = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     others = [f"ip:{text.index('10.0')}:{text.index('10.0') + 8}", f"card:{text.index('4111')}:{text.index('4111') + 19}", f"phone:{text.index('+1')}:{text.index('+1') + 17}"]
     assert r["base_sha256"] == hashlib.sha256(",".join(mails + others).encode()).hexdigest()
+    assert r["spans"] == ",".join(mails + others)  # the local part of a phone number is no span of its own
     assert pii.report(odd).count() == 7
     masked = pii.mask(spark.createDataFrame([(1, "to a@b.org now"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [m["text"] for m in masked] == ["to [EMAIL] now", None]
