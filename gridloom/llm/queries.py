@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, decontaminate, html_extract, licenses, near_dedup, pii, quality, substring_dedup, token_files, toxicity
+from gridloom.llm import bpe, decontaminate, fingerprints, html_extract, licenses, near_dedup, pii, quality, substring_dedup, token_files, toxicity
 from gridloom.llm.common import table
 
 
@@ -62,8 +62,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_near_dedup, op5_token_files, op6_pii, op7_bpe, op8_toxicity, op9_decontamination, op10_substring_dedup)
+    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_near_dedup, op5_token_files, op6_pii, op7_bpe, op8_toxicity, op9_decontamination, op10_substring_dedup, op12_fingerprints)
 }
 ORACLES: dict[str, str] = {}
