@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontaminate, fingerprints, html_extract, licenses, near_dedup, pii, quality, substring_dedup, token_files, toxicity
+from gridloom.llm import bpe, decontaminate, divergence, fingerprints, hard_negatives, html_extract, licenses, near_dedup, pii, quality, substring_dedup, token_files, toxicity
 from gridloom.llm.common import table
 
 
@@ -66,8 +67,18 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the labels is moved by one, so that a label's rows aren't the anchor's likes alone."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_near_dedup, op5_token_files, op6_pii, op7_bpe, op8_toxicity, op9_decontamination, op10_substring_dedup, op12_fingerprints)
+    for f in (op1_quality_rules, op2_html_extraction, op3_license_scan, op4_near_dedup, op5_token_files, op6_pii, op7_bpe, op8_toxicity, op9_decontamination, op10_substring_dedup, op11_hard_negatives, op12_fingerprints, op13_source_divergence)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_hard_negatives": hard_negatives.SQL, "op13_source_divergence": divergence.SQL}
