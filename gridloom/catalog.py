@@ -5,8 +5,7 @@ documents stand for texts, events for the attempt log, lineitem for calls with t
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +15,13 @@ from gridloom.functions import items as item_texts
 from gridloom.functions import text as texts
 from gridloom.functions.contract import RATING
 from gridloom.functions.text import Template, categories, duration, html_escape, scale, strip
-from gridloom.operators import attempts, grid, privacy, themes, validate
-from gridloom.plans import batch, chat
-from gridloom.plans.run import run_jobs
-from gridloom.sources import report, scans, sinks
+from gridloom.operators import attempts, grid, privacy, quotes, themes, validate
+from gridloom.operators.ordered import running
+from gridloom.plans import batch, chat, workflow
+from gridloom.plans.run import METADATA, run_jobs
+from gridloom.shared import work_path
+from gridloom.sources import report, scans, sinks, snapshot
+from gridloom.streaming.progress import live_progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,14 +51,26 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new path that driver and executors share, for queries that write files and read them back."""
-    home = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    return f"{home.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    return work_path(spark, name)
 
 
 def _items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k + 1, *r) for k, r in enumerate(ITEMS)], "ordinal int, item_id string, item_prompt string, min_value double, max_value double, scoring_values string")
 
 
+#: An item bank of as many items as there are parts: a range, two texts, a numeric scale, yes or no.
+_BANK_SQL = """(select p_partkey::int + 1 as ordinal, 'i' || p_partkey as item_id, p_name as item_prompt, case when p_partkey % 2 = 0 then 0::double end as min_value,
+ case p_partkey % 4 when 0 then p_size::double when 2 then p_size + 1.5 end as max_value,
+ case p_partkey % 4 when 0 then '' when 1 then p_brand || ' | ' || p_type when 2 then '0 = Low | ' || (p_size + 1.5)::double || ' = ' || p_name else 'Yes | No' end as scoring_values from part) items"""
+
+
+def _bank(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey") % 4
+    scale = F.when(key == 0, "").when(key == 1, F.concat("p_brand", F.lit(" | "), "p_type")).when(key == 2, F.concat(F.lit("0 = Low | "), F.col("p_size") + F.lit(1.5), F.lit(" = "), "p_name")).otherwise("Yes | No")
+    most = F.when(key == 0, F.col("p_size").cast("double")).when(key == 2, F.col("p_size") + F.lit(1.5))
+    return _t(spark, d, "part").select((F.col("p_partkey") + 1).cast("int").alias("ordinal"), F.concat(F.lit("i"), "p_partkey").alias("item_id"), F.col("p_name").alias("item_prompt"), F.when(key % 2 == 0, 0.0).alias("min_value"), most.alias("max_value"), scale.alias("scoring_values"))
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("purchase", "view"), "completed").when(F.col("event_type") == "error", "failed").otherwise("validation_failed")
     user, event = F.col("user_id"), F.col("event_id")
@@ -83,14 +97,14 @@ def jo1_request_grid(spark, d):
     return grid.grid(_texts(spark, d), _items(spark), t, "m0").select("transcript_id", "item_id", "job_id", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
-@query(f"select item_id, try_cast(trim(split_part(part, '=', 1)) as double) as value, trim(split_part(part, '=', 2)) as label from (select item_id, unnest(string_split(scoring_values, '|')) as part from {_ITEMS_SQL} where contains(scoring_values, '='))")
+@query(f"select item_id, try_cast(trim(split_part(part, '=', 1)) as double) as value, trim(split_part(part, '=', 2)) as label from (select item_id, unnest(string_split(scoring_values, '|')) as part from {_BANK_SQL} where contains(scoring_values, '='))")
 def pr3_scale_parse(spark, d):
-    return _items(spark).filter(F.contains("scoring_values", F.lit("="))).select("item_id", F.explode(scale(F.col("scoring_values"))).alias("x")).select("item_id", "x.value", "x.label")
+    return _bank(spark, d).filter(F.contains("scoring_values", F.lit("="))).select("item_id", F.explode(scale(F.col("scoring_values"))).alias("x")).select("item_id", "x.value", "x.label")
 
 
-@query(f"select item_id, case when contains(scoring_values, '=') or trim(scoring_values) = '' then 0 else len(string_split(scoring_values, '|')) end::bigint as n from {_ITEMS_SQL}")
+@query(f"select item_id, case when contains(scoring_values, '=') or trim(scoring_values) = '' then 0 else len(string_split(scoring_values, '|')) end::bigint as n from {_BANK_SQL}")
 def pr4_categories(spark, d):
-    return _items(spark).select("item_id", F.size(categories(F.col("scoring_values"))).cast("bigint").alias("n"))
+    return _bank(spark, d).select("item_id", F.size(categories(F.col("scoring_values"))).cast("bigint").alias("n"))
 
 
 @query(f"select job_id, max(seq) as seq, arg_max(status, seq) as status, arg_max(value, seq) as value, min(seq) as ord from {_LOG_SQL} group by job_id")
@@ -176,14 +190,20 @@ def se2_duplicates(spark, d):
 
 
 def _study(spark: SparkSession, d: str, name: str) -> str:
-    """A folder with a text file for each nation."""
+    """A folder with a text file for each supplier, written by the tasks."""
     folder = _scratch(spark, name)
-    for r in _t(spark, d, "nation").collect():
-        sinks.write_text(spark, f"{folder}/n{r['n_nationkey']:02}.txt", f" {r['n_name']} of {r['n_regionkey']}\n")
+    own = _t(spark, d, "supplier").select(F.format_string("s%06d.txt", "s_suppkey").alias("name"), F.concat(F.lit(" "), "s_name", F.lit(" of "), "s_nationkey", F.lit("\n")).alias("text"))
+    sinks.write_files(own, folder)
     return folder
 
 
-_STUDY_SQL = "(select 'n' || lpad(n_nationkey::varchar, 2, '0') as stem, n_name || ' of ' || n_regionkey as body from nation)"
+_STUDY_SQL = "(select 's' || lpad(s_suppkey::varchar, 6, '0') as stem, s_name || ' of ' || s_nationkey as body from supplier)"
+
+
+def _one_file(lines: DataFrame, path: str) -> str:
+    """Lines (at, value) in order as one file in a folder."""
+    lines.orderBy("at").coalesce(1).select("value").write.text(path)
+    return path
 
 
 @query(f"select stem as transcript_id, body as text, stem || '.txt' as filename from {_STUDY_SQL}")
@@ -191,28 +211,30 @@ def sc1_text_folder(spark, d):
     return scans.text_folder(spark, _study(spark, d, "sc1"))
 
 
-_CSV = "\ufeffitem_id , prompt,min_value,max_value,scoring_values,more\n" + "".join(f' {i} ,"{p} ""x"", y",{"" if a is None else a},{"" if b is None else b},{s},z\n' for i, p, a, b, s in ITEMS)
+_CSV = "\ufeffitem_id , prompt,min_value,max_value,scoring_values,more"
 
 
-@query(f"select ordinal::int as ordinal, item_id, item_prompt || ' \"x\", y' as prompt, min_value, max_value, scoring_values from {_ITEMS_SQL}")
+@query(f"select ordinal, item_id, item_prompt || ' \"x\", y' as prompt, min_value, max_value, scoring_values from {_BANK_SQL}")
 def sc2_item_bank(spark, d):
-    path = _scratch(spark, "sc2") + ".csv"
-    sinks.write_text(spark, path, _CSV)
-    return scans.item_bank(spark, path)
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat(F.lit(" "), "item_id", F.lit(' ,"'), "item_prompt", F.lit(' ""x"", y",'), cell("min_value"), F.lit(","), cell("max_value"), F.lit(","), "scoring_values", F.lit(",z"))
+    lines = _bank(spark, d).select(F.col("ordinal").alias("at"), line.alias("value")).union(spark.range(1).select(F.lit(0), F.lit(_CSV)))
+    return scans.item_bank(spark, _one_file(lines, _scratch(spark, "sc2")))
 
 
-@query("select 'm' || n_nationkey as model, 'standard' as service_tier, n_nationkey::double / 4 as input_per_million, 0.5::double as cached_input_per_million, 2.0::double as output_per_million, '2026-01-01' as as_of, 'http://x' as source_url from nation where n_nationkey = 7")
+@query("select 'm' || s_suppkey as model, 'standard' as service_tier, s_nationkey::double / 4 as input_per_million, 0.5::double as cached_input_per_million, 2.0::double as output_per_million, '2026-01-01' as as_of, 'http://x' as source_url from supplier where s_suppkey = 7")
 def sc3_pricing(spark, d):
-    path = _scratch(spark, "sc3") + ".csv"
-    rows = [f"m{r['n_nationkey']} ,{t},{r['n_nationkey'] / 4},0.5,2,2026-01-01,http://x,note\n" for r in _t(spark, d, "nation").collect() for t in ("standard", "batch")]
-    sinks.write_text(spark, path, "model,service_tier,input_per_million,cached_input_per_million,output_per_million,as_of,source_url,notes\n" + "".join(rows))
+    head = "model,service_tier,input_per_million,cached_input_per_million,output_per_million,as_of,source_url,notes"
+    line = F.concat(F.lit("m"), "s_suppkey", F.lit(" ,"), "tier", F.lit(","), F.col("s_nationkey") / 4, F.lit(",0.5,2,2026-01-01,http://x,note"))
+    own = _t(spark, d, "supplier").withColumn("tier", F.explode(F.array(F.lit("standard"), F.lit("batch"))))
+    path = _one_file(own.select((F.col("s_suppkey") + 1).alias("at"), line.alias("value")).union(spark.range(1).select(F.lit(0), F.lit(head))), _scratch(spark, "sc3"))
     scans.pricing(spark, path, "m7")
     return scans.price_rows(spark, path, "m7")
 
 
 def _lines(spark: SparkSession, d: str, name: str) -> str:
     path = _scratch(spark, name)
-    _t(spark, d, "events").orderBy("event_id").coalesce(1).select(F.to_json(F.struct(F.concat(F.lit("job-"), "user_id").alias("job_id"), "event_id", "event_type")).alias("value")).write.text(path)
+    _t(spark, d, "events").repartitionByRange("event_id").sortWithinPartitions("event_id").select(F.to_json(F.struct(F.concat(F.lit("job-"), "user_id").alias("job_id"), "event_id", "event_type")).alias("value")).write.text(path)
     return path
 
 
@@ -233,8 +255,7 @@ def sc6_diaries(spark, d):
 
 @query(f"select stem || '.txt' as path, (length(body) + 2)::int as characters, row_number() over (order by stem)::int as place from {_STUDY_SQL}")
 def sc7_study_files(spark, d):
-    found = scans.study_files(spark, _study(spark, d, "sc7")).collect()
-    return spark.createDataFrame([(r["path"], r["characters"], k + 1) for k, r in enumerate(found)], "path string, characters int, place int")
+    return running(scans.study_files(spark, _study(spark, d, "sc7")), [], ["path"]).select("path", "characters", F.col("n").cast("int").alias("place"))
 
 
 @query(f"select stem || '.txt' as name, sha256(' ' || body || chr(10)) as sha256 from {_STUDY_SQL}")
@@ -267,28 +288,29 @@ def _asks(spark, d):
 # --- items, requests
 
 
-@query(f"select item_id, case when contains(scoring_values, '=') then list_transform(string_split(scoring_values, '|'), lambda x: trim(split_part(x, '=', 1)) || '.0') when scoring_values = '' then [] else list_transform(string_split(scoring_values, '|'), lambda x: trim(x)) end::varchar[] as allowed from {_ITEMS_SQL}")
+@query(f"select item_id, case when contains(scoring_values, '=') then list_transform(string_split(scoring_values, '|'), lambda x: trim(split_part(x, '=', 1))::double::varchar) when scoring_values = '' then [] else list_transform(string_split(scoring_values, '|'), lambda x: trim(x)) end::varchar[] as allowed from {_BANK_SQL}")
 def pr5_allowed_values(spark, d):
-    return _items(spark).select("item_id", item_texts.allowed_values(F.col("scoring_values")).alias("allowed"))
+    return _bank(spark, d).select("item_id", item_texts.allowed_values(F.col("scoring_values")).alias("allowed"))
 
 
 _GUIDE = "case when scoring_values = '' then 'Any number in the allowed range.' when contains(scoring_values, '=') then array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: printf('%g', trim(split_part(x, '=', 1))::double) || ' = ' || trim(split_part(x, '=', 2))), chr(10)) else 'Return exactly one of these text responses:' || chr(10) || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: '- ' || trim(x)), chr(10)) end"
 _NEEDS = f"case when min_value is null then {_GUIDE} else 'Numeric range: ' || printf('%g', min_value) || ' to ' || printf('%g', max_value) || '.' || chr(10) || {_GUIDE} end"
 
 
-@query(f"select item_id, {_GUIDE} as guide, {_NEEDS} as needs from {_ITEMS_SQL}")
+@query(f"select item_id, {_GUIDE} as guide, {_NEEDS} as needs from {_BANK_SQL}")
 def pr7_response_requirements(spark, d):
     c = [F.col(x) for x in ("min_value", "max_value", "scoring_values")]
-    return _items(spark).select("item_id", item_texts.scoring_guide(c[2]).alias("guide"), item_texts.response_requirements(*c).alias("needs"))
+    return _bank(spark, d).select("item_id", item_texts.scoring_guide(c[2]).alias("guide"), item_texts.response_requirements(*c).alias("needs"))
 
 
-_ENUM = "case when scoring_values = '' then '{\"type\":\"number\"}' when contains(scoring_values, '=') then '{\"enum\":[' || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: trim(split_part(x, '=', 1))), ',') || '],\"type\":\"integer\"}' else '{\"enum\":[' || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: '\"' || trim(x) || '\"'), ',') || '],\"type\":\"string\"}' end"
+_WHOLE = "len(list_filter(string_split(scoring_values, '|'), lambda x: contains(split_part(x, '=', 1), '.'))) = 0"
+_ENUM = "case when scoring_values = '' then '{\"type\":\"number\"}' when contains(scoring_values, '=') then '{\"enum\":[' || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: case when " + _WHOLE + " then trim(split_part(x, '=', 1)) else trim(split_part(x, '=', 1))::double::varchar end), ',') || '],\"type\":\"' || case when " + _WHOLE + " then 'integer' else 'number' end || '\"}' else '{\"enum\":[' || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: '\"' || trim(x) || '\"'), ',') || '],\"type\":\"string\"}' end"
 _FORMAT = "'{\"name\":\"rating_v1\",\"schema\":{\"additionalProperties\":false,\"properties\":{\"rating\":{\"anyOf\":[' || " + _ENUM + " || ',{\"type\":\"null\"}],\"title\":\"Rating\"}},\"required\":[\"rating\"],\"title\":\"rating\",\"type\":\"object\"},\"strict\":true,\"type\":\"json_schema\"}'"
 
 
-@query(f"select item_id, {_FORMAT} as format from {_ITEMS_SQL}")
+@query(f"select item_id, {_FORMAT} as format from {_BANK_SQL}")
 def pr10_output_format(spark, d):
-    return grid.item_formats(_items(spark), RATING).select("item_id", texts.canonical_json("output_format").alias("format"))
+    return grid.item_formats(_bank(spark, d), RATING).select("item_id", texts.canonical_json("output_format").alias("format"))
 
 
 _ALLOWED = "case when scoring_values = '' then '[]' when contains(scoring_values, '=') then '[' || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: trim(split_part(x, '=', 1)) || '.0'), ',') || ']' else '[' || array_to_string(list_transform(string_split(scoring_values, '|'), lambda x: '\"' || trim(x) || '\"'), ',') || ']' end"
@@ -351,33 +373,33 @@ def jo4_current_records(spark, d):
     return attempts.current(_jobs2(spark, d).distinct(), _log(spark, d)).select("ordinal", "job_id", "seq", "status", "ord")
 
 
-@query("select 'job-' || c_custkey as job_id, n from customer left join (select o_custkey as c_custkey, count(*) as n from orders where o_custkey % 3 = 0 group by 1) using (c_custkey)")
+@query("select 'job-' || c_custkey as job_id, n from customer left join (select o_custkey as c_custkey, count(*) as n from orders group by 1) using (c_custkey)")
 def jo6_with_summaries(spark, d):
-    counts = _t(spark, d, "orders").filter("o_custkey % 3 = 0").groupBy("o_custkey").agg(F.count("*").alias("n")).select(F.concat(F.lit("job-"), "o_custkey").alias("job_id"), "n")
+    counts = _t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(F.concat(F.lit("job-"), "o_custkey").alias("job_id"), "n")
     return attempts.with_summaries(_jobs(spark, d).select("job_id"), counts)
 
 
-# --- themes: a theme is a source, its candidates the documents of it, their diaries the languages
+# --- themes: a theme is fifty documents, its candidates each of them, their diaries the languages
 
-_THEMES_SQL = "(select source as theme_id, list('c' || doc_id order by doc_id) as candidate_ids from documents group by source)"
-_SCORES = "(select source as theme_id, count(distinct lang) as source_count, count(*) as candidate_count, avg(1 + doc_id % 5) as mean_importance, 0.7::double * (100::double * count(distinct lang) / 4) + 0.3::double * (avg(1 + doc_id % 5) / 5 * 100) as salience from documents group by source)"
+_THEME = "'t' || (doc_id // 50)"
+_SCORES = f"(select {_THEME} as theme_id, count(distinct lang) as source_count, count(*) as candidate_count, avg(1 + doc_id % 5) as mean_importance, 0.7::double * (100::double * count(distinct lang) / 4) + 0.3::double * (avg(1 + doc_id % 5) / 5 * 100) as salience from documents group by 1)"
 _ROUNDED = f"(select theme_id, source_count, candidate_count, printf('%.2f', mean_importance)::double as mean_importance, printf('%.1f', salience)::double as salience from {_SCORES})"
 
 
 def _themes(spark, d):
-    return _t(spark, d, "documents").groupBy(F.col("source").alias("theme_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("c"), "doc_id"))).alias("candidate_ids"))
+    return _t(spark, d, "documents").groupBy(F.concat(F.lit("t"), F.expr("doc_id div 50")).alias("theme_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("c"), "doc_id"))).alias("candidate_ids"))
 
 
 def _found(spark, d):
     return _t(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), F.col("lang").alias("diary_id"), (1 + F.col("doc_id") % 5).alias("importance"))
 
 
-@query("select source as theme_id, 'c' || doc_id as candidate_id, lang as source_id, 1 + doc_id % 5 as importance from documents")
+@query(f"select {_THEME} as theme_id, 'c' || doc_id as candidate_id, lang as source_id, 1 + doc_id % 5 as importance from documents")
 def jo8_members(spark, d):
     return themes.members(_themes(spark, d), _found(spark, d))
 
 
-@query("select distinct lang as diary_id, source as theme_id, upper(lang) as name from documents where lang is not null")
+@query(f"select distinct lang as diary_id, {_THEME} as theme_id, upper(lang) as name from documents join (select distinct lang from documents) using (lang)")
 def jo9_theme_sources(spark, d):
     langs = _t(spark, d, "documents").select(F.col("lang").alias("diary_id")).distinct().withColumn("name", F.upper("diary_id"))
     return themes.sources_of(_themes(spark, d), _found(spark, d), langs)
@@ -393,7 +415,7 @@ def so2_top_themes(spark, d):
     return themes.top(themes.scored(themes.members(_themes(spark, d), _found(spark, d)), 4)).select("theme_id", "salience")
 
 
-@query("select count(distinct source) as themes, count(*) as mentions, (select count(*) from benchmark) as audits from documents")
+@query(f"select count(distinct {_THEME}) as themes, count(*) as mentions, (select count(*) from benchmark) as audits from documents")
 def ag11_report_totals(spark, d):
     return themes.report_totals(themes.raw_scores(themes.members(_themes(spark, d), _found(spark, d)), 4), _t(spark, d, "benchmark"))
 
@@ -555,9 +577,9 @@ def va6_sent_transcript(spark, d):
     return _t(spark, d, "documents").select("doc_id", validate.sent_transcript(prompt).alias("sent"))
 
 
-@query("select source, list_sort(list(distinct lang)) = ['de', 'en', 'es', 'fr'] as every from documents where lang is not null group by source")
+@query("select source, list_sort(list(distinct lang) filter (lang is not null)) = ['de', 'en', 'es', 'fr'] as every from documents group by source")
 def se4_same_members(spark, d):
-    own = _t(spark, d, "documents").filter("lang is not null").groupBy("source").agg(F.collect_set("lang").alias("langs"))
+    own = _t(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("langs"))
     return own.select("source", validate.same_members(F.col("langs"), F.array(*map(F.lit, ("de", "en", "es", "fr")))).alias("every"))
 
 
@@ -612,18 +634,19 @@ def ag9_combined_summaries(spark, d):
     return privacy.payload(privacy.combined(own.withColumn("seq", F.col("key")), "scope"))
 
 
-@query("select doc_id, list_filter([case when doc_id % 3 = 0 then 'private_email' end, 'private_url', case when doc_id % 2 = 0 then 'secret' end], lambda x: x is not null and x <> 'private_url') as labels, doc_id % 4 = 0 as bad from documents")
+@query("select doc_id, list_filter([case when n % 3 = 0 then 'private_email' end, case when n % 2 = 0 then 'secret' end], lambda x: x is not null) as labels, (n % 2 = 0 and n < 9) or (n % 4 = 0 and n % 3 = 0) or (n % 4 = 0 and n % 3 > 0 and n < 99) as bad from (select doc_id, length(text) as n from documents where length(text) >= 6) union all select doc_id, [], false from documents where length(text) < 6")
 def fi6_span_checks(spark, d):
     def found(text: str):
-        n = int(text)
-        at = [("secret", 5, 9)] if n % 2 == 0 else []
-        at += [("private_email", 0, 6 if n % 4 == 0 else 3)] if n % 3 == 0 else []
+        n = len(text)
+        if n < 6:
+            return []
+        at = [("private_email", 0, 6 if n % 4 == 0 else 3)] if n % 3 == 0 else []
+        at += [("secret", 5, 9)] if n % 2 == 0 else []
         return [*at, ("private_url", 3, 4)] + ([("secret", 9, 99)] if n % 4 == 0 and n % 3 else [])
 
     dd = privacy.Deidentifier(labels=("private_email", "secret"), load=lambda: found)
-    own = _t(spark, d, "documents").select("doc_id", privacy.spans(F.col("doc_id").cast("string"), dd).alias("s"))
-    text = F.lit("x" * 12)
-    return own.select("doc_id", F.array_distinct(F.transform("s", lambda x: x["label"])).alias("labels"), privacy.bad_spans(text, F.col("s")).alias("bad"))
+    own = _t(spark, d, "documents").select("doc_id", "text", privacy.spans(F.col("text"), dd).alias("s"))
+    return own.select("doc_id", F.array_distinct(F.transform("s", lambda x: x["label"])).alias("labels"), privacy.bad_spans(F.col("text"), F.col("s")).alias("bad"))
 
 
 @query(f"select conv_id, turn, '{{\"role\":\"' || role || '\",\"id\":\"a@b.org\",\"content\":[{{\"type\":\"t\",\"text\":\"to [PRIVATE_EMAIL_1] ' || turn || '\"}}]}}' as value from conversations")
@@ -665,8 +688,14 @@ def fn20_canonical_json(spark, d):
 
 @query("select event_id, case event_id % 7 when 0 then 'text' when 1 then 'number' when 2 then 'number' when 3 then 'flag' when 4 then 'null' when 5 then 'list' else 'object' end as kind from events")
 def fn22_json_kinds(spark, d):
-    samples = F.array(*map(F.lit, ('"a"', "1", "1.5", "true", "null", "[1]", '{"a":1}')))
-    return _t(spark, d, "events").select("event_id", texts.json_kind(F.try_parse_json(F.get(samples, (F.col("event_id") % 7).cast("int")))).alias("kind"))
+    """The kind of JSON made of an event's own values: its type, id, value, a comparison, what it lacks, a list, its properties."""
+    said = lambda c: F.to_json(F.array(c))
+    alone = lambda c: F.substr(said(c), F.lit(2), F.length(said(c)) - 2)
+    kinds = (F.col("event_type"), F.col("event_id"), F.col("value"), F.col("value") > 50, F.lit(None).cast("int"), F.array("event_id", "user_id"))
+    raw = F.col("props")
+    for k, c in enumerate(kinds):
+        raw = F.when(F.col("event_id") % 7 == k, F.coalesce(alone(c), F.lit("null"))).otherwise(raw)
+    return _t(spark, d, "events").select("event_id", texts.json_kind(F.try_parse_json(raw)).alias("kind"))
 
 
 # --- runs
@@ -688,10 +717,7 @@ _STATUS = "case when n % 11 = 0 or n % 13 = 0 then 'failed' when n % 7 = 0 then
 
 @query(f"select ordinal, job_id, row_number() over (order by ordinal) as seq, 1 as attempt, {_STATUS} as status, case when n % 11 = 0 then 'RuntimeError' when n % 13 = 0 then 'ResponseError' when n % 7 = 0 then 'ValidationError' end as error_type, case when {_STATUS} = 'completed' then '{{\"rating\":' || (n % 130) || '}}' end as parsed_output, case when {_STATUS} <> 'failed' then printf('%.10f', (n * 1.0 + 8) / 1e6)::double end as cost from {_RUN}")
 def ex3_run_jobs(spark, d):
-    own = _t(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("job-"), "c_custkey").alias("job_id"), F.concat(F.expr("repeat('x', cast(c_custkey % 40 as int))"), "c_custkey").alias("prompt"))
-    meta = F.from_json(F.lit("{}"), "transcript_id string, transcript_file string, item_id string, min_value double, max_value double, scoring_values string, allowed_values array<string>")
-    own = own.withColumns({"instructions": F.lit(None).cast("string"), "model": F.lit("m"), "max_output_tokens": F.lit(5), "output_format": F.lit(None).cast("string"), "metadata": meta})
-    rows = run_jobs(grid.prepared(own, "m", RATING), _scratch(spark, "ex3"), _respond, pricing=attempts.Pricing("m", 1.0, 0.5, 2.0, "2026-01-01"), contract=RATING, workers=4, batch=100_000)
+    rows = run_jobs(_run_jobs(spark, d), _scratch(spark, "ex3"), _respond, pricing=attempts.Pricing("m", 1.0, 0.5, 2.0, "2026-01-01"), contract=RATING, workers=4, batch=100_000)
     return rows.select("ordinal", "job_id", "seq", "attempt", "status", F.col("error.type").alias("error_type"), "parsed_output", F.col("estimated_cost_usd").alias("cost"))
 
 
@@ -705,15 +731,151 @@ _NUMBERS = "(length(text) % 120)"
 _FITS = f"case when item_id = 'dep_01' then {_NUMBERS} <= 100 when item_id = 'anx_01' then {_NUMBERS} % 5 in (0, 1, 3) else {_NUMBERS} % 3 < 2 end"
 
 
-@query(f"select item_id, count(*) as n, count_if({_FITS}) as parsed, avg(case when min_value is not null and {_FITS} then case when item_id = 'anx_01' then {_NUMBERS} % 5 else {_NUMBERS} end end)::double as mean_rating from {_TEXTS_SQL} t cross join {_ITEMS_SQL} group by item_id")
-def ex8_rating_batch(spark, d):
-    """The flagship: every document with every item, an offline answer for each, the rules, a summary for each item."""
+def _answered(spark, d):
+    """A completed record for every text with every item: an offline answer made of the text's length."""
     own = _texts(spark, d).crossJoin(F.broadcast(_items(spark)))
     n = F.length("text") % 120
-    number = F.when(F.col("item_id") == "dep_01", n).when(F.col("item_id") == "anx_01", n % 5).cast("double")
-    said = F.get(F.split("scoring_values", "\\s*\\|\\s*"), n % 3)
-    text = F.when(F.col("min_value").isNull(), F.when(n % 3 == 2, "Perhaps").otherwise(F.coalesce(said, F.lit("Perhaps"))))
-    out = validate.rating_outcome(F.lit("completed"), number, text, F.col("min_value"), F.col("max_value"), item_texts.allowed_numbers(F.col("scoring_values")), categories(F.col("scoring_values")))
-    own = own.select("item_id", number.alias("number"), out.alias("x"))
-    parsed = F.col("x.parse_status") == "parsed"
-    return own.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(parsed).alias("parsed"), F.avg(F.when(parsed, F.col("number"))).alias("mean_rating"))
+    number = F.when(F.col("item_id") == "dep_01", n).otherwise(n % 5)
+    said = F.when(n % 3 == 2, "Perhaps").otherwise(F.coalesce(F.get(F.split("scoring_values", "\\s*\\|\\s*"), n % 3), F.lit("Perhaps")))
+    answer = F.when(F.col("min_value").isNull(), F.to_json(F.struct(said.alias("rating")))).otherwise(F.to_json(F.struct(number.alias("rating"))))
+    usage = {"input_tokens": F.length("text").cast("bigint"), "cached_input_tokens": F.lit(None).cast("bigint"), "output_tokens": F.lit(4).cast("bigint"), "reasoning_tokens": F.lit(None).cast("bigint"), "total_tokens": (F.length("text") + 4).cast("bigint")}
+    error = F.lit(None).cast("struct<type:string,message:string,request_id:string,phase:string>")
+    return own.select(
+        "item_id", grid.job_id(F.col("transcript_id"), F.col("item_id")).alias("job_id"), grid.metadata(F.col("transcript_id"), F.col("filename")).alias("metadata"), F.lit("completed").alias("status"), answer.alias("parsed_output"), answer.alias("output_text"),
+        F.struct(*[c.alias(k) for k, c in usage.items()]).alias("usage"), F.lit(0.25).alias("estimated_cost_usd"), F.lit(0.5).alias("duration_seconds"), F.lit("m0").alias("model"), F.lit(None).cast("string").alias("response_id"), error.alias("error"),
+    )
+
+
+@query(f"select item_id, count(*) as total, count_if({_FITS}) as parsed, count_if(not {_FITS}) as parse_failed, 0::bigint as not_scored, printf('%.6f', count_if({_FITS})::double / count(*))::double as parse_rate, sum(length(text))::bigint as input_tokens, count(*) * 0.25::double as estimated_cost_usd from {_TEXTS_SQL} t cross join {_ITEMS_SQL} group by item_id")
+def ex8_rating_batch(spark, d):
+    """The flagship: every document with every item, an offline answer for each, the rules, a summary for each item."""
+    rows = batch.rated(_answered(spark, d))
+    return attempts.summary(rows, "item_id").select("item_id", "total", "parsed", "parse_failed", "not_scored", "parse_rate", "input_tokens", "estimated_cost_usd")
+
+
+_SAID = f"case when item_id = 'dep_01' then printf('%g', {_NUMBERS}::double) when item_id = 'anx_01' then printf('%g', ({_NUMBERS} % 5)::double) else trim(string_split(scoring_values, '|')[({_NUMBERS} % 3)::int + 1]) end"
+
+
+@query(f"select 'transcript-' || transcript_id || '__item-' || item_id as job_id, transcript_id::varchar as transcript_id, filename as transcript_file, item_id, min_value, max_value, 'm0' as model, 'completed' as status, case when {_FITS} then {_SAID} end as rating, case when {_FITS} then 'parsed' else 'parse_failed' end as parse_status, length(text)::bigint as input_tokens, 0.25::double as estimated_cost_usd from {_TEXTS_SQL} t cross join {_ITEMS_SQL}")
+def sk5_result_rows(spark, d):
+    """The flat results: written as the results file is, and read again."""
+    path = _scratch(spark, "sk5")
+    sinks.write_csv(sinks.results(batch.rated(_answered(spark, d))), path, one=False)
+    kinds = {"min_value": "double", "max_value": "double", "input_tokens": "bigint", "estimated_cost_usd": "double"}
+    rows = spark.read.schema(", ".join(f"{c} {kinds.get(c, 'string')}" for c in sinks.RESULT_COLUMNS)).csv(path, header=True, quote='"', escape='"', lineSep="\r\n")
+    return rows.select("job_id", "transcript_id", "transcript_file", "item_id", "min_value", "max_value", "model", "status", "rating", "parse_status", "input_tokens", "estimated_cost_usd")
+
+
+# --- runs that go on, the kept snapshot, progress as attempts come
+
+
+def _respond_well(request: dict) -> dict:
+    n = len(request["prompt"])
+    return {"output_text": '{"rating": %d}' % (n % 130), "usage": {"input_tokens": n, "output_tokens": 4, "total_tokens": n + 4}}
+
+
+def _run_jobs(spark, d):
+    own = _t(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("job-"), "c_custkey").alias("job_id"), F.concat(F.expr("repeat('x', cast(c_custkey % 40 as int))"), "c_custkey").alias("prompt"))
+    own = own.withColumns({"instructions": F.lit(None).cast("string"), "model": F.lit("m"), "max_output_tokens": F.lit(5), "output_format": F.lit(None).cast("string"), "metadata": F.from_json(F.lit("{}"), METADATA)})
+    return grid.prepared(own, "m", RATING)
+
+
+@query(f"with r as (select *, {_STATUS} as first from {_RUN}) select ordinal, job_id, case when first = 'completed' then row_number() over (order by ordinal) else (select count(*) from r) + row_number() over (partition by first = 'completed' order by ordinal) end as seq, case when first = 'completed' then 1 else 2 end as attempt, 'completed' as status, '{{\"rating\":' || (n % 130) || '}}' as parsed_output, printf('%.10f', (n * 1.0 + 8) / 1e6)::double as cost from r")
+def ex3_resumed_run(spark, d):
+    """A run with failures in several batches, and a second one that calls what isn't completed."""
+    jobs, path, price = _run_jobs(spark, d), _scratch(spark, "ex3"), attempts.Pricing("m", 1.0, 0.5, 2.0, "2026-01-01")
+    run_jobs(jobs, path, _respond, pricing=price, contract=RATING, workers=4, batch=600)
+    rows = run_jobs(jobs, path, _respond_well, pricing=price, contract=RATING, workers=4, batch=600)
+    return rows.select("ordinal", "job_id", "seq", "attempt", "status", "parsed_output", F.col("estimated_cost_usd").alias("cost"))
+
+
+@query(f"select job_id, max(seq) as seq, arg_max(status, seq) as status, arg_max(value, seq) as value, min(seq) as ord, count(*) as attempts from {_LOG_SQL} group by job_id")
+def ag1_kept_snapshot(spark, d):
+    """The latest record of each job from the kept table and the batches behind it: the log comes in three batches, two of them compacted."""
+    path, log = _scratch(spark, "ag1"), _log(spark, d).select("seq", "job_id", "status", "value")
+    kept = snapshot.Snapshot(spark, path, "seq bigint, job_id string, status string, value double, batch string")
+    size = log.count()
+    for k in range(3):
+        low, high = size * k // 3, size * (k + 1) // 3
+        name = snapshot.batch_name(low, 0)
+        snapshot.append_batch(log.filter((F.col("seq") >= low) & (F.col("seq") < high)).withColumn("batch", F.lit(name)), path, name)
+        if k < 2:
+            kept.compact()
+    return kept.latest().select("job_id", "seq", "status", "value", "ord", "attempts")
+
+
+@query(_PROGRESS)
+def ex7_live_progress(spark, d):
+    """ag12's lines from a stream of files, in whatever order they come."""
+    path, out = _scratch(spark, "ex7"), _scratch(spark, "ex7-lines")
+    own = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), (F.col("event_id") / 8).alias("elapsed"), F.when(F.col("event_type") != "error", F.floor("value") / 1024).alias("cost"), F.lit(60).cast("bigint").alias("pending"))
+    own.repartition(6).write.parquet(path)
+    ends = own.groupBy("run").agg(F.lit(None).cast("bigint").alias("seq"), F.max("elapsed").alias("elapsed"), F.lit(None).cast("double").alias("cost"), F.count("*").alias("pending"))
+    ends.write.mode("append").parquet(path)
+    lines = live_progress(spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 4).parquet(path), "30 days")
+    query = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).select(F.col("run").cast("bigint").alias("run"), "seq", F.col("remaining").cast("int").alias("remaining"), "eta", "cost_so_far", "projected_cost")
+
+
+@query("select conv_id, turn, count(*) over w as sent, (sum(h) over w % 1152921504606846976)::bigint as digest from (select *, ('0x' || substr(md5(turn || chr(31) || role || chr(31) || text), 1, 15))::bigint as h from conversations) window w as (partition by conv_id order by turn rows between unbounded preceding and current row)")
+def wi5_history_refs(spark, d):
+    return themes.history_refs(_t(spark, d, "conversations"))
+
+
+@query("select q.doc_id as quote_id, t.doc_id from (select doc_id, split_part(text, '.', 1) as quote from documents) q join documents t on contains(t.text, q.quote) where q.quote <> ''")
+def va9_quotes_anywhere(spark, d):
+    """The documents in which each document's first sentence stands, whichever they are."""
+    docs = _t(spark, d, "documents")
+    return quotes.holders(docs.select(F.col("doc_id").alias("quote_id"), F.substring_index("text", ".", 1).alias("quote")), docs.select("doc_id", "text"), "doc_id")
+
+
+@query(f"select 'j' || p.doc_id as job_id, sha256(p.text) as prompt_sha, 'Reply to [PRIVATE_EMAIL_' || (coalesce(k, 0) + 1) || '], who is [PRIVATE_EMAIL_' || (coalesce(k, 0) + 1) || ']' as instructions, coalesce(hits, 0) + 2 as identifiers from (select p.doc_id, string_agg(p.part || coalesce(n.r, ''), '' order by p.pos) as text, max(n.k) as k, count(n.k) as hits from {_PARTS} p left join (select doc_id, pos, k, '[PRIVATE_EMAIL_' || k || ']' as r from (select *, dense_rank() over (partition by doc_id order by first) as k from (select *, min(pos) over (partition by doc_id, lower(original)) as first from {_HITS}))) n on n.doc_id = p.doc_id and n.pos = p.pos group by p.doc_id) p")
+def de7_masked_jobs(spark, d):
+    """Masking within a run: prompt, then instructions, each job a scope of its own."""
+    meta = F.struct(F.concat(F.lit("T"), "doc_id").alias("transcript_id"))
+    jobs = _t(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("j"), "doc_id").alias("job_id"), F.col("text").alias("prompt"), F.lit("Reply to Desk@rating.example, who is desk@rating.example").alias("instructions"), meta.alias("metadata"))
+    out, summary = batch.mask_jobs(jobs, MAILS, "transcript_id")
+    return out.join(summary, "job_id").select("job_id", F.sha2("prompt", 256).alias("prompt_sha"), "instructions", F.col("identifier_count").alias("identifiers"))
+
+
+@query(f"select 'j' || doc_id as job_id, case when doc_id % 11 = 0 then 'failed' else 'completed' end as status, '1' as rating, case when doc_id % 11 = 0 then 'not_run' when doc_id % 5 in (0, 1) or not {_OK} then 'failed' else 'passed' end as citation_validation, case when doc_id % 5 = 0 then 0 else 1 end as justification_count, case when doc_id % 5 = 0 or doc_id % 11 = 0 then 0 else 1 end as citation_count, case when doc_id % 5 = 0 or doc_id % 11 = 0 then '[]' else json_array(quote)::varchar end as citations_json from {_QUOTE}")
+def sk7_job_rows(spark, d):
+    rows = validate.citation_exports(validate.citation_audit(_citations(spark, d)))[0]
+    return rows.select("job_id", "status", "rating", "citation_validation", "justification_count", "citation_count", "citations_json")
+
+
+# --- the diary workflow: every document is a diary
+
+
+def _diaries(spark, d):
+    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("diary_id"), F.col("doc_id").cast("string").alias("date"), "text")
+
+
+def _respond_themes(request: dict) -> dict:
+    text = request["prompt"].split("|", 2)[2]
+    return {"output_text": json.dumps({"themes": [{"label": f"L{len(text) % 7}", "description": "d", "quote": text[: 30 + 10 * k], "importance": 1 + (len(text) + k) % 5} for k in range(2)]})}
+
+
+@query("select doc_id || '-c0' || (k + 1) as candidate_id, doc_id::varchar as diary_id, doc_id::varchar as date, 'L' || (length(text) % 7) as label, substr(text, 1, (30 + 10 * k)::int) as quote, (1 + (length(text) + k) % 5)::int as importance from documents, (select unnest([0, 1]) as k) x")
+def ex16_extraction(spark, d):
+    """Stage 1 over all diaries: a request for each, two themes an answer, each quote held against its diary."""
+    out = workflow.extract(_diaries(spark, d), Template("{diary_id}|{date}|{diary}", ["diary_id", "date", "diary"]), _scratch(spark, "ex16"), _respond_themes, "m", workers=4)
+    return out.select("candidate_id", "diary_id", "date", "label", "quote", "importance")
+
+
+def _respond_audit(request: dict) -> dict:
+    first = json.loads(request["prompt"].split("\n====\n")[1])[0]
+    quote = {"diary_id": first["diary_id"], "date": first["date"], "text": first["text"][:12]}
+    return {"output_text": json.dumps({"explanation": "seen", "quotes": [quote], "uncertainty": "none"})}
+
+
+@query(f"with s as (select {_THEME} as theme_id, printf('%.1f', 0.7::double * (100::double * count(distinct doc_id) / (select count(*) from documents)) + 0.3::double * (avg(1 + doc_id % 5) / 5 * 100))::double as salience, min(doc_id::varchar) as diary_id from documents group by 1) select theme_id, 'seen' as explanation, diary_id, substr(text, 1, 12) as quote from (select * from s order by salience desc, theme_id limit 3) join (select doc_id::varchar as diary_id, text from documents) using (diary_id)")
+def ex16_evidence(spark, d):
+    """Stages 3 and 4: every theme scored, the best three audited with their diaries' texts."""
+    home, diaries = _scratch(spark, "ex16"), _diaries(spark, d)
+    found = _themes(spark, d).withColumns({"title": F.upper("theme_id"), "description": F.lit("d")})
+    candidates = _t(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("candidate_id"), F.col("doc_id").cast("string").alias("diary_id"), (1 + F.col("doc_id") % 5).alias("importance"))
+    scores = workflow.score(found, candidates, diaries.count(), home)
+    out = workflow.audit(found, scores, candidates, diaries, Template("{theme}\n====\n{diaries}", ["theme", "diaries"]), home, _respond_audit, "m")
+    return out.select("theme_id", "explanation", F.get("quotes", F.lit(0))["diary_id"].alias("diary_id"), F.get("quotes", F.lit(0))["text"].alias("quote"))

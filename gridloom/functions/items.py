@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.text import categories, py_g, scale, strip
 
@@ -37,22 +39,18 @@ def allowed_values(scoring: Column) -> Column:
     return F.when(F.size(texts) > 0, texts).otherwise(F.transform(allowed_numbers(scoring), number))
 
 
-def _g(numbers: Column, k: int) -> Column:
-    """%g of the k-th number; the UDF takes one number a row, so an array goes through one call a place (scales are short)."""
-    return py_g(F.get(numbers, F.lit(k)))
-
-
-#: Places of a numeric scale that get a line in the guide; longer scales are an item error.
-MAX_SCALE = 32
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _shown(numbers: pd.Series) -> pd.Series:
+    """%g of each number of an array."""
+    return numbers.map(lambda own: None if own is None else ["" if v is None or v != v else f"{v:g}" for v in own])
 
 
 def scoring_guide(scoring: Column) -> Column:
     """What the prompt says of the choices."""
     texts, labels = categories(scoring), value_labels(scoring)
-    values = F.transform(labels, lambda x: x["value"])
-    lines = [F.when(F.size(labels) > k, F.concat(_g(values, k), F.lit(" = "), F.get(labels, F.lit(k))["label"])) for k in range(MAX_SCALE)]
+    lines = F.zip_with(_shown(F.transform(labels, lambda x: x["value"])), F.transform(labels, lambda x: x["label"]), lambda v, label: F.concat(v, F.lit(" = "), label))
     choices = F.concat(F.lit("Return exactly one of these text responses:\n"), F.array_join(F.transform(texts, lambda t: F.concat(F.lit("- "), t)), "\n"))
-    return F.when(F.size(texts) > 0, choices).when(F.size(labels) == 0, "Any number in the allowed range.").otherwise(F.concat_ws("\n", *lines))
+    return F.when(F.size(texts) > 0, choices).when(F.size(labels) == 0, "Any number in the allowed range.").otherwise(F.array_join(lines, "\n"))
 
 
 def response_requirements(low: Column, high: Column, scoring: Column) -> Column:
@@ -83,7 +81,6 @@ def item_error(item_id: Column, prompt: Column, low: Column, high: Column, scori
         (numeric & F.exists(numbers, lambda v: v.isNull()), "scoring values must be numbers"),
         (numeric & ~F.forall(numbers, finite), "scoring values must be finite"),
         (numeric & ~rising, "scoring values must be unique and increasing"),
-        (F.size(labels) > MAX_SCALE, f"scoring_values may hold {MAX_SCALE} numbers"),
         (~some & F.exists(entries, lambda e: e == ""), "text scoring values must be non-empty"),
         (~some & (F.size(F.array_distinct(entries)) < F.size(entries)), "text scoring values must be unique"),
         (numeric & low.isNull(), "numeric scoring_values require min_value and max_value"),
@@ -98,7 +95,7 @@ def item_error(item_id: Column, prompt: Column, low: Column, high: Column, scori
 
 
 def output_format(contract_format: dict, scoring: str) -> str:
-    """The contract's schema with its rating narrowed to one item's choices, as JSON. Items are few: this runs on the driver, and the grid broadcasts the result."""
+    """The contract's schema with its rating narrowed to one item's choices, as JSON. One item's: grid.item_formats() makes those of a table."""
     schema = json.loads(json.dumps(contract_format))
     fields = schema.get("schema", {}).get("properties", {})
     if "rating" not in fields:

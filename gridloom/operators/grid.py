@@ -9,7 +9,7 @@ from gridloom.functions.contract import Contract, schema_json
 from gridloom.functions.items import allowed_numbers, allowed_values, output_format, response_requirements
 from gridloom.functions.text import Template, canonical_json, categories, strip
 
-#: Items are written by hand; more than this many aren't sent to every executor.
+#: Items are written by hand; a bank of more than this many isn't sent to every executor.
 MAX_ITEMS = 100_000
 
 
@@ -31,11 +31,11 @@ def metadata(transcript_id: Column, filename: Column) -> Column:
 
 
 def item_formats(items: DataFrame, contract: Contract) -> DataFrame:
-    """items with output_format: the contract's schema narrowed to each item's choices. The scales of the items go through the driver (at most MAX_ITEMS)."""
-    scales = [r[0] for r in items.select("scoring_values").distinct().limit(MAX_ITEMS).collect()]
-    rows = [(s, output_format(contract.output_format, s or "")) for s in scales]
-    formats = items.sparkSession.createDataFrame(rows, "scale string, output_format string")
-    return items.join(F.broadcast(formats), items["scoring_values"].eqNullSafe(formats["scale"])).drop("scale")
+    """items with output_format: the contract's schema narrowed to each item's choices."""
+    own = contract.output_format
+    output_format(own, "")  # a contract without a rating is an error before any task runs
+    made = F.pandas_udf(lambda scales: scales.map(lambda s: output_format(own, s or "")), "string")
+    return items.withColumn("output_format", made("scoring_values"))
 
 
 def grid(

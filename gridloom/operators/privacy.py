@@ -1,8 +1,8 @@
 """Masking of identifiers: detectors, spans, stable typed placeholders, splices, mergeable summaries.
 
-A detector is any function text -> iterable of (label, start, end), code points, end exclusive. Placeholders are numbered by
-first appearance within a scope, so equal identifiers share one; numbering is a window over the distinct identifiers of a scope
-and label, never over the texts. Rows without a scope share one scope, which is then one window: name scopes at scale.
+A detector is any function text -> iterable of (label, start, end), code points, end exclusive; it runs once over each text, and what
+it finds is written to the shared folder. Placeholders are numbered by first appearance within a scope, so equal identifiers share
+one; the distinct identifiers are dealt by ranges, so a scope with a large share of them takes as large a share of the tasks.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.text import normalized, splice
+from gridloom.operators.ordered import running
+from gridloom.shared import written
 
 #: The labels of identifiers.
 LABELS = ("account_number", "private_address", "private_date", "private_email", "private_person", "private_phone", "private_url", "secret")
@@ -96,9 +97,13 @@ def bad_spans(text: Column, found: Column) -> Column:
 
 def placeholders(found: DataFrame) -> DataFrame:
     """scope, label, norm, placeholder for spans (scope, label, original, seq, start): equal texts in a scope share one."""
-    first = found.withColumn("norm", normalized("original")).groupBy("scope", "label", "norm").agg(F.min(F.struct("seq", "start")).alias("first"))
-    n = F.row_number().over(Window.partitionBy("scope", "label").orderBy("first"))
-    return first.select("scope", "label", "norm", F.format_string("[%s_%d]", F.upper("label"), n).alias("placeholder"))
+    return _numbered(found.withColumn("norm", normalized("original")))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """placeholders() of spans with their norm."""
+    first = found.groupBy("scope", "label", "norm").agg(F.min(F.struct("seq", "start")).alias("first"))
+    return running(first, ["scope", "label"], ["first"]).select("scope", "label", "norm", F.format_string("[%s_%d]", F.upper("label"), "n").alias("placeholder"))
 
 
 MATCH = "struct<label:string,start:int,end:int,original:string,replacement:string>"
@@ -112,11 +117,13 @@ def masked(texts: DataFrame, d: Deidentifier | None = None) -> DataFrame:
     """
     d = d or Deidentifier()
     own = texts.select("key", "scope", "seq", "text", spans(F.col("text"), d).alias("spans"))
-    if own.filter(bad_spans(F.col("text"), F.col("spans"))).limit(1).count():
+    original = lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"])
+    each = F.explode(F.transform("spans", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), original(s).alias("original"))))
+    each = own.select("key", "scope", "seq", bad_spans(F.col("text"), F.col("spans")).alias("bad"), each.alias("s")).select("key", "scope", "seq", "bad", "s.*")
+    each = written(each.withColumn("norm", normalized("original")), "spans")
+    if each.filter("bad").limit(1).count():
         raise RuntimeError("the detector returned invalid or overlapping spans; no text was sent")
-    each = own.select("key", "scope", "seq", F.explode(F.transform("spans", lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"), F.substr("text", s["start"] + 1, s["end"] - s["start"]).alias("original")))).alias("s"))
-    each = each.select("key", "scope", "seq", "s.*").withColumn("norm", normalized("original"))
-    named = placeholders(each.drop("norm")).withColumnsRenamed({"scope": "_scope", "label": "_label", "norm": "_norm"})
+    named = _numbered(each).withColumnsRenamed({"scope": "_scope", "label": "_label", "norm": "_norm"})
     each = each.join(named, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("label") == F.col("_label")) & (F.col("norm") == F.col("_norm")))
     found = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "original", F.col("placeholder").alias("replacement")))).alias("m"))
     found = found.select("key", F.transform("m", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["original"].alias("original"), x["replacement"].alias("replacement"))).alias("matches"))
@@ -207,7 +214,8 @@ def mask_columns(records: DataFrame, fields: list[str], order: str, d: Deidentif
 
 def mask_nested(values: DataFrame, order: str, column: str, d: Deidentifier | None = None) -> tuple[DataFrame, DataFrame]:
     """JSON inputs with their texts masked: strings at the top, under input, content or text, and all within a function call's output; ids, roles and types stay."""
-    take, put = F.udf(lambda v: _texts_of(v)[1], "array<string>"), F.udf(_put, "string")
+    take = F.pandas_udf(lambda values: values.map(lambda v: _texts_of(v)[1]), "array<string>")
+    put = F.pandas_udf(lambda values, new: pd.Series([_put(v, n) for v, n in zip(values, new, strict=True)], dtype=object), "string")
     own = values.select(order, F.col(column).alias("value"), take(column).alias("texts"))
     each = own.select(order, F.posexplode("texts").alias("i", "text"))
     found = masked(each.select(F.struct(order, "i").alias("key"), F.lit(None).cast("string").alias("scope"), F.struct(order, "i").alias("seq"), "text"), d)
@@ -236,8 +244,8 @@ def _texts_of(raw: str | None) -> tuple[Any, list[str]]:
     return _walk(json.loads(raw) if raw is not None else None, None, out, True, False), out
 
 
-def _put(raw: str | None, new: list[str] | None) -> str | None:
-    return None if raw is None else json.dumps(_walk(json.loads(raw), iter(new or []), [], True, False), ensure_ascii=False)
+def _put(raw: str | None, new: Iterable[str] | None) -> str | None:
+    return None if raw is None else json.dumps(_walk(json.loads(raw), iter([] if new is None else new), [], True, False), ensure_ascii=False)
 
 
 def mask_file(spark, path: str, d: Deidentifier | None = None) -> tuple[bytes, dict]:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.text import padded, py_round
+from gridloom.operators.ordered import running
 from gridloom.operators.validate import coverage
 
-#: Themes that a report ranks; more of them are ranked by a range partitioning instead of one task.
-FEW_THEMES = 100_000
-
 
 def candidates(extractions: DataFrame, diaries: DataFrame) -> DataFrame:
     """candidate_id, diary_id, date, label, description, quote, importance from extractions (diary_id, themes) and diaries (diary_id, date, text); a quote that its diary doesn't hold is an error."""
@@ -57,22 +54,9 @@ def scored(members: DataFrame, sources: int) -> DataFrame:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """rank 1, 2, 3 ... by salience, highest first, then theme_id.
-
-    Scores are one row a theme. Up to FEW_THEMES are ranked in one task; more are cut into ranges of salience, ranked in
-    those, and raised by the number of themes in the ranges before.
-    """
-    order = [F.desc("salience"), F.col("theme_id")]
-    few = scores.limit(FEW_THEMES + 1).count() <= FEW_THEMES
-    if few:
-        return scores.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    own = scores.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = {r["_part"]: r["count"] for r in own.groupBy("_part").count().collect()}  # a number for each partition
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    shift = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part"))
-    return own.withColumn("rank", (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + shift).cast("int")).drop("_part")
+    """rank 1, 2, 3 ... by salience, highest first, then theme_id; themes are dealt by ranges of both."""
+    own = running(scores.withColumn("_down", -F.col("salience")), [], ["_down", "theme_id"])
+    return own.withColumn("rank", F.col("n").cast("int")).drop("_down", "n")
 
 
 def top(scores: DataFrame, n: int = 3) -> DataFrame:
@@ -86,6 +70,23 @@ def histories(turns: DataFrame) -> DataFrame:
     return each.select("conv_id", "x.turn", "x.role", "x.text", F.transform(F.slice("whole", F.lit(1), F.col("at") + 1), lambda y: F.struct(y["role"].alias("role"), y["text"].alias("text"))).alias("history"))
 
 
+def history_refs(turns: DataFrame) -> DataFrame:
+    """What each turn sends, by reference: conv_id, turn, sent (turns up to it, its own included) and a digest of them.
+
+    As many rows as turns, whatever their histories hold: the digest is a running sum, modulo 2^60, of a digest of each turn with its
+    number, so equal histories have equal digests and it is known which were sent before. history_of() gives the texts.
+    """
+    own = F.conv(F.substr(F.md5(F.concat_ws("\x1f", F.col("turn").cast("string"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))), F.lit(1), F.lit(15)), 16, 10).cast("decimal(20,0)")
+    parts = running(turns.select("conv_id", "turn", own.alias("_own")), ["conv_id"], ["turn"], {"_sum": F.col("_own").cast("decimal(38,0)")})
+    return parts.select("conv_id", "turn", F.col("n").alias("sent"), (F.col("_sum") % F.lit(2**60).cast("decimal(20,0)")).cast("bigint").alias("digest"))
+
+
+def history_of(turns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The turns that each wanted turn (conv_id, turn) sends, as rows: conv_id, sent_with, turn, role, text. Texts move for these alone."""
+    asked = wanted.select("conv_id", F.col("turn").alias("sent_with")).distinct()
+    return turns.join(asked, "conv_id").filter(F.col("turn") <= F.col("sent_with")).select("conv_id", "sent_with", "turn", "role", "text")
+
+
 def numbered(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """The elements of a list column with their 1-based position."""
     return df.select(*keep, F.posexplode(column).alias("at", "element")).select(*keep, (F.col("at") + 1).alias("number"), "element")

@@ -195,6 +195,18 @@ def same_members(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
 
 
+#: Ids that a membership error names; its rows hold all.
+SHOWN = 1000
+
+
+class MembershipError(ValueError):
+    """Candidates that no theme holds, or that none gave; rows: candidate_id and problem of all of them."""
+
+    def __init__(self, message: str, rows: DataFrame):
+        super().__init__(message)
+        self.rows = rows
+
+
 def check_membership(candidates: DataFrame, themes: DataFrame) -> None:
     """Every candidate_id of candidates stands in one theme's candidate_ids, and nothing else does; the first broken rule is raised."""
     if themes.filter(F.coalesce(F.size("candidate_ids"), F.lit(0)) <= 0).limit(1).count():
@@ -202,10 +214,12 @@ def check_membership(candidates: DataFrame, themes: DataFrame) -> None:
     assigned = themes.select(F.explode("candidate_ids").alias("candidate_id"))
     if assigned.groupBy("candidate_id").count().filter("count > 1").limit(1).count():
         raise ValueError("a candidate theme was assigned more than once")
-    wrong = coverage(candidates.select("candidate_id"), assigned, "candidate_id").orderBy("candidate_id").limit(100).collect()
-    if wrong:
-        of = lambda p: [r["candidate_id"] for r in wrong if r["problem"] == p]
-        raise ValueError(f"theme membership mismatch; missing={of('missing')}, extra={of('extra')}")
+    wrong = coverage(candidates.select("candidate_id"), assigned, "candidate_id")
+    counts = {r["problem"]: r["count"] for r in wrong.groupBy("problem").count().collect()}
+    if counts:
+        first = {p: [r[0] for r in wrong.filter(F.col("problem") == p).orderBy("candidate_id").limit(SHOWN).select("candidate_id").collect()] for p in ("missing", "extra")}
+        said = ", ".join(f"{p}={first[p]}" + (f" and {counts[p] - SHOWN} more" if counts.get(p, 0) > SHOWN else "") for p in first)
+        raise MembershipError(f"theme membership mismatch; {said}", wrong)
 
 
 def check_stage(records: DataFrame, stage: str) -> DataFrame:

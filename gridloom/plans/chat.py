@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import privacy
-from gridloom.operators.grid import MAX_ITEMS
 from gridloom.plans.run import usage_of
 from gridloom.sources import scans
 
@@ -88,7 +87,7 @@ def inventory(transcripts: DataFrame, items: DataFrame) -> DataFrame:
     """One row: transcripts_found, usable_transcripts, items, possible_jobs, ready, issues. transcripts: filename, text."""
     blank = F.coalesce(F.trim(F.regexp_replace("text", "(?U)\\s+", " ")), F.lit("")) == ""
     own = transcripts.agg(F.count("*").alias("transcripts_found"), F.count_if(~blank).alias("usable_transcripts"))
-    names = transcripts.filter(blank).select("filename").orderBy("filename").limit(MAX_ITEMS).agg(F.array_sort(F.collect_list("filename")).alias("blank"))
+    names = transcripts.filter(blank).agg(F.array_sort(F.collect_list("filename")).alias("blank"))
     own = own.crossJoin(items.agg(F.count("*").alias("items"))).crossJoin(names)  # one row each
     own = own.withColumn("possible_jobs", F.col("usable_transcripts") * F.col("items")).withColumn("ready", F.size("blank") == 0)
     issues = F.when(F.col("ready"), F.expr("cast(array() as array<string>)")).otherwise(F.array(F.concat(F.lit("Blank transcripts: "), F.array_join("blank", ", "))))

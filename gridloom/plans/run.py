@@ -1,13 +1,21 @@
-"""A resumable run: jobs through a responder, each answer checked, priced and appended to the log."""
+"""A resumable run: jobs through a responder, each answer checked, priced and appended to the log.
+
+What is pending is fixed once, as files of at most `batch` jobs beside the log (`<log>.run`), and flows as a stream: a micro-batch is a
+file, so no batch reads what another one needs, and the stream's checkpoint says which are done. A batch becomes visible in the log
+by its name alone, at once and with the name in each record. If the driver is lost between that and the stream's commit, the batch
+comes again, is found in the log and is not called again; lost before it, its calls are made again. The same jobs run again go on
+with the stream where it stands; other jobs are planned anew from the log.
+"""
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -19,8 +27,9 @@ from gridloom.operators import attempts
 from gridloom.operators.attempts import Pricing
 from gridloom.operators.grid import job_errors, saved_request
 from gridloom.operators.validate import validated
-from gridloom.sources.scans import exists
-from gridloom.sources.sinks import append_lines
+from gridloom.shared import discard, exists
+from gridloom.sources.sinks import read_small, write_text
+from gridloom.sources.snapshot import Snapshot, append_batch, batch_name, records
 
 USAGE = "struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint,total_tokens:bigint>"
 ERROR = "struct<type:string,message:string,request_id:string,phase:string>"
@@ -30,7 +39,8 @@ METADATA = "struct<transcript_id:string,transcript_file:string,item_id:string,mi
 ANSWER = f"status string, duration_seconds double, model string, output_text string, response_id string, usage {USAGE}, response string, error {ERROR}"
 RECORD = (
     f"seq bigint, job_id string, request_hash string, attempt int, status string, recorded_at string, duration_seconds double, metadata {METADATA}, request {REQUEST}, model string, "
-    f"output_text string, response_id string, usage {USAGE}, response string, error {ERROR}, contract_id string, validation_status string, parsed_output string, estimated_cost_usd double"
+    f"output_text string, response_id string, usage {USAGE}, response string, error {ERROR}, contract_id string, validation_status string, parsed_output string, estimated_cost_usd double, "
+    "batch string"
 )
 #: Request -> response. A response is a text, or a dict of status, output_text, model, id, usage, incomplete_reason and response.
 Responder = Callable[[dict[str, Any]], Any]
@@ -68,13 +78,11 @@ def usage_of(raw: dict[str, Any] | None) -> dict[str, Any] | None:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The records of a run so far; none where there is no log yet."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).json(path, mode="FAILFAST")
+    return records(spark, path, RECORD)
 
 
-def check_run(jobs: DataFrame, log: DataFrame, pricing: Pricing | None, contract: Contract | None) -> None:
-    """Everything that must stop a run before its first call."""
+def check_run(jobs: DataFrame, known: DataFrame, pricing: Pricing | None, contract: Contract | None) -> int:
+    """Raise what must stop a run before its first call; else the number of pending jobs. known: what attempts.state() or a snapshot knows of each job."""
     wrong = job_errors(jobs).orderBy("job_id").limit(1).collect()
     if wrong:
         raise ValueError(f"job {wrong[0]['job_id']!r}: {wrong[0]['error']}")
@@ -82,60 +90,118 @@ def check_run(jobs: DataFrame, log: DataFrame, pricing: Pricing | None, contract
         other = [r[0] for r in attempts.foreign_models(jobs, pricing.model).orderBy("model").limit(20).collect()]
         if other:
             raise ValueError(f"pricing is for {pricing.model!r}, but jobs use {other!r}")
-    changed = attempts.changed_requests(jobs, log).orderBy("job_id").limit(1).collect()
-    if changed:
-        raise ValueError(f"job {changed[0][0]!r} changed since this run was created; use a new output path or a new job_id")
-    if contract:
-        loose = attempts.unvalidated(jobs, log, contract.contract_id).orderBy("job_id").limit(1).collect()
-        if loose:
-            raise ValueError(f"job {loose[0][0]!r} was completed without validation by contract {contract.contract_id!r}; use a new output path")
+    old = known.select("job_id", "status", F.col("request_hash").alias("_old"), "contract_id", "validation_status")
+    seen = jobs.select("job_id", "request_hash").join(old, "job_id", "left")
+    loose = attempts.without_contract(contract.contract_id) if contract else F.lit(False)
+    r = seen.agg(
+        F.min(F.when(F.col("request_hash") != F.col("_old"), F.col("job_id"))).alias("changed"), F.min(F.when(loose, F.col("job_id"))).alias("loose"), F.count_if(~F.col("status").eqNullSafe(F.lit("completed"))).alias("pending")
+    ).first()
+    if r["changed"] is not None:
+        raise ValueError(f"job {r['changed']!r} changed since this run was created; use a new output path or a new job_id")
+    if r["loose"] is not None:
+        raise ValueError(f"job {r['loose']!r} was completed without validation by contract {contract.contract_id!r}; use a new output path")
+    return r["pending"]
 
 
 def run_jobs(
-    jobs: DataFrame, log_path: str, responder: Responder, *, pricing: Pricing | None = None, contract: Contract | None = None, workers: int = 1, batch: int = 1000
+    jobs: DataFrame, log_path: str, responder: Responder, *, pricing: Pricing | None = None, contract: Contract | None = None, workers: int = 1, batch: int = 1000, report: Callable[[str], None] | None = None
 ) -> DataFrame:
     """Run the jobs that the log hasn't completed; gives each job's current record, in job order when sorted by ordinal.
 
-    jobs: ordinal, job_id, prompt, instructions, model, max_output_tokens, output_format, metadata, request_hash. Pending jobs
-    are fixed first, with seq and attempt, then called in batches of `batch` on `workers` tasks. Each batch is checked against
-    the contract, priced and appended before the next begins, so what a lost driver or a failed batch repeats is one batch;
-    calls of a lost task are made again, which a responder that keeps its answers by request makes harmless.
+    jobs: ordinal, job_id, prompt, instructions, model, max_output_tokens, output_format, metadata, request_hash. Batches of at
+    most `batch` jobs are called on `workers` tasks, checked against the contract, priced and appended, one after the other; what a
+    lost driver or a failed batch repeats is one batch's calls, which a responder that keeps its answers by request makes
+    harmless. report gets a line after each batch: time, time left, cost and projected cost.
     """
     if isinstance(workers, bool) or not isinstance(workers, int) or workers < 1:
         raise ValueError("workers must be a positive integer")
     spark = jobs.sparkSession
     if not jobs.limit(1).count():
         raise ValueError("jobs must contain at least one job")
-    log = read_log(spark, log_path)
-    check_run(jobs, log, pricing, contract)
-    start = log.agg(F.max("seq")).first()[0] or 0
-    todo_path = f"{log_path}.pending-{start}"
-    todo = attempts.pending(jobs, log).withColumn("attempt", F.col("attempt").cast("int"))
-    # numbered by ranges of the ordinal: position = rows in the ranges before + row in the range
-    todo = todo.repartitionByRange("ordinal").withColumn("_part", F.spark_partition_id())
-    todo.write.mode("overwrite").parquet(todo_path)
-    todo = spark.read.parquet(todo_path)
-    sizes = {r["_part"]: r["count"] for r in todo.groupBy("_part").count().collect()}  # a number for each partition
-    total = sum(sizes.values())
-    if total:
-        before, at = [], 0
-        for part in sorted(sizes):
-            before += [F.lit(part), F.lit(at)]
-            at += sizes[part]
-        number = F.row_number().over(Window.partitionBy("_part").orderBy("ordinal")) + F.element_at(F.create_map(*before), F.col("_part"))
-        todo = todo.withColumn("number", number).drop("_part")
-        for low in range(0, total, batch):
-            part = todo.filter((F.col("number") > low) & (F.col("number") <= low + batch))
-            records = called(part.repartition(workers, "number"), responder).withColumn("seq", F.col("number") + start)
-            records = validated(records, contract) if contract else records.withColumns({c: F.lit(None).cast("string") for c in ("contract_id", "validation_status", "parsed_output")})
-            append_lines(attempts.priced(records.withColumn("estimated_cost_usd", F.lit(None).cast("double")), pricing).select(*_names(RECORD)), log_path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(todo_path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    now = attempts.current(jobs, read_log(spark, log_path))
+    log_path = log_path.rstrip("/")
+    snapshot, state_path = Snapshot(spark, log_path, RECORD), f"{log_path}.run"
+    plan = _plan(jobs, snapshot, state_path, pricing, contract, batch)
+    if plan["total"]:
+        _stream(spark, plan, state_path, log_path, responder, pricing, contract, workers, report)
+    discard(spark, state_path)
+    snapshot.compact()
+    now = attempts.current_of(jobs, snapshot.latest())
     # older records may lack a cost
     return attempts.priced(now, pricing) if pricing else now
 
 
+def _plan(jobs: DataFrame, snapshot: Snapshot, state_path: str, pricing: Pricing | None, contract: Contract | None, batch: int) -> dict[str, Any]:
+    """The plan of an interrupted run of the same jobs, else a new one: start (records before it), total, and the files of todo and ranges."""
+    spark = jobs.sparkSession
+    same = jobs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("job_id", "request_hash", "ordinal")).alias("x")).first()
+    digest = [same["n"], same["x"], contract and contract.contract_id, pricing and pricing.as_dict()]
+    if exists(spark, f"{state_path}/plan.json"):
+        plan = json.loads(read_small(spark, f"{state_path}/plan.json"))
+        if plan["jobs"] == json.loads(json.dumps(digest)):
+            return plan
+    discard(spark, state_path)
+    known = snapshot.latest()
+    total = check_run(jobs, known, pricing, contract)
+    plan = {"jobs": digest, "start": known.agg(F.max("seq")).first()[0] or 0, "total": total}
+    if total:
+        todo = attempts.pending_of(jobs, known).withColumn("attempt", F.col("attempt").cast("int"))
+        # places are kept as rows are written; what stands in the ranges before comes from the ranges' sizes
+        todo = todo.repartitionByRange(-(-total // batch), "ordinal").sortWithinPartitions("ordinal").withColumn("_at", F.monotonically_increasing_id())
+        todo.write.option("maxRecordsPerFile", batch).parquet(f"{state_path}/todo")
+        sizes = spark.read.parquet(f"{state_path}/todo").groupBy(_range_of().alias("_range")).agg(F.count("*").alias("rows"), F.min("_at").alias("_first"))
+        before = F.coalesce(F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+        sizes.select("_range", "_first", before.alias("_before")).write.parquet(f"{state_path}/ranges")
+        done = known.filter("status = 'completed'").join(jobs.select("job_id"), "job_id", "left_semi").agg(F.count("estimated_cost_usd"), F.sum("estimated_cost_usd")).first()
+        plan |= {"known": done[0], "cost": done[1] or 0.0}
+    write_text(spark, f"{state_path}/plan.json", json.dumps(plan))
+    return plan
+
+
+def _range_of() -> Column:
+    return F.shiftright("_at", 33)
+
+
+def _stream(spark: SparkSession, plan: dict, state_path: str, log_path: str, responder: Responder, pricing: Pricing | None, contract: Contract | None, workers: int, report: Callable[[str], None] | None) -> None:
+    """Call what is planned, a file a micro-batch."""
+    began, start = time.monotonic(), plan["start"]
+    shown = {"attempted": 0, "left": plan["total"], "known": plan["known"], "cost": plan["cost"]}
+    if report:  # what an interrupted run has appended
+        old = records(spark, log_path, RECORD, batch_name(start, 0)[:-9]).agg(F.count("*"), F.count("estimated_cost_usd"), F.sum("estimated_cost_usd")).first()
+        shown |= {"left": shown["left"] - old[0], "known": shown["known"] + old[1], "cost": shown["cost"] + (old[2] or 0.0)}
+
+    def one(jobs: DataFrame, number: int) -> None:
+        name = batch_name(start, number)
+        if exists(spark, f"{log_path}/{name}"):
+            return
+        ranges = F.broadcast(jobs.sparkSession.read.parquet(f"{state_path}/ranges"))  # as many rows as batches
+        own = jobs.withColumn("_range", _range_of()).join(ranges, "_range").withColumn("number", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+        made = called(own.repartition(workers, "number"), responder).withColumns({"seq": F.col("number") + start, "batch": F.lit(name)})
+        made = validated(made, contract) if contract else made.withColumns({c: F.lit(None).cast("string") for c in ("contract_id", "validation_status", "parsed_output")})
+        made = attempts.priced(made.withColumn("estimated_cost_usd", F.lit(None).cast("double")), pricing).select(*_names(RECORD))
+        seen = Observation()
+        append_batch(made.observe(seen, F.count("*").alias("n"), F.count("estimated_cost_usd").alias("known"), F.sum("estimated_cost_usd").alias("cost")), log_path, name)
+        if report:
+            new = seen.get
+            shown.update(attempted=shown["attempted"] + new["n"], left=max(shown["left"] - new["n"], 0), known=shown["known"] + new["known"], cost=shown["cost"] + (new["cost"] or 0.0))
+            report(_line(spark, time.monotonic() - began, **shown))
+
+    todo = spark.read.parquet(f"{state_path}/todo")
+    source = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{state_path}/todo")
+    query = source.writeStream.foreachBatch(one).option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+
+
+def _line(spark: SparkSession, elapsed: float, attempted: int, left: int, known: int, cost: float) -> str:
+    eta = elapsed / attempted * left if attempted else 0.0
+    so_far = cost if known else None
+    ahead = cost + cost / known * left if known else None
+    value = lambda v: F.lit(v).cast("double")
+    return spark.range(1).select(attempts.progress_line(value(elapsed), value(eta), value(so_far), value(ahead))).first()[0]
+
+
 def called(jobs: DataFrame, responder: Responder) -> DataFrame:
     """The records of one attempt at each job (number, attempt and the columns of run_jobs). Nothing is shuffled behind the calls."""
     fields, rest = ["model", "instructions", "prompt", "max_output_tokens", "output_format"], ["job_id", "request_hash", "attempt", "_meta"]

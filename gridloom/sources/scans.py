@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,17 +14,13 @@ from pyspark.sql.window import Window
 from gridloom.functions.items import item_error
 from gridloom.functions.text import strip
 from gridloom.operators.attempts import Pricing
+from gridloom.shared import exists, store_of
 
 SUFFIXES = ("csv", "json", "md", "txt")
 #: Characters of the longest file that read_study_file() gives out.
 MAX_FILE_CHARACTERS = 20_000
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _texts(spark: SparkSession, folder: str, **options) -> DataFrame:
     return spark.read.text(folder, wholetext=True, **options).select(F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_path").alias("path"), "value")
 
@@ -160,7 +159,7 @@ def read_study_file(path: str, root: str) -> str:
         raise ValueError(f"Unsupported study file: {path}")
     text = read_text(target)
     if len(text) > MAX_FILE_CHARACTERS:
-        raise ValueError(f"{path} is too large for this demo ({len(text):,} characters).")
+        raise ValueError(f"{path} is too large: {len(text):,} characters, of which at most {MAX_FILE_CHARACTERS:,} are given out")
     return text
 
 
@@ -170,10 +169,32 @@ def read_text(path: str) -> str:
         return f.read()
 
 
+#: Bytes of a file that a hash reads at once.
+HASH_BLOCK = 1 << 20
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for path in b.column("path").to_pylist():
+            digest = hashlib.sha256()
+            store, inner = store_of(path)
+            with store.open_input_stream(inner, buffer_size=0) as f:
+                while block := f.read(HASH_BLOCK):
+                    digest.update(block)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], ["path", "sha256"])
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of a file, or of each *.txt directly in a folder, in path order."""
+    """path, sha256 of a file, or of each *.txt directly in a folder, in path order.
+
+    Spark lists the files; their contents are read in blocks of HASH_BLOCK by the tasks, from any store that pyarrow opens by its
+    address, so a file of any size takes one block of memory.
+    """
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
     read = spark.read.format("binaryFile")
-    own = read.option("pathGlobFilter", "*.txt").load(path) if folder else read.load(path)
-    return own.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+    found = (read.option("pathGlobFilter", "*.txt").load(path) if folder else read.load(path)).select("path")
+    found = found.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return found.mapInArrow(_digests, "path string, sha256 string").withColumn("path", F.regexp_replace("path", "^file:/*", "/")).orderBy("path")

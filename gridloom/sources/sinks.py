@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.contract import Contract
 from gridloom.operators.attempts import TOKENS, Pricing
-from gridloom.sources.scans import exists, file_hashes
+from gridloom.shared import exists, store_of
+from gridloom.sources.scans import file_hashes
 
-#: The columns of the results file, in order.
+#: The columns of the results file, in order.
 RESULT_COLUMNS = (
     "job_id transcript_id transcript_file item_id min_value max_value model status rating parse_status parse_error raw_text response_id input_tokens output_tokens "
     "total_tokens cached_input_tokens duration_seconds estimated_cost_usd error_type error_message"
@@ -68,6 +71,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(new, p)
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """A text file for each row (name, text), written by the tasks; a repeated task writes the same files again. Gives their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for name, text in zip(b.column("name").to_pylist(), b.column("text").to_pylist(), strict=True):
+                store, inner = store_of(f"{folder}/{name}")
+                store.create_dir(os.path.dirname(inner))
+                with store.open_output_stream(inner) as f:
+                    f.write(text.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("name", "text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 

@@ -346,13 +346,11 @@ def test_membership(spark):
             check(*bad)
 
 
-def test_ranks_by_range(spark, monkeypatch):
+def test_ranks_by_range(spark):
     rows = [(f"t{i:03}", float(i % 17)) for i in range(200)]
     df = spark.createDataFrame(rows, "theme_id string, salience double")
     want = {t: k + 1 for k, (t, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert column(themes.ranked(df), "rank", "theme_id") == want
-    monkeypatch.setattr(themes, "FEW_THEMES", 10)
-    assert column(themes.ranked(df), "rank", "theme_id") == want
 
 
 def test_report_without_audit(spark):
