@@ -1,19 +1,20 @@
 """Document fingerprints by winnowing.
 
-A text's hashes are those of its runs of K code points, a polynomial of the points modulo a prime: it rolls over the text by
-doubling, so that the hash of sixteen points is made of those of four. Of each window of W consecutive hashes the smallest is
-selected, of equal ones the rightmost; windows that the text's ends cut off count as well. Hash and position of what is selected are
-the fingerprint. Whatever two texts share over K + W - 1 = 79 code points or more has a selected hash in both, the same one, so
-matches of that length are guaranteed and found at their places; what is shorter than K = 16 code points is noise.
-
-All steps are built-in functions over arrays, on pieces of SEGMENT code points that overlap by a window, so the memory for a
-text of any length is that of one piece and of the fingerprint. A document meets the one that follows it in order of doc_id by
-one shuffle: rows go to ranges of ids, each range gets its successor's first row as well, and a window in the range looks ahead.
-
-Defined cases: null texts are empty; an empty text has an empty fingerprint; a text of fewer than K code points has one hash, that
-of the whole text after as many U+0000 as lack; the likeness of two fingerprints is 2 * shared / (own + other's) over distinct hashes, 1 if both are empty; a
-document's order is by doc_id, null first, equal ids by a hash of the text and the text; one document is its own successor; an empty table gives
-an empty result.
+A text is read as units: words with the white space before them, cut every PIECE code points, and the letters of scripts that are
+written without spaces one by one. The hash of a run of K units is a polynomial of the units' hashes modulo a prime, which rolls over
+the text unit by unit. Of each window of W consecutive hashes the smallest is selected, of equal ones the rightmost; windows that
+the text's ends cut off count as well. Hash and position (the number of the run's first unit) of what is selected are the
+fingerprint. Units begin anew behind white space, so whatever two texts share over GUARANTEE units behind a space has a selected hash in
+both, the same one: matches of that length are found, at their places, and what is shorter than K units is noise.
+
+All steps are built-in functions over arrays: some 100 bytes a unit while a text is read. A document meets the one that follows it in
+order of doc_id by one shuffle: rows go to ranges of ids, each range gets its successor's first rows as well, and a window in the
+range looks ahead.
+
+Defined cases: null texts are empty; an empty text has an empty fingerprint; a text of fewer than K units has one hash, that of its units after as
+many empty ones as lack; the likeness of two fingerprints is 2 * shared / (own + other's) over distinct hashes, 1 if both are
+empty; documents stand in order of doc_id, null first, equal ids by a hash of the text and the text; one document is its own
+successor; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import let
 
-#: Code points in a hash, and hashes in a window: 4 ** 2 and 4 ** 3, as each pass joins four.
-K, W = 16, 64
-#: What two texts must share for a match to be certain.
+#: Units in a hash, hashes in a window (4 * 2: two passes), and what two texts must share for a match to be certain.
+K, W = 5, 8
 GUARANTEE = K + W - 1
-#: Code points of one piece.
-SEGMENT = 16_384
-#: The polynomial's prime and base: with them no step passes 63 bits.
-PRIME, BASE = 1_073_741_789, 8_191
+#: Code points of the longest unit.
+PIECE = 8
+#: Scripts without spaces between words: Thai and Lao, Myanmar, Khmer, Chinese and Japanese.
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u312F\u31A0-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+UNIT = rf"\s*+[^\s{_ALONE}]{{1,{PIECE}}}+|\s*+[{_ALONE}]|\s++"
+#: The polynomial's prime and base: five products of a unit's 30 bits with a coefficient stay below 63 bits.
+PRIME, BASE = 1_073_741_789, 486_187_739
 #: A selected hash and its position in one number, which orders by hash and then by position from the right.
 _PLACES = 1 << 31
 _NONE = "cast(array() as array<bigint>)"
@@ -40,54 +43,35 @@ _NONE = "cast(array() as array<bigint>)"
 RANGES = 8
 
 
-def _fours(a: Column, step: int, joined) -> Column:
-    return F.transform(a, lambda x, i: joined(x, F.get(a, i + step), F.get(a, i + 2 * step), F.get(a, i + 3 * step)))
+def _rolled(units: Column) -> Column:
+    """hash * 2^31 - position of each run of K units, null at the last K - 1 places."""
+    powers = [pow(BASE, K - 1 - j, PRIME) for j in range(K)]
+    own = F.transform(units, lambda u: F.xxhash64(u).bitwiseAND(2**30 - 1))
 
+    def roll(a: Column) -> Column:
+        run = lambda x, i: sum((F.get(a, i + j) * powers[j] for j in range(1, K)), x * powers[0])
+        return F.transform(a, lambda x, i: run(x, i) % PRIME * F.lit(_PLACES) - i)
 
-def _hashes(text: Column, offset: Column) -> Column:
-    """hash * 2^31 - position for each place of a text at which K code points stand, null at the places behind them."""
-    b = [pow(BASE, n, PRIME) for n in (4, 8, 12)]
-    four = lambda x, y, z, u: x * (BASE**3) + y * (BASE**2) + z * BASE + u
-    sixteen = lambda x, y, z, u: (x % PRIME * b[2] + y % PRIME * b[1] + z % PRIME * b[0] + u % PRIME) % PRIME
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    packed = lambda h: F.transform(h, lambda x, i: x * F.lit(_PLACES) - (i + offset))
-    return let(codes, lambda c: let(_fours(c, 1, four), lambda h: packed(_fours(h, 4, sixteen))))
+    return let(own, roll)
 
 
 def _least(a: Column) -> Column:
     """The smallest of each W places from the place on; nulls don't count."""
-    return let(_fours(a, 1, F.least), lambda m: let(_fours(m, 4, F.least), lambda n: _fours(n, 16, F.least)))
+    four = F.transform(a, lambda x, i: F.least(x, F.get(a, i + 1), F.get(a, i + 2), F.get(a, i + 3)))
+    return let(four, lambda m: F.transform(m, lambda x, i: F.least(x, F.get(m, i + 4))))
 
 
-def selected(text: Column, offset: Column, begins: Column, stop: Column) -> Column:
-    """What the windows of a part of a text select, as hash * 2^31 - position, in the windows' order.
-
-    The part stands at `offset`; windows count that start in it before `stop` (a place of the part), and, if the text begins with the
-    part, those that its beginning cuts off. What lacks behind the part lacks in the text.
-    """
-
-    def pieces(blocks: Column) -> Column:
-        def one(block: Column, i: Column) -> Column:
-            whole = F.concat(block, F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(GUARANTEE - 1)))
-            n = F.least(F.char_length(block), F.char_length(whole) - (K - 1), stop - i * SEGMENT)
-            before = F.when(begins & (i == 0), W - 1).otherwise(0)
-            padded = F.concat(F.array_repeat(F.lit(None).cast("long"), before), _hashes(whole, offset + i * SEGMENT))
-            return F.when(n > 0, let(padded, lambda a: F.array_distinct(F.slice(_least(a), 1, before + n)))).otherwise(F.expr(_NONE))
-
-        return F.array_distinct(F.flatten(F.transform(blocks, one)))
-
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
-    return F.when(F.char_length(text) > 0, let(blocks, pieces)).otherwise(F.expr(_NONE))
-
-
-def _padded(text: Column) -> Column:
-    """A text of fewer than K code points, but not an empty one, with U+0000 before it."""
-    return F.when((F.char_length(text) > 0) & (F.char_length(text) < K), F.lpad(text, K, "\x00")).otherwise(text)
+def fingerprint(text: Column) -> Column:
+    """The selected hashes of a text (not null), as hash * 2^31 - position, in the windows' order."""
 
+    def select(units: Column) -> Column:
+        lacking = F.greatest(F.lit(K) - F.size(units), F.lit(0))
+        hashes = let(F.concat(F.array_repeat(F.lit(""), lacking), units), _rolled)
+        padded = F.concat(F.array_repeat(F.lit(None).cast("long"), W - 1), hashes)
+        windows = F.size(units) + lacking - (K - 1) + (W - 1)
+        return F.when(F.size(units) > 0, F.array_distinct(F.slice(let(padded, _least), 1, windows))).otherwise(F.expr(_NONE))
 
-def fingerprint(text: Column) -> Column:
-    """The selected hashes of a whole text (not null), as hash * 2^31 - position, in order of their windows."""
-    return selected(_padded(text), F.lit(0), F.lit(True), F.lit(_PLACES))
+    return let(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), select)
 
 
 def hash_of(packed: Column) -> Column:
@@ -147,26 +131,17 @@ def edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited text, fingerprint, edited_fingerprint, near_edited, near_next; fingerprints as of fingerprint().
 
     A document's edited text is its own with the last quarter, rounded down, replaced by as much of the beginning of the one that
-    follows (all, if that is shorter). The part that both have is hashed once.
+    follows (all, if that is shorter).
     """
-    kept = F.char_length("text") - F.floor(F.char_length("text") / 4)
-    rows = _ranged(docs).withColumn("kept", kept.cast("int"))
-    # windows that lie in the kept part are the same in both texts
-    rows = rows.withColumn("same", F.when(F.col("kept") >= GUARANTEE, F.col("kept") - (GUARANTEE - 1)).otherwise(0))
-    rows = rows.withColumn("head", F.when(F.col("same") > 0, selected(F.left("text", F.col("kept")), F.lit(0), F.lit(True), F.col("same"))).otherwise(F.expr(_NONE)))
-
-    def rest(text: str) -> Column:
-        part = F.when(F.col("same") > 0, F.substr(text, F.col("same") + 1)).otherwise(_padded(F.col(text)))
-        return selected(part, F.col("same"), F.col("same") == 0, F.lit(_PLACES))
-
-    rows = rows.withColumn("fingerprint", F.array_distinct(F.concat("head", rest("text"))))
+    rows = _ranged(docs).withColumn("fingerprint", fingerprint(F.col("text")))
     order = Window.partitionBy("range").orderBy("guest", "place", "text")
     rows = rows.withColumns({"next": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)}).filter("not guest")
-    changed = F.concat(F.left("text", F.col("kept")), F.left("next", F.char_length("text") - F.col("kept")))
-    rows = rows.select("doc_id", "text", "same", "head", "fingerprint", "next_fingerprint", changed.alias("edited"))
-    rows = rows.withColumn("edited_fingerprint", F.array_distinct(F.concat("head", rest("edited"))))
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    changed = F.concat(F.left("text", F.char_length("text") - quarter), F.left("next", quarter))
+    rows = rows.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "fingerprint", "next_fingerprint", changed.alias("edited"))
+    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return rows.select(
-        "doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint",
+        "doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
