@@ -2,17 +2,20 @@
 
 Words become a template: numbers, units of measure and names (capitalised inside a sentence) turn into typed placeholders, all
 else into lower case without outer punctuation. A capitalised word at the start of a sentence or text may be a name or not: its
-windows are made in both readings, so what stands before an item doesn't matter. A benchmark item's windows of five template words are looked up by hash in
-each document; an item whose windows are found to the share of `similarity` is a candidate. Then its alignments are checked one
-after the other: the windows found at one must reach the similarity, in the item's order, and each value of the item must stand
-for one value of the document and the other way round. So an item with other numbers or names is found, also behind a text of the
-same template that contradicts it, and a chance mix of placeholders, or of the item's parts, is not.
+windows are made in both readings, so what stands before an item doesn't matter. A window of WINDOW template words with fewer than LITERALS
+words of its own is taken as it stands, values and all: bare figures match equal figures only.
 
-The items are the stated query set: they are sent in blocks of at most BLOCK_CHARS characters, each block against all
-documents, row by row and without shuffle.
+The items' windows are a table, and documents meet it by a join on the windows' hashes. Before the shuffle a document's windows pass two
+filters of a fixed number of bits, one of the items' words and one of their windows, so that little but true hits moves; a large benchmark
+makes the filters denser and the join longer, nothing else, and one scan of the documents serves any number of items. Each pair of document and
+item with enough hits is then aligned on its own: the windows found at one shift, or at shifts that differ by at most SLACK of the
+item's length, must reach SIMILARITY of the item's places, and each value of the item must stand for one value of the document and the other
+way round. So an item with other numbers or names is found, also behind a text of the same template that contradicts it, and a chance
+mix of placeholders, or of the item's parts, is not. The work of a pair is that of its hits, sorted once.
 
 Defined cases: items of 1 to 4 words must be found whole; items without words (null, empty) match nothing; equal items each
-match; null and empty documents hold none; null ids stay; documents are scanned to their end.
+match; repeated documents each match; null and empty documents hold none; null ids stay; documents are scanned to their end; extra
+columns of either table may have any name.
 """
 
 from __future__ import annotations
@@ -22,16 +25,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, windows
+from gridloom.llm.common import bounded_batches, mixed, windows, written
 
 WINDOW = 5
 SIMILARITY = 0.8
 #: Words put in or left out that one alignment bears, as a share of the item's length.
 SLACK = 0.1
-BLOCK_CHARS = 8_000_000
+#: Words of its own, neither numbers nor units nor names, that a window of placeholders needs.
+LITERALS = 2
+#: Bits of a filter for each entry, and least and most bits of a filter.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Units of measure.
 UNITS = frozenset(
     "mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ton tons ml l liter liters litre litres "
@@ -43,46 +51,82 @@ OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 NUM, UNIT, NAME = 1, 2, 3
 
 
+_SHORT = (1 << 59) - 1
+
+
 def core(word: str) -> str:
     return OUTER.sub("", word)
 
 
+def word_hash(word: str) -> int:
+    """59 bits, and none of the placeholders' numbers."""
+    return max(xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) & _SHORT, 4)
+
+
+class Filter:
+    """A Bloom filter over 64-bit hashes; three bits each."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) - 1)
+
+    @staticmethod
+    def size(entries: int) -> int:
+        return min(max(LEAST_BITS, 1 << (FILTER_BITS * entries).bit_length()), MOST_BITS)
+
+    @staticmethod
+    def _places(h: np.ndarray) -> tuple[np.ndarray, ...]:
+        h = mixed(h.astype(np.uint64))
+        return h, h >> np.uint64(21), h >> np.uint64(42) ^ h << np.uint64(7)
+
+    def add(self, h: np.ndarray) -> None:
+        for p in self._places(h):
+            self.bits[p & self.mask] = True
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for p in self._places(h):
+            out &= self.bits[p & self.mask]
+        return out
+
+
 class Words(dict):
-    """word -> id << 2 | may be a name << 1 | ends a sentence.
+    """word -> id << 3 | known << 2 | may be a name << 1 | ends a sentence.
 
-    Words outside the items' vocabulary have id 0, which no window holds.
+    id: the placeholder's number, else the hash of the word without outer punctuation; 0 for words that no item has. known: whether an
+    item has it, whatever its id. Without a filter all words are known.
     """
 
-    def __init__(self, vocabulary: dict[str, int]):
+    def __init__(self, known: Filter | None):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.known = known
 
     def __missing__(self, word: bytes) -> int:
         w = word.decode("utf-8", "replace")
         c = core(w)
         ends = w.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")
-        if not c:
-            i, name = self.vocabulary.get(w, 0), False
-        elif NUMBER.fullmatch(c):
-            i, name = NUM, False
+        h = word_hash(c.lower() or w)
+        known = self.known is None or bool(self.known.holds(np.array([h], np.uint64))[0])
+        i, name = h if known else 0, False
+        if c and NUMBER.fullmatch(c):
+            i = NUM
         elif c.lower() in UNITS:
-            i, name = UNIT, False
-        else:
-            i, name = self.vocabulary.get(c.lower(), 0), c[0].isupper() and c[1:].islower()
-        v = i << 2 | name << 1 | ends
+            i = UNIT
+        elif c:
+            name = c[0].isupper() and c[1:].islower()
+        v = i << 3 | known << 2 | name << 1 | ends
         if len(self) < 300_000 and len(word) < 64:
             self[word] = v
         return v
 
 
-def template(words: list[bytes], table: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Template ids of a text's words, and which may be names as well: the capitalised ones at a sentence's or the text's start."""
+def template(words: list[bytes], table: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template ids of a text's words, which may be names as well (the capitalised ones at a sentence's or the text's start), and which an item has."""
     v = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
     if not len(v):
-        return v, np.zeros(0, bool)
+        return v, np.zeros(0, bool), np.zeros(0, bool)
     starts = np.concatenate(([True], (v[:-1] & 1).astype(bool)))
     name = (v & 2).astype(bool)
-    return np.where(name & ~starts, NAME, v >> 2), name & starts
+    return np.where(name & ~starts, NAME, v >> 3), name & starts, (v & 4).astype(bool)
 
 
 #: For each set of words in a window, as bits, its parts but the empty one: all in one array, where they start and how many.
@@ -91,11 +135,11 @@ _PART, _COUNT = np.array([m for parts in _PARTS for m in parts], np.int64), np.a
 _START = np.cumsum(_COUNT) - _COUNT
 
 
-def readings(t: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, plain) of the windows in all readings of the words that may be names; windows with an unknown word are left out."""
+def _read(t: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, plain, words read as names, as bits) of the windows in all readings of the words that may be names; windows with an unknown word are left out."""
     n = len(t) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def all_of(x: np.ndarray) -> np.ndarray:
         run = np.cumsum(np.concatenate(([0], x)))
@@ -106,7 +150,7 @@ def readings(t: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray,
     h = windows(t.astype(np.uint64), size)[at] if len(at) else np.zeros(0, np.uint64)
     more = np.flatnonzero(all_of(known | either) & ~all_of(~either)) if either.any() else at[:0]
     if not len(more):
-        return h, at, np.ones(len(at), bool)
+        return h, at, np.ones(len(at), bool), np.zeros(len(at), np.int64)
     bits = np.arange(size)
     code = either[more[:, None] + bits] @ (1 << bits)
     more = np.repeat(more, _COUNT[code])
@@ -114,143 +158,69 @@ def readings(t: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray,
     ids = np.where(part[:, None] >> bits & 1, NAME, t[more[:, None] + bits])
     ok = (ids > 0).all(axis=1)
     also = windows(ids[ok].ravel().astype(np.uint64), size)[::size]
-    return np.concatenate([h, also]), np.concatenate([at, more[ok]]), np.arange(len(at) + len(also)) < len(at)
-
-
-class Block:
-    """The items of one block: their windows by hash, in arrays."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items = items
-        self.words = [(t or "").encode("utf-8", "replace").split() for _, t in items]
-        vocabulary: dict[str, int] = {}
-        for ws in self.words:
-            for w in ws:
-                c = core(w.decode("utf-8", "replace")).lower() or w.decode("utf-8", "replace")
-                vocabulary.setdefault(c, len(vocabulary) + 4)
-        self.table = Words(vocabulary)
-        own = [template(ws, self.table) for ws in self.words]
-        self.templates, self.either = [t for t, _ in own], [e for _, e in own]
-        self.sizes = sorted({min(WINDOW, len(t)) for t in self.templates if len(t)})
-        hashes, kinds, owner, plain = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        self.distinct = np.zeros((len(own), 2), np.int64)
-        for k, t in enumerate(self.templates):
-            if len(t):
-                h, at, first = readings(t, self.either[k], min(WINDOW, len(t)))
-                names, alone = self._kinds(k)
-                self.distinct[k] = names.max() + 1, alone.max() + 1
-                hashes.append(h)
-                kinds.append(names[at] << 32 | alone[at])
-                owner.append(np.full(len(h), k))
-                plain.append(first)
-        h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.kind, self.plain = h[order], np.concatenate(owner)[order], np.concatenate(kinds)[order], np.concatenate(plain)[order]
-
-    def _kinds(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each window of an item, equal for equal windows: with all words that may be names as names, and as plain words."""
-        t, e = self.templates[k], self.either[k]
-        size = min(WINDOW, len(t))
-        return tuple(np.unique(windows(x.astype(np.uint64), size), return_inverse=True)[1] for x in (np.where(e, NAME, t), t))
-
-    def leaks(self, text: str | None) -> list[tuple[int, int, float, int]]:
-        """(item's place, windows found, share, slots) of the items that a text holds."""
-        words = (text or "").encode("utf-8", "replace").split()
-        t, either = template(words, self.table)
-        if not len(t) or not len(self.hash):
-            return []
-        found = []
-        for size in self.sizes:
-            h, at, plain = readings(t, either, size)
-            if len(h):
-                i = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-                hit = self.hash[i] == h
-                found.append((h[hit], at[hit], plain[hit]))
-        if not found:
-            return []
-        h, at, plain = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.concatenate([h, also]), np.concatenate([at, more[ok]]), np.arange(len(at) + len(also)) < len(at), np.concatenate([np.zeros(len(at), np.int64), part[ok]])
+
+
+_BITS = 1 << np.arange(WINDOW)
+#: A window and what stands around it: a slot that no window covers is looked up there.
+_AROUND = np.arange(1 - WINDOW, 2 * WINDOW - 1)
+_SPAN = len(_AROUND)
+#: Beside the placeholders' numbers: a word that may be a name, and one that is one elsewhere in the item.
+EITHER, NAMED = 4, 5
+
+
+def found_windows(words: list[bytes], table: Words, sizes: list[int], wanted: Filter | None) -> tuple[np.ndarray, ...]:
+    """(hash, place, plain, slots) of a text's windows in all readings; of those alone that a filter lets pass.
+
+    slots: for each place of _AROUND the hash of the word << 3 | the kind of its slot, 0 for other words. A window with fewer than
+    LITERALS words of its own (or than it has words) is hashed with its values.
+    """
+    t, either, known = template(words, table)
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    blank = np.concatenate(([0], np.cumsum((t > 0) & (t <= NAME))))
+    strange = np.concatenate(([0], np.cumsum(~known)))
+    for size in sizes:
+        h, at, plain, names = _read(t, either, size)
         if not len(h):
-            return []
-        counts = [self._counts(h, 32, np.ones(len(self.hash), bool)), self._counts(h[plain], 0, self.plain)]
-        out = []
-        for k in sorted({k for own in counts for k in own}):
-            for names, own in zip((True, False), counts, strict=True):
-                m, all_of = own.get(k, 0), int(self.distinct[k][0 if names else 1])
-                if m >= SIMILARITY * all_of:
-                    slots = self._slots(k, names, h if names else h[plain], at if names else at[plain], words, t, either)
-                    if slots is not None:
-                        out.append((k, m, m / all_of, slots))
-                        break
+            continue
+        own = size - (blank[at + size] - blank[at]) - ((names[:, None] & _BITS[:size]) > 0).sum(axis=1)
+        poor = own < min(LITERALS, size)
+        if poor.any():
+            # as they stand: once for each place, whatever the reading
+            places = np.unique(at[poor])
+            places = places[strange[places + size] == strange[places]]
+            values = _hashes(words, places[:, None] + np.arange(size))
+            same = mixed(windows(values.ravel().astype(np.uint64), size)[::size]) if len(places) else np.zeros(0, np.uint64)
+            h, at, plain = np.concatenate([h[~poor], same]), np.concatenate([at[~poor], places]), np.concatenate([plain[~poor], np.ones(len(places), bool)])
+        if wanted is not None:
+            passed = wanted.holds(h)
+            h, at, plain = h[passed], at[passed], plain[passed]
+        out.append((h, at, plain))
+    h, at, plain = (np.concatenate(x) for x in zip(*out, strict=True))
+    return h, at, plain, _slots(words, t, either, at)
+
+
+def _hashes(words: list[bytes], where: np.ndarray) -> np.ndarray:
+    """The hashes of the words at some places, without case and outer punctuation."""
+    places, back = np.unique(where, return_inverse=True)
+    said = (words[p].decode("utf-8", "replace") for p in places.tolist())
+    return np.array([word_hash(core(w).lower() or w) for w in said], np.int64)[back].reshape(where.shape)
+
+
+def _slots(words: list[bytes], t: np.ndarray, either: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at), _SPAN), np.int64)
+    if not len(at):
         return out
-
-    def _counts(self, h: np.ndarray, shift: int, among: np.ndarray) -> dict[int, int]:
-        """How many distinct windows of each item are among the hashes h of a document."""
-        own = np.unique(h)
-        rows = _ranges(np.searchsorted(self.hash, own), np.searchsorted(self.hash, own, side="right"))
-        rows = rows[among[rows]]
-        pair = np.unique(self.owner[rows] << 32 | self.kind[rows] >> shift & 0xFFFFFFFF)
-        items, n = np.unique(pair >> 32, return_counts=True)
-        return dict(zip(items.tolist(), n.tolist(), strict=True))
-
-    def _slots(self, k: int, names: bool, h: np.ndarray, at: np.ndarray, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
-        """How many slots agree on the first alignment without contradiction; None if there is none.
-
-        An alignment is a shift between item and document; the windows found at it, or at shifts that differ by at most SLACK of
-        the item's length, must reach the similarity alone, so an item whose parts stand in another order is none. names: words
-        that may be names are read as names too; else as plain words, unless the item has them as names elsewhere.
-        """
-        mine, may = self.templates[k], self.either[k]
-        said = [core(w.decode("utf-8", "replace")).lower() for w in self.words[k]]
-        if not names:
-            sure = {w for w, x in zip(said, mine.tolist(), strict=True) if x == NAME}
-            may = may & np.array([w in sure for w in said])
-        size = min(WINDOW, len(mine))
-        own, place, plain = readings(mine, self.either[k], size)
-        if not names:
-            own, place = own[plain], place[plain]
-        order = np.lexsort((place, own))
-        own, place = own[order], place[order]
-        # each hit with every place of the item that has its window
-        lo, hi = np.searchsorted(own, h), np.searchsorted(own, h, side="right")
-        rows = _ranges(lo, hi)
-        there, here = np.repeat(at, hi - lo), place[rows]
-        shift = there - here
-        order = np.argsort(shift, kind="stable")
-        shift, there, here = shift[order], there[order], here[order]
-        found = self._kinds(k)[0 if names else 1][here]
-        least = SIMILARITY * self.distinct[k][0 if names else 1]
-        slack = int(SLACK * len(mine))
-        values, n = np.unique(shift, return_counts=True)
-        where = np.flatnonzero((mine <= NAME) | may)
-        for v in values[np.argsort(-n, kind="stable")].tolist():
-            a, b = np.searchsorted(shift, v - slack), np.searchsorted(shift, v + slack, side="right")
-            if b - a < least or len(np.unique(found[a:b])) < least:
-                continue
-            if not len(where):
-                return 0
-            slots = self._agreed(said, where, mine, may, v, shift[a:b], here[a:b], size, words, t, either)
-            if slots is not None:
-                return slots
-        return None
-
-    def _agreed(self, said: list[str], where: np.ndarray, mine: np.ndarray, may: np.ndarray, base: int, shift: np.ndarray, here: np.ndarray, size: int, words: list[bytes], t: np.ndarray, either: np.ndarray) -> int | None:
-        """How many slots agree on one alignment; None if a value has two counterparts. A slot is looked up at the shift of a window that covers it, else at the base."""
-        of = {}
-        for d, p in sorted(zip(shift.tolist(), here.tolist(), strict=True), key=lambda x: -abs(x[0] - base)):
-            for o in range(size):
-                of[p + o] = d
-        there: dict[str, str] = {}
-        back: dict[str, str] = {}
-        agreed = 0
-        for p in where.tolist():
-            q = of.get(p, base) + p
-            kind = NAME if may[p] else mine[p]
-            if 0 <= q < len(t) and (t[q] == kind or kind == NAME and either[q]):
-                a, b = f"{kind}:{said[p]}", f"{kind}:{core(words[q].decode('utf-8', 'replace')).lower()}"
-                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                    return None
-                agreed += 1
-        return agreed
+    where = at[:, None] + _AROUND
+    inside = (where >= 0) & (where < len(t))
+    kind = np.where(either, EITHER, np.where((t > 0) & (t <= NAME), t, 0))
+    inside[inside] = kind[where[inside]] > 0
+    hashes = _hashes(words, where[inside])
+    kinds = kind[where[inside]]
+    named = np.unique(_hashes(words, np.flatnonzero(t == NAME))) if (kinds == EITHER).any() and (t == NAME).any() else kinds[:0]
+    kinds = np.where((kinds == EITHER) & np.isin(hashes, named), NAMED, kinds)
+    out[inside] = hashes << 3 | kinds
+    return out
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -259,59 +229,171 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks of bounded size."""
-    own = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-chars // BLOCK_CHARS) or 1
-    for k in range(count):
-        part = own if count == 1 else own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield [tuple(r) for r in part.collect()]
+def _numbers() -> Iterator[int]:
+    """Numbers for the rows of a task, the same when it is repeated."""
+    first = TaskContext.get().partitionId() << 40
+    while True:
+        yield first
+        first += 1
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table, number = Words(None), _numbers()
+    for b in batches:
+        rows = [[] for _ in _ITEM]
+        for i, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            k, words = next(number), _split(text)
+            if not words:
+                continue
+            size = min(WINDOW, len(words))
+            h, at, plain, slots = found_windows(words, table, [size], None)
+            own = [h.view(np.int64).tolist(), [k] * len(h), [i] * len(h), at.tolist(), plain.tolist(), [v.tobytes() for v in slots], [len(words) - size + 1] * len(h), [len(words)] * len(h), [size] * len(h)]
+            for into, new in zip(rows, own, strict=True):
+                into += new
+        yield pa.RecordBatch.from_arrays([pa.array(r, kind) for r, kind in zip(rows, _ITEM.values(), strict=True)], list(_ITEM))
+
+
+_ITEM = {"hash": pa.int64(), "item": pa.int64(), "item_id": pa.int64(), "here": pa.int64(), "own_plain": pa.bool_(), "own": pa.binary(), "places": pa.int64(), "length": pa.int64(), "size": pa.int64()}
+_ITEM_SCHEMA = "hash bigint, item bigint, item_id bigint, here bigint, own_plain boolean, own binary, places bigint, length bigint, size bigint"
+_HIT = {"hash": pa.int64(), "doc": pa.int64(), "doc_id": pa.int64(), "mark": pa.int64(), "there": pa.int64(), "plain": pa.bool_(), "said": pa.binary()}
+_HIT_SCHEMA = "hash bigint, doc bigint, doc_id bigint, mark bigint, there bigint, plain boolean, said binary"
+
+
+def _filter_of(hashes: DataFrame, column: str) -> Filter:
+    """The filter of a column of hashes: each task fills its own bits, and as many as there are tasks (eight at most) meet on the driver."""
+    size = Filter.size(hashes.count())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(np.zeros(size, bool))
+        for b in batches:
+            own.add(b.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own.bits).tobytes()], pa.binary())], ["bits"])
 
-def _loader(items: list) -> Callable[[], Block]:
-    made: list[Block] = []
+    bits = np.zeros(size, bool)
+    for r in hashes.select(column).coalesce(8).mapInArrow(run, "bits binary").collect():
+        bits |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return Filter(bits)
 
-    def load() -> Block:
-        if not made:
-            made.append(Block(items))
-        return made[0]
 
-    return load
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = {word_hash(core(w).lower() or w) for t in b.column("text").to_pylist() for w in (x.decode("utf-8", "replace") for x in _split(t))}
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64())], ["word"])
+
+
+def _prober(known: Filter, wanted: Filter, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows of documents that may be an item's."""
+    packed = [np.packbits(f.bits).tobytes() for f in (known, wanted)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, window = (Filter(np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool)) for p in packed)
+        table, number = Words(word), _numbers()
+        for b in batches:
+            rows = [[] for _ in _HIT]
+            for d, mark, text in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist(), strict=True):
+                k = next(number)
+                h, at, plain, slots = found_windows(_split(text), table, sizes, window)
+                if len(h):
+                    for into, new in zip(rows, [h.view(np.int64).tolist(), [k] * len(h), [d] * len(h), [mark] * len(h), at.tolist(), plain.tolist(), [v.tobytes() for v in slots]], strict=True):
+                        into += new
+            yield pa.RecordBatch.from_arrays([pa.array(r, kind) for r, kind in zip(rows, _HIT.values(), strict=True)], list(_HIT))
+
+    return run
+
+
+def aligned(there: np.ndarray, here: np.ndarray, said: np.ndarray, own: np.ndarray, places: int, length: int, names: bool) -> tuple[int, int] | None:
+    """(places found, slots) of the first sound alignment of a document and an item, the fullest shifts first; None if there is none.
+
+    there, here: a hit's place in document and item; said, own: the slots around it. A slot counts at the shift of a window that
+    covers it, the nearest to the alignment's, else at that of a window beside it. names: words that may be names are slots.
+    """
+    shift = there - here
+    order = np.argsort(shift, kind="stable")
+    shift, here, said, own = shift[order], here[order], said[order], own[order]
+    least, slack = SIMILARITY * places, int(SLACK * length)
+    values, n = np.unique(shift, return_counts=True)
+    low, high = np.searchsorted(shift, values - slack), np.searchsorted(shift, values + slack, side="right")
+    covered = (_AROUND >= 0) & (_AROUND < min(WINDOW, length))
+    for k in np.argsort(-n, kind="stable").tolist():
+        a, b = int(low[k]), int(high[k])
+        if b - a < least:
+            continue
+        near = a + np.argsort(np.abs(shift[a:b] - values[k]), kind="stable")
+        _, first = np.unique(here[near], return_index=True)
+        if len(first) < least:
+            continue
+        near = near[np.sort(first)]
+        where = here[near][:, None] + _AROUND
+        part = lambda x: np.concatenate([x[:, covered].ravel(), x[:, ~covered].ravel()])
+        where, mine, other = part(where), part(own[near]), part(said[near])
+        _, once = np.unique(where, return_index=True)
+        mine, other = mine[once], other[once]
+        kind, their = mine & 7, other & 7
+        name = (kind == NAME) | (kind == NAMED) | (names & (kind == EITHER))
+        slot = np.where(name, their >= NAME, (kind > 0) & (kind < NAME) & (kind == their))
+        mine, other = mine[slot] >> 3, other[slot] >> 3
+        pairs = len(set(zip(mine.tolist(), other.tolist(), strict=True)))
+        if pairs == len(np.unique(mine)) == len(np.unique(other)):
+            return len(first), int(slot.sum())
+    return None
+
+
+def _judged(table: pa.Table) -> pa.Table:
+    """One pair of document and item: a row if the document holds the item."""
+    col = lambda c: table.column(c).to_numpy()
+    bits = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64).reshape(-1, _SPAN)
+    there, here, said, own = col("there"), col("here"), bits("said"), bits("own")
+    places, length = int(col("places")[0]), int(col("length")[0])
+    plain = col("plain").astype(bool) & col("own_plain").astype(bool)
+    # words that may be names are read as names too, else as words
+    got = aligned(there, here, said, own, places, length, True)
+    if got is None and plain.any():
+        got = aligned(there[plain], here[plain], said[plain], own[plain], places, length, False)
+    first = lambda c: [table.column(c)[0].as_py()] if got else []
+    found, slots = got or (0, 0)
+    out = [first("doc_id"), first("mark"), first("item_id"), [found] if got else [], [found / places] if got else [], [slots] if got else []]
+    return pa.table({n: pa.array(v, kind) for (n, kind), v in zip(_LEAK.items(), out, strict=True)})
+
+
+_LEAK = {"doc_id": pa.int64(), "mark": pa.int64(), "item_id": pa.int64(), "n_found": pa.int64(), "share": pa.float64(), "n_slots": pa.int64()}
+_LEAK_SCHEMA = "doc_id bigint, mark bigint, item_id bigint, n_found bigint, share double, n_slots bigint"
+
+
+def _marked(docs: DataFrame) -> list:
+    return [docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("mark")]
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """leaks() with the hash of the document's text (mark)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    bench = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), benchmark["text"].cast("string").alias("text"))
+    items, _ = written(bench.mapInArrow(_item_windows, _ITEM_SCHEMA), "item-windows")
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # 1 to WINDOW
+    if not sizes:
+        return spark.createDataFrame([], _LEAK_SCHEMA)
+    known = _filter_of(bench.select("text").mapInArrow(_item_words, "word bigint").distinct(), "word")
+    wanted = _filter_of(items.select("hash").distinct(), "hash")
+    own = docs.select(*_marked(docs), docs["text"].cast("string").alias("text")).filter("text is not null")
+    hits = own.mapInArrow(_prober(known, wanted, sizes), _HIT_SCHEMA).join(items.drop("size"), "hash")
+    hits, _ = written(hits.drop("hash"), "item-hits")
+    # pairs whose hits can't reach the similarity go before they are gathered
+    enough = hits.groupBy("doc", "item").agg(F.count_distinct("here").alias("found"), F.max("places").alias("all")).filter(F.col("found") >= SIMILARITY * F.col("all")).select("doc", "item")
+    return hits.join(enough, ["doc", "item"], "left_semi").groupBy("doc", "item").applyInArrow(_judged, _LEAK_SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_found, share, n_slots: a row for each document and item that it holds."""
-    bounded_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, n_found bigint, share double, n_slots bigint"
-    out = None
-    for items in _blocks(benchmark):
-        load = _loader(items)
-
-        def run(batches: Iterator[pa.RecordBatch], load=load) -> Iterator[pa.RecordBatch]:
-            block = load()
-            for b in batches:
-                rows = [(d, block.items[k][0], n, s, m) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for k, n, s, m in block.leaks(t)]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], ["doc_id", "item_id", "n_found", "share", "n_slots"])
-
-        part = own.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out
+    return _leaks(docs, benchmark).drop("mark")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, unchanged, that hold no item. A row travels as one struct, so its columns may have any name."""
-    bounded_batches(docs.sparkSession)
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
-    for items in _blocks(benchmark):
-        load = _loader(items)
-
-        def run(batches: Iterator[pa.RecordBatch], load=load) -> Iterator[pa.RecordBatch]:
-            block = load()
-            for b in batches:
-                yield b.filter(pa.array([not block.leaks(t) for t in b.column("text").to_pylist()], pa.bool_()))
-
-        own = own.mapInArrow(run, own.schema)
-    return own.select("row.*")
+    gone, _ = written(_leaks(docs, benchmark).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct(), "leaking")
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *_marked(docs))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark"))
+    return own.join(gone, same, "left_anti").select("row.*")
