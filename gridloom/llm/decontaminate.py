@@ -21,6 +21,7 @@ columns of either table may have any name.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, mixed, windows, written
+from gridloom.llm.common import FACTOR, bounded_batches, mixed, written
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -75,93 +76,86 @@ class Filter:
 
     @staticmethod
     def _places(h: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = mixed(h.astype(np.uint64))
-        return h, h >> np.uint64(21), h >> np.uint64(42) ^ h << np.uint64(7)
+        h = h.astype(np.uint64)  # hashes already
+        return h, h >> np.uint64(17), h >> np.uint64(31)
 
     def add(self, h: np.ndarray) -> None:
         for p in self._places(h):
             self.bits[p & self.mask] = True
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
+        out = np.zeros(len(h), bool)
+        left = np.arange(len(h))
         for p in self._places(h):
-            out &= self.bits[p & self.mask]
+            left = left[self.bits[p[left] & self.mask]]
+        out[left] = True
         return out
 
 
 class Words(dict):
-    """word -> id << 3 | known << 2 | may be a name << 1 | ends a sentence.
-
-    id: the placeholder's number, else the hash of the word without outer punctuation; 0 for words that no item has. known: whether an
-    item has it, whatever its id. Without a filter all words are known.
-    """
-
-    def __init__(self, known: Filter | None):
-        super().__init__()
-        self.known = known
+    """word -> id << 2 | may be a name << 1 | ends a sentence; id: the placeholder's number, else the hash of the word without outer punctuation."""
 
     def __missing__(self, word: bytes) -> int:
         w = word.decode("utf-8", "replace")
-        c = core(w)
-        ends = w.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")
-        h = word_hash(c.lower() or w)
-        known = self.known is None or bool(self.known.holds(np.array([h], np.uint64))[0])
-        i, name = h if known else 0, False
-        if c and NUMBER.fullmatch(c):
-            i = NUM
-        elif c.lower() in UNITS:
-            i = UNIT
-        elif c:
-            name = c[0].isupper() and c[1:].islower()
-        v = i << 3 | known << 2 | name << 1 | ends
-        if len(self) < 300_000 and len(word) < 64:
+        c = w.strip(string.punctuation)
+        letters = c.isalpha()  # most words: no number, and nothing more to strip
+        if not letters:
+            c = core(w)
+        low = c.lower()
+        ends = not w[-1].isalpha() and w.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")
+        if not letters and c and NUMBER.fullmatch(c):
+            i, name = NUM, False
+        elif low in UNITS:
+            i, name = UNIT, False
+        else:
+            i, name = word_hash(low or w), c[:1].isupper() and c[1:].islower()
+        v = i << 2 | name << 1 | ends
+        if len(self) < 600_000 and len(word) < 64:
             self[word] = v
         return v
 
 
-def template(words: list[bytes], table: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template ids of a text's words, which may be names as well (the capitalised ones at a sentence's or the text's start), and which an item has."""
+def template(words: list[bytes], table: Words, known: Filter | None) -> tuple[np.ndarray, np.ndarray]:
+    """Template ids of a text's words, 0 for those that the filter doesn't know, and which may be names as well: the capitalised ones at a sentence's or the text's start."""
     v = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
     if not len(v):
-        return v, np.zeros(0, bool), np.zeros(0, bool)
+        return v, np.zeros(0, bool)
     starts = np.concatenate(([True], (v[:-1] & 1).astype(bool)))
     name = (v & 2).astype(bool)
-    return np.where(name & ~starts, NAME, v >> 3), name & starts, (v & 4).astype(bool)
+    ids = v >> 2
+    if known is not None:
+        ids = np.where((ids <= NAME) | known.holds(ids), ids, 0)
+    return np.where(name & ~starts, NAME, ids), name & starts
 
 
+_BITS = 1 << np.arange(WINDOW)
 #: For each set of words in a window, as bits, its parts but the empty one: all in one array, where they start and how many.
 _PARTS = [[m for m in range(1, 1 << WINDOW) if m & ~code == 0] for code in range(1 << WINDOW)]
 _PART, _COUNT = np.array([m for parts in _PARTS for m in parts], np.int64), np.array([len(parts) for parts in _PARTS])
 _START = np.cumsum(_COUNT) - _COUNT
 
 
-def _read(t: np.ndarray, either: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, plain, words read as names, as bits) of the windows in all readings of the words that may be names; windows with an unknown word are left out."""
-    n = len(t) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
-
-    def all_of(x: np.ndarray) -> np.ndarray:
-        run = np.cumsum(np.concatenate(([0], x)))
-        return run[size:] - run[:n] == size
-
-    known = t > 0
-    at = np.flatnonzero(all_of(known))
-    h = windows(t.astype(np.uint64), size)[at] if len(at) else np.zeros(0, np.uint64)
-    more = np.flatnonzero(all_of(known | either) & ~all_of(~either)) if either.any() else at[:0]
-    if not len(more):
-        return h, at, np.ones(len(at), bool), np.zeros(len(at), np.int64)
-    bits = np.arange(size)
-    code = either[more[:, None] + bits] @ (1 << bits)
-    more = np.repeat(more, _COUNT[code])
-    part = _PART[_ranges(_START[code], _START[code] + _COUNT[code])]
-    ids = np.where(part[:, None] >> bits & 1, NAME, t[more[:, None] + bits])
-    ok = (ids > 0).all(axis=1)
-    also = windows(ids[ok].ravel().astype(np.uint64), size)[::size]
-    return np.concatenate([h, also]), np.concatenate([at, more[ok]]), np.arange(len(at) + len(also)) < len(at), np.concatenate([np.zeros(len(at), np.int64), part[ok]])
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    """One hash for each row of word numbers."""
+    h = np.zeros(len(ids), np.uint64)
+    with np.errstate(over="ignore"):
+        for column in ids.astype(np.uint64).T:
+            h = mixed(h * FACTOR + column)
+    return h
 
 
-_BITS = 1 << np.arange(WINDOW)
+def _read(t: np.ndarray, either: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers, place, plain, words read as names, as bits) of the windows at some places in all readings of the words that may be names; those with an unknown word are left out."""
+    where = at[:, None] + np.arange(size)
+    ids, code = t[where], either[where] @ _BITS[:size]
+    sure = (ids > 0).all(axis=1)
+    more = np.repeat(np.flatnonzero(code > 0), _COUNT[code[code > 0]])
+    part = _PART[_ranges(_START[code[code > 0]], _START[code[code > 0]] + _COUNT[code[code > 0]])]
+    also = np.where(part[:, None] & _BITS[:size] > 0, NAME, ids[more])
+    ok = (also > 0).all(axis=1)
+    names = np.concatenate([np.zeros(sure.sum(), np.int64), part[ok]])
+    return np.concatenate([ids[sure], also[ok]]), np.concatenate([at[sure], at[more[ok]]]), names == 0, names
+
 #: A window and what stands around it: a slot that no window covers is looked up there.
 _AROUND = np.arange(1 - WINDOW, 2 * WINDOW - 1)
 _SPAN = len(_AROUND)
@@ -169,29 +163,29 @@ _SPAN = len(_AROUND)
 EITHER, NAMED = 4, 5
 
 
-def found_windows(words: list[bytes], table: Words, sizes: list[int], wanted: Filter | None) -> tuple[np.ndarray, ...]:
-    """(hash, place, plain, slots) of a text's windows in all readings; of those alone that a filter lets pass.
+def found_windows(words: list[bytes], table: Words, sizes: list[int], known: Filter | None = None, wanted: Filter | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, place, plain, slots) of a text's windows in all readings; of those alone that the filters of words and windows let pass.
 
     slots: for each place of _AROUND the hash of the word << 3 | the kind of its slot, 0 for other words. A window with fewer than
     LITERALS words of its own (or than it has words) is hashed with its values.
     """
-    t, either, known = template(words, table)
+    t, either = template(words, table, known)
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
-    blank = np.concatenate(([0], np.cumsum((t > 0) & (t <= NAME))))
-    strange = np.concatenate(([0], np.cumsum(~known)))
+    good = np.concatenate(([0], np.cumsum((t > 0) | either)))
     for size in sizes:
-        h, at, plain, names = _read(t, either, size)
-        if not len(h):
+        at = np.flatnonzero(good[size:] - good[:-size] == size)
+        if not len(at):
             continue
-        own = size - (blank[at + size] - blank[at]) - ((names[:, None] & _BITS[:size]) > 0).sum(axis=1)
-        poor = own < min(LITERALS, size)
-        if poor.any():
-            # as they stand: once for each place, whatever the reading
-            places = np.unique(at[poor])
-            places = places[strange[places + size] == strange[places]]
+        ids, at, plain, names = _read(t, either, at, size)
+        poor = (ids > NAME).sum(axis=1) < min(LITERALS, size)
+        h, places = _hashed(ids[~poor]), np.unique(at[poor])
+        at, plain = at[~poor], plain[~poor]
+        if len(places):  # as they stand: once for each place, whatever the reading
             values = _hashes(words, places[:, None] + np.arange(size))
-            same = mixed(windows(values.ravel().astype(np.uint64), size)[::size]) if len(places) else np.zeros(0, np.uint64)
-            h, at, plain = np.concatenate([h[~poor], same]), np.concatenate([at[~poor], places]), np.concatenate([plain[~poor], np.ones(len(places), bool)])
+            if known is not None:
+                sure = known.holds(values.ravel()).reshape(values.shape).all(axis=1)
+                places, values = places[sure], values[sure]
+            h, at, plain = np.concatenate([h, mixed(_hashed(values))]), np.concatenate([at, places]), np.concatenate([plain, np.ones(len(places), bool)])
         if wanted is not None:
             passed = wanted.holds(h)
             h, at, plain = h[passed], at[passed], plain[passed]
@@ -242,7 +236,7 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table, number = Words(None), _numbers()
+    table, number = Words(), _numbers()
     for b in batches:
         rows = [[] for _ in _ITEM]
         for i, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -250,7 +244,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not words:
                 continue
             size = min(WINDOW, len(words))
-            h, at, plain, slots = found_windows(words, table, [size], None)
+            h, at, plain, slots = found_windows(words, table, [size])
             own = [h.view(np.int64).tolist(), [k] * len(h), [i] * len(h), at.tolist(), plain.tolist(), [v.tobytes() for v in slots], [len(words) - size + 1] * len(h), [len(words)] * len(h), [size] * len(h)]
             for into, new in zip(rows, own, strict=True):
                 into += new
@@ -291,12 +285,12 @@ def _prober(known: Filter, wanted: Filter, sizes: list[int]) -> Callable[[Iterat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, window = (Filter(np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool)) for p in packed)
-        table, number = Words(word), _numbers()
+        table, number = Words(), _numbers()
         for b in batches:
             rows = [[] for _ in _HIT]
             for d, mark, text in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").to_pylist(), strict=True):
                 k = next(number)
-                h, at, plain, slots = found_windows(_split(text), table, sizes, window)
+                h, at, plain, slots = found_windows(_split(text), table, sizes, word, window)
                 if len(h):
                     for into, new in zip(rows, [h.view(np.int64).tolist(), [k] * len(h), [d] * len(h), [mark] * len(h), at.tolist(), plain.tolist(), [v.tobytes() for v in slots]], strict=True):
                         into += new

@@ -126,9 +126,9 @@ def test_figures_take_time_by_their_number(spark):
     text = " ".join(str(k * 7) for k in range(10_000)).encode().split()
     known, wanted = (dc.Filter(np.zeros(1 << 20, bool)) for _ in range(2))
     known.add(np.array([dc.word_hash(w.decode()) for w in item], np.uint64))
-    wanted.add(dc.found_windows(item, dc.Words(None), [5], None)[0])
+    wanted.add(dc.found_windows(item, dc.Words(), [5])[0])
     began = time.perf_counter()
-    hits = dc.found_windows(text, dc.Words(known), [5], wanted)
+    hits = dc.found_windows(text, dc.Words(), [5], known, wanted)
     assert time.perf_counter() - began < 1 and len(hits[0]) < 100
     there, here = np.repeat(np.arange(2000), 60), np.tile(np.arange(60), 2000)
     slots, own = (((x[:, None] + dc._AROUND) % n) << 3 | 1 for x, n in ((there, 50), (here, 7)))
