@@ -5,7 +5,8 @@ capitals, punctuation and obfuscated words, exclamation marks, word length, and
 lexicon holds word starts whose occurrences stand almost only in texts labelled toxic.
 
 Training uses labelled rows whose crc32(doc_id as text) mod 4 is 0, 1 or 3, at most `sample` of them by the order of a
-hash (a documented bound): lexicon and trees from the remainders 0 and 1, calibration from 3. Everything else runs over all
+hash (a documented bound): lexicon and trees from the remainders 0 and 1, calibration from 3; how pure a learned start must be is
+chosen by these two as folds. Rows of remainder 2 decide nothing. Everything else runs over all
 rows without shuffle: features are a projection, trees and calibration an Arrow step behind it.
 
 Defined cases: null and empty texts have zero features and get the score of those; equal rows each give a row; null doc_ids
@@ -16,7 +17,7 @@ there is no label. Labels, lang, source and doc_id are no inputs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,17 @@ SECOND = ("you", "your", "you're", "du", "dich", "dein", "ihr", "tu", "toi", "vo
 
 @dataclass(frozen=True)
 class Params:
-    """sample: most labelled rows that train; lexicon: most learned word starts; support, purity: when a start is learned."""
+    """sample: most labelled rows that train; lexicon: most learned word starts; support, purity: when a start is learned.
+
+    purity is one of purities, by the folds of at most `tuning` training rows; the given one where these can't tell.
+    """
 
     sample: int = 30_000
     lexicon: int = 80
     support: int = 6
     purity: float = 0.8
+    purities: tuple[float, ...] = (0.75, 0.85, 0.95)
+    tuning: int = 10_000
     trees: int = 60
     depth: int = 3
     rate: float = 0.2
@@ -109,13 +115,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
 
 
-def learned_lexicon(rows: DataFrame, p: Params) -> list[str]:
-    """Word starts of 4 to 8 letters that enough toxic texts hold and that hardly stand in any other, by occurrences; exact copies of a text count once."""
-    texts = rows.filter("text is not null").groupBy(F.xxhash64("text").alias("copy")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+def _occurrences(rows: DataFrame, *keep: str) -> DataFrame:
+    """start, copy, toxic, n and the columns to keep: how often each text holds each word start of 4 to 8 letters; exact copies of a text count once."""
+    texts = rows.filter("text is not null").groupBy(F.xxhash64("text").alias("copy")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"), *[F.min(c).alias(c) for c in keep])
     starts = F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}{4,}"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(8))), lambda n: F.substr(w, F.lit(1), n))))
-    per = texts.select("copy", "toxic", F.explode(starts).alias("start")).groupBy("start", "copy").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    return texts.select("copy", "toxic", *keep, F.explode(starts).alias("start")).groupBy("start", "copy", *keep).agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+
+
+def _pure(per: DataFrame, p: Params, purity: float) -> list:
+    """start, yes, in_toxic, n of the starts that enough toxic texts hold and that hardly stand in any other."""
     counted = per.groupBy("start").agg(F.sum("toxic").alias("yes"), F.sum(F.col("n") * F.col("toxic")).alias("in_toxic"), F.sum("n").alias("n"))
-    good = counted.filter((F.col("yes") >= p.support) & (F.col("in_toxic") >= p.purity * F.col("n"))).orderBy(F.desc("yes"), "start").limit(8 * p.lexicon).collect()
+    return counted.filter((F.col("yes") >= p.support) & (F.col("in_toxic") >= purity * F.col("n"))).orderBy(F.desc("yes"), "start").limit(8 * p.lexicon).collect()
+
+
+def _picked(good: list, p: Params) -> list[str]:
+    """The starts that most texts hold, none of them the beginning of another."""
     out: list[str] = []
     for r in sorted(good, key=lambda r: (len(r["start"]), -r["yes"], r["start"])):
         if not any(r["start"].startswith(x) for x in out):
@@ -124,6 +138,37 @@ def learned_lexicon(rows: DataFrame, p: Params) -> list[str]:
     return sorted(sorted(out, key=lambda x: (-rank[x], x))[: p.lexicon])
 
 
+def learned_lexicon(rows: DataFrame, p: Params) -> list[str]:
+    """Word starts of 4 to 8 letters that enough toxic texts hold and that hardly stand in any other, by occurrences."""
+    return _picked(_pure(_occurrences(rows), p, p.purity), p)
+
+
+def chosen_purity(rows: DataFrame, p: Params) -> float:
+    """The purity whose lexicon and trees, learned from one fold of rows (text, toxic, fold 0 or 1), foretell the other fold best.
+
+    Both ways, by the logarithmic loss, over at most p.tuning rows by the order of a hash; of equal ones the highest. p.purity if a
+    fold lacks one of the classes.
+    """
+    some, path = written(rows.select("text", "toxic", "fold").orderBy(F.xxhash64("text"), "text").limit(p.tuning).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "tuning")
+    per, starts = written(_occurrences(some, "fold"), "starts")
+    loss, known = dict.fromkeys(p.purities, 0.0), {}
+    for here in (0, 1):
+        good = _pure(per.filter(F.col("fold") == here), p, min(p.purities))
+        for purity in p.purities:
+            words = tuple(_picked([r for r in good if r["in_toxic"] >= purity * r["n"]], p))
+            if (here, words) not in known:
+                got = features(some, list(words), "toxic", "fold").toPandas()  # at most p.tuning rows of numbers
+                x, y, own = got[list(FEATURES)].to_numpy(float), got["toxic"].to_numpy(float), got["fold"].to_numpy() == here
+                if not (0 < y[own].sum() < own.sum() and 0 < y[~own].sum() < (~own).sum()):
+                    discard(rows.sparkSession, path, starts)
+                    return p.purity
+                margin = predict(x[~own], *grow(x[own], y[own], p))
+                known[here, words] = float(np.logaddexp(0, np.where(y[~own] > 0, -margin, margin)).mean())
+            loss[purity] += known[here, words]
+    discard(rows.sparkSession, path, starts)
+    return min(p.purities, key=lambda x: (loss[x], -x))
+
+
 def grow(x: np.ndarray, y: np.ndarray, p: Params) -> tuple[float, list[tuple]]:
     """Boosted trees for the logistic loss, by histograms of up to 64 bins a feature. A tree is (feature, cut, left, right) or a value."""
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
@@ -195,7 +240,8 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     rows, path = written(training_rows(docs, labels, p), "sample")  # at most p.sample rows: documents are scanned once for them
-    words = learned_lexicon(rows.filter("fold < 2"), p)
+    own = rows.filter("fold < 2")
+    words = learned_lexicon(own, replace(p, purity=chosen_purity(own, p)))
     got = features(rows, words, "toxic", "fold").toPandas()  # at most p.sample rows of numbers
     discard(docs.sparkSession, path)
     x, y, fold = got[list(FEATURES)].to_numpy(float), got["toxic"].to_numpy(float), got["fold"].to_numpy()

@@ -438,3 +438,18 @@ def test_substring_dedup(docs, frame, odd):
     assert {d: r["longest_repeat"] for d, r in got.items()} == longest
     rows = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.digests(odd).collect()}
     assert rows == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 0), (None, 2, 0), (5, 5000, 0)} and substring_dedup.digests(odd.limit(0)).count() == 0
+
+
+def test_purity_by_folds(spark):
+    """Starts that stand in clean texts as well cost the loose purities; the held-out rows are never asked."""
+    rows = []
+    for k in range(60):
+        rows.append((f"zorgus zorgus plain {k}", 1, k % 2))
+        rows.append((f"brotan brotan brotan {k}" if k % 5 == 0 else f"zorgus more {k}", 1, k % 2))
+        rows.append((f"calm brotan {k}" if k % 5 < 2 else f"calm words {k}", 0, k % 2))
+    df = spark.createDataFrame(rows, "text string, toxic int, fold int")
+    p = toxicity.Params(purities=(0.5, 0.95), support=4)
+    assert toxicity.chosen_purity(df, p) in p.purities
+    words = [toxicity.learned_lexicon(df, toxicity.replace(p, purity=x)) for x in p.purities]
+    assert "zorg" in words[1] and "brot" in words[0] and "brot" not in words[1]
+    assert toxicity.chosen_purity(df.filter("toxic = 0"), p) == toxicity.chosen_purity(df.limit(0), p) == p.purity
