@@ -20,7 +20,7 @@ from gridloom.operators.ordered import running
 from gridloom.plans import batch, chat, workflow
 from gridloom.plans.run import METADATA, run_jobs
 from gridloom.shared import work_path
-from gridloom.sources import report, scans, sinks, snapshot
+from gridloom.sources import log_source, report, scans, sinks, snapshot
 from gridloom.streaming.progress import live_progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,6 +248,22 @@ def sc5_latest_lines(spark, d):
     return scans.latest_lines(spark, _lines(spark, d, "sc5")).select("job_id", "ord", F.variant_get("record", "$.event_id", "bigint").alias("event_id"), F.variant_get("record", "$.event_type", "string").alias("event_type"))
 
 
+@query("select (select count(*) from events) + n as seq, 'o-' || o_custkey as job_id, o_orderkey from (select *, row_number() over (order by o_orderkey) as n from orders) where o_orderstatus = 'F'")
+def sc4_log_source(spark, d):
+    """The log as a data source: two runs in two commits, read by run and status, with the numbers that the lines have in the whole log."""
+    log_source.use(spark)
+    path = _scratch(spark, "log")
+    events, orders = _t(spark, d, "events"), _t(spark, d, "orders")
+    line = lambda *c: F.to_json(F.struct(*c)).alias("line")
+    for rows, key in (
+        (events.select(F.lit("events").alias("run"), F.concat(F.lit("e-"), "user_id").alias("job_id"), F.col("event_type").alias("status"), line("event_id"), "event_id"), "event_id"),
+        (orders.select(F.lit("orders").alias("run"), F.concat(F.lit("o-"), "o_custkey").alias("job_id"), F.col("o_orderstatus").alias("status"), line("o_orderkey"), "o_orderkey"), "o_orderkey"),
+    ):
+        rows.repartitionByRange(key).sortWithinPartitions(key).select("run", "job_id", "status", "line").write.format("gridloom_log").mode("append").save(path)
+    read = spark.read.format("gridloom_log").load(path).filter("run = 'orders' and status = 'F'")
+    return read.select("seq", "job_id", F.get_json_object("line", "$.o_orderkey").cast("bigint").alias("o_orderkey"))
+
+
 @query(f"select stem as diary_id, stem as date, body as text from {_STUDY_SQL}")
 def sc6_diaries(spark, d):
     return scans.diaries(spark, _study(spark, d, "sc6"))
