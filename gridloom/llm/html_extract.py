@@ -44,6 +44,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _SURE = "ads?|advert\\w*|promo\\w*|sponsor\\w*|side-?bar|nav|navigation|navbar|menu|breadcrumbs?|footer|masthead|comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|signup|pagination|pager|copyright|complementary|contentinfo"
 _VAGUE = "banner|widget|header|notices?|login|social|share|sharing|related|recommend\\w*|tags|legal|disclaimer|hidden|search"
 SURE, VAGUE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (_SURE, _VAGUE))
+#: Elements that end tags of what stands outside of them don't close.
+BARRIERS = frozenset(("article", "main", "body"))
 #: Elements of running text: a vague mark on them doesn't decide.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote span a b i em strong small figcaption td th dd dt q cite u".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=[/a-zA-Z])[^>]*(?:>|\Z)", re.S)
@@ -80,6 +82,8 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
+    standing: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack, and which of them end tags don't pass
+    barriers: list[int] = []
     boiler = doubt = article = anchors = heading = regions = 0
     has_heading = False
 
@@ -102,7 +106,10 @@ def blocks(page: str) -> list[Block]:
     def drop(k: int) -> None:
         """Close the open elements from the k-th on."""
         nonlocal boiler, doubt, article, anchors, heading
-        for name, marked, vague in stack[k:]:
+        for name, marked, vague in reversed(stack[k:]):
+            standing[name].pop()
+            if name in BARRIERS:
+                barriers.pop()
             boiler -= marked
             doubt -= vague
             article -= name in ("article", "main")
@@ -124,12 +131,9 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    drop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("html", "body"):
-                    break  # a stray end tag doesn't close the article
+            # a stray end tag doesn't close the article
+            if standing.get(name) and (name in ("html", "body") or not barriers or standing[name][-1] >= barriers[-1]):
+                drop(standing[name][-1])
         elif name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
@@ -148,6 +152,9 @@ def blocks(page: str) -> list[Block]:
             hinted = name not in ("html", "body") and not region and any(map(VAGUE.search, values))
             vague = hinted and name in RUNNING
             marked = marked or hinted and not vague
+            standing.setdefault(name, []).append(len(stack))
+            if name in BARRIERS:
+                barriers.append(len(stack))
             stack.append((name, marked, vague))
             boiler += marked
             doubt += vague

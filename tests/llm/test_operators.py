@@ -453,3 +453,14 @@ def test_purity_by_folds(spark):
     words = [toxicity.learned_lexicon(df, toxicity.replace(p, purity=x)) for x in p.purities]
     assert "zorg" in words[1] and "brot" in words[0] and "brot" not in words[1]
     assert toxicity.chosen_purity(df.filter("toxic = 0"), p) == toxicity.chosen_purity(df.limit(0), p) == p.purity
+
+
+def test_stray_tags_take_time_by_their_number():
+    import time
+
+    for page in ("<div>" * 100_000 + "</p>" * 100_000, "<p><article>" + "<div>" * 50_000 + "</p>" * 100_000, "<li><b>" * 50_000 + "</i></b></li>" * 50_000):
+        began = time.perf_counter()
+        html_extract.main_text(page + "the end of it")
+        assert time.perf_counter() - began < 5  # a second or two; by walking the open elements it would take an hour
+    text = html_extract.main_text("<article><p>This is the first of the parts of the text, and it is long enough to be a good one for all of us here.</section></p><p>And this is the other one of the two, as long as the first and with as many of the words.</article><p>Out</p>")
+    assert text.startswith("This is the first") and text.endswith("many of the words.")
