@@ -110,8 +110,8 @@ def saved_request(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + c).alias(n) for c, n in names.items()])
 
 
-def job_errors(jobs: DataFrame) -> DataFrame:
-    """job_id, error of the jobs that can't be sent, and of ids that stand twice."""
+def job_error() -> Column:
+    """The first rule that a job breaks on its own; null for one that can be sent."""
     rules = (
         (F.coalesce(strip(F.col("job_id")), F.lit("")) == "", "job_id must be a non-empty string"),
         (F.coalesce(strip(F.col("prompt")), F.lit("")) == "", "prompt must be a non-empty string"),
@@ -122,7 +122,12 @@ def job_errors(jobs: DataFrame) -> DataFrame:
     first = F.lit(None).cast("string")
     for broken, message in reversed(rules):
         first = F.when(F.coalesce(broken, F.lit(False)), message).otherwise(first)
-    wrong = jobs.select("job_id", first.alias("error")).filter("error is not null")
+    return first
+
+
+def job_errors(jobs: DataFrame) -> DataFrame:
+    """job_id, error of the jobs that can't be sent, and of ids that stand twice."""
+    wrong = jobs.select("job_id", job_error().alias("error")).filter("error is not null")
     return wrong.unionByName(duplicate_ids(jobs, "job_id").select("job_id", F.lit("job_id values must be unique").alias("error")))
 
 

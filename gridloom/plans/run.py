@@ -25,9 +25,9 @@ from gridloom.functions.contract import Contract
 from gridloom.functions.text import utc_now
 from gridloom.operators import attempts
 from gridloom.operators.attempts import Pricing
-from gridloom.operators.grid import job_errors, saved_request
+from gridloom.operators.grid import duplicate_ids, job_error, saved_request
 from gridloom.operators.validate import validated
-from gridloom.shared import discard, exists
+from gridloom.shared import discard, exists, written
 from gridloom.sources.sinks import read_small, write_text
 from gridloom.sources.snapshot import Snapshot, append_batch, batch_name, records
 
@@ -81,21 +81,27 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return records(spark, path, RECORD)
 
 
-def check_run(jobs: DataFrame, known: DataFrame, pricing: Pricing | None, contract: Contract | None) -> int:
+def _keys(jobs: DataFrame) -> DataFrame:
+    """What checks need of jobs, written once: they read it again and again, and jobs are made of prompts and hashes."""
+    return written(jobs.select("job_id", "ordinal", "request_hash", "model", job_error().alias("error")), "job-keys")
+
+
+def check_run(keys: DataFrame, known: DataFrame, pricing: Pricing | None, contract: Contract | None) -> int:
     """Raise what must stop a run before its first call; else the number of pending jobs. known: what attempts.state() or a snapshot knows of each job."""
-    wrong = job_errors(jobs).orderBy("job_id").limit(1).collect()
-    if wrong:
-        raise ValueError(f"job {wrong[0]['job_id']!r}: {wrong[0]['error']}")
-    if pricing:
-        other = [r[0] for r in attempts.foreign_models(jobs, pricing.model).orderBy("model").limit(20).collect()]
-        if other:
-            raise ValueError(f"pricing is for {pricing.model!r}, but jobs use {other!r}")
+    foreign = ~F.col("model").eqNullSafe(F.lit(pricing.model)) if pricing else F.lit(False)
+    r = keys.agg(F.min(F.when(F.col("error").isNotNull(), F.struct("job_id", "error"))).alias("wrong"), F.count("*").alias("n"), F.count_distinct("job_id").alias("ids"), F.count_if(foreign).alias("foreign")).first()
+    if r["wrong"]:
+        raise ValueError(f"job {r['wrong']['job_id']!r}: {r['wrong']['error']}")
+    if r["ids"] < r["n"]:
+        raise ValueError(f"job {duplicate_ids(keys, 'job_id').agg(F.min('job_id')).first()[0]!r}: job_id values must be unique")
+    if r["foreign"]:
+        other = [m[0] for m in attempts.foreign_models(keys, pricing.model).orderBy("model").limit(20).collect()]
+        raise ValueError(f"pricing is for {pricing.model!r}, but jobs use {other!r}")
     old = known.select("job_id", "status", F.col("request_hash").alias("_old"), "contract_id", "validation_status")
-    seen = jobs.select("job_id", "request_hash").join(old, "job_id", "left")
     loose = attempts.without_contract(contract.contract_id) if contract else F.lit(False)
-    r = seen.agg(
+    r = keys.select("job_id", "request_hash").join(old, "job_id", "left").agg(
         F.min(F.when(F.col("request_hash") != F.col("_old"), F.col("job_id"))).alias("changed"), F.min(F.when(loose, F.col("job_id"))).alias("loose"), F.count_if(~F.col("status").eqNullSafe(F.lit("completed"))).alias("pending")
-    ).first()
+    ).first()
     if r["changed"] is not None:
         raise ValueError(f"job {r['changed']!r} changed since this run was created; use a new output path or a new job_id")
     if r["loose"] is not None:
@@ -111,29 +117,30 @@ def run_jobs(
     jobs: ordinal, job_id, prompt, instructions, model, max_output_tokens, output_format, metadata, request_hash. Batches of at
     most `batch` jobs are called on `workers` tasks, checked against the contract, priced and appended, one after the other; what a
     lost driver or a failed batch repeats is one batch's calls, which a responder that keeps its answers by request makes
-    harmless. report gets a line after each batch: time, time left, cost and projected cost.
+    harmless. seq follows the ordinal over all jobs of a plan; batches come in the order in which their files were written, so
+    a log that was left halfway may lack smaller numbers. report gets a line after each batch: time, time left, cost and projected cost.
     """
     if isinstance(workers, bool) or not isinstance(workers, int) or workers < 1:
         raise ValueError("workers must be a positive integer")
     spark = jobs.sparkSession
-    if not jobs.limit(1).count():
-        raise ValueError("jobs must contain at least one job")
-    log_path = log_path.rstrip("/")
+    keys, log_path = _keys(jobs), log_path.rstrip("/")
     snapshot, state_path = Snapshot(spark, log_path, RECORD), f"{log_path}.run"
-    plan = _plan(jobs, snapshot, state_path, pricing, contract, batch)
+    plan = _plan(jobs, keys, snapshot, state_path, pricing, contract, batch)
     if plan["total"]:
         _stream(spark, plan, state_path, log_path, responder, pricing, contract, workers, report)
     discard(spark, state_path)
     snapshot.compact()
-    now = attempts.current_of(jobs, snapshot.latest())
+    now = attempts.current_of(keys, snapshot.latest())
     # older records may lack a cost
     return attempts.priced(now, pricing) if pricing else now
 
 
-def _plan(jobs: DataFrame, snapshot: Snapshot, state_path: str, pricing: Pricing | None, contract: Contract | None, batch: int) -> dict[str, Any]:
+def _plan(jobs: DataFrame, keys: DataFrame, snapshot: Snapshot, state_path: str, pricing: Pricing | None, contract: Contract | None, batch: int) -> dict[str, Any]:
     """The plan of an interrupted run of the same jobs, else a new one: start (records before it), total, and the files of todo and ranges."""
     spark = jobs.sparkSession
-    same = jobs.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("job_id", "request_hash", "ordinal")).alias("x")).first()
+    same = keys.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("job_id", "request_hash", "ordinal")).alias("x")).first()
+    if not same["n"]:
+        raise ValueError("jobs must contain at least one job")
     digest = [same["n"], same["x"], contract and contract.contract_id, pricing and pricing.as_dict()]
     if exists(spark, f"{state_path}/plan.json"):
         plan = json.loads(read_small(spark, f"{state_path}/plan.json"))
@@ -141,7 +148,7 @@ def _plan(jobs: DataFrame, snapshot: Snapshot, state_path: str, pricing: Pricing
             return plan
     discard(spark, state_path)
     known = snapshot.latest()
-    total = check_run(jobs, known, pricing, contract)
+    total = check_run(keys, known, pricing, contract)
     plan = {"jobs": digest, "start": known.agg(F.max("seq")).first()[0] or 0, "total": total}
     if total:
         todo = attempts.pending_of(jobs, known).withColumn("attempt", F.col("attempt").cast("int"))
@@ -151,7 +158,7 @@ def _plan(jobs: DataFrame, snapshot: Snapshot, state_path: str, pricing: Pricing
         sizes = spark.read.parquet(f"{state_path}/todo").groupBy(_range_of().alias("_range")).agg(F.count("*").alias("rows"), F.min("_at").alias("_first"))
         before = F.coalesce(F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
         sizes.select("_range", "_first", before.alias("_before")).write.parquet(f"{state_path}/ranges")
-        done = known.filter("status = 'completed'").join(jobs.select("job_id"), "job_id", "left_semi").agg(F.count("estimated_cost_usd"), F.sum("estimated_cost_usd")).first()
+        done = known.filter("status = 'completed'").join(keys.select("job_id"), "job_id", "left_semi").agg(F.count("estimated_cost_usd"), F.sum("estimated_cost_usd")).first()
         plan |= {"known": done[0], "cost": done[1] or 0.0}
     write_text(spark, f"{state_path}/plan.json", json.dumps(plan))
     return plan
