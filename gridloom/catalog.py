@@ -791,7 +791,8 @@ def _respond_well(request: dict) -> dict:
 
 
 def _run_jobs(spark, d):
-    own = _t(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("job-"), "c_custkey").alias("job_id"), F.concat(F.expr("repeat('x', cast(c_custkey % 40 as int))"), "c_custkey").alias("prompt"))
+    keys = _t(spark, d, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # a small file is one task, its jobs are work for all
+    own = keys.select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("job-"), "c_custkey").alias("job_id"), F.concat(F.expr("repeat('x', cast(c_custkey % 40 as int))"), "c_custkey").alias("prompt"))
     own = own.withColumns({"instructions": F.lit(None).cast("string"), "model": F.lit("m"), "max_output_tokens": F.lit(5), "output_format": F.lit(None).cast("string"), "metadata": F.from_json(F.lit("{}"), METADATA)})
     return grid.prepared(own, "m", RATING)
 

@@ -1,21 +1,26 @@
 """A resumable run: jobs through a responder, each answer checked, priced and appended to the log.
 
-What is pending is fixed once, as files of at most `batch` jobs beside the log (`<log>.run`), and flows as a stream: a micro-batch is a
-file, so no batch reads what another one needs, and the stream's checkpoint says which are done. A batch becomes visible in the log
-by its name alone, at once and with the name in each record. If the driver is lost between that and the stream's commit, the batch
-comes again, is found in the log and is not called again; lost before it, its calls are made again. The same jobs run again go on
-with the stream where it stands; other jobs are planned anew from the log.
+What is pending is fixed once, as files of at most `batch` jobs beside the log (`<log>.run`): a file is a batch, and no batch reads what
+another one needs. Batches are called in waves: of one at first, then of as many as fit WAVE_S seconds, so that the fixed cost of
+a Spark job is shared by batches that are quickly answered, while slow calls are appended batch by batch. A batch becomes visible in the
+log by its name alone, at once and with the name in each record; the names there say which are done. Workers save a batch's answers
+beside the log as they have called their part of it, so what a lost driver or task makes a run call again is the unsaved part:
+at most about a batch, however wide the wave. The same jobs run again go on where the plan stands; other jobs are planned anew from the log.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -27,7 +32,7 @@ from gridloom.operators import attempts
 from gridloom.operators.attempts import Pricing
 from gridloom.operators.grid import duplicate_ids, job_error, saved_request
 from gridloom.operators.validate import validated
-from gridloom.shared import discard, exists, written
+from gridloom.shared import discard, exists, listed, store_of, work_path, written
 from gridloom.sources.sinks import read_small, write_text
 from gridloom.sources.snapshot import Snapshot, append_batch, batch_name, records
 
@@ -42,6 +47,8 @@ RECORD = (
     f"output_text string, response_id string, usage {USAGE}, response string, error {ERROR}, contract_id string, validation_status string, parsed_output string, estimated_cost_usd double, "
     "batch string"
 )
+#: Seconds that a wave of batches should take, and how many times wider than the last one it may be.
+WAVE_S, WIDER = 20.0, 4
 #: Request -> response. A response is a text, or a dict of status, output_text, model, id, usage, incomplete_reason and response.
 Responder = Callable[[dict[str, Any]], Any]
 
@@ -82,8 +89,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _keys(jobs: DataFrame) -> DataFrame:
-    """What checks need of jobs, written once: they read it again and again, and jobs are made of prompts and hashes."""
-    return written(jobs.select("job_id", "ordinal", "request_hash", "model", job_error().alias("error")), "job-keys")
+    """What checks and the result need of jobs, which stays when their prompts are gone."""
+    return written(jobs.select("job_id", "ordinal", "request_hash", "model", "error"), "job-keys")
 
 
 def check_run(keys: DataFrame, known: DataFrame, pricing: Pricing | None, contract: Contract | None) -> int:
@@ -115,19 +122,24 @@ def run_jobs(
     """Run the jobs that the log hasn't completed; gives each job's current record, in job order when sorted by ordinal.
 
     jobs: ordinal, job_id, prompt, instructions, model, max_output_tokens, output_format, metadata, request_hash. Batches of at
-    most `batch` jobs are called on `workers` tasks, checked against the contract, priced and appended, one after the other; what a
-    lost driver or a failed batch repeats is one batch's calls, which a responder that keeps its answers by request makes
-    harmless. seq follows the ordinal over all jobs of a plan; batches come in the order in which their files were written, so
-    a log that was left halfway may lack smaller numbers. report gets a line after each batch: time, time left, cost and projected cost.
+    most `batch` jobs are called on `workers` tasks, checked against the contract, priced and appended in job order, a wave of them after
+    the other; what a lost driver or a failed wave repeats is at most about one batch's calls, which a responder that keeps its
+    answers by request makes harmless. seq follows the ordinal over all jobs of a plan. report gets a line after each wave: time,
+    time left, cost and projected cost.
     """
     if isinstance(workers, bool) or not isinstance(workers, int) or workers < 1:
         raise ValueError("workers must be a positive integer")
     spark = jobs.sparkSession
-    keys, log_path = _keys(jobs), log_path.rstrip("/")
+    jobs, log_path = jobs.withColumn("error", job_error()), log_path.rstrip("/")
+    work = work_path(spark, "jobs")
+    jobs.write.parquet(work)  # prompts and hashes are made once
+    jobs = spark.read.schema(jobs.schema).parquet(work)
+    keys = _keys(jobs)
     snapshot, state_path = Snapshot(spark, log_path, RECORD), f"{log_path}.run"
     plan = _plan(jobs, keys, snapshot, state_path, pricing, contract, batch)
+    discard(spark, work)
     if plan["total"]:
-        _stream(spark, plan, state_path, log_path, responder, pricing, contract, workers, report)
+        _call_all(spark, plan, state_path, log_path, responder, pricing, contract, workers, report)
     discard(spark, state_path)
     snapshot.compact()
     now = attempts.current_of(keys, snapshot.latest())
@@ -136,12 +148,12 @@ def run_jobs(
 
 
 def _plan(jobs: DataFrame, keys: DataFrame, snapshot: Snapshot, state_path: str, pricing: Pricing | None, contract: Contract | None, batch: int) -> dict[str, Any]:
-    """The plan of an interrupted run of the same jobs, else a new one: start (records before it), total, and the files of todo and ranges."""
+    """The plan of an interrupted run of the same jobs, else a new one: start (records before it), total, and the files of todo and batches."""
     spark = jobs.sparkSession
     same = keys.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("job_id", "request_hash", "ordinal")).alias("x")).first()
     if not same["n"]:
         raise ValueError("jobs must contain at least one job")
-    digest = [same["n"], same["x"], contract and contract.contract_id, pricing and pricing.as_dict()]
+    digest = [same["n"], same["x"], contract and contract.contract_id, pricing and pricing.as_dict(), "waves"]
     if exists(spark, f"{state_path}/plan.json"):
         plan = json.loads(read_small(spark, f"{state_path}/plan.json"))
         if plan["jobs"] == json.loads(json.dumps(digest)):
@@ -151,54 +163,55 @@ def _plan(jobs: DataFrame, keys: DataFrame, snapshot: Snapshot, state_path: str,
     total = check_run(keys, known, pricing, contract)
     plan = {"jobs": digest, "start": known.agg(F.max("seq")).first()[0] or 0, "total": total}
     if total:
-        todo = attempts.pending_of(jobs, known).withColumn("attempt", F.col("attempt").cast("int"))
-        # places are kept as rows are written; what stands in the ranges before comes from the ranges' sizes
+        todo = attempts.pending_of(jobs.drop("error"), known).withColumn("attempt", F.col("attempt").cast("int"))
+        # places are kept as rows are written; what stands in the files before comes from the files' sizes
         todo = todo.repartitionByRange(-(-total // batch), "ordinal").sortWithinPartitions("ordinal").withColumn("_at", F.monotonically_increasing_id())
         todo.write.option("maxRecordsPerFile", batch).parquet(f"{state_path}/todo")
-        sizes = spark.read.parquet(f"{state_path}/todo").groupBy(_range_of().alias("_range")).agg(F.count("*").alias("rows"), F.min("_at").alias("_first"))
-        before = F.coalesce(F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
-        sizes.select("_range", "_first", before.alias("_before")).write.parquet(f"{state_path}/ranges")
+        sizes = spark.read.parquet(f"{state_path}/todo").groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count("*").alias("rows"), F.min("_at").alias("_first"))
+        files = Window.partitionBy(F.lit(0)).orderBy("_first")  # a row for each batch
+        before = F.coalesce(F.sum("rows").over(files.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sizes.select("_file", (F.row_number().over(files) - 1).alias("_batch"), (before + 1 - F.col("_first")).alias("_shift")).write.parquet(f"{state_path}/batches")
         done = known.filter("status = 'completed'").join(keys.select("job_id"), "job_id", "left_semi").agg(F.count("estimated_cost_usd"), F.sum("estimated_cost_usd")).first()
         plan |= {"known": done[0], "cost": done[1] or 0.0}
     write_text(spark, f"{state_path}/plan.json", json.dumps(plan))
     return plan
 
 
-def _range_of() -> Column:
-    return F.shiftright("_at", 33)
-
-
-def _stream(spark: SparkSession, plan: dict, state_path: str, log_path: str, responder: Responder, pricing: Pricing | None, contract: Contract | None, workers: int, report: Callable[[str], None] | None) -> None:
-    """Call what is planned, a file a micro-batch."""
+def _call_all(spark: SparkSession, plan: dict, state_path: str, log_path: str, responder: Responder, pricing: Pricing | None, contract: Contract | None, workers: int, report: Callable[[str], None] | None) -> None:
+    """Call what is planned, a wave of batches after the other."""
     began, start = time.monotonic(), plan["start"]
     shown = {"attempted": 0, "left": plan["total"], "known": plan["known"], "cost": plan["cost"]}
     if report:  # what an interrupted run has appended
         old = records(spark, log_path, RECORD, batch_name(start, 0)[:-9]).agg(F.count("*"), F.count("estimated_cost_usd"), F.sum("estimated_cost_usd")).first()
         shown |= {"left": shown["left"] - old[0], "known": shown["known"] + old[1], "cost": shown["cost"] + (old[2] or 0.0)}
 
-    def one(jobs: DataFrame, number: int) -> None:
-        name = batch_name(start, number)
-        if exists(spark, f"{log_path}/{name}"):
-            return
-        ranges = F.broadcast(jobs.sparkSession.read.parquet(f"{state_path}/ranges"))  # as many rows as batches
-        own = jobs.withColumn("_range", _range_of()).join(ranges, "_range").withColumn("number", F.col("_before") + F.col("_at") - F.col("_first") + 1)
-        made = called(own.repartition(workers, "number"), responder).withColumns({"seq": F.col("number") + start, "batch": F.lit(name)})
+    saved: str | None = f"{state_path}/answers"
+    try:
+        store_of(saved)
+    except pa.ArrowException:  # a store that tasks can't write to: nothing is saved, so a wave is one batch
+        saved = None
+    batches, schema = spark.read.parquet(f"{state_path}/batches"), spark.read.parquet(f"{state_path}/todo").schema
+    there = set(listed(spark, log_path))
+    left = [r for r in batches.select("_file", "_batch").orderBy("_batch").collect() if batch_name(start, r["_batch"]) not in there]
+    at, wide = 0, 1
+    while at < len(left):
+        since, wave = time.monotonic(), left[at : at + wide]
+        own = spark.read.schema(schema).parquet(*[f"{state_path}/todo/{r['_file']}" for r in wave]).withColumn("_file", F.col("_metadata.file_name"))
+        own = own.join(F.broadcast(batches), "_file").withColumns({"number": F.col("_at") + F.col("_shift"), "batch": F.format_string("batch-%015d-%09d", F.lit(start), "_batch")})
+        made = called(own.repartition(workers, "number").sortWithinPartitions("number"), responder, saved).withColumn("seq", F.col("number") + start)
         made = validated(made, contract) if contract else made.withColumns({c: F.lit(None).cast("string") for c in ("contract_id", "validation_status", "parsed_output")})
         made = attempts.priced(made.withColumn("estimated_cost_usd", F.lit(None).cast("double")), pricing).select(*_names(RECORD))
         seen = Observation()
-        append_batch(made.observe(seen, F.count("*").alias("n"), F.count("estimated_cost_usd").alias("known"), F.sum("estimated_cost_usd").alias("cost")), log_path, name)
+        made = made.observe(seen, F.count("*").alias("n"), F.count("estimated_cost_usd").alias("known"), F.sum("estimated_cost_usd").alias("cost"))
+        append_batch(made, log_path, [batch_name(start, r["_batch"]) for r in wave])
         if report:
             new = seen.get
             shown.update(attempted=shown["attempted"] + new["n"], left=max(shown["left"] - new["n"], 0), known=shown["known"] + new["known"], cost=shown["cost"] + (new["cost"] or 0.0))
             report(_line(spark, time.monotonic() - began, **shown))
-
-    todo = spark.read.parquet(f"{state_path}/todo")
-    source = spark.readStream.schema(todo.schema).option("maxFilesPerTrigger", 1).parquet(f"{state_path}/todo")
-    query = source.writeStream.foreachBatch(one).option("checkpointLocation", f"{state_path}/checkpoint").trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
+        if saved and at:  # the first wave's time is that of starting
+            wide = max(1, min(WIDER * wide, int(wide * WAVE_S / (time.monotonic() - since))))
+        at += len(wave)
+    discard(spark, *[f"{log_path}/{n}" for n in listed(spark, log_path) if n.startswith(".batch-")])  # what lost drivers left of waves
 
 
 def _line(spark: SparkSession, elapsed: float, attempted: int, left: int, known: int, cost: float) -> str:
@@ -209,25 +222,57 @@ def _line(spark: SparkSession, elapsed: float, attempted: int, left: int, known:
     return spark.range(1).select(attempts.progress_line(value(elapsed), value(eta), value(so_far), value(ahead))).first()[0]
 
 
-def called(jobs: DataFrame, responder: Responder) -> DataFrame:
-    """The records of one attempt at each job (number, attempt and the columns of run_jobs). Nothing is shuffled behind the calls."""
-    fields, rest = ["model", "instructions", "prompt", "max_output_tokens", "output_format"], ["job_id", "request_hash", "attempt", "_meta"]
+def called(jobs: DataFrame, responder: Responder, saved: str | None = None) -> DataFrame:
+    """The records of one attempt at each job (number, batch, attempt and the columns of run_jobs). Nothing is shuffled behind the calls.
+
+    saved: the folder of answers by batch. Jobs come with those of a batch side by side; what is saved isn't called again.
+    """
+    fields, rest = ["model", "instructions", "prompt", "max_output_tokens", "output_format"], ["batch", "job_id", "request_hash", "attempt", "_meta"]
     names = ["number", *rest, *[f"sent_{k}" for k in fields], *_names(ANSWER)]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for row in b.to_dict("records"):
-                request = {k: None if row[k] is None or row[k] != row[k] else row[k] for k in fields}
-                rows.append({**row, **{f"sent_{k}": v for k, v in request.items()}, **answer(request, responder)})
+            for batch, part in groupby(b.to_dict("records"), lambda row: row["batch"]):
+                known = saved_answers(f"{saved}/{batch}") if saved else {}
+                new = []
+                for row in part:
+                    request = {k: None if row[k] is None or row[k] != row[k] else row[k] for k in fields}
+                    said = known.get(row["number"])
+                    if said is None:
+                        said = answer(request, responder)
+                        new.append((row["number"], said))
+                    rows.append({**row, **{f"sent_{k}": v for k, v in request.items()}, **said})
+                if saved and new:
+                    save_answers(f"{saved}/{batch}", new)
             yield pd.DataFrame(rows, columns=names)
 
     sent = "sent_model string, sent_instructions string, sent_prompt string, sent_max_output_tokens int, sent_output_format string"
     own = jobs.withColumn("_meta", F.to_json("metadata", {"ignoreNullFields": "false"})).select("number", *rest, *fields)
-    made = own.mapInPandas(call, f"number bigint, job_id string, request_hash string, attempt int, _meta string, {sent}, {ANSWER}")
+    made = own.mapInPandas(call, f"number bigint, batch string, job_id string, request_hash string, attempt int, _meta string, {sent}, {ANSWER}")
     request = saved_request("sent_")
     return made.withColumns({"request": request, "recorded_at": utc_now(), "metadata": F.from_json("_meta", METADATA)}).drop("_meta")
 
 
+def save_answers(folder: str, said: list[tuple[int, dict[str, Any]]]) -> None:
+    """Answers by job number as a file of their own, which gets its name when it is complete."""
+    store, inner = store_of(folder)
+    store.create_dir(inner, recursive=True)
+    name = f"{inner}/{uuid.uuid4().hex}"
+    with store.open_output_stream(f"{name}.new") as f:
+        f.write(json.dumps(said).encode())
+    store.move(f"{name}.new", f"{name}.json")
+
+
+def saved_answers(folder: str) -> dict[int, dict[str, Any]]:
+    store, inner = store_of(folder)
+    out: dict[int, dict[str, Any]] = {}
+    for found in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        if found.path.endswith(".json"):
+            with store.open_input_stream(found.path) as f:
+                out.update(json.loads(f.read()))
+    return out
+
+
 def _names(schema: str) -> list[str]:
     return StructType.fromDDL(schema).names

@@ -45,6 +45,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none where there is no folder."""
+    fs, p = path_of(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete files or folders that nothing reads any more."""
     for path in paths:

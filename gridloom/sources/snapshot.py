@@ -23,17 +23,25 @@ def batch_name(start: int, number: int) -> str:
     return f"batch-{start:015d}-{number:09d}"
 
 
-def append_batch(records: DataFrame, log_path: str, name: str) -> bool:
+def append_batch(records: DataFrame, log_path: str, name: str | list[str]) -> bool:
     """Add a batch of records under its name, all at once; False if the log has it already.
 
-    Half of a batch that a lost driver left behind has another name, which no reader sees, and is written anew.
+    Several names are as many batches, told apart by the column batch and written together: each gets its name in one step. Half of
+    what a lost driver left behind has another name, which no reader sees, and is written anew.
     """
-    spark = records.sparkSession
-    if exists(spark, f"{log_path}/{name}"):
+    spark, names = records.sparkSession, [name] if isinstance(name, str) else name
+    if exists(spark, f"{log_path}/{names[0]}"):
         return False
-    half = f"{log_path}/.{name}"
-    records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(half)
-    renamed(spark, half, f"{log_path}/{name}")
+    half = f"{log_path}/.{names[0]}"
+    value = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("value")
+    if len(names) == 1:
+        records.select(value).write.mode("overwrite").text(half)
+        renamed(spark, half, f"{log_path}/{names[0]}")
+        return True
+    records.select(value, F.col("batch").alias("name")).write.mode("overwrite").partitionBy("name").text(half)
+    for n in names:
+        renamed(spark, f"{half}/name={n}", f"{log_path}/{n}")
+    discard(spark, half)
     return True
 
 

@@ -75,6 +75,29 @@ def test_lost_driver(spark, tmp_path, monkeypatch, after):
     assert not os.path.exists(f"{log}.run")
 
 
+def test_waves(spark, tmp_path, monkeypatch):
+    """Batches that are quickly answered are called and written together, each under its own name; what a lost driver had called in a wave isn't called again."""
+    log, seen = str(tmp_path / "log"), tmp_path / "calls"
+    seen.mkdir()
+    whole, waves = run.append_batch, []
+
+    def lost(records, path, names):
+        waves.append(names)
+        if len(waves) == 3:
+            records.write.format("noop").mode("overwrite").save()  # the calls are made
+            raise KeyError("lost")
+        return whole(records, path, names)
+
+    monkeypatch.setattr(run, "append_batch", lost)
+    with pytest.raises(Exception, match="lost"):
+        run_jobs(jobs_of(spark, 40), log, counting(seen), pricing=PRICE, contract=RATING, batch=2, workers=2)
+    rows = run_jobs(jobs_of(spark, 40), log, counting(seen), pricing=PRICE, contract=RATING, batch=2, workers=2).orderBy("ordinal").collect()
+    assert [(r["job_id"], r["seq"], r["attempt"], r["status"]) for r in rows] == [(f"j{i}", i + 1, 1, "completed") for i in range(40)]
+    assert calls(seen) == sorted(f"p{i}" for i in range(40))
+    names = {r["batch"] for r in rows}
+    assert len(names) >= 20 > len(waves) and len(waves[2]) > 1 and names == {f for f in os.listdir(log) if not f.startswith(".")}
+
+
 def test_other_jobs_after_a_lost_driver(spark, tmp_path, monkeypatch):
     """A plan of other jobs isn't taken up: what the log holds counts, and changed requests still stop the run."""
     log, seen = str(tmp_path / "log"), tmp_path / "calls"
