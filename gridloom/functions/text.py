@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from string import Formatter
 
@@ -20,6 +21,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
 
+def blank(c: Column) -> Column:
+    """Whether strip() leaves nothing; a text is read up to its first other character. A null is blank."""
+    return ~F.coalesce(c.rlike(f"(?U)[^{_BLANK[1:]}"), F.lit(False))
+
+
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U){_BLANK}+$", "")
 
@@ -124,22 +130,20 @@ def dollars(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def canonical_json(x: pd.Series) -> pd.Series:
     """JSON text with sorted keys, no blanks and raw Unicode, numbers as Python writes them; NaN is an error."""
-    import json
+    own = {v: canonical(v) for v in x.dropna().unique()}  # jobs share formats
+    return x.map(lambda v: None if v is None else own[v])
 
-    return x.map(lambda v: None if v is None else json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
+
+def canonical(text: str) -> str:
+    """canonical_json() of one text."""
+    return json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
 def json_kind(value: Column) -> Column:
     """text, number, flag, null, list or object for a variant; null where there is no value."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "VOID", "null")
-        .when(kind == "STRING", "text")
-        .when(kind == "BOOLEAN", "flag")
-        .when(kind.startswith("ARRAY"), "list")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.isNotNull(), "number")
-    )
+    kind = F.schema_of_variant(value)  # as few times as may be: within a lambda each mention is evaluated anew
+    names = F.create_map(*[F.lit(x) for pair in (("VOID", "null"), ("STRING", "text"), ("BOOLEAN", "flag"), ("ARRAY", "list"), ("OBJECT", "object")) for x in pair])
+    return F.coalesce(F.try_element_at(names, F.substring_index(kind, "<", 1)), F.when(kind.isNotNull(), "number"))
 
 
 class Template:

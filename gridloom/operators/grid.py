@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.contract import Contract, schema_json
 from gridloom.functions.items import allowed_numbers, allowed_values, output_format, response_requirements
-from gridloom.functions.text import Template, canonical_json, categories, strip
+from gridloom.functions.text import Template, blank, canonical, canonical_json, categories, strip
 
 #: Items are written by hand; a bank of more than this many isn't sent to every executor.
 MAX_ITEMS = 100_000
@@ -97,11 +97,12 @@ def request_hash(model: Column, instructions: Column, prompt: Column, most: Colu
 def prepared(jobs: DataFrame, default_model: str | None, contract: Contract | None = None) -> DataFrame:
     """Jobs with model and output_format filled in and request_hash made of what will be sent. metadata may be a struct or JSON text."""
     meta = F.to_json("metadata", {"ignoreNullFields": "false"}) if jobs.schema["metadata"].dataType.typeName() == "struct" else F.col("metadata")
-    own = jobs.withColumn("model", F.coalesce("model", F.lit(default_model)))
-    if contract:
-        own = own.withColumn("output_format", F.coalesce("output_format", F.lit(schema_json(contract))))
-    hashed = request_hash(F.col("model"), F.col("instructions"), F.col("prompt"), F.col("max_output_tokens"), canonical_json("output_format"), canonical_json(meta))
-    return own.withColumn("request_hash", hashed)
+    own, format_json = jobs.withColumn("model", F.coalesce("model", F.lit(default_model))), canonical_json("output_format")
+    if contract:  # the contract's own format is made canonical once, not for each job
+        format_json = F.when(F.col("output_format").isNull(), canonical(schema_json(contract))).otherwise(format_json)
+    hashed = request_hash(F.col("model"), F.col("instructions"), F.col("prompt"), F.col("max_output_tokens"), format_json, canonical_json(meta))
+    own = own.withColumn("request_hash", hashed)
+    return own.withColumn("output_format", F.coalesce("output_format", F.lit(schema_json(contract)))) if contract else own
 
 
 def saved_request(prefix: str = "") -> Column:
@@ -114,7 +115,7 @@ def job_error() -> Column:
     """The first rule that a job breaks on its own; null for one that can be sent."""
     rules = (
         (F.coalesce(strip(F.col("job_id")), F.lit("")) == "", "job_id must be a non-empty string"),
-        (F.coalesce(strip(F.col("prompt")), F.lit("")) == "", "prompt must be a non-empty string"),
+        (blank(F.col("prompt")), "prompt must be a non-empty string"),
         (F.col("model").isNotNull() & (strip(F.col("model")) == ""), "model must be a non-empty string"),
         (F.col("max_output_tokens") <= 0, "max_output_tokens must be a positive integer"),
         (F.col("output_format").isNotNull() & F.try_parse_json("output_format").isNull(), "metadata and output_format must contain JSON-compatible values"),

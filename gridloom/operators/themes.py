@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from gridloom.functions.text import padded, py_round
 from gridloom.operators.ordered import running
 from gridloom.operators.validate import coverage
+from gridloom.shared import written
 
 
 def candidates(extractions: DataFrame, diaries: DataFrame) -> DataFrame:
     """candidate_id, diary_id, date, label, description, quote, importance from extractions (diary_id, themes) and diaries (diary_id, date, text); a quote that its diary doesn't hold is an error."""
     own = extractions.select("diary_id", F.posexplode("themes").alias("at", "x")).select(padded(F.col("diary_id"), "-c", F.col("at")).alias("candidate_id"), "diary_id", "x.*")
-    own = own.join(diaries.select("diary_id", "date", "text"), "diary_id")
-    bad = own.filter(~F.contains("text", F.col("quote"))).orderBy("candidate_id").limit(1).collect()
+    own = own.join(diaries.select("diary_id", "date", "text"), "diary_id").withColumn("_lost", ~F.contains("text", F.col("quote")))
+    own = written(own.select("candidate_id", "diary_id", "date", "label", "description", "quote", "importance", "_lost"), "candidates")  # the texts are met once
+    bad = own.filter("_lost").orderBy("candidate_id").limit(1).collect()
     if bad:
         raise ValueError(f"extracted quote not found in {bad[0]['diary_id']}: {bad[0]['quote']!r}")
-    return own.select("candidate_id", "diary_id", "date", "label", "description", "quote", "importance")
+    return own.drop("_lost")
 
 
 def canonical(synthesis: DataFrame) -> DataFrame:

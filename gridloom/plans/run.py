@@ -5,7 +5,8 @@ another one needs. Batches are called in waves: of one at first, then of as many
 a Spark job is shared by batches that are quickly answered, while slow calls are appended batch by batch. A batch becomes visible in the
 log by its name alone, at once and with the name in each record; the names there say which are done. Workers save a batch's answers
 beside the log as they have called their part of it, so what a lost driver or task makes a run call again is the unsaved part:
-at most about a batch, however wide the wave. The same jobs run again go on where the plan stands; other jobs are planned anew from the log.
+at most about a batch, however wide the wave. A wave of many batches for each worker is called first, and its records are made of the saved
+answers by all cores: only calls are bound to the workers. The same jobs run again go on where the plan stands; other jobs are planned anew from the log.
 """
 
 from __future__ import annotations
@@ -49,6 +50,10 @@ RECORD = (
 )
 #: Seconds that a wave of batches should take, and how many times wider than the last one it may be.
 WAVE_S, WIDER = 20.0, 4
+#: A wave of so many batches for each worker is dealt out by whole batches.
+EACH = 4
+#: What a responder is given of a job.
+ASKED = ["model", "instructions", "prompt", "max_output_tokens", "output_format"]
 #: Request -> response. A response is a text, or a dict of status, output_text, model, id, usage, incomplete_reason and response.
 Responder = Callable[[dict[str, Any]], Any]
 
@@ -190,20 +195,27 @@ def _call_all(spark: SparkSession, plan: dict, state_path: str, log_path: str, r
         store_of(saved)
     except pa.ArrowException:  # a store that tasks can't write to: nothing is saved, so a wave is one batch
         saved = None
-    batches, schema = spark.read.parquet(f"{state_path}/batches"), spark.read.parquet(f"{state_path}/todo").schema
-    there = set(listed(spark, log_path))
+    batches, there = spark.read.parquet(f"{state_path}/batches"), set(listed(spark, log_path))
     left = [r for r in batches.select("_file", "_batch").orderBy("_batch").collect() if batch_name(start, r["_batch"]) not in there]
+    schema = spark.read.parquet(f"{state_path}/todo").schema if left else None
     at, wide = 0, 1
     while at < len(left):
         since, wave = time.monotonic(), left[at : at + wide]
         own = spark.read.schema(schema).parquet(*[f"{state_path}/todo/{r['_file']}" for r in wave]).withColumn("_file", F.col("_metadata.file_name"))
         own = own.join(F.broadcast(batches), "_file").withColumns({"number": F.col("_at") + F.col("_shift"), "batch": F.format_string("batch-%015d-%09d", F.lit(start), "_batch")})
-        made = called(own.repartition(workers, "number").sortWithinPartitions("number"), responder, saved).withColumn("seq", F.col("number") + start)
+        if saved and len(wave) >= EACH * workers:
+            call_saved(own.coalesce(workers), responder, saved)
+            made = answered(own, saved)
+        else:
+            made = called(own.repartition(workers, "number").sortWithinPartitions("number"), responder, saved)
+        made = made.withColumn("seq", F.col("number") + start)
         made = validated(made, contract) if contract else made.withColumns({c: F.lit(None).cast("string") for c in ("contract_id", "validation_status", "parsed_output")})
         made = attempts.priced(made.withColumn("estimated_cost_usd", F.lit(None).cast("double")), pricing).select(*_names(RECORD))
         seen = Observation()
         made = made.observe(seen, F.count("*").alias("n"), F.count("estimated_cost_usd").alias("known"), F.sum("estimated_cost_usd").alias("cost"))
-        append_batch(made, log_path, [batch_name(start, r["_batch"]) for r in wave])
+        names = [batch_name(start, r["_batch"]) for r in wave]
+        append_batch(made, log_path, names)
+        discard(spark, *[f"{state_path}/todo/{r['_file']}" for r in wave], *[f"{saved}/{n}" for n in names if saved])
         if report:
             new = seen.get
             shown.update(attempted=shown["attempted"] + new["n"], left=max(shown["left"] - new["n"], 0), known=shown["known"] + new["known"], cost=shown["cost"] + (new["cost"] or 0.0))
@@ -227,31 +239,63 @@ def called(jobs: DataFrame, responder: Responder, saved: str | None = None) -> D
 
     saved: the folder of answers by batch. Jobs come with those of a batch side by side; what is saved isn't called again.
     """
-    fields, rest = ["model", "instructions", "prompt", "max_output_tokens", "output_format"], ["batch", "job_id", "request_hash", "attempt", "_meta"]
-    names = ["number", *rest, *[f"sent_{k}" for k in fields], *_names(ANSWER)]
+    rest = ["batch", "job_id", "request_hash", "attempt", "_meta"]
+    names = ["number", *rest, *[f"sent_{k}" for k in ASKED], *_names(ANSWER)]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for batch, part in groupby(b.to_dict("records"), lambda row: row["batch"]):
-                known = saved_answers(f"{saved}/{batch}") if saved else {}
-                new = []
-                for row in part:
-                    request = {k: None if row[k] is None or row[k] != row[k] else row[k] for k in fields}
-                    said = known.get(row["number"])
-                    if said is None:
-                        said = answer(request, responder)
-                        new.append((row["number"], said))
-                    rows.append({**row, **{f"sent_{k}": v for k, v in request.items()}, **said})
-                if saved and new:
-                    save_answers(f"{saved}/{batch}", new)
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([{**row, **{f"sent_{k}": v for k, v in request.items()}, **said} for row, request, said in _said(b, responder, saved)], columns=names)
 
     sent = "sent_model string, sent_instructions string, sent_prompt string, sent_max_output_tokens int, sent_output_format string"
-    own = jobs.withColumn("_meta", F.to_json("metadata", {"ignoreNullFields": "false"})).select("number", *rest, *fields)
+    own = jobs.withColumn("_meta", F.to_json("metadata", {"ignoreNullFields": "false"})).select("number", *rest, *ASKED)
     made = own.mapInPandas(call, f"number bigint, batch string, job_id string, request_hash string, attempt int, _meta string, {sent}, {ANSWER}")
-    request = saved_request("sent_")
-    return made.withColumns({"request": request, "recorded_at": utc_now(), "metadata": F.from_json("_meta", METADATA)}).drop("_meta")
+    return made.withColumns({"request": saved_request("sent_"), "recorded_at": utc_now(), "metadata": F.from_json("_meta", METADATA)}).drop("_meta")
+
+
+def _said(b: pd.DataFrame, responder: Responder, saved: str | None) -> Iterator[tuple[dict, dict, dict]]:
+    """(row, request, answer) of each job; the new answers of a batch are saved when it has been called."""
+    for batch, part in groupby(b.to_dict("records"), lambda row: row["batch"]):
+        known = saved_answers(f"{saved}/{batch}") if saved else {}
+        new, out = [], []
+        for row in part:
+            request = {k: None if row[k] is None or row[k] != row[k] else row[k] for k in ASKED}
+            said = known.get(row["number"])
+            if said is None:
+                said = answer(request, responder)
+                new.append((row["number"], said))
+            out.append((row, request, said))
+        if saved and new:
+            save_answers(f"{saved}/{batch}", new)
+        yield from out
+
+
+def call_saved(jobs: DataFrame, responder: Responder, saved: str) -> None:
+    """Call the jobs, as called() does, for their saved answers alone."""
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": [sum(1 for _ in _said(b, responder, saved))]})
+
+    jobs.select("number", "batch", *ASKED).mapInPandas(call, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+def answered(jobs: DataFrame, saved: str) -> DataFrame:
+    """What called() gives, from the saved answers of all jobs. Requests stay where they are; only numbers go to Python."""
+    fields = _names(ANSWER)
+
+    @F.pandas_udf(ANSWER)
+    def answers(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        at, known = None, {}
+        for numbers, names in parts:
+            rows = []
+            for number, name in zip(numbers, names, strict=True):
+                if name != at:
+                    at, known = name, saved_answers(f"{saved}/{name}")
+                rows.append(known[number])
+            yield pd.DataFrame(rows, columns=fields)
+
+    own = jobs.withColumns({f"sent_{k}": F.col(k) for k in ASKED}).drop(*ASKED).withColumn("_said", answers.asNondeterministic()("number", "batch"))
+    return own.withColumns({**{c: F.col(f"_said.{c}") for c in fields}, "request": saved_request("sent_"), "recorded_at": utc_now()}).drop("_said")
 
 
 def save_answers(folder: str, said: list[tuple[int, dict[str, Any]]]) -> None:

@@ -53,16 +53,20 @@ def listed(spark: SparkSession, path: str) -> list[str]:
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete files or folders that nothing reads any more."""
-    for path in paths:
-        fs, p = path_of(spark, path)
-        fs.delete(p, True)
-
-
-def renamed(spark: SparkSession, old: str, new: str) -> None:
-    """Give a file or folder its final name in one step (on object stores, where that is a copy, in as many as there are files)."""
-    fs, p = path_of(spark, old)
-    if not fs.rename(p, path_of(spark, new)[1]):
-        raise OSError(f"could not rename {old} to {new}")
+    if paths:
+        named, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()  # each step to the JVM counts with many files
+        for p in map(named, paths):
+            p.getFileSystem(conf).delete(p, True)
+
+
+def renamed(spark: SparkSession, old: str, new: str, *more: str) -> None:
+    """Give a file or folder its final name in one step (on object stores, where that is a copy, in as many as there are files); more: further pairs, one after the other."""
+    named, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    pairs = [old, new, *more]
+    for a, b in zip(pairs[::2], pairs[1::2], strict=True):
+        p = named(a)
+        if not p.getFileSystem(conf).rename(p, named(b)):
+            raise OSError(f"could not rename {a} to {b}")
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import attempts
-from gridloom.shared import discard, exists, renamed
+from gridloom.shared import discard, exists, listed, renamed
 from gridloom.sources.sinks import read_small, write_text
 
 
@@ -39,8 +39,7 @@ def append_batch(records: DataFrame, log_path: str, name: str | list[str]) -> bo
         renamed(spark, half, f"{log_path}/{names[0]}")
         return True
     records.select(value, F.col("batch").alias("name")).write.mode("overwrite").partitionBy("name").text(half)
-    for n in names:
-        renamed(spark, f"{half}/name={n}", f"{log_path}/{n}")
+    renamed(spark, *[x for n in names for x in (f"{half}/name={n}", f"{log_path}/{n}")])
     discard(spark, half)
     return True
 
@@ -52,7 +51,7 @@ def _batch(path: Column) -> Column:
 def records(spark: SparkSession, log_path: str, schema: str, after: str | None = None) -> DataFrame:
     """The records of a log, or of its batches behind the named one: the others' files are not opened. Lines outside of batches count as the first."""
     if not exists(spark, log_path):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).filter(F.lit(False))  # so that the planner knows: what is joined with it isn't shuffled
     own = spark.read.schema(schema).option("recursiveFileLookup", "true").json(log_path, mode="FAILFAST")
     return own if after is None else own.filter(_batch(F.col("_metadata.file_path")) > after)
 
@@ -84,6 +83,8 @@ class Snapshot:
     def latest(self) -> DataFrame:
         """job_id, ord, attempts and the last record of each job, as attempts.state() gives them over the whole log."""
         kept = self._kept()
+        if kept and not any(n > kept["last"] for n in listed(self.spark, self.log_path) if n.startswith("batch-")):
+            return self._table(kept)
         tail = attempts.state(records(self.spark, self.log_path, self.schema, kept and kept["last"]))
         if not kept:
             return tail
@@ -99,7 +100,7 @@ class Snapshot:
     def compact(self) -> None:
         """Write what latest() gives as the kept table; without a tail nothing happens. The table before it stays for its readers, older ones go."""
         kept = self._kept()
-        if self.tail().limit(1).count() == 0:
+        if not self.tail().head(1):
             return
         rows, name = self.latest(), f"gridloom_snapshot_{uuid.uuid4().hex}"
         path = f"{self.folder}/{name}"

@@ -184,3 +184,53 @@ def test_progress_comes_with_the_attempts(spark, tmp_path):
     assert sorted(map(repr, (r for b in batches.values() for r in b))) == sorted(repr(tuple(r)) for r in want.select(*columns).collect())
     early = [r for k in sorted(batches)[:4] for r in batches[k]]
     assert len(early) > 100
+
+
+@pytest.mark.parametrize("lose", [False, True])
+def test_wide_waves(spark, tmp_path, monkeypatch, lose):
+    """A wave of many batches for each worker is called by the workers alone, each job once; its records are those of narrow waves, made without a shuffle of the texts."""
+    log, seen = str(tmp_path / "log"), tmp_path / "calls"
+    seen.mkdir()
+
+    def respond(request):
+        with open(os.path.join(seen, f"{request['prompt']}-{random.getrandbits(64):x}-{os.getpid()}"), "w"):
+            pass
+        n = int(request["prompt"][1:])
+        if n % 9 == 4:
+            raise KeyError("no \"answer\"\n")
+        return {"output_text": '{"rating": "é"}' if n % 7 else "x", "id": f"r{n}", "usage": {"input_tokens": n, "output_tokens": 1, "total_tokens": n + 1} if n % 5 else None}
+
+    whole, wide = run.append_batch, []
+
+    def append(records, path, names):
+        if len(names) >= run.EACH * 2:
+            wide.append(records._jdf.queryExecution().executedPlan().toString())
+            if lose and len(wide) == 1:
+                raise KeyError("lost")
+        return whole(records, path, names)
+
+    monkeypatch.setattr(run, "append_batch", append)
+    start = lambda: run_jobs(jobs_of(spark, 120), log, respond, pricing=PRICE, contract=RATING, batch=2, workers=2)
+    if lose:
+        with pytest.raises(Exception, match="lost"):
+            start()
+    monkeypatch.setattr(run, "append_batch", append)
+    own = [c for c in run._names(RECORD) if c not in ("seq", "batch", "recorded_at", "duration_seconds")]
+    rows = start().select("ordinal", *own).orderBy("ordinal").collect()
+    monkeypatch.setattr(run, "EACH", 10**9)
+    seen.rename(tmp_path / "calls-wide")
+    seen.mkdir()
+    other = run_jobs(jobs_of(spark, 120), f"{log}-narrow", respond, pricing=PRICE, contract=RATING, batch=2, workers=2).select("ordinal", *own).orderBy("ordinal").collect()
+    assert rows == other and {r["status"] for r in rows} == {"completed", "failed", "validation_failed"}
+    made = os.listdir(tmp_path / "calls-wide")
+    assert wide and not any("Exchange hashpartitioning(number" in p for p in wide)
+    assert sorted(f.split("-")[0] for f in made) == sorted(f"p{i}" for i in range(120))
+    assert not os.path.exists(f"{log}.run")
+
+
+def test_first_run_moves_texts_once(spark, tmp_path):
+    """Without a log jobs aren't joined with it, and what a compaction has just taken in isn't joined with an empty tail."""
+    log = str(tmp_path / "log")
+    assert "Join" not in attempts.pending_of(jobs_of(spark, 4), snapshot.Snapshot(spark, log, RECORD).latest())._jdf.queryExecution().optimizedPlan().toString()
+    rows = run_jobs(jobs_of(spark, 4), log, lambda request: '{"rating": 5}', contract=RATING)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and rows.count() == 4
