@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gridloom.functions.contract import RATING
+from gridloom.functions.text import blank
 from gridloom.operators import attempts, grid
 from gridloom.operators.attempts import Pricing
 from gridloom.plans import run
@@ -214,7 +215,6 @@ def test_wide_waves(spark, tmp_path, monkeypatch, lose):
     if lose:
         with pytest.raises(Exception, match="lost"):
             start()
-    monkeypatch.setattr(run, "append_batch", append)
     own = [c for c in run._names(RECORD) if c not in ("seq", "batch", "recorded_at", "duration_seconds")]
     rows = start().select("ordinal", *own).orderBy("ordinal").collect()
     monkeypatch.setattr(run, "EACH", 10**9)
@@ -234,3 +234,10 @@ def test_first_run_moves_texts_once(spark, tmp_path):
     assert "Join" not in attempts.pending_of(jobs_of(spark, 4), snapshot.Snapshot(spark, log, RECORD).latest())._jdf.queryExecution().optimizedPlan().toString()
     rows = run_jobs(jobs_of(spark, 4), log, lambda request: '{"rating": 5}', contract=RATING)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and rows.count() == 4
+
+
+def test_blank_is_an_empty_strip(spark):
+    """blank() reads a text up to its first other character, and says what Python's strip() does."""
+    every = ["", " ", "\n", "a", " a", "a\n", "\x1c\x1f\x85\u2003\u3000", "\u200b", "\x1b", "\n\nx\n\n", "\U0001f600"]
+    rows = spark.createDataFrame([(x,) for x in [*every, None]], "x string").select("x", blank(F.col("x")).alias("blank")).collect()
+    assert [r["blank"] for r in rows] == [not (x or "").strip() for x in [*every, None]]
